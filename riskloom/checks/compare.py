@@ -77,6 +77,8 @@ def main(argv) -> int:
     sf = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
     spark = local_session("checks")
     names = argv or list(all_queries())
+    if len(names) == 1 and names[0].endswith("*"):
+        names = [n for n in all_queries() if n.startswith(names[0][:-1])]
     con, bad = duck(sf), 0
     for name in names:
         try:

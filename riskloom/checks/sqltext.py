@@ -30,8 +30,8 @@ def any_contains(expr: str, words) -> str:
 
 
 def title_case(expr: str) -> str:
-    words = f"list_filter(string_split_regex({expr}, '\\s+'), x -> x <> '')"
-    return f"array_to_string(list_transform({words}, x -> upper(x[1]) || lower(x[2:])), ' ')"
+    words = f"list_filter(string_split_regex({expr}, '\\s+'), lambda x: x <> '')"
+    return f"array_to_string(list_transform({words}, lambda x: upper(x[1]) || lower(x[2:])), ' ')"
 
 
 def clean_title(expr: str) -> str:

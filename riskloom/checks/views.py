@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.sources.files import spread
+
 # ---------------------------------------------------------------- shared texts
 _FILE_PATH = """
  (case cast(doc_id % 10 as int) when 0 then 'src/auth/login_' when 1 then 'src/db/query_' when 2 then 'test/t_'
@@ -103,9 +105,49 @@ _URL = """(case cast(page_id % 9 as int) when 0 then 'https://github.com/own' ||
 _TRAVERSAL = """(case cast(page_id % 8 as int) when 0 then '../../../etc/passwd' when 1 then '..%2F..%2Fetc' when 2 then '..%252F..%252Fetc'
    when 3 then '....//....//x' when 4 then '..' || chr(92) || 'windows' when 5 then '..%c0%afetc' when 6 then '..／..／etc' else 'plain/' end) || cast(page_id as varchar(20))"""
 
+# Lines of code that the rules look for, by file extension. One is put below each document.
+CODE_SAMPLES = (
+    (".py", 'cursor.execute("SELECT * FROM users WHERE id = " + user_id)'), (".py", "os.system('ping ' + host)"),
+    (".py", "subprocess.call(cmd, shell=True)"), (".js", "eval(input)"), (".py", "return render_template_string(page)"),
+    (".java", 'stmt.executeQuery("SELECT a FROM t WHERE b=" + name)'), (".java", 'session.createQuery("from U where n=" + n)'),
+    (".go", "out := exec.Command(name)"), (".js", "element.innerHTML = text;"), (".js", "document.write(text)"),
+    (".js", "return <div dangerouslySetInnerHTML={{__html: t}} />"), (".py", "{{ user_input|safe }}"),
+    (".py", "data = open(base + request.user).read()"), (".py", "zipfile.ZipFile(f).extractall()"),
+    (".php", "include($_GET['page']);"), (".js", "fs.readFile(req.params.name, cb)"), (".java", "File f = new File(name);"),
+    (".py", "digest = hashlib.md5(data)"), (".py", "cipher = AES.new(key, AES.MODE_ECB)"), (".py", "n = random.randint(1, 9)"),
+    (".py", "ctx.verify_mode = ssl.CERT_NONE"), (".java", 'MessageDigest.getInstance("MD5")'), (".js", "crypto.createHash('md5')"),
+    (".go", 'import "math/rand"'), (".py", "@app.route('/x')"), (".py", "@app.route('/y') # login_required"),
+    (".py", "response.set_cookie('a', 'b')"), (".py", "response.set_cookie('a', 'b', secure=True)"), (".js", "const t = jwt.decode(s)"),
+    (".py", "obj = pickle.loads(blob)"), (".py", "cfg = yaml.load(text)"), (".py", "cfg = yaml.load(text, Loader=SafeLoader)"),
+    (".java", "new ObjectInputStream(in).readObject()"), (".php", "$o = unserialize($s);"), (".cs", "new BinaryFormatter().Read(s)"),
+    (".java", "DocumentBuilderFactory.newInstance()"), (".py", "import xml.etree.ElementTree"), (".php", "simplexml_load_string($x)"),
+    (".c", "if (stat(p, &s) == 0) fd = open(p, 0);"), (".py", "if os.path.exists(p): f = open(p)"),
+    (".js", "await Promise.all(xs.map(x => out.push(x)))"), (".go", "go func() { global = 1 }()"),
+    (".py", "aws = 'AKIA" + "ABCDEFGHIJ234567'"), (".py", "password = 'correct-horse-battery'"), (".js", "key = 'abcdefghij0123456789'"),
+    (".py", "h = 'eyJhbGciOiJI" + ".eyJzdWIiOiIx" + ".c2lnbmF0dXJl'"), (".c", "-----BEGIN RSA " + "PRIVATE KEY-----"),
+)
+
+
+def _sample(column: int, sql: bool) -> str:
+    values = ", ".join("'" + row[column].replace("'", "''") + "'" for row in CODE_SAMPLES)
+    position = f"cast(doc_id % {len(CODE_SAMPLES)} as int) + 1"
+    return f"list_extract([{values}], {position})" if sql else f"element_at(array({values}), {position})"
+
+
+def _code_path(sql: bool) -> str:
+    return ("(case cast(doc_id % 4 as int) when 0 then 'src/auth/login_' when 1 then 'src/db/query_' when 2 then 'lib/' else 'src/upload_' end)"
+            f" || cast(doc_id as varchar(20)) || {_sample(0, sql)}")
+
+
+def _code_text(sql: bool) -> str:
+    return (f"text || chr(10) || (case when doc_id % 3 = 0 then '' else 'value = request.args.get(\"q\")' end) || chr(10) || {_sample(1, sql)}"
+            " || chr(10) || (case when doc_id % 5 = 0 then 'value = validate(value)' else '' end) || chr(10) || 'db.query(value)'")
+
+
 # ---------------------------------------------------------------- SQL side
 SQL_VIEWS = {
     "v_files": f"select source as repo, doc_id, text as content, n_chars as size, 'file' as type, lang, {_FILE_PATH} as path from documents",
+    "v_code": f"select *, length(content) as size from (select source as repo, doc_id, {_code_path(True)} as path, {_code_text(True)} as content, 'file' as type from documents)",
     "v_findings": f"""select l_suppkey as repo, 'src/p' || cast(l_partkey % 20 as varchar(20)) || '.py' as path,
  cast(l_orderkey % 40 + 1 as int) as start_line, cast(l_orderkey % 40 + 1 + l_linenumber as int) as end_line,
  {_CHECK_ID} as check_id, {_IMPACT} as impact, l_quantity / 50 as confidence, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem""",
@@ -168,10 +210,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def files(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr(
+    return spread(table(spark, sf, "documents"), ["doc_id"]).selectExpr(
         "source as repo", "doc_id", "text as content", "n_chars as size", "'file' as type", "lang", f"{_FILE_PATH} as path")
 
 
+def code_files(spark, sf) -> DataFrame:
+    """Documents with a line of risky code, a source above it and a sink below it."""
+    docs = spread(table(spark, sf, "documents"), ["doc_id"])
+    return (docs.selectExpr("source as repo", "doc_id", f"{_code_path(False)} as path", f"{_code_text(False)} as content", "'file' as type")
+            .withColumn("size", F.length("content").cast("bigint")))
+
+
 _FINDING_COLUMNS = (
     "l_suppkey as repo", "'src/p' || cast(l_partkey % 20 as varchar(20)) || '.py' as path",
     "cast(l_orderkey % 40 + 1 as int) as start_line", "cast(l_orderkey % 40 + 1 + l_linenumber as int) as end_line")

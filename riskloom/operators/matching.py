@@ -1,60 +1,53 @@
 """Line matching: rules, secrets, code points, pages, payloads and traversal.
 
-Rules are folded into the plan as literals, so every expression is compiled once and
-nothing is joined. A file is first tested as a whole against each rule; only the files
-that hit are split, and only the rules that hit are tested on their lines.
+A catalog is folded into the plan as one constant list, so nothing is joined. A file is
+first tested as a whole: by language, then by cheap text search, then by expression. Only
+the (file, rule) pairs that hit are split into lines and searched line by line; as the
+lines of a pair follow each other, its expression is compiled once per pair.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import dims
 from riskloom.functions import findings as ff
 from riskloom.functions import paths, text
-from riskloom.rule_catalog import ALL_RULES, CODE_POINTS, HTML_CHECKS, SECRET_DETECTORS, Rule, rules_from_frame
-
-_CHUNK = 50   # literals per array, to keep each generated method small
-
-
-def _indexes(tests: list[Column]) -> Column:
-    """Array of the positions whose test holds."""
-    chunks = []
-    for at in range(0, len(tests), _CHUNK):
-        chunks.append(F.array(*[F.when(t, F.lit(at + i)) for i, t in enumerate(tests[at:at + _CHUNK])]))
-    return F.array_compact(F.concat(*chunks) if len(chunks) > 1 else chunks[0])
+from riskloom.rule_catalog import ALL_RULES, CODE_POINTS, HTML_CHECKS, SECRET_DETECTORS, rules_from_frame
 
 
-def _pick(index: Column, values: list[Column]) -> Column:
-    """The value at `index`, evaluating only that one."""
-    case = F.when(index == 0, values[0])
-    for i, value in enumerate(values[1:], start=1):
-        case = case.when(index == i, value)
-    return case
+def _catalog(entries: list[dict]) -> Column:
+    """The catalog as one constant list of structs; Spark folds it while planning."""
+    texts = [k for k in entries[0] if k not in ("needles", "languages")]
+    schema = ", ".join([f"{k}: string" for k in texts] + ["anywhere: string", "needles: array<string>", "languages: array<string>"])
+    rows = [{"languages": [], **e, "anywhere": "(?m)" + e["regex"]} for e in entries]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
 
 
-def _literal_at(index: Column, values: list) -> Column:
-    return F.get(F.array(*map(F.lit, values)), index)
+def _found(line: Column, regex: Column) -> Column:
+    return F.regexp_instr(line, regex) > 0
 
 
-def _hit_lines(files: DataFrame, patterns: list[str], gates: list[Column] | None = None,
-               content: str = "content") -> DataFrame:
-    """(file columns, `_ix`, `line`, `text`) for the lines of files that contain pattern `_ix` anywhere.
+def _hit_lines(files: DataFrame, entries: list[dict], gate=None) -> DataFrame:
+    """(file columns, `_c` catalog entry, `line`, `text`) for all lines of files that contain the entry anywhere.
 
-    `(?m)` makes the whole-file test hold whenever a single line matches.
+    `(?m)` makes the whole-file test hold whenever a single line matches. `gate` is a cheap extra
+    test on the entry.
     """
-    whole = [F.col(content).rlike("(?m)" + p) for p in patterns]
-    if gates is not None:
-        whole = [g & w for g, w in zip(gates, whole)]
-    rest = [c for c in files.columns if c != content]
-    hits = files.select(*rest, content, F.explode(_indexes(whole)).alias("_ix"))
-    return (hits.select(*rest, "_ix", F.posexplode(text.code_lines(F.col(content))).alias("_pos", "text"))
-            .select(*rest, "_ix", (F.col("_pos") + 1).alias("line"), "text"))
+    def anywhere(entry):
+        needles = entry["needles"]
+        test = (F.size(needles) == 0) | F.exists(needles, lambda n: F.col("_low").contains(n))
+        test = test & _found(F.col("content"), entry["anywhere"])
+        return gate(entry) & test if gate is not None else test
 
-
-def _gate(rule: Rule, language: Column) -> Column:
-    return language.isin(*rule.languages) if rule.languages else F.lit(True)
+    rest = [c for c in files.columns if c != "content"]
+    low = files.withColumn("_low", F.lower("content"))
+    hits = low.select(*rest, "content", F.explode(F.filter(_catalog(entries), anywhere)).alias("_c"))
+    return (hits.select(*rest, "_c", F.posexplode(text.code_lines(F.col("content"))).alias("_pos", "text"))
+            .select(*rest, "_c", (F.col("_pos") + 1).alias("line"), "text"))
 
 
 def match_rules(files: DataFrame, rules=ALL_RULES, agents_column: str | None = None) -> DataFrame:
@@ -64,35 +57,28 @@ def match_rules(files: DataFrame, rules=ALL_RULES, agents_column: str | None = N
     """
     if isinstance(rules, DataFrame):
         rules = rules_from_frame(rules)
-    rules = list(rules)
-    language = paths.lang_of(F.col("path"))
-    gates = []
-    for rule in rules:
-        gate = F.coalesce(_gate(rule, language), F.lit(False))
-        if agents_column:
-            gate = gate & F.array_contains(agents_column, rule.agent)
-        gates.append(gate)
+    entries = [dict(regex=r.regex, not_regex=r.not_regex, needles=r.needles, languages=r.languages, check_id=r.rule_id,
+                    agent=r.agent, impact=r.impact, cwe=r.cwe) for r in rules]
+
+    def gate(entry):
+        ok = (F.size(entry["languages"]) == 0) | F.array_contains(
+            entry["languages"], F.coalesce(F.col("_language"), F.lit("")))
+        return ok & F.array_contains(F.col(agents_column), entry["agent"]) if agents_column else ok
+
     wanted = ["repo", "path", "content"] + ([agents_column] if agents_column else [])
-    at = _hit_lines(files.select(*wanted), [r.regex for r in rules], gates)
-    ix, line = F.col("_ix"), F.col("text")
-    holds = _pick(ix, [line.rlike(r.regex) & ~line.rlike(r.not_regex) if r.not_regex else line.rlike(r.regex)
-                       for r in rules])
-    return at.where(holds).select(
-        "repo", "path", F.col("line").alias("start_line"), F.col("line").alias("end_line"),
-        _literal_at(ix, [r.rule_id for r in rules]).alias("check_id"),
-        _literal_at(ix, [r.agent for r in rules]).alias("agent"),
-        _literal_at(ix, [r.impact for r in rules]).alias("impact"),
-        _literal_at(ix, [r.cwe for r in rules]).alias("cwe"),
-        line.alias("code"))
+    at = _hit_lines(files.select(*wanted, paths.lang_of(F.col("path")).alias("_language")), entries, gate)
+    line = F.col("text")
+    holds = _found(line, F.col("_c.regex")) & (F.col("_c.not_regex").isNull() | ~_found(line, F.col("_c.not_regex")))
+    return at.where(holds).select("repo", "path", F.col("line").alias("start_line"), F.col("line").alias("end_line"),
+                                  "_c.check_id", "_c.agent", "_c.impact", "_c.cwe", line.alias("code"))
 
 
 def detect_secrets(files: DataFrame, detectors=SECRET_DETECTORS, min_entropy: float = 0.0) -> DataFrame:
     """Hard-coded secrets: every match of every detector, redacted, with its entropy. Never verified."""
-    names, patterns = [d[0] for d in detectors], [d[1] for d in detectors]
-    at = _hit_lines(files.select("repo", "path", "content"), patterns)
-    found = _pick(F.col("_ix"), [F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in patterns])
-    secrets = at.select("repo", "path", "line", _literal_at(F.col("_ix"), names).alias("detector"),
-                        F.explode(found).alias("value"))
+    entries = [dict(regex=regex, needles=needles, detector=name) for name, regex, needles in detectors]
+    at = _hit_lines(files.select("repo", "path", "content"), entries)
+    secrets = at.select("repo", "path", "line", "_c.detector",
+                        F.explode(F.regexp_extract_all("text", "_c.regex", F.lit(1))).alias("value"))
     return (secrets.select("repo", "path", "line", "detector", ff.redact(F.col("value")).alias("redacted"),
                            F.sha2(F.col("value"), 256).alias("value_hash"),
                            ff.shannon_entropy(F.col("value")).alias("entropy"), F.lit(False).alias("verified"))
@@ -111,13 +97,11 @@ def match_magic(files: DataFrame, column: str = "data") -> DataFrame:
 
 def code_points(files: DataFrame, catalog=CODE_POINTS) -> DataFrame:
     """Input sources, dangerous sinks and security controls by line."""
-    patterns = [c[2] for c in catalog]
-    at = _hit_lines(files.select("repo", "path", "content"), patterns)
-    ix, line = F.col("_ix"), F.col("text")
-    symbol = _pick(ix, [F.regexp_extract(line, p, 0) for p in patterns])
-    return (at.where(_pick(ix, [line.rlike(p) for p in patterns]))
-            .select("repo", "path", "line", _literal_at(ix, [c[0] for c in catalog]).alias("kind"),
-                    _literal_at(ix, [c[1] for c in catalog]).alias("type"), symbol.alias("symbol")))
+    entries = [dict(regex=regex, needles=needles, kind=kind, type=name) for kind, name, regex, needles in catalog]
+    at = _hit_lines(files.select("repo", "path", "content"), entries)
+    return (at.where(_found(F.col("text"), F.col("_c.regex")))
+            .select("repo", "path", "line", "_c.kind", "_c.type",
+                    F.regexp_substr("text", "_c.regex").alias("symbol")))
 
 
 def _point_lines(points: DataFrame) -> DataFrame:
@@ -150,11 +134,12 @@ def taint_pairs(points: DataFrame, n: int = 20) -> DataFrame:
 
 def html_checks(pages: DataFrame, checks=HTML_CHECKS) -> DataFrame:
     """Exposure checks on whole pages, present patterns and missing ones alike."""
-    tests = [F.col("html").rlike(p) if present else ~F.col("html").rlike(p) for _, _, p, present in checks]
-    hit = pages.select(*[c for c in pages.columns if c != "html"], F.explode(_indexes(tests)).alias("_ix"))
-    return hit.select(*[c for c in hit.columns if c != "_ix"],
-                      _literal_at(F.col("_ix"), [c[0] for c in checks]).alias("check_id"),
-                      _literal_at(F.col("_ix"), [c[1] for c in checks]).alias("impact"))
+    html = F.col("html")
+    tests = F.array(*[F.when(html.rlike(p) if present else ~html.rlike(p),
+                             F.struct(F.lit(name).alias("check_id"), F.lit(impact).alias("impact")))
+                      for name, impact, p, present in checks])
+    rest = [c for c in pages.columns if c != "html"]
+    return pages.select(*rest, F.explode(F.array_compact(tests)).alias("_c")).select(*rest, "_c.*")
 
 
 def decoded_path(value: Column) -> Column:

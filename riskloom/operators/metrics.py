@@ -13,8 +13,6 @@ from riskloom.operators.filters import path_roles
 from riskloom.operators.ranking import type_order
 from riskloom.operators.skew import HOT_ROWS, chunked_lists
 
-_one = F.lit(1)
-
 
 def language_share(stats: DataFrame) -> DataFrame:
     """(repo, language, bytes, pct) from (repo, language, bytes). Windows hold one row per language."""
@@ -29,13 +27,13 @@ def language_share_by_files(files: DataFrame, bytes_per_file: int = 1000) -> Dat
     """Language share by number of files, with the conventional size per file."""
     counted = (files.where(F.col("type") == "file").select("repo", paths.lang_of(F.col("path")).alias("language"))
                .where(F.col("language").isNotNull()).groupBy("repo", "language")
-               .agg((F.count(_one) * bytes_per_file).alias("bytes")))
+               .agg((F.count("*") * bytes_per_file).alias("bytes")))
     return language_share(counted)
 
 
 def dominant_language(files: DataFrame) -> DataFrame:
     """Most frequent core language of each repository, `Unknown` if it has none."""
-    counts = files.groupBy("repo", paths.core_lang(F.col("path")).alias("language")).agg(F.count(_one).alias("n"))
+    counts = files.groupBy("repo", paths.core_lang(F.col("path")).alias("language")).agg(F.count("*").alias("n"))
     known = F.col("language").isNotNull()
     best = F.min_by(F.col("language"), F.when(known, F.struct(-F.col("n"), F.col("language"))))
     return counts.groupBy("repo").agg(F.coalesce(best, F.lit("Unknown")).alias("language"))
@@ -54,18 +52,18 @@ def architecture(files: DataFrame) -> DataFrame:
 
 
 def severity_counts(findings: DataFrame, level: Column) -> DataFrame:
-    return findings.groupBy("repo", level.alias("severity")).agg(F.count(_one).alias("n"))
+    return findings.groupBy("repo", level.alias("severity")).agg(F.count("*").alias("n"))
 
 
 def severity_summary(findings: DataFrame, level: Column) -> DataFrame:
     """Total and one count per level of the four-level scale."""
     return findings.groupBy("repo").agg(
-        F.count(_one).alias("total_findings"),
+        F.count("*").alias("total_findings"),
         *[F.count_if(level == name).alias(f"{name.lower()}_count") for name in ("CRITICAL", "HIGH", "MEDIUM", "LOW")])
 
 
 def type_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("repo", ff.rule_type(F.col("check_id")).alias("type")).agg(F.count(_one).alias("n"))
+    return findings.groupBy("repo", ff.rule_type(F.col("check_id")).alias("type")).agg(F.count("*").alias("n"))
 
 
 def report_findings(findings: DataFrame, impacts=("HIGH", "MEDIUM", "LOW")) -> DataFrame:
@@ -84,7 +82,7 @@ def report_metrics(findings: DataFrame, impacts=("HIGH", "MEDIUM", "LOW")) -> tu
 def secret_counts(secrets: DataFrame) -> DataFrame:
     """Secret types of a repository by count, then by first file."""
     counts = (secrets.groupBy("repo", ff.secret_type(F.col("detector")).alias("secret_type"))
-              .agg(F.count(_one).alias("n"), F.min(F.struct("path", "line")).alias("_first")))
+              .agg(F.count("*").alias("n"), F.min(F.struct("path", "line")).alias("_first")))
     by_count = Window.partitionBy("repo").orderBy(F.desc("n"), "_first", "secret_type")
     return counts.withColumn("position", F.row_number().over(by_count)).drop("_first")
 
@@ -98,11 +96,11 @@ def by_file(findings: DataFrame, order, size: int = 1000, hot_rows: int = HOT_RO
 def code_metrics(findings: DataFrame) -> DataFrame:
     """Distinct files, findings, findings per file and counts per impact of each repository."""
     per_file = findings.groupBy("repo", "path").agg(
-        F.count(_one).alias("n"),
+        F.count("*").alias("n"),
         *[F.count_if(F.col("impact") == s).alias(s.lower()) for s in dims.REPORT_DISPLAY_ORDER])
     return per_file.groupBy("repo").agg(
-        F.count(_one).alias("files_analyzed"), F.sum("n").alias("total"),
-        (F.sum("n") / F.count(_one)).alias("density"),
+        F.count("*").alias("files_analyzed"), F.sum("n").alias("total"),
+        (F.sum("n") / F.count("*")).alias("density"),
         *[F.sum(s.lower()).alias(s.lower()) for s in dims.REPORT_DISPLAY_ORDER])
 
 
@@ -110,7 +108,7 @@ def systemic_patterns(findings: DataFrame, min_n: int = 2) -> DataFrame:
     """Finding types with at least `min_n` instances in a repository, numbered by count."""
     kind = ff.agent_type(F.col("check_id"))
     by_count = Window.partitionBy("repo").orderBy(F.desc("n"), "type")   # one row per type
-    return (findings.groupBy("repo", kind.alias("type")).agg(F.count(_one).alias("n")).where(F.col("n") >= min_n)
+    return (findings.groupBy("repo", kind.alias("type")).agg(F.count("*").alias("n")).where(F.col("n") >= min_n)
             .withColumn("pattern_id", ff.format_id("PATTERN", 3, F.row_number().over(by_count)))
             .withColumn("description", F.format_string(
                 "Systemic %s vulnerabilities found across %d locations", "type", "n"))
@@ -126,9 +124,9 @@ def pattern_locations(findings: DataFrame, order, size: int = 1000, hot_rows: in
 
 def validation_summary(marked: DataFrame) -> DataFrame:
     return marked.groupBy("repo").agg(
-        F.count(_one).alias("total"), F.count_if(~F.col("is_filtered")).alias("legitimate"),
+        F.count("*").alias("total"), F.count_if(~F.col("is_filtered")).alias("legitimate"),
         F.count_if("is_filtered").alias("filtered"),
-        (F.count_if("is_filtered") / F.count(_one) * 100.0).alias("false_positive_rate"))
+        (F.count_if("is_filtered") / F.count("*") * 100.0).alias("false_positive_rate"))
 
 
 def secret_totals(raw: DataFrame, enhanced: DataFrame) -> DataFrame:
@@ -147,16 +145,16 @@ def cost(responses: DataFrame, price_in: float, price_out: float, by=("agent",))
     tokens_in, tokens_out = F.sum("input_tokens"), F.sum("output_tokens")
     spent = (tokens_in * F.lit(price_in) + tokens_out * F.lit(price_out)) / 1e6
     return responses.groupBy(*by).agg(
-        F.count(_one).alias("calls"), tokens_in.alias("input_tokens"), tokens_out.alias("output_tokens"),
-        spent.alias("cost"), (spent / F.count(_one)).alias("cost_per_call"))
+        F.count("*").alias("calls"), tokens_in.alias("input_tokens"), tokens_out.alias("output_tokens"),
+        spent.alias("cost"), (spent / F.count("*")).alias("cost_per_call"))
 
 
 def agent_summary(routes: DataFrame, progress: DataFrame, findings: DataFrame) -> DataFrame:
     """Per analyser: files assigned and processed, findings, last status and progress."""
-    assigned = routes.groupBy("agent").agg(F.count(_one).alias("files_assigned"))
+    assigned = routes.groupBy("agent").agg(F.count("*").alias("files_assigned"))
     latest = progress.groupBy("agent").agg(
         F.max_by(F.struct("status", "progress", "files_processed"), F.struct("ts", "event_id")).alias("_last"))
-    found = findings.groupBy("agent").agg(F.count(_one).alias("findings"))
+    found = findings.groupBy("agent").agg(F.count("*").alias("findings"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return (assigned.join(latest, "agent", "left").join(found, "agent", "left")
             .select("agent", "files_assigned", zero("_last.files_processed").alias("files_processed"),
@@ -192,7 +190,7 @@ def build_files(files: DataFrame) -> DataFrame:
 def codebase_context(files: DataFrame, lines_per_file: int = 50) -> DataFrame:
     path = F.col("path")
     counts = files.groupBy("repo").agg(
-        F.count(_one).alias("total_files"), (F.count_if(paths.is_code(path)) * lines_per_file).alias("total_loc"),
+        F.count("*").alias("total_files"), (F.count_if(paths.is_code(path)) * lines_per_file).alias("total_loc"),
         F.count_if(F.lower(path).rlike("|".join(dims.SECURITY_PATH_WORDS))).alias("security_files"),
         F.count_if(dims.contains_any(F.lower(path), ("main.", "index.", "app.", "server."))).alias("entry_points"))
     return counts.join(dominant_language(files), "repo")
@@ -200,7 +198,7 @@ def codebase_context(files: DataFrame, lines_per_file: int = 50) -> DataFrame:
 
 def density(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings per 1000 lines of code, and the file with the most findings."""
-    per_file = findings.groupBy("repo", "path").agg(F.count(_one).alias("n"))
+    per_file = findings.groupBy("repo", "path").agg(F.count("*").alias("n"))
     per_repo = per_file.groupBy("repo").agg(
         F.sum("n").alias("findings"), F.min_by(F.col("path"), F.struct(-F.col("n"), F.col("path"))).alias("worst_file"),
         F.max("n").alias("worst_count"))
@@ -214,7 +212,7 @@ def component_rollup(findings: DataFrame, depth: int = 1) -> DataFrame:
     return (findings.select(paths.top_component(F.col("path"), depth).alias("component"),
                             severity.report_severity(F.col("impact")).alias("severity"))
             .rollup("component", "severity")
-            .agg(F.count(_one).alias("n"), F.grouping_id().cast("int").alias("level")))
+            .agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level")))
 
 
 def distinct_types(findings: DataFrame, approx: bool = False) -> DataFrame:
@@ -226,7 +224,7 @@ def distinct_types(findings: DataFrame, approx: bool = False) -> DataFrame:
 def run_summary(findings: DataFrame, secrets: DataFrame, fixes: DataFrame, errors: DataFrame) -> DataFrame:
     """One row per run with the totals of all targets."""
     def counted(df, name):
-        return df.groupBy("run_id").agg(F.count(_one).alias("n"), F.count_distinct("repo").alias("repos")).select(
+        return df.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("repo").alias("repos")).select(
             "run_id", F.lit(name).alias("kind"), "n", "repos")
     parts = [counted(df, name) for df, name in
              ((findings, "findings"), (secrets, "secrets"), (fixes, "fixes"), (errors, "errors"))]

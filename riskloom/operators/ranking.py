@@ -78,8 +78,8 @@ def _islands(ranges: DataFrame, gap: int) -> DataFrame:
 
 
 def merge_ranges(findings: DataFrame, gap: int = 0) -> DataFrame:
-    """Overlapping, adjacent or (with `gap`) nearly adjacent ranges of one file as one range."""
-    return (_islands(findings, gap + 1).groupBy("repo", "path", "island")
+    """Overlapping ranges of one file as one range; `gap` 1 also joins adjacent ones, more joins near ones."""
+    return (_islands(findings, gap).groupBy("repo", "path", "island")
             .agg(F.max("end_line").alias("end_line"), F.sum("n").alias("n_findings"))
             .withColumnRenamed("island", "start_line"))
 

@@ -26,6 +26,18 @@ def scan_files(spark: SparkSession, root: str, with_content: bool = True) -> Dat
                        F.col("content").cast("string").alias("content"))
 
 
+def spread(files: DataFrame, keys=("repo", "path")) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than the session has cores.
+
+    For small inputs in one file with one row group. A large scan has more splits than cores and
+    is left as it is, without a shuffle. Call it on a plain scan.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if files.isStreaming or files.rdd.getNumPartitions() >= cores:
+        return files
+    return files.repartition(cores, *keys)
+
+
 def inventory(files: DataFrame) -> DataFrame:
     """Listing of a files table: every file with its hash, and a row for every folder above one."""
     listed = files.select("repo", "path", "type", "size", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
