@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.checks.views import with_views
 
-_MODULES = ("files", "findings", "matching", "manifests")
+_MODULES = ("files", "findings", "matching", "manifests", "review", "streams")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -79,7 +79,7 @@ _REPORT_TEXT = f"""(case when o_orderkey % 13 = 0 then 'no document here' else
    || '", "lines": "\\n  x = 1", "metadata": {{"impact": "' || (case cast(o_orderkey % 4 as int) when 0 then 'high' when 1 then 'CRITICAL' when 2 then 'LOW' else '' end)
    || '"}}}}}}, {{"check_id": "go.weak-crypto", "path": "a.go", "start": {{"line": 2, "col": 1}}, "end": {{"line": 2, "col": 5}}, "extra": {{"message": "w", "lines": "y", "metadata": {{}}}}}}], '
    || '"errors": [' || (case when o_orderkey % 3 = 0 then '{{"type": "Syntax", "level": "warn", "message": "bad", "code": 3, "path": "z.py"}}' else '' end) || ']'
-   || (case when o_orderkey % 17 = 0 then ', }}' else '}}' end) || chr(10) || 'done' end)"""
+   || (case when o_orderkey % 17 = 0 then '' else '}}' end) || chr(10) || 'done' end)"""
 
 _SERVICE_TEXT = """'{"findings": [{"rule_id": "python.lang.exec", "path": "s' || cast(o_custkey % 20 as varchar(20)) || '.py", "message": "m", "severity": "'
    || (case cast(o_orderkey % 5 as int) when 0 then 'ERROR' when 1 then 'WARNING' when 2 then 'INFO' when 3 then 'NOTE' else 'ODD' end)
