@@ -205,19 +205,23 @@ def with_views(sql: str) -> str:
 
 
 # ---------------------------------------------------------------- Spark side
+_ROW_KEYS = {"documents": ["doc_id"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey"], "orders": ["o_orderkey"],
+             "events": ["event_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"]}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spread(scan, _ROW_KEYS[name]) if name in _ROW_KEYS else scan
 
 
 def files(spark, sf) -> DataFrame:
-    return spread(table(spark, sf, "documents"), ["doc_id"]).selectExpr(
+    return table(spark, sf, "documents").selectExpr(
         "source as repo", "doc_id", "text as content", "n_chars as size", "'file' as type", "lang", f"{_FILE_PATH} as path")
 
 
 def code_files(spark, sf) -> DataFrame:
     """Documents with a line of risky code, a source above it and a sink below it."""
-    docs = spread(table(spark, sf, "documents"), ["doc_id"])
-    return (docs.selectExpr("source as repo", "doc_id", f"{_code_path(False)} as path", f"{_code_text(False)} as content", "'file' as type")
+    return (table(spark, sf, "documents").selectExpr("source as repo", "doc_id", f"{_code_path(False)} as path", f"{_code_text(False)} as content", "'file' as type")
             .withColumn("size", F.length("content").cast("bigint")))
 
 

@@ -8,61 +8,72 @@ from pyspark.sql import functions as F
 
 def json_payload(text: Column) -> Column:
     """From the first `{` to the last `}`; null when there is no such span."""
-    span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(span != "", span)
+    return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
 def unwrap_reply(raw: Column) -> Column:
     """Text inside a reply envelope: `result`, then `content`, then the first message, else the raw text."""
-    filled = lambda path: F.nullif(F.get_json_object(raw, path), F.lit(""))
-    return F.coalesce(filled("$.result"), filled("$.content"), filled("$.messages[0].content[0].text"), raw)
+    envelope = F.from_json(raw, "result string, content string, messages array<struct<content: array<struct<text: string>>>>")
+    first = F.get(F.get(envelope.getField("messages"), F.lit(0)).getField("content"), F.lit(0)).getField("text")
+    filled = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(filled(envelope.getField("result")), filled(envelope.getField("content")), filled(first), raw)
 
 
 def code_lines(content: Column) -> Column:
     return F.split(content, "\n")
 
 
-def snippet(content: Column, start: Column, end: Column) -> Column:
-    """Lines `start..end` (1-based, inclusive); empty for a bad range."""
-    lines = code_lines(content)
+def snippet(lines: Column, start: Column, end: Column) -> Column:
+    """Lines `start..end` (1-based, inclusive) of an array of lines; empty for a bad range."""
     ok = (start >= 1) & (end <= F.size(lines)) & (start <= end)
     return F.when(ok, F.array_join(F.slice(lines, start, end - start + 1), "\n")).otherwise("")
 
 
-def valid_range(content: Column, start: Column, end: Column) -> Column:
-    return (start >= 1) & (start <= end) & (end <= F.size(code_lines(content)))
+def valid_range(lines: Column, start: Column, end: Column) -> Column:
+    return (start >= 1) & (start <= end) & (end <= F.size(lines))
 
 
-def numbered_context(content: Column, start: Column, end: Column, n: int) -> Column:
+def _window(lines: Column, first: Column, last: Column) -> Column:
+    return F.slice(lines, first, F.greatest(last - first + 1, F.lit(0)))
+
+
+def _pad4(number: Column) -> Column:
+    """`%4d`: longer numbers are not cut."""
+    digits = number.cast("string")
+    return F.concat(F.repeat(F.lit(" "), F.greatest(4 - F.length(digits), F.lit(0))), digits)
+
+
+def numbered_context(lines: Column, start: Column, end: Column, n: int) -> Column:
     """Lines around the finding, each as `%4d: text`, clamped to the file; empty for a bad range."""
-    lines = code_lines(content)
-    first = F.greatest(F.lit(1), start - n)
-    last = F.least(F.size(lines), end + n)
-    body = F.transform(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))),
-                       lambda x, i: F.format_string("%4d: %s", first + i, x))
+    first, last = F.greatest(F.lit(1), start - n), F.least(F.size(lines), end + n)
+    body = F.transform(_window(lines, first, last), lambda x, i: F.concat(_pad4(first + i), F.lit(": "), x))
     return F.when(first <= last, F.array_join(body, "\n")).otherwise("")
 
 
-def marked_context(content: Column, start: Column, end: Column, n: int = 10) -> Column:
+def marked_context(lines: Column, start: Column, end: Column, n: int = 10) -> Column:
     """Lines around the finding with `>>> ` on its own lines.
 
     The window opens `n - 1` lines above the finding and closes `n` lines below it.
     """
-    lines = code_lines(content)
-    first = F.greatest(F.lit(0), start - n) + 1
-    last = F.least(F.size(lines), end + n)
+    first, last = F.greatest(F.lit(0), start - n) + 1, F.least(F.size(lines), end + n)
 
     def mark(x, i):
-        number = first + i
-        own = (number >= start) & (number <= end)
-        return F.format_string("%s%4d: %s", F.when(own, ">>> ").otherwise("    "), number, x)
+        own = (first + i >= start) & (first + i <= end)
+        return F.concat(F.when(own, ">>> ").otherwise("    "), _pad4(first + i), F.lit(": "), x)
 
-    return F.array_join(F.transform(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), mark), "\n")
+    return F.array_join(F.transform(_window(lines, first, last), mark), "\n")
 
 
-def plain_context(content: Column, start: Column, end: Column, n: int) -> Column:
+def plain_context(lines: Column, start: Column, end: Column, n: int) -> Column:
     """Lines around the finding as they are, clamped to the file."""
-    lines = code_lines(content)
-    first = F.greatest(F.lit(1), start - n)
-    last = F.least(F.size(lines), end + n)
-    return F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
+    return F.array_join(_window(lines, F.greatest(F.lit(1), start - n), F.least(F.size(lines), end + n)), "\n")
+
+
+def fill(form: str, *columns) -> Column:
+    """Text with each `%s` replaced by the next column; a missing value leaves nothing."""
+    pieces = form.split("%s")
+    parts = [F.lit(pieces[0])]
+    for column, piece in zip(columns, pieces[1:], strict=True):
+        value = F.col(column) if isinstance(column, str) else column
+        parts += [F.coalesce(value.cast("string"), F.lit("")), F.lit(piece)]
+    return F.concat(*parts)

@@ -23,39 +23,38 @@ def with_content(findings: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS
     return skew_join(findings, files.select(*FILE_KEYS, "content"), FILE_KEYS, "inner", hot_rows)
 
 
-def _with_columns(findings: DataFrame, files: DataFrame, **columns) -> DataFrame:
-    joined = with_content(findings, files)
-    return joined.select(*[c for c in joined.columns if c != "content"],
-                         *[expr.alias(name) for name, expr in columns.items()])
+def _with_lines(findings: DataFrame, files: DataFrame, hot_rows: int) -> DataFrame:
+    """Findings with `_lines`. Files are split before the join: once per file, not once per finding."""
+    split = files.select(*FILE_KEYS, text.code_lines(F.col("content")).alias("_lines"))
+    return skew_join(findings, split, FILE_KEYS, "inner", hot_rows)
 
 
-def snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
-    code, s, e = F.col("content"), F.col("start_line"), F.col("end_line")
-    return _with_columns(findings, files, snippet=text.snippet(code, s, e))
+_LINES, _START, _END = "_lines", "start_line", "end_line"
 
 
-def numbered_context(findings: DataFrame, files: DataFrame, n: int = 5) -> DataFrame:
-    code, s, e = F.col("content"), F.col("start_line"), F.col("end_line")
-    return _with_columns(findings, files, vulnerable_code=text.snippet(code, s, e),
-                         context=text.numbered_context(code, s, e, n))
+def snippets(findings: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    place = (F.col(_LINES), F.col(_START), F.col(_END))
+    return _with_lines(findings, files, hot_rows).withColumn("snippet", text.snippet(*place)).drop(_LINES)
 
 
-def marked_context(findings: DataFrame, files: DataFrame, n: int = 10) -> DataFrame:
+def numbered_context(findings: DataFrame, files: DataFrame, n: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+    place = (F.col(_LINES), F.col(_START), F.col(_END))
+    return (_with_lines(findings, files, hot_rows)
+            .withColumns({"vulnerable_code": text.snippet(*place), "context": text.numbered_context(*place, n)}).drop(_LINES))
+
+
+def marked_context(findings: DataFrame, files: DataFrame, n: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Context with marks on the lines of the finding; findings outside their file are dropped."""
-    code, s, e = F.col("content"), F.col("start_line"), F.col("end_line")
-    joined = with_content(findings, files).where(text.valid_range(code, s, e))
-    return joined.select(*[c for c in joined.columns if c != "content"],
-                         text.snippet(code, s, e).alias("vulnerable_code"),
-                         text.marked_context(code, s, e, n).alias("context"))
+    place = (F.col(_LINES), F.col(_START), F.col(_END))
+    return (_with_lines(findings, files, hot_rows).where(text.valid_range(*place))
+            .withColumns({"vulnerable_code": text.snippet(*place), "context": text.marked_context(*place, n)}).drop(_LINES))
 
 
-def fix_context(findings: DataFrame, files: DataFrame, n: int = 5) -> DataFrame:
+def fix_context(findings: DataFrame, files: DataFrame, n: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact lines and plain context for a fix request; findings outside their file are dropped."""
-    code, s, e = F.col("content"), F.col("start_line"), F.col("end_line")
-    joined = with_content(findings, files).where(text.valid_range(code, s, e))
-    return joined.select(*[c for c in joined.columns if c != "content"],
-                         text.snippet(code, s, e).alias("vulnerable_code"),
-                         text.plain_context(code, s, e, n).alias("context"))
+    place = (F.col(_LINES), F.col(_START), F.col(_END))
+    return (_with_lines(findings, files, hot_rows).where(text.valid_range(*place))
+            .withColumns({"vulnerable_code": text.snippet(*place), "context": text.plain_context(*place, n)}).drop(_LINES))
 
 
 def loc(files: DataFrame, lines_per_file: int = 50) -> DataFrame:

@@ -41,11 +41,16 @@ def key_files(files: DataFrame, max_size: int = 10_000) -> DataFrame:
 
 def is_relevant(path: Column, agent: str) -> Column:
     """Whether an analyser looks at a file; analysers without a list look at everything."""
+    return is_relevant_name(F.lower(paths.base_name(path)), paths.extension(path), agent)
+
+
+def is_relevant_name(base: Column, ext: Column, agent: str) -> Column:
+    """The same on a lower-cased base name and an extension."""
     if agent not in dims.AGENT_RELEVANCE:
         return F.lit(True)
     extensions, words = dims.AGENT_RELEVANCE[agent]
-    hit = dims.contains_any(F.lower(paths.base_name(path)), words)
-    return hit | paths.extension(path).isin(*extensions) if extensions else hit
+    hit = dims.contains_any(base, words)
+    return hit | ext.isin(*extensions) if extensions else hit
 
 
 def glob_pattern(globs) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import text
 from riskloom.operators.ranking import _islands
 from riskloom.operators.skew import HOT_ROWS, chunked_lists, number_rows, skew_join
+from riskloom.session import cut_lineage
 
 _KEYS = ["repo", "path"]
 
@@ -23,6 +24,7 @@ def select_fixes(files: DataFrame, fixes: DataFrame, hot_rows: int = HOT_ROWS) -
     valid = (F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line")) & (F.col("end_line") <= F.col("_lines"))
     checked = sized.withColumn("status", F.when(F.col("_lines").isNull(), "missing").when(~valid, "invalid")
                                .otherwise("candidate")).drop("_lines")
+    checked = cut_lineage(checked)   # used four times below; the files must not be read again each time
     candidates = checked.where(F.col("status") == "candidate")
     islands = _islands(candidates, 0).select(*_KEYS, "start_line", "island")
     placed = skew_join(candidates, islands, _KEYS + ["start_line"], "inner", hot_rows)

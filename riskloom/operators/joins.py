@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import dims
-from riskloom.operators.filters import is_relevant
+from riskloom.functions import paths
+from riskloom.operators.filters import is_relevant_name
 from riskloom.operators.skew import HOT_ROWS, skew_join
 
 _LINE_BUCKET = 64
@@ -37,10 +38,11 @@ def route_arrays(files: DataFrame, agents, hot_rows: int = HOT_ROWS) -> DataFram
     The check for that is one boolean per analyser and repository, combined on the map side.
     """
     agents = list(agents)
-    relevant = F.array_compact(F.array(*[F.when(is_relevant(F.col("path"), a), F.lit(a)) for a in agents]))
-    routed = files.withColumn("_relevant", relevant)
-    idle = (files.groupBy("repo")
-            .agg(*[F.max(is_relevant(F.col("path"), a)).alias(f"_a{i}") for i, a in enumerate(agents)])
+    names = files.withColumns({"_base": F.lower(paths.base_name(F.col("path"))), "_ext": paths.extension(F.col("path"))})
+    tests = [is_relevant_name(F.col("_base"), F.col("_ext"), a) for a in agents]
+    routed = (names.withColumn("_relevant", F.array_compact(F.array(*[F.when(t, F.lit(a)) for t, a in zip(tests, agents)])))
+              .drop("_base", "_ext"))
+    idle = (names.groupBy("repo").agg(*[F.max(t).alias(f"_a{i}") for i, t in enumerate(tests)])
             .select("repo", F.array_compact(F.array(*[F.when(~F.col(f"_a{i}"), F.lit(a))
                                                       for i, a in enumerate(agents)])).alias("_idle"))
             .where(F.size("_idle") > 0))

@@ -169,11 +169,11 @@ def _name_hits(names: Column, manifest: str, fold_case: bool) -> Column:
 
 def match_paths(files: DataFrame) -> DataFrame:
     """(repo, path, framework): each path pattern counts once per file, anywhere in the path."""
-    return files.select("repo", "path", F.explode(_path_hits()).alias("framework"))
+    return files.select("repo", "path", F.explode(_path_hits(_base())).alias("framework"))
 
 
-def _path_hits() -> Column:
-    path, base = F.col("path"), _base()
+def _path_hits(base: Column) -> Column:
+    path = F.col("path")
     return F.array_compact(F.array(*[
         F.when(path.contains(p) | (base == p), F.lit(fw))
         for fw, patterns in dims.FRAMEWORK_PATH_PATTERNS.items() for p in patterns]))
@@ -181,8 +181,10 @@ def _path_hits() -> Column:
 
 def framework_hits(files: DataFrame) -> DataFrame:
     """Every framework hit (repo, path, framework, category, manifest) in a single pass over the files."""
-    content, base = F.col("content"), _base()
-    parsed = _parsed_npm(content)
+    staged = (files.where(F.col("type") == "file")
+              .select("repo", "path", "content", _base().alias("_base"))
+              .withColumn("_npm", F.when(F.col("_base") == "package.json", _parsed_npm(F.col("content")))))
+    content, base, parsed = F.col("content"), F.col("_base"), F.col("_npm")
     npm_text = F.array_compact(F.array(*[
         F.when(content.contains(f'"{p}"'), F.lit(fw)) for p, fw in dims.MANIFEST_PATTERNS["package.json"].items()]))
     npm_names = F.transform(_entries(parsed), lambda e: e["key"])
@@ -195,19 +197,18 @@ def framework_hits(files: DataFrame) -> DataFrame:
         .when(base == "go.mod", _text_hits(content, "go.mod", True))
         .when(base == "Gemfile", _text_hits(content, "Gemfile", True))
         .when(base == "composer.json", _text_hits(content, "composer.json", True)))
-    by_manifest = F.coalesce(by_manifest, F.array().cast("array<string>"))
-    tag = lambda flag: (lambda fw: F.struct(fw.alias("framework"), F.lit(flag).alias("manifest")))
-    both = F.concat(F.transform(_path_hits(), tag(False)), F.transform(by_manifest, tag(True)))
+    none = F.array().cast("array<string>")
+    found = F.array(F.struct(F.lit(False).alias("manifest"), _path_hits(base).alias("names")),
+                    F.struct(F.lit(True).alias("manifest"), F.coalesce(by_manifest, none).alias("names")))
     fw = F.col("framework")
     category = (
         F.when(F.col("manifest") & (base == "package.json") & fw.isin(*dims.BUILD_TOOL_NAMES), "build")
         .when(F.col("manifest") & (base == "requirements.txt") & fw.isin(*dims.DATABASE_NAMES), "database")
         .when(F.col("manifest") & (base == "pom.xml") & fw.isin(*dims.SECURITY_FRAMEWORK_NAMES), "security")
         .otherwise("framework"))
-    return (files.where(F.col("type") == "file")
-            .select("repo", "path", F.explode(both).alias("h"))
-            .select("repo", "path", "h.framework", "h.manifest")
-            .withColumn("category", category))
+    return (staged.select("repo", "path", "_base", F.inline(found))
+            .select("repo", "path", "_base", "manifest", F.explode("names").alias("framework"))
+            .select("repo", "path", "framework", "manifest", category.alias("category")))
 
 
 def detect_frameworks(files: DataFrame) -> DataFrame:

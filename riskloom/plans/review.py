@@ -80,13 +80,13 @@ def context_text() -> Column:
 
 _VALIDATION_FORM = (
     "Decide whether a scanner finding is a real problem in this repository.\n\n%s\n\n"
-    "Rule: %s\nFile: %s\nLines: %d-%d\nImpact: %s\nMessage: %s\n\nCode:\n%s\n\nAround it:\n%s\n\n"
+    "Rule: %s\nFile: %s\nLines: %s-%s\nImpact: %s\nMessage: %s\n\nCode:\n%s\n\nAround it:\n%s\n\n"
     "Answer with one JSON object: is_legitimate (boolean), confidence (0 to 1), reasoning, context_analysis, "
     "recommended_action, false_positive_reason.")
 
 _FIX_FORM = (
     "Write a secure replacement for the lines below.\n\nFile: %s\nRule: %s\nMessage: %s\nImpact: %s\n\n"
-    "Lines %d-%d:\n%s\n\nAround them:\n%s\n\n"
+    "Lines %s-%s:\n%s\n\nAround them:\n%s\n\n"
     "Answer with one JSON object: vulnerability, severity, fix (only the new lines, same indentation), explanation, "
     "confidence (0 to 1).")
 
@@ -94,14 +94,14 @@ _FIX_FORM = (
 def validation_prompts(findings: DataFrame, files: DataFrame, context: DataFrame) -> DataFrame:
     """(finding keys, prompt_id, prompt). Findings outside their file get no prompt, so they stay unvalidated."""
     rich = with_context(marked_context(findings, files), context)
-    prompt = F.format_string(_VALIDATION_FORM, context_text(), "check_id", "path", "start_line", "end_line", "impact",
+    prompt = text.fill(_VALIDATION_FORM, context_text(), "check_id", "path", "start_line", "end_line", "impact",
                              "message", "vulnerable_code", "context")
     return rich.select(*FINDING_KEYS, prompt_id("validate", *FINDING_KEYS).alias("prompt_id"), prompt.alias("prompt"))
 
 
 def fix_prompts(findings: DataFrame, files: DataFrame) -> DataFrame:
     rich = fix_context(findings, files)
-    prompt = F.format_string(_FIX_FORM, "path", "check_id", "message", "impact", "start_line", "end_line",
+    prompt = text.fill(_FIX_FORM, "path", "check_id", "message", "impact", "start_line", "end_line",
                              "vulnerable_code", "context")
     return rich.select(*FINDING_KEYS, "impact", F.col("vulnerable_code").alias("original_code"),
                        prompt_id("fix", *FINDING_KEYS).alias("prompt_id"), prompt.alias("prompt"))
