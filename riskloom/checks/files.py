@@ -177,6 +177,33 @@ def project_structure(spark, sf):
     return metrics.project_structure(_all_paths(spark, sf)).withColumn("paths", F.array_join("paths", ","))
 
 
+@query("project_structure_by_name", f"""
+    with roles as ({_ROLES}), tagged as (
+      select repo, path, 'entry' as role from roles where named_entry union all select repo, path, 'config' from roles where named_config
+      union all select repo, path, 'test' from roles where named_test union all select repo, path, 'doc' from roles where named_doc),
+    n as (select *, (row_number() over (partition by repo, role order by path) - 1) // 3 + 1 as part from tagged)
+    select repo, role, cast(part as int) as part, string_agg(path, ',' order by path) as paths from n group by 1, 2, 3""")
+def project_structure_by_name(spark, sf):
+    return metrics.project_structure(_all_paths(spark, sf), size=3, loose=False).withColumn("paths", F.array_join("paths", ","))
+
+
+@query("test_directories", """select distinct repo, 'test' as path from v_files where starts_with(path, 'test/')""")
+def test_directories(spark, sf):
+    return sources.test_directories(views.files(spark, sf))
+
+
+@query("key_contents", f"""select repo, path, type, cast(size as bigint) as size, case when {in_list('base', dims.KEY_FILE_NAMES)} and size < 10000 then content end as content from v_manifests""")
+def key_contents(spark, sf):
+    return sources.key_contents(views.manifests(spark, sf))
+
+
+@query("build_files", f"""select repo, path from v_manifests where {any_contains('lower(path)', dims.BUILD_FILE_WORDS)} union all
+    select repo, 'build.gradle' from v_files where doc_id % 9 = 0""")
+def build_files(spark, sf):
+    extra = views.files(spark, sf).where("doc_id % 9 = 0").select("repo", F.lit("build.gradle").alias("path"))
+    return metrics.build_files(views.manifests(spark, sf).select("repo", "path").unionAll(extra))
+
+
 @query("technology_stack", f"""
     select repo, coalesce(arg_max({case_map('lower(path)', dims.ROOT_MANIFEST_STACKS)}, path)
         filter (where {case_map('lower(path)', dims.ROOT_MANIFEST_STACKS)} is not null), 'unknown') as framework,

@@ -473,11 +473,14 @@ def valid_fixes(spark, sf):
     return filters.valid_fixes(rows).select(*views.ORDER)
 
 
-@query("fix_status", f"""with z as (select repo, path, len({_LINES.replace('f.', '')}) as n from v_files),
+_JUDGED = f"""z as (select repo, path, len({_LINES.replace('f.', '')}) as n from v_files),
     c as (select x.*, z.n, case when x.end_line > z.n then 'invalid' else 'candidate' end as st from v_fixes x join z on x.repo = z.repo and x.path = z.path),
     b as (select *, max(end_line) over (partition by repo, path order by start_line, end_line, l_orderkey, l_linenumber, l_suppkey rows between unbounded preceding and 1 preceding) as reach from c where st = 'candidate'),
     i as (select *, sum(case when reach is null or start_line > reach then 1 else 0 end) over (partition by repo, path order by start_line, end_line, l_orderkey, l_linenumber, l_suppkey rows unbounded preceding) as island from b),
-    w as (select *, rank() over (partition by repo, path, island order by confidence desc, start_line, end_line, fixed_code) as rk from i)
+    w as (select *, rank() over (partition by repo, path, island order by confidence desc, start_line, end_line, fixed_code) as rk from i)"""
+
+
+@query("fix_status", f"""with {_JUDGED}
     select repo, path, start_line, end_line, {_SEQ}, case when rk = 1 then 'applied' else 'overlapped' end as status from w
     union all select repo, path, start_line, end_line, {_SEQ}, 'invalid' from c where st = 'invalid'""")
 def fix_status(spark, sf):
@@ -497,7 +500,11 @@ def single_fix_files(spark, sf):
     return fixes.apply_fixes(f, one).select("repo", "path", F.md5("content").alias("content_md5"), "n_fixes")
 
 
-@query("fixed_files")
+@query("fixed_files", f"""with {_JUDGED}, a as (select distinct repo, path, start_line, end_line, fixed_code from w where rk = 1),
+    l as (select repo, path, unnest({_LINES.replace('f.', '')}) as text, generate_subscripts({_LINES.replace('f.', '')}, 1) as line from v_files),
+    p as (select repo, path, line, text from l where not exists (select 1 from a where a.repo = l.repo and a.path = l.path and l.line between a.start_line and a.end_line)
+      union all select repo, path, start_line, fixed_code from a), k as (select repo, path, count(*) as k from a group by 1, 2)
+    select p.repo, p.path, md5(string_agg(p.text, chr(10) order by p.line)) as content_md5, cast(coalesce(any_value(k.k), 0) as int) as n_fixes from p left join k on p.repo = k.repo and p.path = k.path group by 1, 2""")
 def fixed_files(spark, sf):
     patched = fixes.apply_fixes(views.files(spark, sf), views.fixes(spark, sf))
     return patched.select("repo", "path", F.md5("content").alias("content_md5"), "n_fixes")

@@ -257,7 +257,8 @@ def ruleset_changes(spark, sf):
     return d.select("repo", *[F.array_join(F.sort_array(f"d.{c}"), ",").alias(c) for c in ("added", "removed", "kept")])
 
 
-@query("statistics_profiles")
+@query("statistics_profiles", (_PROFILE % ("", "joined")).replace("1000 * count(*) as bytes", "cast(sum(size) as bigint) as bytes") +
+       f" {_OUT}, 'mixed' as source, cast(0.85 as double) as confidence from final")
 def statistics_profiles(spark, sf):
     m = views.manifests(spark, sf)
     stats = m.select("repo", paths.lang_of(F.col("path")).alias("language"), F.col("size").alias("bytes")).where("language is not null")

@@ -9,9 +9,8 @@ from riskloom.checks import sqltext as q
 from riskloom.checks import views
 from riskloom.functions import findings as ff
 from riskloom.operators import dedup, joins, matching, metrics, ranking
-from riskloom.operators.filters import analysable
 from riskloom.plans import scans
-from riskloom.rule_catalog import (ALL_RULES, CODE_POINTS, CODE_RULES, HTML_CHECKS, SECRET_DETECTORS, Rule, rules_frame)
+from riskloom.rule_catalog import (ALL_RULES, CODE_POINTS, CODE_RULES, HTML_CHECKS, SECRET_DETECTORS, Rule)
 
 QUERIES, SQL = {}, {}
 

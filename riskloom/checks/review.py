@@ -11,7 +11,6 @@ from riskloom import dims
 from riskloom.checks import sqltext as q
 from riskloom.checks import views
 from riskloom.checks.findings import _route_sql
-from riskloom.functions import findings as ff
 from riskloom.functions import text
 from riskloom.operators import filters, fixes, joins, metrics, ranking
 from riskloom.plans import review

@@ -34,9 +34,13 @@ def source_files(files: DataFrame) -> DataFrame:
     return files.where(paths.is_source(F.col("path")))
 
 
-def key_files(files: DataFrame, max_size: int = 10_000) -> DataFrame:
+def is_key_file(path: Column, size: Column, max_size: int = 10_000) -> Column:
     """Manifests and marker files small enough to be read whole."""
-    return files.where(paths.base_name(F.col("path")).isin(*dims.KEY_FILE_NAMES) & (F.col("size") < max_size))
+    return paths.base_name(path).isin(*dims.KEY_FILE_NAMES) & (size < max_size)
+
+
+def key_files(files: DataFrame, max_size: int = 10_000) -> DataFrame:
+    return files.where(is_key_file(F.col("path"), F.col("size"), max_size))
 
 
 def is_relevant(path: Column, agent: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom import dims
 from riskloom.functions import findings as ff
 from riskloom.functions import severity
-from riskloom.operators.skew import HOT_ROWS, number_rows, skew_join
+from riskloom.operators.skew import HOT_ROWS, number_rows, row_salt, skew_join
 
 
 def rank_languages(share: DataFrame, threshold: float = 10.0) -> DataFrame:
@@ -96,8 +96,13 @@ def report_rank(level: Column) -> Column:
     return severity.rank(F.upper(level), order)
 
 
+def _sorted(df: DataFrame, *order) -> DataFrame:
+    """Global sort. The tie column lets the range split divide a long run of equal rows."""
+    return df.withColumn("_tie", row_salt(df, 1 << 20)).orderBy(*order, "_tie").drop("_tie")
+
+
 def sort_findings(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(report_rank(F.col("severity")), "title", "path", "start_line")
+    return _sorted(findings, report_rank(F.col("severity")), "title", "path", "start_line")
 
 
 def agent_rank(level: Column, compat: bool = False) -> Column:
@@ -106,11 +111,11 @@ def agent_rank(level: Column, compat: bool = False) -> Column:
 
 
 def sort_agent_findings(findings: DataFrame, compat: bool = False) -> DataFrame:
-    return findings.orderBy(agent_rank(F.col("impact"), compat).desc(), "path", "start_line", "check_id")
+    return _sorted(findings, agent_rank(F.col("impact"), compat).desc(), "path", "start_line", "check_id")
 
 
 def sort_secrets(secrets: DataFrame) -> DataFrame:
-    return secrets.orderBy(F.desc("verified"), "secret_type", "path", "line")
+    return _sorted(secrets, F.desc("verified"), "secret_type", "path", "line")
 
 
 def top_k(df: DataFrame, by, k: int) -> DataFrame:

@@ -74,7 +74,8 @@ def number_rows(df: DataFrame, keys, order, name: str = "rn", hot_rows: int = HO
         window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         return df.withColumn(name, F.row_number().over(window.orderBy(*order)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = (df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+    split = (df.withColumn("_tie", row_salt(df, 1 << 20))   # lets a split border fall between equal rows
+             .repartitionByRange(parts, *[F.col(k) for k in keys], *order, "_tie")
              .withColumn("_part", F.spark_partition_id()))
     split = cut_lineage(split)   # the split borders must not move between the two uses below
     before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part")

@@ -9,6 +9,7 @@ from riskloom import dims
 from riskloom.functions import paths
 from riskloom.operators.dedup import combine_rulesets
 from riskloom.operators.manifests import detect_frameworks
+from riskloom.sources.files import key_contents
 from riskloom.operators.metrics import language_share, language_share_by_files
 from riskloom.operators.ranking import rank_frameworks, rank_languages
 
@@ -92,16 +93,11 @@ def build_profile(files: DataFrame, stats: DataFrame | None = None, threshold: f
     """
     source = source or ("mixed" if stats is not None else "file-analysis")
     share = language_share(stats) if stats is not None else language_share_by_files(files)
-    read = F.when(_is_key_file(), F.col("content"))
-    hits = detect_frameworks(files.select("repo", "path", "type", read.alias("content")))
+    hits = detect_frameworks(key_contents(files))
     return with_rulesets(_joined(language_profile(share, threshold), framework_profile(hits), source,
                                  SOURCE_CONFIDENCE[source]))
 
 
-def _is_key_file() -> Column:
-    return paths.base_name(F.col("path")).isin(*dims.KEY_FILE_NAMES) & (F.col("size") < 10_000)
-
-
 def apply_overrides(profile: DataFrame, overrides: DataFrame) -> DataFrame:
     """Forced language (as 100 %), forced framework (clears the others) and extra rule sets (appended as they are).
 

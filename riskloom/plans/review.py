@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from riskloom import dims, schemas
 from riskloom.functions import findings as ff
-from riskloom.functions import text
+from riskloom.functions import paths, text
 from riskloom.operators import manifests
 from riskloom.operators.content import fix_context, marked_context
 from riskloom.operators.filters import apply_validation, mark_filtered
 from riskloom.operators.joins import with_context, with_validation
 from riskloom.operators.metrics import architecture
-from riskloom.functions import paths
 from riskloom.operators.skew import HOT_ROWS, chunked_lists, number_rows, skew_join
+from riskloom.session import ship_package
 
 FINDING_KEYS = ("repo", "path", "start_line", "end_line", "check_id")
 
@@ -182,6 +182,7 @@ def infer(prompts: DataFrame, make_complete: Callable[[], Callable[[list[str]],
                                     "input_tokens": list(tokens_in), "output_tokens": list(tokens_out),
                                     "error": list(error)})
 
+    ship_package(prompts.sparkSession)
     slim = prompts.select("prompt_id", "prompt")
     if partitions:
         slim = slim.repartition(partitions, "prompt_id")

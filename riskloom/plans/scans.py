@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom import dims
-from riskloom.functions import findings as ff
 from riskloom.operators import dedup, matching, metrics, ranking
 from riskloom.operators.filters import filter_analysable, limit_targets, source_files
 from riskloom.operators.joins import agent_names, route_arrays

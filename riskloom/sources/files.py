@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import paths
+from riskloom.operators.filters import is_key_file
 
 
 def scan_files(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
@@ -41,12 +42,26 @@ def spread(files: DataFrame, keys=("repo", "path")) -> DataFrame:
 def inventory(files: DataFrame) -> DataFrame:
     """Listing of a files table: every file with its hash, and a row for every folder above one."""
     listed = files.select("repo", "path", "type", "size", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+    return listed.unionByName(folders(files).select(
+        "repo", "path", F.lit("dir").alias("type"), F.lit(0).cast("bigint").alias("size"),
+        F.lit(None).cast("string").alias("sha")))
+
+
+def folders(files: DataFrame) -> DataFrame:
+    """(repo, path) of every folder above a file."""
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    folders = (files.where(F.col("path").contains("/")).select("repo", F.explode(above).alias("path")).distinct()
-               .select("repo", "path", F.lit("dir").alias("type"), F.lit(0).cast("bigint").alias("size"),
-                       F.lit(None).cast("string").alias("sha")))
-    return listed.unionByName(folders)
+    return files.where(F.col("path").contains("/")).select("repo", F.explode(above).alias("path")).distinct()
+
+
+def test_directories(files: DataFrame) -> DataFrame:
+    return folders(files).where(F.lower("path").contains("test"))
+
+
+def key_contents(files: DataFrame, max_size: int = 10_000) -> DataFrame:
+    """The listing with the content of marker files only; of all others just the entry is kept."""
+    wanted = is_key_file(F.col("path"), F.col("size"), max_size)
+    return files.select("repo", "path", "type", "size", F.when(wanted, F.col("content")).alias("content"))
 
 
 def scan_targets(spark: SparkSession, path: str) -> DataFrame:
