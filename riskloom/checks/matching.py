@@ -46,24 +46,22 @@ def _lines(view):
             f"unnest(string_split(content, chr(10))) as text, {q.case_map(q.EXT, dims.LANGUAGE_BY_EXTENSION)} as language from {view}")
 
 
-def _rule_values(rules):
-    rows = ", ".join("(" + ", ".join(q.quote(v) for v in (r.rule_id, r.agent, "," + ",".join(r.languages) + "," if r.languages else "",
-                                                          r.regex, r.not_regex, r.impact, r.cwe)) + ")" for r in rules)
-    return f"select * from (values {rows}) t(check_id, agent, languages, rx, not_rx, impact, cwe)"
-
-
 def _matches(view, rules):
-    return f"""select l.repo, l.path, l.line as start_line, l.line as end_line, r.check_id, r.agent, r.impact, r.cwe, l.text as code
-        from ({_lines(view)}) l, ({_rule_values(rules)}) r where (r.languages = '' or contains(r.languages, ',' || l.language || ','))
-        and regexp_matches(l.text, r.rx) and (r.not_rx is null or not regexp_matches(l.text, r.not_rx))"""
+    """Line by rule, one branch per rule, so that each expression is a constant."""
+    def one(r):
+        gate = f"{q.in_list('language', r.languages)} and " if r.languages else ""
+        exclude = f" and not regexp_matches(text, {q.quote(r.not_regex)})" if r.not_regex else ""
+        return (f"select repo, path, line as start_line, line as end_line, {q.quote(r.rule_id)} as check_id, {q.quote(r.agent)} as agent, "
+                f"{q.quote(r.impact)} as impact, {q.quote(r.cwe)} as cwe, text as code from ln where {gate}regexp_matches(text, {q.quote(r.regex)}){exclude}")
+    return f"(with ln as materialized ({_lines(view)}) " + " union all ".join(map(one, rules)) + ")"
 
 
-@query("rule_matches", _matches("v_code", ALL_RULES))
+@query("rule_matches", f"select * from {_matches('v_code', ALL_RULES)}")
 def rule_matches(spark, sf):
     return matching.match_rules(views.code_files(spark, sf))
 
 
-@query("custom_rule_matches", _matches("v_files", TEXT_RULES))
+@query("custom_rule_matches", f"select * from {_matches('v_files', TEXT_RULES)}")
 def custom_rule_matches(spark, sf):
     return matching.match_rules(views.files(spark, sf), rules_frame_of(spark))
 
@@ -116,23 +114,24 @@ def secret_types(spark, sf):
 
 
 def _points(view, catalog):
-    values = ", ".join("(" + ", ".join(map(q.quote, c[:3])) + ")" for c in catalog)
-    return f"""select l.repo, l.path, l.line, c.kind, c.type, regexp_extract(l.text, c.rx) as symbol from ({_lines(view)}) l,
-        (select * from (values {values}) t(kind, type, rx)) c where regexp_matches(l.text, c.rx)"""
+    def one(c):
+        return (f"select repo, path, line, {q.quote(c[0])} as kind, {q.quote(c[1])} as type, regexp_extract(text, {q.quote(c[2])}) as symbol "
+                f"from ln where regexp_matches(text, {q.quote(c[2])})")
+    return f"(with ln as materialized ({_lines(view)}) " + " union all ".join(map(one, catalog)) + ")"
 
 
-@query("code_points", _points("v_code", CODE_POINTS))
+@query("code_points", f"select * from {_points('v_code', CODE_POINTS)}")
 def code_points(spark, sf):
     return matching.code_points(views.code_files(spark, sf))
 
 
-@query("text_points", _points("v_files", TEXT_POINTS))
+@query("text_points", f"select * from {_points('v_files', TEXT_POINTS)}")
 def text_points(spark, sf):
     return matching.code_points(views.files(spark, sf), TEXT_POINTS)
 
 
 def _flows(view, catalog, n):
-    return f"""with p as materialized ({_points(view, catalog)}), s as (select k.repo, k.path, k.line as sink_line, k.type as sink_type, max(u.line) as source_line
+    return f"""with p as materialized (select * from {_points(view, catalog)}), s as (select k.repo, k.path, k.line as sink_line, k.type as sink_type, max(u.line) as source_line
         from p k join p u on k.repo = u.repo and k.path = u.path and u.line between k.line - {n} and k.line where k.kind = 'sink' and u.kind = 'source' group by 1, 2, 3, 4)
         select repo, path, source_line, sink_line, sink_type, exists (select 1 from p c where c.kind = 'control' and c.repo = s.repo and c.path = s.path
           and c.line between s.source_line and s.sink_line) as controlled from s"""
@@ -148,7 +147,7 @@ def text_flows(spark, sf):
     return matching.taint_pairs(matching.code_points(views.files(spark, sf), TEXT_POINTS), 8)
 
 
-@query("nearest_sources", f"""with p as materialized ({_points('v_files', TEXT_POINTS)})
+@query("nearest_sources", f"""with p as materialized (select * from {_points('v_files', TEXT_POINTS)})
     select distinct k.repo, k.path, k.line, (select max(u.line) from p u where u.kind = 'source' and u.repo = k.repo and u.path = k.path and u.line between k.line - 8 and k.line) as source_line
     from p k where k.kind = 'sink'""")
 def nearest_sources(spark, sf):
@@ -196,7 +195,7 @@ def _routed(agents):
 
 
 _SOURCE = q.in_list(q.EXT, dims.SOURCE_EXTENSIONS)
-_FAN = f"""with src as (select repo, path from v_code where {_SOURCE}), m as ({_matches('v_code', CODE_RULES)}), r as ({_routed(joins.agent_names())})
+_FAN = f"""with src as (select repo, path from v_code where {_SOURCE}), m as (select * from {_matches('v_code', CODE_RULES)}), r as ({_routed(joins.agent_names())})
     select m.* from m join r on m.repo = r.repo and m.path = r.path and m.agent = r.agent"""
 
 
@@ -227,7 +226,7 @@ def orchestrated_flows(spark, sf):
 
 
 _STD = f"""with kept as (select * from v_code where not {q.any_contains('path', dims.SKIP_DIRECTORIES)} and {q.in_list(q.EXT, dims.ANALYSABLE_EXTENSIONS)} and size <= 1000000),
-    m as ({_matches('kept', ALL_RULES)})"""
+    m as (select * from {_matches('kept', ALL_RULES)})"""
 
 
 @query("standard_titles", f"""{_STD}, s as (select *, {q.clean_title('check_id')} as title, {q.report_severity('impact')} as severity from m where upper(impact) in ('HIGH', 'MEDIUM', 'LOW')),
