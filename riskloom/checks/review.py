@@ -277,13 +277,13 @@ def stub_fixer():
 
 
 _HEX = "(instr('0123456789abcdef', left(md5(%s), 1)) - 1)"
-_FIRST = "o as (select *, row_number() over (partition by repo, path, start_line, end_line, check_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as rn from v_file_findings)"
+_FIRST = "o as (select *, row_number() over (partition by repo, path, start_line, end_line, check_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey, message, confidence) as rn from v_file_findings)"
 _STABLE = _RICH.replace("from v_file_findings x join", "from (select * from o where rn = 1) x join")
 
 
 def _one_per_key(spark, sf):
     from riskloom.operators.ranking import keep_first
-    return keep_first(views.file_findings(spark, sf), review.FINDING_KEYS, views.ORDER)
+    return keep_first(views.file_findings(spark, sf), review.FINDING_KEYS, [*views.ORDER, "message", "confidence"])
 
 
 @query("model_usage", f"""with {_FIRST}, {_STABLE}, p as (select {_VPROMPT} as prompt from rich) select count(*) as calls, cast(sum(length(prompt)) as bigint) as input_tokens, count(*) filter (where {_HEX % 'prompt'} in (8, 9)) as unparsed from p""")
