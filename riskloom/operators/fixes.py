@@ -2,45 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text
-from riskloom.operators.ranking import _islands
+from riskloom.operators.ranking import islands
 from riskloom.operators.skew import HOT_ROWS, chunked_lists, number_rows, skew_join
 from riskloom.session import cut_lineage
 
 _KEYS = ["repo", "path"]
 
 
+def _sized(files: DataFrame, fixes: DataFrame, how: str, hot_rows: int) -> DataFrame:
+    """Fixes with `_valid`: their range lies inside the file. Null when there is no such file."""
+    sizes = files.select(*_KEYS, F.size(text.code_lines(F.col("content"))).alias("_lines"))
+    valid = (F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line")) & (F.col("end_line") <= F.col("_lines"))
+    return skew_join(fixes, sizes, _KEYS, how, hot_rows).withColumn("_valid", valid).drop("_lines")
+
+
+def _order() -> Column:
+    """Among overlapping fixes the most confident one wins, then the first."""
+    return F.struct((-F.col("confidence")).alias("c"), F.col("start_line").alias("s"), F.col("end_line").alias("e"),
+                    F.col("fixed_code").alias("code"))
+
+
+def _winners(placed: DataFrame) -> DataFrame:
+    """The winning fix of each overlap: (repo, path, island, `_best`). At most one per line of a file."""
+    return placed.groupBy(*_KEYS, "island").agg(F.min("_best").alias("_best"))
+
+
 def select_fixes(files: DataFrame, fixes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every fix with its `status`: applied, overlapped, invalid (outside the file) or missing (no file).
 
-    Among fixes whose ranges overlap, the most confident one is applied, then the first.
     `fixes` needs repo, path, start_line, end_line, fixed_code, confidence.
     """
-    sizes = files.select(*_KEYS, F.size(text.code_lines(F.col("content"))).alias("_lines"))
-    sized = skew_join(fixes, sizes, _KEYS, "left", hot_rows)
-    valid = (F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line")) & (F.col("end_line") <= F.col("_lines"))
-    checked = sized.withColumn("status", F.when(F.col("_lines").isNull(), "missing").when(~valid, "invalid")
-                               .otherwise("candidate")).drop("_lines")
-    checked = cut_lineage(checked)   # used four times below; the files must not be read again each time
-    candidates = checked.where(F.col("status") == "candidate")
-    islands = _islands(candidates, 0).select(*_KEYS, "start_line", "island")
-    placed = skew_join(candidates, islands, _KEYS + ["start_line"], "inner", hot_rows)
-    order = F.struct(-F.col("confidence"), F.col("start_line"), F.col("end_line"), F.col("fixed_code"))
-    best = placed.groupBy(*_KEYS, "island").agg(F.min(order).alias("_best"))   # at most one per line of a file
-    judged = skew_join(placed, best, _KEYS + ["island"], "inner", hot_rows).withColumn(
-        "status", F.when(order == F.col("_best"), "applied").otherwise("overlapped"))
-    return judged.select(*checked.columns).unionByName(checked.where(F.col("status") != "candidate"))
+    checked = cut_lineage(_sized(files, fixes, "left", hot_rows))   # used three times; files are read once
+    candidates = checked.where("_valid")
+    placed = islands(candidates, 0, F.min(_order()).alias("_best")).select(*_KEYS, "start_line", "island", "_best")
+    best = placed.drop("_best").join(_winners(placed), _KEYS + ["island"]).drop("island")
+    judged = skew_join(candidates, best, _KEYS + ["start_line"], "inner", hot_rows).withColumn(
+        "status", F.when(_order() == F.col("_best"), "applied").otherwise("overlapped"))
+    rest = checked.where("_valid is null or not _valid").withColumn(
+        "status", F.when(F.col("_valid").isNull(), "missing").otherwise("invalid"))
+    return judged.select(*fixes.columns, "status").unionByName(rest.select(*fixes.columns, "status"))
 
 
 def apply_fixes(files: DataFrame, fixes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Files with the applied fixes spliced in, and their number. Untouched files come back as they are."""
-    chosen = (select_fixes(files, fixes, hot_rows).where(F.col("status") == "applied")
-              .select(*_KEYS, "start_line", "end_line", "fixed_code").distinct())
-    per_file = chosen.groupBy(*_KEYS).agg(   # ranges do not overlap: at most one per line of the file
-        F.sort_array(F.collect_list(F.struct("start_line", "end_line", "fixed_code"))).alias("_fixes"))
+    """Files with the applied fixes spliced in, and their number. Untouched files come back as they are.
+
+    The winners come out of aggregates alone, so a file with very many fixes is reduced to at
+    most one fix per line before anything is collected.
+    """
+    slim = fixes.select(*_KEYS, "start_line", "end_line", "fixed_code", "confidence")
+    valid = _sized(files, slim, "inner", hot_rows).where("_valid")
+    winners = _winners(islands(valid, 0, F.min(_order()).alias("_best")))
+    per_file = winners.groupBy(*_KEYS).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("_best.s").alias("start_line"), F.col("_best.e").alias("end_line"),
+        F.col("_best.code").alias("fixed_code")))).alias("_fixes"))
     joined = files.join(per_file, _KEYS, "left")
     lines, fixes_ = text.code_lines(F.col("content")), F.col("_fixes")
 

@@ -63,13 +63,14 @@ def type_order(findings: DataFrame, title: str = "title") -> DataFrame:
     return counts.withColumn("position", F.row_number().over(by_count)).drop("_first")
 
 
-def _islands(ranges: DataFrame, gap: int) -> DataFrame:
+def islands(ranges: DataFrame, gap: int, *more: Column) -> DataFrame:
     """(repo, path, start_line) -> `island`, the first line of the merged range it belongs to.
 
-    Ranges are first reduced to one row per start line, so a window holds at most the lines of one file.
+    Ranges are first reduced to one row per start line (with `more` aggregates), so a window holds
+    at most the lines of one file.
     """
     by_start = ranges.groupBy("repo", "path", "start_line").agg(
-        F.max("end_line").alias("end_line"), F.count(F.lit(1)).alias("n"))
+        F.max("end_line").alias("end_line"), F.count(F.lit(1)).alias("n"), *more)
     ordered = Window.partitionBy("repo", "path").orderBy("start_line")
     reach = F.max("end_line").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     opens = reach.isNull() | (F.col("start_line") > reach + gap)
@@ -79,7 +80,7 @@ def _islands(ranges: DataFrame, gap: int) -> DataFrame:
 
 def merge_ranges(findings: DataFrame, gap: int = 0) -> DataFrame:
     """Overlapping ranges of one file as one range; `gap` 1 also joins adjacent ones, more joins near ones."""
-    return (_islands(findings, gap).groupBy("repo", "path", "island")
+    return (islands(findings, gap).groupBy("repo", "path", "island")
             .agg(F.max("end_line").alias("end_line"), F.sum("n").alias("n_findings"))
             .withColumnRenamed("island", "start_line"))
 
