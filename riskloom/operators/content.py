@@ -23,10 +23,10 @@ def with_content(findings: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS
     return skew_join(findings, files.select(*FILE_KEYS, "content"), FILE_KEYS, "inner", hot_rows)
 
 
-def _with_lines(findings: DataFrame, files: DataFrame, hot_rows: int) -> DataFrame:
+def _with_lines(findings: DataFrame, files: DataFrame, hot_rows: int, measure: DataFrame | None = None) -> DataFrame:
     """Findings with `_lines`. Files are split before the join: once per file, not once per finding."""
     split = files.select(*FILE_KEYS, text.code_lines(F.col("content")).alias("_lines"))
-    return skew_join(findings, split, FILE_KEYS, "inner", hot_rows)
+    return skew_join(findings, split, FILE_KEYS, "inner", hot_rows, measure=measure)
 
 
 _LINES, _START, _END = "_lines", "start_line", "end_line"
@@ -43,10 +43,11 @@ def numbered_context(findings: DataFrame, files: DataFrame, n: int = 5, hot_rows
             .withColumns({"vulnerable_code": text.snippet(*place), "context": text.numbered_context(*place, n)}).drop(_LINES))
 
 
-def marked_context(findings: DataFrame, files: DataFrame, n: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:
+def marked_context(findings: DataFrame, files: DataFrame, n: int = 10, hot_rows: int = HOT_ROWS,
+                   measure: DataFrame | None = None) -> DataFrame:
     """Context with marks on the lines of the finding; findings outside their file are dropped."""
     place = (F.col(_LINES), F.col(_START), F.col(_END))
-    return (_with_lines(findings, files, hot_rows).where(text.valid_range(*place))
+    return (_with_lines(findings, files, hot_rows, measure).where(text.valid_range(*place))
             .withColumns({"vulnerable_code": text.snippet(*place), "context": text.marked_context(*place, n)}).drop(_LINES))
 
 

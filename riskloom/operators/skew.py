@@ -38,16 +38,17 @@ def row_salt(df: DataFrame, salts: int) -> Column:
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys, how: str = "inner",
-              hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+              hot_rows: int = HOT_ROWS, salts: int = SALTS, measure: DataFrame | None = None) -> DataFrame:
     """Equi-join on `keys` where `left` may repeat a key many times (inner, left, left_semi, left_anti).
 
     The rows of a hot key are salted on the left and copied per salt on the right; all other
     rows join as they are, in the same shuffle. Without a hot key this is the plain join.
+    `measure` names a cheaper table with the same keys to look for hot ones, if `left` is costly.
     """
     keys = list(keys)
     if left.isStreaming or right.isStreaming:
         return left.join(right, keys, how)
-    hot = hot_keys(left, keys, hot_rows)
+    hot = hot_keys(left if measure is None else measure, keys, hot_rows)
     if not hot:
         return left.join(right, keys, how)
     is_hot = reduce(lambda a, b: a | b, [

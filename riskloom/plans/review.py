@@ -93,7 +93,7 @@ _FIX_FORM = (
 
 def validation_prompts(findings: DataFrame, files: DataFrame, context: DataFrame) -> DataFrame:
     """(finding keys, prompt_id, prompt). Findings outside their file get no prompt, so they stay unvalidated."""
-    rich = marked_context(with_context(findings, context), files)   # the wide content joins last
+    rich = marked_context(with_context(findings, context), files, measure=findings)   # the wide content joins last
     prompt = text.fill(_VALIDATION_FORM, context_text(), "check_id", "path", "start_line", "end_line", "impact",
                              "message", "vulnerable_code", "context")
     return rich.select(*FINDING_KEYS, prompt_id("validate", *FINDING_KEYS).alias("prompt_id"), prompt.alias("prompt"))
