@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontam, mixing, sharding
+from riskloom.llm import bottomk, decontam, mixing, sharding
 from riskloom.llm.common import table
-from riskloom.llm.sql import MIX_SQL, SHARD_SQL
+from riskloom.llm.sql import MIX_SQL, NEAR_SQL, SHARD_SQL
 
 SHARD_BYTES = 1 << 20
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.annotate(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
 
@@ -23,5 +27,5 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "source", "text")).drop("text", "source")
 
 
-QUERIES = {f.__name__: f for f in (op7_decontamination, op8_sharding, op10_mixing)}
-SQL = {"op8_sharding": SHARD_SQL.format(limit=SHARD_BYTES), "op10_mixing": MIX_SQL}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op7_decontamination, op8_sharding, op10_mixing)}
+SQL = {"op3_minhash_near_dedup": NEAR_SQL, "op8_sharding": SHARD_SQL.format(limit=SHARD_BYTES), "op10_mixing": MIX_SQL}

@@ -35,3 +35,19 @@ docs as (select s.*, w.source_size, w.target, w.whole, w.target - w.whole * w.so
 select doc_id, size, source_size, target,
        (size * (whole + (upto <= rest or (upto - own <= rest and own < 2 * (rest - (upto - own))))::int))::bigint taken from docs
 """
+
+NEAR_SQL = r"""
+with recursive
+lowered as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') w from documents),
+shingles as (select distinct doc_id, unnest(case when len(w) = 0 then []
+                    when len(w) < 5 then [array_to_string(w, ' ')]
+                    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) s from lowered),
+sizes as (select doc_id, count(*) n from shingles group by all),
+shared as (select x.doc_id a, y.doc_id b, count(*) i from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by all),
+linked as (select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * i >= 85 * (p.n + q.n - i)),
+both_ways as (select a, b from linked union select b, a from linked),
+reach as (select doc_id, doc_id r from lowered union select reach.doc_id, b from reach join both_ways on a = r)
+select l.doc_id, coalesce(any_value(n), 0)::bigint n_shingles, min(r) component_id, l.doc_id = min(r) kept
+from lowered l left join sizes using (doc_id) join reach on reach.doc_id = l.doc_id group by l.doc_id
+"""
