@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +21,11 @@ def key60(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("bigint")
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows that nothing may be learned from: a fifth, by crc32 of the id as text. A null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast for a stored table of narrow rows if it has few enough of them; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -57,7 +61,3 @@ def _star(links: DataFrame, both: bool) -> DataFrame:
     else:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
     return moved.where(F.col("u") != F.col("v")).distinct()
-
-
-def cached(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

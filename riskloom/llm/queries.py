@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bottomk, decontam, mixing, sharding
+from riskloom.llm import bottomk, decontam, langid, mixing, quality, sharding
 from riskloom.llm.common import table
 from riskloom.llm.sql import MIX_SQL, NEAR_SQL, SHARD_SQL
 
@@ -15,6 +15,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return bottomk.near_duplicates(table(spark, sf, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.annotate(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
 
@@ -23,9 +27,13 @@ def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(table(spark, sf, "documents").select("doc_id", "text"), SHARD_BYTES).drop("text")
 
 
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.predictions(table(spark, sf, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "source", "text")).drop("text", "source")
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op7_decontamination, op8_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op6_quality_classifier, op7_decontamination, op8_sharding, op9_language_id, op10_mixing)}
 SQL = {"op3_minhash_near_dedup": NEAR_SQL, "op8_sharding": SHARD_SQL.format(limit=SHARD_BYTES), "op10_mixing": MIX_SQL}
