@@ -51,3 +51,16 @@ reach as (select doc_id, doc_id r from lowered union select reach.doc_id, b from
 select l.doc_id, coalesce(any_value(n), 0)::bigint n_shingles, min(r) component_id, l.doc_id = min(r) kept
 from lowered l left join sizes using (doc_id) join reach on reach.doc_id = l.doc_id group by l.doc_id
 """
+
+VECTOR_SQL = r"""
+with recursive
+good as (select vec_id, label, embedding::double[] v, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) n from embeddings
+         where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ok as (select * from good where n > 0),
+linked as (select a.vec_id a, b.vec_id b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+           where list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+reach as (select vec_id, vec_id r from embeddings union select reach.vec_id, b from reach join linked on a = r),
+c as (select vec_id, min(r) component_id from reach group by all),
+l as (select a vec_id, count(*) n_links from linked group by all)
+select c.vec_id, coalesce(n_links, 0)::bigint n_links, component_id, c.vec_id = component_id kept from c left join l using (vec_id)
+"""
