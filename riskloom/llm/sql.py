@@ -64,3 +64,12 @@ c as (select vec_id, min(r) component_id from reach group by all),
 l as (select a vec_id, count(*) n_links from linked group by all)
 select c.vec_id, coalesce(n_links, 0)::bigint n_links, component_id, c.vec_id = component_id kept from c left join l using (vec_id)
 """
+
+WARC_SQL = """
+with p as (select page_id, url, coalesce(html, '') payload from pages),
+d as (select page_id, url, strlen(payload)::bigint payload_bytes, sha256(payload) payload_digest from p),
+f as (select *, first_value(page_id) over w first_page, row_number() over w r from d
+      window w as (partition by payload_digest order by page_id nulls last, coalesce(url, '')))
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and r > 1 then 'revisit' else 'response' end record_type,
+       case when payload_bytes >= 100 and r > 1 then first_page end refers_to from f
+"""
