@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import bottomk, decontam, html_extract, langid, mixing, projections, quality, sharding, warc
+from riskloom.llm import bottomk, decontam, html_extract, langid, line_dedup, mixing, projections, quality, sharding, warc
 from riskloom.llm.common import table
-from riskloom.llm.sql import MIX_SQL, NEAR_SQL, SHARD_SQL, VECTOR_SQL, WARC_SQL
+from riskloom.llm.sql import LINE_SQL, MIX_SQL, NEAR_SQL, SHARD_SQL, VECTOR_SQL, WARC_SQL
 
 SHARD_BYTES = 1 << 20
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", "longest_run", F.char_length("text").alias("n_chars_kept"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf, "pages"))
 
@@ -47,6 +54,6 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "source", "text")).drop("text", "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_minhash_near_dedup, op4_warc, op5_embedding_near_dedup, op6_quality_classifier, op7_decontamination, op8_sharding, op9_language_id, op10_mixing)}
-SQL = {"op3_minhash_near_dedup": NEAR_SQL, "op4_warc": WARC_SQL, "op5_embedding_near_dedup": VECTOR_SQL,
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_html_extraction, op3_minhash_near_dedup, op4_warc, op5_embedding_near_dedup, op6_quality_classifier, op7_decontamination, op8_sharding, op9_language_id, op10_mixing)}
+SQL = {"op1_line_dedup": LINE_SQL, "op3_minhash_near_dedup": NEAR_SQL, "op4_warc": WARC_SQL, "op5_embedding_near_dedup": VECTOR_SQL,
        "op8_sharding": SHARD_SQL.format(limit=SHARD_BYTES), "op10_mixing": MIX_SQL}

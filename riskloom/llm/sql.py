@@ -73,3 +73,29 @@ f as (select *, first_value(page_id) over w first_page, row_number() over w r fr
 select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and r > 1 then 'revisit' else 'response' end record_type,
        case when payload_bytes >= 100 and r > 1 then first_page end refers_to from f
 """
+
+LINE_SQL = r"""
+with split as (select doc_id, text, string_split(text, chr(10)) l from documents where text <> ''),
+every as (select doc_id, generate_subscripts(l, 1) - 1 line_no, trim(unnest(l), ' ') line from split),
+seq as (select doc_id, line_no, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) words,
+               row_number() over (partition by doc_id order by line_no) pos
+        from every where regexp_matches(line, '[^\x20\x09-\x0D]')),
+same as (select p.doc_id d, p.pos p, q.doc_id e, q.pos q from seq p join seq q on p.line = q.line
+         and (q.doc_id < p.doc_id or q.doc_id = p.doc_id and q.pos < p.pos)),
+diagonal as (select *, p - row_number() over (partition by d, e, p - q order by p) island from same),
+reach as (select d, p, max(p) over (partition by d, e, p - q, island) - p + 1 n from diagonal),
+runs as (select d, p, max(n) n from reach group by all),
+sized as (select d, p, n, sum(words) words, min(line_no) a, max(line_no) b
+          from runs join seq on doc_id = d and pos between p and p + n - 1 group by all),
+copies as (select * from sized where n >= 3 or words >= 50),
+removed as (select distinct doc_id, line_no from every join copies on doc_id = d and line_no between a and b),
+counts as (select doc_id, count(*) n_removed from removed group by all),
+longest as (select d doc_id, max(n) longest_run from copies group by all),
+lines as (select doc_id, i - 1 line_no, l[i] line from (select doc_id, l, unnest(range(1, len(l) + 1)) i from split)),
+kept as (select doc_id, string_agg(line, chr(10) order by line_no) t from lines anti join removed using (doc_id, line_no) group by all)
+select d.doc_id, case when d.text <> '' then len(string_split(d.text, chr(10))) else 0 end::int n_lines,
+       coalesce(n_removed, 0)::int n_removed, coalesce(longest_run, 0)::int longest_run,
+       length(case when d.text is null then null else coalesce(t, '') end)::int n_chars_kept,
+       sha256(case when d.text is null then null else coalesce(t, '') end) text_sha256
+from documents d left join counts using (doc_id) left join longest using (doc_id) left join kept using (doc_id)
+"""
