@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import components
+from riskloom.llm.common import components, guarded, text_key
 from riskloom.llm.words import as_bytes, mix, shingle_sets
 from riskloom.session import cut_lineage, ship_package
 
@@ -49,7 +49,7 @@ def set_key(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id (of equal sets; null for the empty set), sketch."""
+    """doc_id, text_key, n_shingles, class_id (of equal sets; null for the empty set), sketch."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,12 +62,12 @@ def sketches(docs: DataFrame) -> DataFrame:
             lengths = np.concatenate([[0], np.cumsum([len(v) for v in values])])
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()),
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["doc_id", "n_shingles", "class_id", "sketch"])
+                names=["doc_id", "text_key", "n_shingles", "class_id", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text") \
-        .mapInArrow(run, "doc_id long, n_shingles long, class_id long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), "text") \
+        .mapInArrow(run, "doc_id long, text_key string, n_shingles long, class_id long, sketch array<long>")
 
 
 def _near_size(a: Column, b: Column) -> Column:
@@ -164,7 +164,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+    """doc_id, n_shingles, component_id, kept, text_key."""
     docs = docs.select("doc_id", "text")
     rows = cut_lineage(sketches(docs))
     classes = cut_lineage(rows.where("n_shingles > 0").groupBy("class_id").agg(
@@ -190,16 +190,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if more.limit(1).count():
             found = found.union(links(more, classes, docs))
             labels = cut_lineage(components(found))
-    placed = rows.select("doc_id", "n_shingles", "class_id") \
+    placed = rows.select("doc_id", "text_key", "n_shingles", "class_id") \
         .join(labels.withColumnRenamed("id", "class_id"), "class_id", "left") \
         .withColumn("component", F.coalesce("component", "class_id"))
     smallest = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     return placed.join(smallest, "component", "left").select(
-        "doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id")) \
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        "doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"),
+        (F.col("doc_id") == F.coalesce("smallest", "doc_id")).alias("kept"), "text_key")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, and every document without words or id."""
-    flags = near_duplicates(docs).where(~F.coalesce("kept", F.lit(True))).select("doc_id").distinct()
-    return docs.join(flags, "doc_id", "left_anti")
+    """One document of each group of near duplicates; of rows that repeat an id and text, one. Rows without an id stay."""
+    docs, back = guarded(docs, "doc_id", "text")
+    keyed = docs.withColumn("text_key", text_key(F.col("text")))
+    flags = cut_lineage(near_duplicates(docs).select(F.col("doc_id").alias("flag_id"), F.col("text_key").alias("flag_key"), "kept"))
+    of_flag = F.col("doc_id").cast("long").eqNullSafe(F.col("flag_id")) & (F.col("text_key") == F.col("flag_key"))
+    out = keyed.join(flags.where(~F.col("kept")).drop("kept").distinct(), of_flag, "left_anti")
+    repeated = cut_lineage(flags.where("kept").groupBy("flag_id", "flag_key").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    if repeated.limit(1).count():
+        out = out.join(repeated, of_flag, "left_anti").union(
+            out.join(repeated, of_flag, "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return out.select(*back)

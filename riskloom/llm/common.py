@@ -21,11 +21,22 @@ def key60(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("bigint")
 
 
+def text_key(text: Column) -> Column:
+    """A digest that stands for a text in narrow tables; a null text has that of the empty one."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that nothing may be learned from: a fifth, by crc32 of the id as text. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def guarded(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but the needed ones renamed out of the way, and the columns that give them their names back."""
+    inner = [n if n in needed else f"extra_{i}_" for i, n in enumerate(docs.columns)]
+    return docs.toDF(*inner), [F.col(i).alias(n) for i, n in zip(inner, docs.columns)]
+
+
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast for a stored table of narrow rows if it has few enough of them; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

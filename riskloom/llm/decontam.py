@@ -9,7 +9,7 @@ A window is `window` consecutive words of an item; an item of fewer words is one
 
 Nulls and odd input: a null text has no words, so nothing in it is hit; items without words have no window; a null item_id is
 named by the empty string, and items that share an id count once. Repeated documents give repeated rows. An empty benchmark
-marks nothing. Extra columns stay if asked for; those named like the results are replaced.
+marks nothing. Extra columns stay if asked for; `annotate` replaces those named like its results, `clean_documents` changes none.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.llm.common import guarded
 from riskloom.llm.words import ALNUM, all_word_hashes, as_bytes, mix
 from riskloom.session import cut_lineage, ship_package
 
@@ -213,7 +214,8 @@ def _results(shard: Shard, cover: np.ndarray, items: list[list[str]]) -> list[pa
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark window."""
-    return annotate(docs, benchmark, **options).where(~F.col("contaminated")).select(*docs.columns)
+    docs, back = guarded(docs, "text")
+    return annotate(docs, benchmark, **options).where(~F.col("contaminated")).select(*back)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -22,13 +22,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import key60
+from riskloom.llm.common import guarded, key60
 from riskloom.session import cut_lineage
 
 MIN_LINES = 3
 MIN_WORDS = 50
 WORDS = r"[^\x20\x09-\x0D]+"
 LAST = (1 << 63) - 1
+RESULT = ("n_lines", "n_removed", "longest_run")
 PLACE = ["doc", "text_key", "pos"]
 
 
@@ -107,7 +108,7 @@ def copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WOR
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the copies deleted from text, and n_lines, n_removed (lines before, lines deleted), longest_run (its longest copy)."""
-    docs = docs.drop("n_lines", "n_removed", "longest_run")
+    docs, back = guarded(docs.drop(*RESULT), "doc_id", "text")
     found = copies(docs, min_lines, min_words)
     # Overlapping runs of a document become one gap: a run opens one if it begins behind all that came before it.
     earlier = Window.partitionBy("doc", "text_key").orderBy("first_line", "last_line").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +118,6 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
         .groupBy("doc", "text_key", "gap").agg(F.min("first_line").alias("a"), (F.max("last_line") + 1).alias("b"), F.max("length").alias("length")) \
         .groupBy(F.col("doc").alias("gap_doc"), F.col("text_key").alias("gap_key")).agg(
             F.sort_array(F.collect_list(F.struct("a", "b"))).alias("gaps"), F.max("length").alias("longest_run"))
-    columns = docs.columns
     joined = _identity(docs).join(gaps, (F.col("doc") == F.col("gap_doc")) & (F.col("text_key") == F.col("gap_key")), "left") \
         .withColumn("lines_", F.when(F.col("text") != "", F.split("text", "\n"))) \
         .withColumn("n_lines", F.when(F.col("text") != "", F.size("lines_")).otherwise(0)) \
@@ -127,4 +127,4 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
         (case when i = 0 then 0 else gaps[i - 1].b end) + 1,
         (case when i = size(gaps) then n_lines else gaps[i].a end) - (case when i = 0 then 0 else gaps[i - 1].b end)))), '\n')""")
     return joined.withColumn("text", F.when(F.col("gaps").isNull(), F.col("text")).otherwise(kept)) \
-        .select(*columns, "n_lines", "n_removed", "longest_run")
+        .select(*back, *RESULT)

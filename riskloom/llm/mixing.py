@@ -8,7 +8,7 @@ of a smaller and a larger budget are nested, nothing is sorted, and a rerun take
 
 Nulls: a null or empty text has size 0 and is taken 0 times over; a null source is a source of its own, the last one; a null
 doc_id hashes as the empty text. Rows that repeat a doc_id hash alike, so they are taken together. An empty table gives an
-empty result. Extra columns stay; those named like the results are replaced.
+empty result. Extra columns stay; `mix` replaces those named like its results, `mixed_documents` changes none.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import KEY_BITS, checked_broadcast, key60
+from riskloom.llm.common import KEY_BITS, checked_broadcast, guarded, key60
 from riskloom.session import cut_lineage
 
 WORDS = r"[^\x20\x09-\x0D]+"
 LEVEL_BITS = 12
+RESULT = ("size", "source_size", "target", "taken")
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
@@ -83,19 +84,22 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """docs with size, source_size, target and taken (words that the mix takes, repeats counted)."""
-    docs = docs.drop("size", "mix_key", "source_size", "target", "taken")
+    docs, back = guarded(docs.drop(*RESULT), "doc_id", "source", "text")
+    return _mixed(docs, weights, share, most).select(*back, *RESULT)
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     narrow = cut_lineage(with_sizes(docs.select("doc_id", "source", "text")).select("source", "size", "mix_key"))
     limits = thresholds(narrow, source_targets(narrow, weights, share, most)).withColumnRenamed("source", "limit_source")
     joined = with_sizes(docs).join(checked_broadcast(cut_lineage(limits)), F.col("source").eqNullSafe(F.col("limit_source")))
     more = (F.col("mix_key") < F.col("edge")) | ((F.col("mix_key") == F.col("edge")) & F.col("with_edge"))
     times = F.col("whole") + F.when(more & (F.col("source_size") > 0), 1).otherwise(0)
-    return joined.withColumn("taken", F.col("size") * times) \
-        .drop("mix_key", "limit_source", "whole", "edge", "with_edge")
+    return joined.withColumn("taken", F.col("size") * times)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    columns = docs.columns
-    out = mix(docs, **options).where(F.col("taken") > 0)
+    docs, back = guarded(docs, "doc_id", "source", "text")
+    out = _mixed(docs, **options).where(F.col("taken") > 0)
     times = (F.col("taken") / F.col("size")).cast("int")
-    return out.withColumn("mix_copy_", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*back)

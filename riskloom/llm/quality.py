@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import held_out
+from riskloom.llm.common import guarded, held_out, text_key
 from riskloom.llm.words import NOT_SPACE, as_bytes, chunks, mix, word_hashes
 from riskloom.session import cut_lineage, ship_package
 
@@ -112,7 +112,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """doc_id, features: the pooled vectors of every document."""
+    """doc_id, text_key, features: the pooled vectors of every document."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
@@ -140,10 +140,12 @@ def features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
             texts = as_bytes(batch.column("text"))
             rows = np.concatenate([np.zeros((0, FEATURES), np.float32), *[pooled(texts[i:j]) for i, j in chunks(texts)]])
             at = np.arange(0, len(texts) + 1, dtype=np.int32) * FEATURES
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(rows.ravel()))],
-                                             names=["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.ListArray.from_arrays(pa.array(at), pa.array(rows.ravel()))],
+                names=["doc_id", "text_key", "features"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, features array<float>")
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), "text") \
+        .mapInArrow(run, "doc_id long, text_key string, features array<float>")
 
 
 class Network:
@@ -205,7 +207,7 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
 
 def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted, and text_key: the score depends on the text alone."""
     docs = docs.select("doc_id", "text")
     rows = cut_lineage(features(docs, word_vectors(docs)))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, max_rows=max_rows))
@@ -215,13 +217,15 @@ def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
             column = batch.column("features")
             x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.probability(x), pa.float64())],
-                                             names=["doc_id", "score"])
+                                             names=["doc_id", "score"]).append_column("text_key", batch.column("text_key"))
 
-    return rows.mapInArrow(run, "doc_id long, score double").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, "doc_id long, score double, text_key string").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "text_key")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier does not reject."""
-    rejected = scores(docs, labels, **options).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    docs, back = guarded(docs, "doc_id", "text")
+    keyed = docs.withColumn("text_key", text_key(F.col("text")))
+    rejected = scores(docs, labels, **options).where("predicted = 0").select(F.col("text_key").alias("rejected")).distinct()
+    return keyed.join(rejected, F.col("text_key") == F.col("rejected"), "left_anti").select(*back)

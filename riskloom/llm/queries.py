@@ -23,7 +23,7 @@ def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return bottomk.near_duplicates(table(spark, sf, "documents"))
+    return bottomk.near_duplicates(table(spark, sf, "documents")).drop("text_key")
 
 
 def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op5_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return quality.scores(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("text_key")
 
 
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:

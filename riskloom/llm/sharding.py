@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import KEY_BITS, checked_broadcast, key60
+from riskloom.llm.common import KEY_BITS, checked_broadcast, guarded, key60
 from riskloom.session import cut_lineage
 
 ROUND_BITS = 10
@@ -58,15 +58,16 @@ def directory(keyed: DataFrame, limit: int) -> list[DataFrame]:
 
 def shard(docs: DataFrame, limit: int) -> DataFrame:
     """docs with n_bytes, shard_id (the bits of its bucket), depth, shard_bytes, shard_docs, oversize."""
-    keyed = with_keys(docs.drop(*OUT, "shard_key"))
+    docs, back = guarded(docs.drop(*OUT), "doc_id", "text")
+    keyed = with_keys(docs)
     rounds = directory(cut_lineage(keyed.select("shard_key", "n_bytes")), limit)
-    out, columns = keyed, keyed.columns
+    out = keyed
     for r, settled in enumerate(rounds):
         cell = F.shiftright("shard_key", KEY_BITS - ROUND_BITS * (r + 1))
         named = settled.select(F.col("cell").alias(f"cell_{r}_"), F.struct(*OUT[1:]).alias(f"shard_{r}_"))
         out = out.join(checked_broadcast(named), cell == F.col(f"cell_{r}_"), "left")
     found = F.coalesce(*[F.col(f"shard_{r}_") for r in range(len(rounds))])
-    return out.select(*columns, found.alias("shard_")).select(*columns, "shard_.*").drop("shard_key")
+    return out.withColumn("shard_", found).select(*back, "n_bytes", "shard_.*")
 
 
 def write_shards(docs: DataFrame, limit: int, path: str) -> None:
