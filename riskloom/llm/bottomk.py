@@ -4,11 +4,14 @@
    class, so exact copies and texts that differ in nothing but repeats cost one row from here on.
 2. Inverted lists over the LISTED smallest values of a sketch generate overlaps. Two sets at the threshold share at least
    NEED of those values (but for one pair in 10^8), so it is enough to list each class under its first LISTED - NEED + 1 values
-   in any common order. The order puts values with long lists last: a long list is used only by classes that consist of
-   common values.
-3. Short lists give all their pairs (at most COLD / 2 per row). Long lists are never paired: each member is compared with the
-   list's hub, its most typical member. Then only lists whose members are not all linked yet are looked at again, and only
-   their members outside the list's largest component are compared with the rest.
+   in any common order. The order puts values with more than COLD classes last: such a list is reached only by classes that
+   consist of common values. Short lists give all their pairs (at most COLD / 2 per row); long lists give none.
+3. Classes that reach a long list (members of large near groups, for the most part) are listed once more by their whole sets, the
+   rarest value first. There the bounds have no sampling slack: with sizes a and b a pair must share c = ceil(0.85 / 1.85 *
+   (a + b)) values, so one of the first a - c + 1 of the one and the first b - c + 1 of the other. What sets a near copy apart is
+   rare and comes first, so few classes still reach a long list. In these each member is compared with the list's most
+   central one; then only lists whose members are not all linked are looked at again, and there only members outside the list's
+   largest component with the others. All pairs within these bounds are compared or known to be connected.
 4. The union sketch of a pair estimates its similarity; pairs that can't reach the threshold go. Sets of at most SKETCH
    shingles are whole in their sketch and decided there; larger ones are compared in full.
 5. Linked classes form components by alternating stars; a component's id is its smallest doc_id.
@@ -70,39 +73,50 @@ def sketches(docs: DataFrame) -> DataFrame:
         .mapInArrow(run, "doc_id long, text_key string, n_shingles long, class_id long, sketch array<long>")
 
 
-def _near_size(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-
-
 def postings(classes: DataFrame) -> DataFrame:
-    """value, class_id, n, hot, typical: the lists that a class must stand in.
+    """value, class_id, n, hot: the lists that a class must stand in by its sketch.
 
     A class of fewer than LISTED - 6 shingles has whole lists on both sides of every link, so its own bound holds.
     """
-    all_ = classes.select("class_id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
-    lists = all_.groupBy("value").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-    shared = all_.join(lists, "value").withColumn("hot", F.col("rows") > COLD)
-    own = Window.partitionBy("class_id")
-    alone = F.least(F.col("n"), F.lit(LISTED)) - F.count("*").over(own)
-    rank = alone + F.row_number().over(own.orderBy("hot", "value"))
+    listed = classes.select("class_id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     needed = F.when(F.col("n") >= LISTED - 6, LISTED - NEED + 1) \
         .otherwise(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
-    return shared.withColumn("rank", rank).withColumn("typical", F.sum(F.col("hot").cast("int")).over(own)) \
-        .where(F.col("rank") <= needed).select("value", "class_id", "n", "hot", "typical")
+    return _ranked(listed, F.least(F.col("n"), F.lit(LISTED)), F.when(F.col("rows") > COLD, 1).otherwise(0), needed)
+
+
+def exact_postings(sets: DataFrame) -> DataFrame:
+    """As postings, by whole sets (class_id, n, shingles): rarest value first, as many as the smallest partner may ask for."""
+    needed = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    return _ranked(sets.select("class_id", "n", F.explode("shingles").alias("value")), F.col("n"), F.col("rows"), needed)
 
 
-def _pairs(left: DataFrame, right: DataFrame, *conditions: Column) -> DataFrame:
-    """Pairs (a < b) of classes under one value, of sizes that the threshold allows."""
-    x = left.select("value", F.col("class_id").alias("x"), F.col("n").alias("nx"), *[F.col(c) for c in left.columns if c.startswith("l_")])
-    y = right.select("value", F.col("class_id").alias("y"), F.col("n").alias("ny"), *[F.col(c) for c in right.columns if c.startswith("r_")])
-    joined = x.join(y, "value").where((F.col("x") != F.col("y")) & _near_size(F.col("nx"), F.col("ny")))
+def _ranked(listed: DataFrame, length: Column, order: Column, needed: Column) -> DataFrame:
+    """value, class_id, n, rank, hot. Values of one class only come first and lead nowhere; they count for the rank."""
+    lists = listed.groupBy("value").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    own = Window.partitionBy("class_id")
+    alone = length - F.count("*").over(own)
+    return listed.join(lists, "value").withColumn("order", order) \
+        .withColumn("rank", alone + F.row_number().over(own.orderBy("order", "value"))) \
+        .where(F.col("rank") <= needed).select("value", "class_id", "n", "rank", (F.col("rows") > COLD).alias("hot"))
+
+
+def _pairs(left: DataFrame, right: DataFrame, exact: bool, *conditions: Column) -> DataFrame:
+    """Pairs (a < b) of classes under one value, of sizes and, for whole sets, ranks that the threshold allows."""
+    x = left.select("value", F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("rank").alias("rx"),
+                    *[F.col(c) for c in left.columns if c.startswith("l_")])
+    y = right.select("value", F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("rank").alias("ry"),
+                     *[F.col(c) for c in right.columns if c.startswith("r_")])
+    joined = x.join(y, "value").where((F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")))
+    if exact:
+        need = F.ceil((F.col("nx") + F.col("ny")) * PERCENT / (100 + PERCENT))
+        joined = joined.where((F.col("rx") <= F.col("nx") - need + 1) & (F.col("ry") <= F.col("ny") - need + 1))
     for c in conditions:
         joined = joined.where(c)
     return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs at or above the threshold: estimated on sketches, then confirmed on whole sets."""
+def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, whole: the pairs that may reach the threshold by their union sketch; `whole` if that decides it."""
     side = classes.select("class_id", "n", "sketch")
     both = pairs.join(side.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a") \
         .join(side.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
@@ -112,15 +126,16 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
     passed = F.when(whole, 100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)) \
         .otherwise(shared >= (PERCENT / 100 - LOOSE) * union)
-    kept = cut_lineage(both.where(passed).select("a", "b", "na", "nb", whole.alias("whole")))
-    large = kept.where(~F.col("whole"))
-    wanted = large.select(F.col("a").alias("class_id")).union(large.select("b")).distinct()
-    sets = _sets(docs, classes.join(wanted, "class_id", "left_semi"))
-    confirmed = large.select("a", "b") \
+    return cut_lineage(both.where(passed).select("a", "b", whole.alias("whole")))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the estimated pairs whose whole sets reach the threshold."""
+    large = pairs.where(~F.col("whole")).select("a", "b") \
         .join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa")), "a") \
         .join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb")), "b") \
         .mapInArrow(_confirmed, "a long, b long")
-    return cut_lineage(kept.where("whole").select("a", "b").union(confirmed))
+    return cut_lineage(pairs.where("whole").select("a", "b").union(large))
 
 
 def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -144,8 +159,7 @@ def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text") \
         .join(classes.select(F.col("example").alias("example_"), "class_id"), F.col("doc_id").eqNullSafe(F.col("example_"))) \
         .select("class_id", "text")
-    found = texts.mapInArrow(run, "class_id long, shingles array<long>")
-    return cut_lineage(found)
+    return cut_lineage(texts.mapInArrow(run, "class_id long, shingles array<long>").withColumn("n", F.size("shingles").cast("long")))
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +177,28 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
+def _common_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between classes of common values, by their whole sets: enough of them to connect what is connected."""
+    lists = cut_lineage(exact_postings(sets))
+    cold, hot = lists.where(~F.col("hot")), lists.where("hot")
+    centres = hot.groupBy("value").agg(F.min(F.struct("rank", -F.col("n"), "class_id", "n")).alias("h")) \
+        .select("value", "h.class_id", "h.n", "h.rank")
+    pairs = cut_lineage(_pairs(cold, cold, True, F.col("x") < F.col("y")).union(_pairs(hot, centres, True)).distinct())
+    found = confirmed(estimated(pairs, classes), sets)
+    placed = hot.join(cut_lineage(components(found)).withColumnRenamed("id", "class_id"), "class_id", "left") \
+        .withColumn("component", F.coalesce("component", "class_id"))
+    split = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    open_ = cut_lineage(placed.join(split.select("value"), "value", "left_semi"))
+    if not open_.limit(1).count():
+        return found
+    main = open_.groupBy("value", "component").agg(F.count("*").alias("rows")) \
+        .groupBy("value").agg(F.max(F.struct("rows", "component")).alias("m")).select("value", F.col("m.component").alias("main"))
+    rest = open_.join(main, "value").where(F.col("component") != F.col("main"))
+    more = _pairs(rest.withColumn("l_c", F.col("component")), open_.withColumn("r_c", F.col("component")), True, F.col("l_c") != F.col("r_c"))
+    more = cut_lineage(more.distinct().join(pairs, ["a", "b"], "left_anti"))
+    return found.union(confirmed(estimated(more, classes), sets)) if more.limit(1).count() else found
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key."""
     docs = docs.select("doc_id", "text")
@@ -170,26 +206,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut_lineage(rows.where("n_shingles > 0").groupBy("class_id").agg(
         F.min("doc_id").alias("example"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     lists = cut_lineage(postings(classes))
-    cold, hot = lists.where(~F.col("hot")), lists.where("hot")
-    hubs = hot.groupBy("value").agg(F.max(F.struct("typical", "n", "class_id")).alias("h")) \
-        .select("value", F.col("h.class_id").alias("class_id"), F.col("h.n").alias("n"))
-    pairs = cut_lineage(_pairs(cold, cold, F.col("x") < F.col("y")).union(_pairs(hot, hubs)).distinct())
-    found = links(pairs, classes, docs)
+    cold, common = lists.where(~F.col("hot")), cut_lineage(lists.where("hot").select("class_id").distinct())
+    likely = estimated(_pairs(cold, cold, False, F.col("x") < F.col("y")).distinct(), classes)
+    large = likely.where(~F.col("whole"))
+    wanted = large.select(F.col("a").alias("class_id")).union(large.select("b")).union(common).distinct()
+    sets = _sets(docs, classes.join(wanted, "class_id", "left_semi"))
+    found = confirmed(likely, sets).union(_common_links(sets.join(common, "class_id", "left_semi"), classes))
     labels = cut_lineage(components(found))
-    # Long lists whose members are not all linked: the members outside the list's largest component against all others.
-    placed = hot.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left") \
-        .withColumn("component", F.coalesce("component", "class_id"))
-    split = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    open_ = cut_lineage(placed.join(split.select("value"), "value", "left_semi"))
-    if open_.limit(1).count():
-        main = open_.groupBy("value", "component").agg(F.count("*").alias("rows")) \
-            .groupBy("value").agg(F.max(F.struct("rows", "component")).alias("m")).select("value", F.col("m.component").alias("main"))
-        rest = open_.join(main, "value").where(F.col("component") != F.col("main"))
-        more = _pairs(rest.withColumn("l_c", F.col("component")), open_.withColumn("r_c", F.col("component")), F.col("l_c") != F.col("r_c"))
-        more = cut_lineage(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-        if more.limit(1).count():
-            found = found.union(links(more, classes, docs))
-            labels = cut_lineage(components(found))
     placed = rows.select("doc_id", "text_key", "n_shingles", "class_id") \
         .join(labels.withColumnRenamed("id", "class_id"), "class_id", "left") \
         .withColumn("component", F.coalesce("component", "class_id"))
