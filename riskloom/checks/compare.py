@@ -40,6 +40,10 @@ def compare(spark, sf: str, name: str, con=None) -> dict:
     started = time.time()
     df = all_queries()[name](spark, sf)
     got_columns, got = df.columns, [tuple(r) for r in df.collect()]
+    names = [c.lower() for c in got_columns]
+    twice = sorted({c for c in names if names.count(c) > 1}) or [c for c, kind in df.dtypes if kind in ("void", "interval")]
+    if twice:
+        return {"name": name, "seconds": 0, "rows": len(got), "problem": f"columns that can't be written: {twice}", "sql": name in all_sql()}
     out = {"name": name, "seconds": round(time.time() - started, 2), "rows": len(got), "problem": None, "sql": False}
     sql = all_sql().get(name)
     if sql is None:

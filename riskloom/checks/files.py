@@ -121,10 +121,10 @@ def _relevance_sql(agent):
 
 
 @query("agent_relevance", "select repo, path, " + ", ".join(
-    f"{_relevance_sql(a)} as {a.split('-')[1]}" for a in dims.AGENT_TYPES) + " from v_files")
+    f"{_relevance_sql(a)} as is_{a.split('-')[1]}" for a in dims.AGENT_TYPES) + " from v_files")
 def agent_relevance(spark, sf):
     return views.files(spark, sf).select(
-        "repo", "path", *[filters.is_relevant(F.col("path"), a).alias(a.split("-")[1]) for a in dims.AGENT_TYPES])
+        "repo", "path", *[filters.is_relevant(F.col("path"), a).alias("is_" + a.split("-")[1]) for a in dims.AGENT_TYPES])
 
 
 @query("agent_scopes", " union all ".join(

@@ -254,9 +254,9 @@ def finding_density(spark, sf):
     union all select 'run' || l_linenumber, 'secrets', l_suppkey from lineitem where l_returnflag = 'R'
     union all select 'run' || l_linenumber, 'fixes', l_suppkey from lineitem where l_quantity > 40
     union all select 'run' || l_linenumber, 'errors', l_suppkey from lineitem where l_discount = 0 and l_linenumber > 2),
-    k as (select run_id, kind, count(*) as n, count(distinct repo) as repos from p group by 1, 2)
+    k as (select run_id, kind, count(*) as n from p group by 1, 2), d as (select run_id, count(distinct repo) as repos from p group by 1)
     select run_id, cast(coalesce(sum(n) filter (where kind = 'findings'), 0) as bigint) as findings, cast(coalesce(sum(n) filter (where kind = 'secrets'), 0) as bigint) as secrets,
-    cast(coalesce(sum(n) filter (where kind = 'fixes'), 0) as bigint) as fixes, cast(coalesce(sum(n) filter (where kind = 'errors'), 0) as bigint) as errors, max(repos) as repos from k group by 1""")
+    cast(coalesce(sum(n) filter (where kind = 'fixes'), 0) as bigint) as fixes, cast(coalesce(sum(n) filter (where kind = 'errors'), 0) as bigint) as errors, any_value(repos) as repos from k join d using (run_id) group by 1""")
 def run_summary(spark, sf):
     rows = views.table(spark, sf, "lineitem").selectExpr(
         "'run' || l_linenumber as run_id", "l_suppkey as repo", "l_returnflag", "l_quantity", "l_discount", "l_linenumber")
@@ -274,7 +274,7 @@ def top_files(spark, sf):
 
 @query("finding_numbers", f"""select repo, path, start_line, check_id, {_SEQ}, format('VULN-{{:04d}}', row_number() over (partition by repo order by {q.rank_of('impact', dims.AGENT_SCALE)} desc, path, start_line, check_id, {_SEQ})) as vuln_id from v_findings""")
 def finding_numbers(spark, sf):
-    order = [ranking.agent_rank(F.col("impact")).desc(), "path", "start_line", "check_id", *views.ORDER]
+    order = [-ranking.agent_rank(F.col("impact")), "path", "start_line", "check_id", *views.ORDER]
     numbered = ranking.number_findings(views.findings(spark, sf), order)
     return numbered.select("repo", "path", "start_line", "check_id", *views.ORDER, "vuln_id")
 
@@ -473,16 +473,17 @@ def valid_fixes(spark, sf):
     return filters.valid_fixes(rows).select(*views.ORDER)
 
 
+# Fixes in order of confidence over the whole file; each is taken if it touches none taken before.
 _JUDGED = f"""z as (select repo, path, len({_LINES.replace('f.', '')}) as n from v_files),
-    c as (select x.*, z.n, case when x.end_line > z.n then 'invalid' else 'candidate' end as st from v_fixes x join z on x.repo = z.repo and x.path = z.path),
-    b as (select *, max(end_line) over (partition by repo, path order by start_line, end_line, l_orderkey, l_linenumber, l_suppkey rows between unbounded preceding and 1 preceding) as reach from c where st = 'candidate'),
-    i as (select *, sum(case when reach is null or start_line > reach then 1 else 0 end) over (partition by repo, path order by start_line, end_line, l_orderkey, l_linenumber, l_suppkey rows unbounded preceding) as island from b),
-    w as (select *, rank() over (partition by repo, path, island order by confidence desc, start_line, end_line, fixed_code) as rk from i)"""
+    c as (select x.*, z.n, case when z.n is null then 'missing' when x.end_line > z.n then 'invalid' else 'candidate' end as st from v_fixes x left join z on x.repo = z.repo and x.path = z.path),
+    tried as (select repo, path, list(distinct {{'c': -confidence, 's': start_line, 'e': end_line, 'code': fixed_code}}) as l from c where st = 'candidate' group by 1, 2),
+    taken as (select repo, path, list_reduce(list_transform(list_sort(l), lambda x: [x]), lambda acc, x: case when len(list_filter(acc, lambda t: t.s <= x[1].e and x[1].s <= t.e)) > 0 then acc else list_concat(acc, x) end) as l from tried),
+    w as (select repo, path, unnest(l) as t from taken), a as (select repo, path, t.s as start_line, t.e as end_line, t.code as fixed_code, -t.c as confidence from w)"""
 
 
 @query("fix_status", f"""with {_JUDGED}
-    select repo, path, start_line, end_line, {_SEQ}, case when rk = 1 then 'applied' else 'overlapped' end as status from w
-    union all select repo, path, start_line, end_line, {_SEQ}, 'invalid' from c where st = 'invalid'""")
+    select c.repo, c.path, c.start_line, c.end_line, {_SEQ}, case when st <> 'candidate' then st when a.repo is not null then 'applied' else 'overlapped' end as status
+    from c left join a on a.repo = c.repo and a.path = c.path and a.start_line = c.start_line and a.end_line = c.end_line and a.fixed_code = c.fixed_code and a.confidence = c.confidence""")
 def fix_status(spark, sf):
     chosen = fixes.select_fixes(views.files(spark, sf), views.fixes(spark, sf))
     return chosen.select("repo", "path", "start_line", "end_line", *views.ORDER, "status")
@@ -497,14 +498,14 @@ def single_fix_files(spark, sf):
     f = views.files(spark, sf)
     one = f.selectExpr("repo", "path", "cast(doc_id % 4 + 1 as int) as start_line", "cast(doc_id % 4 + 1 + doc_id % 2 as int) as end_line",
                        "'patched ' || doc_id || chr(10) || 'twice' as fixed_code", "cast(0.9 as double) as confidence")
-    return fixes.apply_fixes(f, one).select("repo", "path", F.md5("content").alias("content_md5"), "n_fixes")
+    return fixes.apply_fixes(f, one, untouched=True).select("repo", "path", F.md5("content").alias("content_md5"), "n_fixes")
 
 
-@query("fixed_files", f"""with {_JUDGED}, a as (select distinct repo, path, start_line, end_line, fixed_code from w where rk = 1),
+@query("fixed_files", f"""with {_JUDGED},
     l as (select repo, path, unnest({_LINES.replace('f.', '')}) as text, generate_subscripts({_LINES.replace('f.', '')}, 1) as line from v_files),
     p as (select repo, path, line, text from l where not exists (select 1 from a where a.repo = l.repo and a.path = l.path and l.line between a.start_line and a.end_line)
       union all select repo, path, start_line, fixed_code from a), k as (select repo, path, count(*) as k from a group by 1, 2)
-    select p.repo, p.path, md5(string_agg(p.text, chr(10) order by p.line)) as content_md5, cast(coalesce(any_value(k.k), 0) as int) as n_fixes from p left join k on p.repo = k.repo and p.path = k.path group by 1, 2""")
+    select p.repo, p.path, md5(string_agg(p.text, chr(10) order by p.line)) as content_md5, cast(any_value(k.k) as int) as n_fixes from p join k on p.repo = k.repo and p.path = k.path group by 1, 2""")
 def fixed_files(spark, sf):
     patched = fixes.apply_fixes(views.files(spark, sf), views.fixes(spark, sf))
     return patched.select("repo", "path", F.md5("content").alias("content_md5"), "n_fixes")

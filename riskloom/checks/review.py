@@ -132,7 +132,7 @@ def _numbered(spark, sf):
     from riskloom.operators import dedup
     found = review.to_findings(_agent_findings(spark, sf))
     kept = dedup.dedup_agent(found.drop("agent"), ["end_line", "impact", "confidence", "message", "code", "recommended_action", "reasoning"])
-    return ranking.number_findings(kept, [ranking.agent_rank(F.col("impact")).desc(), "path", "start_line", "check_id"])
+    return ranking.number_findings(kept, [-ranking.agent_rank(F.col("impact")), "path", "start_line", "check_id"])
 
 
 @query("secret_totals", f"""with f as ({_ENH}), r as (select repo, count(*) filter (where {q.any_contains('lower(check_id)', dims.SECRET_FINDING_WORDS)} or {q.any_contains('lower(message)', dims.SECRET_FINDING_WORDS)}) as raw_secrets from f group by 1),
@@ -240,15 +240,15 @@ _COMMENTS = "select distinct 'src' || substr(repo, 2) as repo, comment_id, body
 
 
 @query("reply_prompts", f"""with n as (select *, row_number() over (partition by repo order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as n from v_fixes),
-    t as (select repo, 'Applied fixes:' || chr(10) || string_agg(n || '. ' || vulnerability || ' in ' || path || ' (lines ' || start_line || '-' || end_line || ')', chr(10) order by n) filter (where n <= 50)
-      || case when count(*) > 50 then chr(10) || 'and ' || (count(*) - 50) || ' more' else '' end as summary from n group by 1), c as ({_COMMENTS})
-    select c.repo, c.comment_id, md5('You help developers with automated security fixes.' || chr(10) || chr(10) || coalesce(summary, 'No fixes were applied.') || chr(10) || chr(10) || 'Comment:' || chr(10) || body || chr(10) || chr(10)
+    t as (select repo, (n - 1) // 50 + 1 as part, 'Applied fixes:' || chr(10) || string_agg(n || '. ' || vulnerability || ' in ' || path || ' (lines ' || start_line || '-' || end_line || '): ' || description, chr(10) order by n) as summary from n group by all),
+    c as ({_COMMENTS})
+    select c.repo, c.comment_id, cast(coalesce(part, 1) as int) as part, md5('You help developers with automated security fixes.' || chr(10) || chr(10) || coalesce(summary, 'No fixes were applied.') || chr(10) || chr(10) || 'Comment:' || chr(10) || body || chr(10) || chr(10)
       || 'Answer the question briefly, with technical detail where it helps, and name the next step.') as prompt_md5 from c left join t on c.repo = t.repo""")
 def reply_prompts(spark, sf):
     comments = (views.comments(spark, sf).where("role = 'user'")
                 .select(F.concat(F.lit("src"), F.substring("repo", 2, 20)).alias("repo"), "comment_id", "body").distinct())
     p = review.reply_prompts(comments, views.fixes(spark, sf), views.ORDER)
-    return p.select("repo", "comment_id", F.md5("prompt").alias("prompt_md5"))
+    return p.select("repo", "comment_id", "part", F.md5("prompt").alias("prompt_md5"))
 
 
 # ------------------------------------------------------------------ model calls, with a stand-in that answers from the prompt's hash

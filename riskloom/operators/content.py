@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import paths, text
-from riskloom.operators.skew import HOT_ROWS, skew_join
 
 FILE_KEYS = ("repo", "path")
 
@@ -18,43 +17,47 @@ def lines(files: DataFrame) -> DataFrame:
             .withColumn("line", F.col("pos") + 1).drop("pos"))
 
 
-def with_content(findings: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def files_of(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, path, content) of the files that have findings; the paths of the findings decide before contents are used."""
+    return files.select(*FILE_KEYS, "content").join(findings.select(*FILE_KEYS).distinct(), list(FILE_KEYS), "left_semi")
+
+
+def with_content(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings with the content of their file; a finding whose file is missing is skipped."""
-    return skew_join(findings, files.select(*FILE_KEYS, "content"), FILE_KEYS, "inner", hot_rows)
+    return findings.join(files.select(*FILE_KEYS, "content"), list(FILE_KEYS))
 
 
-def _with_lines(findings: DataFrame, files: DataFrame, hot_rows: int, measure: DataFrame | None = None) -> DataFrame:
-    """Findings with `_lines`. Files are split before the join: once per file, not once per finding."""
-    split = files.select(*FILE_KEYS, text.code_lines(F.col("content")).alias("_lines"))
-    return skew_join(findings, split, FILE_KEYS, "inner", hot_rows, measure=measure)
+def _with_lines(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with `_lines`: only files that have findings are split, once per file and not once per finding."""
+    split = files_of(findings, files).select(*FILE_KEYS, text.code_lines(F.col("content")).alias("_lines"))
+    return findings.join(split, list(FILE_KEYS))
 
 
 _LINES, _START, _END = "_lines", "start_line", "end_line"
 
 
-def snippets(findings: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
     place = (F.col(_LINES), F.col(_START), F.col(_END))
-    return _with_lines(findings, files, hot_rows).withColumn("snippet", text.snippet(*place)).drop(_LINES)
+    return _with_lines(findings, files).withColumn("snippet", text.snippet(*place)).drop(_LINES)
 
 
-def numbered_context(findings: DataFrame, files: DataFrame, n: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+def numbered_context(findings: DataFrame, files: DataFrame, n: int = 5) -> DataFrame:
     place = (F.col(_LINES), F.col(_START), F.col(_END))
-    return (_with_lines(findings, files, hot_rows)
+    return (_with_lines(findings, files)
             .withColumns({"vulnerable_code": text.snippet(*place), "context": text.numbered_context(*place, n)}).drop(_LINES))
 
 
-def marked_context(findings: DataFrame, files: DataFrame, n: int = 10, hot_rows: int = HOT_ROWS,
-                   measure: DataFrame | None = None) -> DataFrame:
+def marked_context(findings: DataFrame, files: DataFrame, n: int = 10) -> DataFrame:
     """Context with marks on the lines of the finding; findings outside their file are dropped."""
     place = (F.col(_LINES), F.col(_START), F.col(_END))
-    return (_with_lines(findings, files, hot_rows, measure).where(text.valid_range(*place))
+    return (_with_lines(findings, files).where(text.valid_range(*place))
             .withColumns({"vulnerable_code": text.snippet(*place), "context": text.marked_context(*place, n)}).drop(_LINES))
 
 
-def fix_context(findings: DataFrame, files: DataFrame, n: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fix_context(findings: DataFrame, files: DataFrame, n: int = 5) -> DataFrame:
     """Exact lines and plain context for a fix request; findings outside their file are dropped."""
     place = (F.col(_LINES), F.col(_START), F.col(_END))
-    return (_with_lines(findings, files, hot_rows).where(text.valid_range(*place))
+    return (_with_lines(findings, files).where(text.valid_range(*place))
             .withColumns({"vulnerable_code": text.snippet(*place), "context": text.plain_context(*place, n)}).drop(_LINES))
 
 

@@ -2,64 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import text
-from riskloom.operators.ranking import islands
-from riskloom.operators.skew import HOT_ROWS, chunked_lists, number_rows, skew_join
-from riskloom.session import cut_lineage
+from riskloom.operators.content import files_of
+from riskloom.operators.skew import chunked_lists, number_rows
 
 _KEYS = ["repo", "path"]
+_RANGE = ["start_line", "end_line"]
 
 
-def _sized(files: DataFrame, fixes: DataFrame, how: str, hot_rows: int) -> DataFrame:
+def _sized(files: DataFrame, fixes: DataFrame, how: str) -> DataFrame:
     """Fixes with `_valid`: their range lies inside the file. Null when there is no such file."""
-    sizes = files.select(*_KEYS, F.size(text.code_lines(F.col("content"))).alias("_lines"))
+    sizes = files_of(fixes, files).select(*_KEYS, F.size(text.code_lines(F.col("content"))).alias("_lines"))
     valid = (F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line")) & (F.col("end_line") <= F.col("_lines"))
-    return skew_join(fixes, sizes, _KEYS, how, hot_rows).withColumn("_valid", valid).drop("_lines")
+    return fixes.join(sizes, _KEYS, how).withColumn("_valid", valid).drop("_lines")
 
 
 def _order() -> Column:
-    """Among overlapping fixes the most confident one wins, then the first."""
+    """The most confident fix comes first, then the first in the file."""
     return F.struct((-F.col("confidence")).alias("c"), F.col("start_line").alias("s"), F.col("end_line").alias("e"),
                     F.col("fixed_code").alias("code"))
 
 
-def _winners(placed: DataFrame) -> DataFrame:
-    """The winning fix of each overlap: (repo, path, island, `_best`). At most one per line of a file."""
-    return placed.groupBy(*_KEYS, "island").agg(F.min("_best").alias("_best"))
+def _chosen(valid: DataFrame) -> DataFrame:
+    """(repo, path, chain, `_chosen`): the fixes to apply, in order of confidence, for each chain of overlapping ranges.
+
+    Fixes are taken by confidence as long as they touch none that is taken already. A chain is reduced to one fix per
+    range first; fixes of different chains never meet.
+    """
+    ranges = valid.groupBy(*_KEYS, *_RANGE).agg(F.min(_order()).alias("_best"))
+    placed = Window.partitionBy(*_KEYS).orderBy(*_RANGE)     # the distinct ranges of one file
+    reach = F.max("end_line").over(placed.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (reach.isNull() | (F.col("start_line") > reach)).cast("int")
+    chains = ranges.withColumn("_opens", opens).withColumn("chain", F.sum("_opens").over(placed))
+    tried = F.sort_array(F.collect_list("_best"))
+
+    def take(taken, fix):
+        touches = F.exists(taken, lambda t: (t["s"] <= fix["e"]) & (fix["s"] <= t["e"]))
+        return F.when(touches, taken).otherwise(F.concat(taken, F.array(fix)))
+
+    per_chain = chains.groupBy(*_KEYS, "chain").agg(tried.alias("_tried"))
+    none = F.filter("_tried", lambda _: F.lit(False))
+    return per_chain.select(*_KEYS, "chain", F.aggregate("_tried", none, take).alias("_chosen"))
 
 
-def select_fixes(files: DataFrame, fixes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def select_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
     """Every fix with its `status`: applied, overlapped, invalid (outside the file) or missing (no file).
 
     `fixes` needs repo, path, start_line, end_line, fixed_code, confidence.
     """
-    checked = cut_lineage(_sized(files, fixes, "left", hot_rows))   # used three times; files are read once
-    candidates = checked.where("_valid")
-    placed = islands(candidates, 0, F.min(_order()).alias("_best")).select(*_KEYS, "start_line", "island", "_best")
-    best = placed.drop("_best").join(_winners(placed), _KEYS + ["island"]).drop("island")
-    judged = skew_join(candidates, best, _KEYS + ["start_line"], "inner", hot_rows).withColumn(
-        "status", F.when(_order() == F.col("_best"), "applied").otherwise("overlapped"))
-    rest = checked.where("_valid is null or not _valid").withColumn(
-        "status", F.when(F.col("_valid").isNull(), "missing").otherwise("invalid"))
-    return judged.select(*fixes.columns, "status").unionByName(rest.select(*fixes.columns, "status"))
-
-
-def apply_fixes(files: DataFrame, fixes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Files with the applied fixes spliced in, and their number. Untouched files come back as they are.
-
-    The winners come out of aggregates alone, so a file with very many fixes is reduced to at
-    most one fix per line before anything is collected.
+    checked = _sized(files, fixes, "left")
+    best = _chosen(checked.where("_valid")).select(*_KEYS, F.explode("_chosen").alias("_best")) \
+        .select(*_KEYS, F.col("_best.s").alias("start_line"), F.col("_best.e").alias("end_line"), "_best")
+    judged = checked.join(best, _KEYS + _RANGE, "left")
+    status = (F.when(F.col("_valid").isNull(), "missing").when(~F.col("_valid"), "invalid")
+              .when(_order() == F.col("_best"), "applied").otherwise("overlapped"))
+    return judged.select(*fixes.columns, status.alias("status"))
+
+
+def apply_fixes(files: DataFrame, fixes: DataFrame, untouched: bool = False) -> DataFrame:
+    """The files that fixes change, with the fixes spliced in and their number; with `untouched`, all other files too.
+
+    Files without a fix are left out before contents are shuffled, so a writer can leave them alone.
     """
     slim = fixes.select(*_KEYS, "start_line", "end_line", "fixed_code", "confidence")
-    valid = _sized(files, slim, "inner", hot_rows).where("_valid")
-    winners = _winners(islands(valid, 0, F.min(_order()).alias("_best")))
-    per_file = winners.groupBy(*_KEYS).agg(F.sort_array(F.collect_list(F.struct(
-        F.col("_best.s").alias("start_line"), F.col("_best.e").alias("end_line"),
-        F.col("_best.code").alias("fixed_code")))).alias("_fixes"))
-    joined = files.join(per_file, _KEYS, "left")
+    taken = F.flatten(F.collect_list("_chosen"))
+    per_file = _chosen(_sized(files, slim, "inner").where("_valid")).groupBy(*_KEYS).agg(
+        F.sort_array(F.transform(taken, lambda t: F.struct(
+            t["s"].alias("start_line"), t["e"].alias("end_line"), t["code"].alias("fixed_code")))).alias("_fixes"))
+    joined = files.join(per_file, _KEYS, "left" if untouched else "inner")
     lines, fixes_ = text.code_lines(F.col("content")), F.col("_fixes")
 
     def piece(fix, i):
@@ -75,9 +88,9 @@ def apply_fixes(files: DataFrame, fixes: DataFrame, hot_rows: int = HOT_ROWS) ->
         F.coalesce(F.size(fixes_), F.lit(0)).alias("n_fixes"))
 
 
-def change_summary(fixes: DataFrame, order, size: int = 500, hot_rows: int = HOT_ROWS) -> DataFrame:
+def change_summary(fixes: DataFrame, order, size: int = 500) -> DataFrame:
     """Title and numbered list of fixes per repository, in parts that fit a change request."""
-    numbered = number_rows(fixes, ["repo"], order, "_n", hot_rows)
+    numbered = number_rows(fixes, ["repo"], order, "_n")
     item = F.format_string("%d. **%s** in `%s` (lines %d-%d)\n   - %s", "_n", "vulnerability", "path", "start_line",
                            "end_line", "description")
     parts = (numbered.withColumn("part", (F.floor((F.col("_n") - 1) / size) + 1).cast("int"))
@@ -89,10 +102,10 @@ def change_summary(fixes: DataFrame, order, size: int = 500, hot_rows: int = HOT
         F.concat(F.lit("### Vulnerabilities Fixed:\n\n"), F.array_join("_items", "\n\n")).alias("body"))
 
 
-def discussion_summary(fixes: DataFrame, order, size: int = 500, hot_rows: int = HOT_ROWS) -> DataFrame:
+def discussion_summary(fixes: DataFrame, order, size: int = 500) -> DataFrame:
     """Short numbered list of fixes per repository for a discussion, in parts."""
-    numbered = number_rows(fixes, ["repo"], order, "_n", hot_rows)
+    numbered = number_rows(fixes, ["repo"], order, "_n")
     item = F.format_string("%d. **%s** in `%s`", "_n", "vulnerability", "path")
-    return (chunked_lists(numbered, ["repo"], ["_n"], item, "_items", size, hot_rows)
+    return (chunked_lists(numbered, ["repo"], ["_n"], item, "_items", size)
             .select("repo", "part", F.concat(F.lit("### Vulnerability Summary:\n\n"),
                                              F.array_join("_items", "\n")).alias("body")))

@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from riskloom import dims
 from riskloom.functions import paths
 from riskloom.operators.filters import is_relevant_name
-from riskloom.operators.skew import HOT_ROWS, skew_join
 
 _LINE_BUCKET = 64
 
 
-def with_validation(findings: DataFrame, validations: DataFrame, keys=("repo", "path"),
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_validation(findings: DataFrame, validations: DataFrame, keys=("repo", "path")) -> DataFrame:
     """Findings with their validation, null when there is none. `validations` has one row per key."""
     right = validations.withColumnRenamed("confidence", "validation_confidence")
-    return skew_join(findings, right, keys, "left", hot_rows)
+    return findings.join(right, list(keys), "left")
 
 
 def assign_analysis(agents: DataFrame, analyses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,8 +29,8 @@ def assign_analysis(agents: DataFrame, analyses: DataFrame) -> tuple[DataFrame,
     return ok, errors
 
 
-def route_arrays(files: DataFrame, agents, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Files with `agents`, the analysers that look at them.
+def route_arrays(files: DataFrame, agents) -> DataFrame:
+    """Files with `agents`, the analysers that look at them. Give paths only: all columns take part in the join.
 
     An analyser without any relevant file in a repository gets all files of that repository.
     The check for that is one boolean per analyser and repository, combined on the map side.
@@ -46,14 +44,14 @@ def route_arrays(files: DataFrame, agents, hot_rows: int = HOT_ROWS) -> DataFram
             .select("repo", F.array_compact(F.array(*[F.when(~F.col(f"_a{i}"), F.lit(a))
                                                       for i, a in enumerate(agents)])).alias("_idle"))
             .where(F.size("_idle") > 0))
-    joined = skew_join(routed, idle, ["repo"], "left", hot_rows)
+    joined = routed.join(idle, "repo", "left")
     none = F.array().cast("array<string>")
     return joined.select(*files.columns, F.concat("_relevant", F.coalesce("_idle", none)).alias("agents"))
 
 
-def route_files(files: DataFrame, agents, hot_rows: int = HOT_ROWS) -> DataFrame:
+def route_files(files: DataFrame, agents) -> DataFrame:
     """(repo, path, agent): which analyser looks at which file."""
-    return (route_arrays(files.select("repo", "path"), agents, hot_rows)
+    return (route_arrays(files.select("repo", "path"), agents)
             .select("repo", "path", F.explode("agents").alias("agent")))
 
 
@@ -68,15 +66,15 @@ def rulesets_for(names: DataFrame, table: dict) -> DataFrame:
     return names.join(F.broadcast(rulesets_frame(names.sparkSession, table)), "name")
 
 
-def unmatched(left: DataFrame, right: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return skew_join(left, right.select(*keys).distinct(), keys, "left_anti", hot_rows)
+def unmatched(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    return left.join(right.select(*keys), list(keys), "left_anti")
 
 
-def matched(left: DataFrame, right: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return skew_join(left, right.select(*keys).distinct(), keys, "left_semi", hot_rows)
+def matched(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    return left.join(right.select(*keys), list(keys), "left_semi")
 
 
-def secrets_in_findings(secrets: DataFrame, findings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def secrets_in_findings(secrets: DataFrame, findings: DataFrame) -> DataFrame:
     """Secrets with the distinct finding ranges of the same file that cover their line.
 
     Ranges are cut into buckets of lines, so a file with many findings is spread over many
@@ -87,13 +85,13 @@ def secrets_in_findings(secrets: DataFrame, findings: DataFrame, hot_rows: int =
               .withColumn("_b", F.explode(F.sequence(bucket(F.col("start_line")), bucket(F.col("end_line")))))
               .where(F.col("start_line") <= F.col("end_line")))
     left = secrets.withColumn("_b", bucket(F.col("line")))
-    joined = skew_join(ranges, left, ["repo", "path", "_b"], "inner", hot_rows)
+    joined = ranges.join(left, ["repo", "path", "_b"])
     return joined.where(F.col("line").between(F.col("start_line"), F.col("end_line"))).drop("_b")
 
 
-def with_context(findings: DataFrame, context: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_context(findings: DataFrame, context: DataFrame) -> DataFrame:
     """Findings with the one context row of their repository."""
-    return skew_join(findings, context, ["repo"], "inner", hot_rows)
+    return findings.join(context, "repo")
 
 
 def agent_names(scheduled: bool = True) -> list[str]:

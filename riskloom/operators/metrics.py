@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from riskloom.functions import paths, severity
 from riskloom.operators.content import loc
 from riskloom.operators.filters import path_roles
 from riskloom.operators.ranking import type_order
-from riskloom.operators.skew import HOT_ROWS, chunked_lists
+from riskloom.operators.skew import chunked_lists
 
 
 def language_share(stats: DataFrame) -> DataFrame:
@@ -87,10 +89,10 @@ def secret_counts(secrets: DataFrame) -> DataFrame:
     return counts.withColumn("position", F.row_number().over(by_count)).drop("_first")
 
 
-def by_file(findings: DataFrame, order, size: int = 1000, hot_rows: int = HOT_ROWS) -> DataFrame:
+def by_file(findings: DataFrame, order, size: int = 1000) -> DataFrame:
     """Findings of each file as ordered lists of `start-end:rule`, in parts of at most `size`."""
     item = F.format_string("%d-%d:%s", "start_line", "end_line", "check_id")
-    return chunked_lists(findings, ["repo", "path"], order, item, "findings", size, hot_rows)
+    return chunked_lists(findings, ["repo", "path"], order, item, "findings", size)
 
 
 def code_metrics(findings: DataFrame) -> DataFrame:
@@ -115,11 +117,11 @@ def systemic_patterns(findings: DataFrame, min_n: int = 2) -> DataFrame:
             .withColumn("systemic_fix", ff.systemic_fix_of(F.col("type"))))
 
 
-def pattern_locations(findings: DataFrame, order, size: int = 1000, hot_rows: int = HOT_ROWS) -> DataFrame:
+def pattern_locations(findings: DataFrame, order, size: int = 1000) -> DataFrame:
     """`path:line` of every instance of a type, in parts of at most `size`."""
     typed = findings.withColumn("type", ff.agent_type(F.col("check_id")))
     place = F.format_string("%s:%d", "path", "start_line")
-    return chunked_lists(typed, ["repo", "type"], order, place, "locations", size, hot_rows)
+    return chunked_lists(typed, ["repo", "type"], order, place, "locations", size)
 
 
 def validation_summary(marked: DataFrame) -> DataFrame:
@@ -163,7 +165,7 @@ def agent_summary(routes: DataFrame, progress: DataFrame, findings: DataFrame) -
                     F.coalesce(F.col("_last.progress"), F.lit(0.0)).alias("progress")))
 
 
-def project_structure(files: DataFrame, size: int = 1000, loose: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+def project_structure(files: DataFrame, size: int = 1000, loose: bool = True) -> DataFrame:
     """Sorted paths per (repo, role): entry, config, test, doc, in parts of at most `size`.
 
     `loose` takes the substring flags, otherwise the exact names.
@@ -171,7 +173,7 @@ def project_structure(files: DataFrame, size: int = 1000, loose: bool = True, ho
     kind = "loose" if loose else "named"
     roles = F.array_compact(F.array(*[F.when(F.col(f"{kind}_{r}"), F.lit(r)) for r in ("entry", "config", "test", "doc")]))
     tagged = path_roles(files).select("repo", "path", F.explode(roles).alias("role"))
-    return chunked_lists(tagged, ["repo", "role"], ["path"], F.col("path"), "paths", size, hot_rows)
+    return chunked_lists(tagged, ["repo", "role"], ["path"], F.col("path"), "paths", size)
 
 
 def technology_stack(files: DataFrame) -> DataFrame:
@@ -222,13 +224,8 @@ def distinct_types(findings: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def run_summary(findings: DataFrame, secrets: DataFrame, fixes: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row per run with the totals of all targets."""
-    def counted(df, name):
-        return df.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("repo").alias("repos")).select(
-            "run_id", F.lit(name).alias("kind"), "n", "repos")
-    parts = [counted(df, name) for df, name in
-             ((findings, "findings"), (secrets, "secrets"), (fixes, "fixes"), (errors, "errors"))]
-    long = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    pick = lambda name: F.coalesce(F.sum(F.when(F.col("kind") == name, F.col("n"))), F.lit(0)).alias(name)
-    return long.groupBy("run_id").agg(*[pick(k) for k in ("findings", "secrets", "fixes", "errors")],
-                                      F.max("repos").alias("repos"))
+    """One row per run with the totals of all targets; `repos` counts the targets that have a row of any kind."""
+    parts = {"findings": findings, "secrets": secrets, "fixes": fixes, "errors": errors}
+    kinds = [df.select("run_id", "repo", *[F.lit(int(k == name)).alias(k) for k in parts]) for name, df in parts.items()]
+    per_repo = reduce(DataFrame.unionByName, kinds).groupBy("run_id", "repo").agg(*[F.sum(k).alias(k) for k in parts])
+    return per_repo.groupBy("run_id").agg(*[F.sum(k).alias(k) for k in parts], F.count("repo").alias("repos"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom import dims
 from riskloom.functions import findings as ff
 from riskloom.functions import severity
-from riskloom.operators.skew import HOT_ROWS, number_rows, row_salt, skew_join
+from riskloom.operators.skew import number_rows, row_salt
 
 
 def rank_languages(share: DataFrame, threshold: float = 10.0) -> DataFrame:
@@ -40,10 +40,9 @@ def keep_first(df: DataFrame, keys, order) -> DataFrame:
     return df.groupBy(*keys).agg(first.alias("_first")).select(*keys, "_first.*").select(*df.columns)
 
 
-def number_findings(findings: DataFrame, order, prefix: str = "VULN", width: int = 4,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Sequential ids per repository over a total order."""
-    numbered = number_rows(findings, ["repo"], order, "_n", hot_rows)
+def number_findings(findings: DataFrame, order, prefix: str = "VULN", width: int = 4) -> DataFrame:
+    """Sequential ids per repository over a total ascending order."""
+    numbered = number_rows(findings, ["repo"], order, "_n")
     return numbered.withColumn("vuln_id", ff.format_id(prefix, width, F.col("_n"))).drop("_n")
 
 
@@ -88,7 +87,7 @@ def merge_ranges(findings: DataFrame, gap: int = 0) -> DataFrame:
 def with_share(df: DataFrame, value: str, by) -> DataFrame:
     """Each row's share (percent) of its key's total. The totals are aggregated first, then joined."""
     totals = df.groupBy(*by).agg(F.sum(value).alias("total"))
-    return skew_join(df, totals, list(by)).withColumn("pct", F.col(value).cast("double") / F.col("total") * 100.0)
+    return df.join(totals, list(by)).withColumn("pct", F.col(value).cast("double") / F.col("total") * 100.0)
 
 
 def report_rank(level: Column) -> Column:

@@ -1,4 +1,7 @@
-"""Building blocks that stay parallel when one key holds a large share of all rows."""
+"""Building blocks that stay parallel when one key holds a large share of all rows.
+
+Joins on such keys need nothing here: plain equi-joins leave hot partitions to Spark's adaptive skew handling.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from riskloom.session import cut_lineage
-
-HOT_ROWS = 1_000_000   # a key below this many rows fits one task
-HOT_SHARE = 0.01       # a hot key also holds at least this share, so there are at most 100
-SALTS = 32
-
-
-def _same_keys(keys, left: str, right: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
-
-def hot_keys(df: DataFrame, keys, hot_rows: int = HOT_ROWS, share: float = HOT_SHARE) -> list:
-    """Key values with at least `hot_rows` rows and `share` of all rows: never more than 1 / share.
-
-    The count is combined on the map side, so the hot keys themselves cause no skew here.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    if largest is None or largest < hot_rows:
-        return []
-    return counts.where(F.col("_n") >= F.lit(max(hot_rows, share * total))).select(*keys).collect()
+def _same(names) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names], F.lit(True))
 
 
 def row_salt(df: DataFrame, salts: int) -> Column:
@@ -37,66 +22,42 @@ def row_salt(df: DataFrame, salts: int) -> Column:
     return F.pmod(F.xxhash64(*hashable) + F.spark_partition_id(), F.lit(salts)).cast("int")
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys, how: str = "inner",
-              hot_rows: int = HOT_ROWS, salts: int = SALTS, measure: DataFrame | None = None) -> DataFrame:
-    """Equi-join on `keys` where `left` may repeat a key many times (inner, left, left_semi, left_anti).
+def number_rows(df: DataFrame, keys, order, name: str = "rn", depth: int = 2) -> DataFrame:
+    """Exact `row_number` per key over `order`, without a window over the rows of a whole key.
 
-    The rows of a hot key are salted on the left and copied per salt on the right; all other
-    rows join as they are, in the same shuffle. Without a hot key this is the plain join.
-    `measure` names a cheaper table with the same keys to look for hot ones, if `left` is costly.
+    `order` is total and ascending (negate numbers to turn it around). Rows are counted by the key and the first `depth`
+    order columns; running sums over these counts say where each such group begins, and rows are numbered inside theirs. So
+    a window holds the distinct values of one order column, or the rows of one group. `df` is read twice.
     """
-    keys = list(keys)
-    if left.isStreaming or right.isStreaming:
-        return left.join(right, keys, how)
-    hot = hot_keys(left if measure is None else measure, keys, hot_rows)
-    if not hot:
-        return left.join(right, keys, how)
-    is_hot = reduce(lambda a, b: a | b, [
-        reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys]) for row in hot])
-    salted = left.withColumn("_salt", F.when(is_hot, row_salt(left, salts)).otherwise(F.lit(0)))
-    copied = right.withColumn("_salt", F.explode(
-        F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.join(copied, keys + ["_salt"], how).drop("_salt")
-
-
-def number_rows(df: DataFrame, keys, order, name: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact `row_number` per key over `order` (which must be total), also for keys too big for one task.
-
-    Without a hot key this is a plain window. Otherwise the rows are range-split on key and
-    order, numbered inside each split, and shifted by the number of rows in earlier splits.
-    """
-    keys = list(keys)
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    if keys:
-        largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    else:
-        largest = df.count()
-    if largest is None or largest < hot_rows:
-        window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        return df.withColumn(name, F.row_number().over(window.orderBy(*order)))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = (df.withColumn("_tie", row_salt(df, 1 << 20))   # lets a split border fall between equal rows
-             .repartitionByRange(parts, *[F.col(k) for k in keys], *order, "_tie")
-             .withColumn("_part", F.spark_partition_id()))
-    split = cut_lineage(split)   # the split borders must not move between the two uses below
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part")
-    sizes = split.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))   # at most `parts` rows per key
-    starts = sizes.select(*keys, "_part", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
-    inside = split.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
-    on = _same_keys(keys + ["_part"], "a", "b")
-    return (inside.alias("a").join(starts.alias("b"), on)
-            .select(*[F.col(f"a.{c}") for c in df.columns],
-                    (F.col("a._in") + F.col("b._before")).cast("int").alias(name)))
-
-
-def chunked_lists(df: DataFrame, keys, order, value: Column, name: str, size: int = 1000,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+    keys, order = list(keys), [F.col(o) if isinstance(o, str) else o for o in order]
+    depth = min(depth, len(order) - 1)
+    levels = [f"_o{i}" for i in range(depth)]
+    placed = df.withColumns({n: o for n, o in zip(levels, order)})
+    inner = Window.partitionBy(*keys, *levels) if keys or levels else Window.partitionBy(F.lit(0))
+    counts = placed.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("_n"))
+    starts = None
+    for i in range(depth):     # from the first order column down: where each value begins inside its parent
+        upper, here = [*keys, *levels[:i]], [*keys, *levels[:i + 1]]
+        before = (Window.partitionBy(*upper) if upper else Window.partitionBy(F.lit(0))).orderBy(levels[i])
+        sums = counts.groupBy(*here).agg(F.sum("_n").alias("_n")) \
+            .select(*here, (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+        starts = sums if starts is None else (
+            sums.alias("a").join(starts.alias("b"), _same(upper))
+            .select(*[F.col(f"a.{n}") for n in here], (F.col("a._before") + F.col("b._before")).alias("_before")))
+    numbered = placed.withColumn("_in", F.row_number().over(inner.orderBy(*order)))
+    if starts is None:
+        return numbered.withColumn(name, F.col("_in").cast("bigint")).drop("_in")
+    return (numbered.alias("a").join(starts.alias("b"), _same([*keys, *levels]))
+            .select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._in") + F.col("b._before")).alias(name)))
+
+
+def chunked_lists(df: DataFrame, keys, order, value: Column, name: str, size: int = 1000) -> DataFrame:
     """Ordered lists of at most `size` values per key: `(keys, part, name)`, parts numbered from 1.
 
     No group is ever collected whole; a key with more values gives more parts.
     """
     keys = list(keys)
-    ranked = number_rows(df, keys, order, "_rn", hot_rows)
+    ranked = number_rows(df, keys, order, "_rn")
     part = (F.floor((F.col("_rn") - 1) / size) + 1).cast("int")
     pairs = F.sort_array(F.collect_list(F.struct(F.col("_rn"), F.col("_value"))))
     return (ranked.select(*keys, part.alias("part"), "_rn", value.alias("_value"))

@@ -20,7 +20,7 @@ from riskloom.operators.content import fix_context, marked_context
 from riskloom.operators.filters import apply_validation, mark_filtered
 from riskloom.operators.joins import with_context, with_validation
 from riskloom.operators.metrics import architecture
-from riskloom.operators.skew import HOT_ROWS, chunked_lists, number_rows, skew_join
+from riskloom.operators.skew import chunked_lists
 from riskloom.session import ship_package
 
 FINDING_KEYS = ("repo", "path", "start_line", "end_line", "check_id")
@@ -93,7 +93,7 @@ _FIX_FORM = (
 
 def validation_prompts(findings: DataFrame, files: DataFrame, context: DataFrame) -> DataFrame:
     """(finding keys, prompt_id, prompt). Findings outside their file get no prompt, so they stay unvalidated."""
-    rich = marked_context(with_context(findings, context), files, measure=findings)   # the wide content joins last
+    rich = marked_context(with_context(findings, context), files)   # the wide content joins last
     prompt = text.fill(_VALIDATION_FORM, context_text(), "check_id", "path", "start_line", "end_line", "impact",
                              "message", "vulnerable_code", "context")
     return rich.select(*FINDING_KEYS, prompt_id("validate", *FINDING_KEYS).alias("prompt_id"), prompt.alias("prompt"))
@@ -107,10 +107,10 @@ def fix_prompts(findings: DataFrame, files: DataFrame) -> DataFrame:
                        prompt_id("fix", *FINDING_KEYS).alias("prompt_id"), prompt.alias("prompt"))
 
 
-def agent_prompts(routes: DataFrame, context: DataFrame, size: int = 200, hot_rows: int = HOT_ROWS) -> DataFrame:
+def agent_prompts(routes: DataFrame, context: DataFrame, size: int = 200) -> DataFrame:
     """One prompt per repository, analyser and part; a part lists at most `size` of its files."""
-    lists = chunked_lists(routes, ["repo", "agent"], ["path"], F.concat(F.lit("- "), "path"), "files", size, hot_rows)
-    rich = with_context(lists, context, hot_rows)
+    lists = chunked_lists(routes, ["repo", "agent"], ["path"], F.concat(F.lit("- "), "path"), "files", size)
+    rich = with_context(lists, context)
     prompt = F.concat(
         F.format_string("Security analysis by %s\nFocus: %s\n\n", F.col("agent"), ff.agent_focus(F.col("agent"))),
         context_text(), F.lit("\n\nFiles:\n"), F.array_join("files", "\n"), F.lit("\n\n"),
@@ -120,25 +120,19 @@ def agent_prompts(routes: DataFrame, context: DataFrame, size: int = 200, hot_ro
                        prompt_id("analyse", "repo", "agent", "part").alias("prompt_id"), prompt.alias("prompt"))
 
 
-def reply_prompts(comments: DataFrame, fixes: DataFrame, order, listed: int = 50, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """A prompt per comment with the fixes of its repository.
-
-    The first `listed` fixes are named one by one; the rest is told by count, so the context
-    has a bounded size and no comment is paired with every fix.
-    """
-    item = F.format_string("%d. %s in %s (lines %d-%d)", "_n", "vulnerability", "path", "start_line", "end_line")
-    numbered = number_rows(fixes, ["repo"], order, "_n", hot_rows)
-    told = numbered.groupBy("repo").agg(
-        F.sort_array(F.collect_list(F.when(F.col("_n") <= listed, F.struct("_n", item.alias("t"))))).getField("t").alias("_t"),
-        F.count(F.lit(1)).alias("_all"))
-    more = F.when(F.col("_all") > listed, F.format_string("\nand %d more", F.col("_all") - listed)).otherwise("")
-    summary = told.select("repo", F.concat(F.lit("Applied fixes:\n"), F.array_join("_t", "\n"), more).alias("_summary"))
-    joined = skew_join(comments, summary, ["repo"], "left", hot_rows)
+def reply_prompts(comments: DataFrame, fixes: DataFrame, order, size: int = 50) -> DataFrame:
+    """A prompt per comment and part: every fix of its repository is named with its description, `size` fixes to a part."""
+    item = F.format_string("%s in %s (lines %d-%d): %s", "vulnerability", "path", "start_line", "end_line", "description")
+    lists = chunked_lists(fixes, ["repo"], order, item, "_items", size)
+    told = F.array_join(F.transform("_items", lambda t, i: F.concat((F.col("_from") + i).cast("string"), F.lit(". "), t)), "\n")
+    summary = lists.withColumn("_from", (F.col("part") - 1) * size + 1).select(
+        "repo", "part", F.concat(F.lit("Applied fixes:\n"), told).alias("_summary"))
+    joined = comments.join(summary, "repo", "left").withColumn("part", F.coalesce("part", F.lit(1)))
     prompt = F.format_string(
         "You help developers with automated security fixes.\n\n%s\n\nComment:\n%s\n\n"
         "Answer the question briefly, with technical detail where it helps, and name the next step.",
         F.coalesce("_summary", F.lit("No fixes were applied.")), F.col("body"))
-    return joined.select("repo", "comment_id", prompt_id("reply", "repo", "comment_id").alias("prompt_id"),
+    return joined.select("repo", "comment_id", "part", prompt_id("reply", "repo", "comment_id", "part").alias("prompt_id"),
                          prompt.alias("prompt"))
 
 

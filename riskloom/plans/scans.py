@@ -52,7 +52,7 @@ def run_orchestrated(files: DataFrame, agents=None, rules=CODE_RULES, points=COD
     if agent_findings is not None:
         found = found.unionByName(agent_findings.select(*found.columns))
     kept = dedup.dedup_agent(found, ["end_line", "impact", "confidence", "message", "code"])
-    order = [ranking.agent_rank(F.col("impact")).desc(), F.col("path"), F.col("start_line"), F.col("check_id")]
+    order = [-ranking.agent_rank(F.col("impact")), F.col("path"), F.col("start_line"), F.col("check_id")]
     spots = matching.code_points(sources, points)
     return {
         "context": metrics.codebase_context(files), "code_points": spots,

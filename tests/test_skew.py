@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import content, dedup, fixes, joins, metrics, ranking, skew
@@ -19,22 +20,6 @@ def counted(df):
     return Counter(map(tuple, df.collect()))
 
 
-def test_hot_keys_are_found(rows):
-    assert [r.repo for r in skew.hot_keys(rows, ["repo"], hot_rows=100)] == ["hot"]
-    assert skew.hot_keys(rows, ["repo"], hot_rows=1000) == []
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_skew_join_equals_join(spark, rows, how):
-    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("zz", 4)], "repo string, w int")
-    assert counted(skew.skew_join(rows, right, ["repo"], how, hot_rows=100, salts=5)) == counted(rows.join(right, ["repo"], how))
-
-
-def test_skew_join_with_repeated_right_rows(spark, rows):
-    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 2)], "repo string, w int")
-    assert counted(skew.skew_join(rows, right, ["repo"], "inner", hot_rows=100)) == counted(rows.join(right, ["repo"]))
-
-
 def test_copies_get_different_salts(rows):
     same = rows.withColumn("line", F.lit(1)).withColumn("v", F.lit(1)).where("repo = 'hot'")
     assert same.select(skew.row_salt(same, 8).alias("s")).distinct().count() > 1
@@ -43,19 +28,21 @@ def test_copies_get_different_salts(rows):
 def test_number_rows_equals_window(rows):
     unique = rows.groupBy("repo", "path", "line", "v").count()
     order = ["path", "line", "v"]
-    plain, split = (skew.number_rows(unique, ["repo"], order, hot_rows=h) for h in (10**9, 1))
-    assert counted(plain.select("repo", *order, "rn")) == counted(split.select("repo", *order, "rn"))
+    window = Window.partitionBy("repo").orderBy(*order)
+    want = counted(unique.select("repo", *order, F.row_number().over(window).cast("bigint").alias("rn")))
+    for depth in (0, 1, 2):
+        assert counted(skew.number_rows(unique, ["repo"], order, depth=depth).select("repo", *order, "rn")) == want
 
 
 def test_number_rows_without_keys(rows):
     unique = rows.select("repo", "line").distinct()
-    got = skew.number_rows(unique, [], ["repo", "line"], hot_rows=1).orderBy("rn").collect()
+    got = skew.number_rows(unique, [], ["repo", "line"]).orderBy("rn").collect()
     assert [r.rn for r in got] == list(range(1, len(got) + 1))
     assert [(r.repo, r.line) for r in got] == sorted((r.repo, r.line) for r in got)
 
 
 def test_chunked_lists_are_bounded_and_whole(rows):
-    lists = skew.chunked_lists(rows.withColumn("n", F.monotonically_increasing_id()), ["repo"], ["line", "v", "n"], F.col("line"), "xs", 25, hot_rows=50)
+    lists = skew.chunked_lists(rows.withColumn("n", F.monotonically_increasing_id()), ["repo"], ["line", "v", "n"], F.col("line"), "xs", 25)
     got = lists.collect()
     assert max(len(r.xs) for r in got) <= 25 and sum(len(r.xs) for r in got) == 1000
     assert sorted(r.part for r in got if r.repo == "hot") == list(range(1, 17))
@@ -65,33 +52,41 @@ def test_context_with_a_hot_file(spark, files_of):
     files = files_of({"r": {"a.py": "\n".join(f"l{i}" for i in range(1, 31)), "b.py": "x"}})
     findings = spark.createDataFrame([("r", "a.py", i % 30 + 1, i % 30 + 1, f"c{i}") for i in range(200)] + [("r", "b.py", 1, 1, "c"), ("r", "gone.py", 1, 1, "c")],
                                      "repo string, path string, start_line int, end_line int, check_id string")
-    plain, salted = (content.marked_context(findings, files, hot_rows=h) for h in (10**9, 50))
-    assert counted(plain) == counted(salted) and plain.count() == 201
+    assert content.marked_context(findings, files).count() == 201
 
 
 def test_routing_with_a_hot_repository(spark, files_of):
     files = files_of({"hot": {f"lib/x{i}.txt": "" for i in range(100)}, "b": {"auth.py": ""}}).select("repo", "path")
-    plain, salted = (joins.route_files(files, joins.agent_names(), h) for h in (10**9, 20))
-    assert counted(plain) == counted(salted)
-    assert salted.where("repo = 'hot'").count() == 500   # no analyser has a relevant file there, so all get all
+    assert joins.route_files(files, joins.agent_names()).where("repo = 'hot'").count() == 500   # no analyser has a relevant file there, so all get all
 
 
 def test_fixes_with_a_hot_file(spark, files_of):
     files = files_of({"r": {"a.py": "\n".join(f"l{i}" for i in range(1, 101)), "b.py": "x\ny"}})
     rows = [("r", "a.py", i, i + i % 2, f"n{i}", i % 10 / 10) for i in range(1, 101)] + [("r", "b.py", 2, 2, "z", 0.9), ("r", "b.py", 2, 9, "bad", 1.0), ("r", "c.py", 1, 1, "no", 1.0)]
     todo = spark.createDataFrame(rows, "repo string, path string, start_line int, end_line int, fixed_code string, confidence double")
-    plain, salted = (fixes.apply_fixes(files, todo, h) for h in (10**9, 10))
-    assert counted(plain) == counted(salted)
-    status = Counter(r.status for r in fixes.select_fixes(files, todo).collect())
+    rows = fixes.select_fixes(files, todo).collect()
+    status = Counter(r.status for r in rows)
     assert sum(status.values()) == 103 and status["missing"] == 1 and status["invalid"] >= 1
+    touch = lambda a, b: (a.repo, a.path) == (b.repo, b.path) and a.start_line <= b.end_line and b.start_line <= a.end_line
+    taken = [r for r in rows if r.status == "applied"]
+    assert not any(touch(a, b) for i, a in enumerate(taken) for b in taken[:i])
+    assert all(any(touch(a, b) and b.confidence >= a.confidence for b in taken) for a in rows if a.status == "overlapped")
+    assert sum(r.n_fixes for r in fixes.apply_fixes(files, todo).collect()) == len(taken)
+
+
+def test_fixes_that_do_not_touch_are_all_applied(spark, files_of):
+    files = files_of({"r": {"a.py": "1\n2\n3\n4\n5\n6\n7\n8", "b.py": "x"}})
+    rows = [("r", "a.py", 1, 3, "A", 0.9), ("r", "a.py", 3, 5, "B", 0.5), ("r", "a.py", 5, 7, "C", 0.8)]
+    todo = spark.createDataFrame(rows, "repo string, path string, start_line int, end_line int, fixed_code string, confidence double")
+    assert [(r.path, r.content, r.n_fixes) for r in fixes.apply_fixes(files, todo).collect()] == [("a.py", "A\n4\nC\n8", 2)]
+    assert sorted(r.path for r in fixes.apply_fixes(files, todo, untouched=True).collect()) == ["a.py", "b.py"]
 
 
 def test_secrets_in_a_hot_file(spark):
     findings = spark.createDataFrame([("r", "a", i, i + 150, f"c{i}") for i in range(1, 200)], "repo string, path string, start_line int, end_line int, check_id string")
     secrets = spark.createDataFrame([("r", "a", n, "token") for n in (1, 64, 128, 300, 400)], "repo string, path string, line int, detector string")
     want = Counter(n for n in (1, 64, 128, 300, 400) for i in range(1, 200) if i <= n <= i + 150)
-    for hot in (10**9, 20):
-        assert Counter(r.line for r in joins.secrets_in_findings(secrets, findings, hot).collect()) == want
+    assert Counter(r.line for r in joins.secrets_in_findings(secrets, findings).collect()) == want
 
 
 def test_dedup_is_idempotent_and_ignores_order(rows):
