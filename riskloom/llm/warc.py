@@ -260,7 +260,8 @@ def page_digests(pages: DataFrame, path: str | None = None, least: int = LEAST_B
     spark = pages.sparkSession
     path = path or shared_folder(spark)
     write_archives(pages, path, least)
-    found = assemble(read_archives(spark, path, with_payload=False)).where(F.col("response").isNotNull()).select(
+    read = cut_lineage(read_archives(spark, path, with_payload=False))     # narrow rows, so that the archives are read once
+    found = assemble(read).where(F.col("response").isNotNull()).select(
         "capture_id", F.get(F.col("metadata"), F.lit(0))["fields"]["page_id"].cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("first_id"))
