@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from riskloom import dims
 from riskloom.checks import sqltext as q
 from riskloom.checks import views
 from riskloom.functions import findings as ff
-from riskloom.operators import dedup, joins, matching, metrics, ranking
-from riskloom.plans import scans
+from riskloom.operators import dedup, filters, joins, matching, metrics, ranking
+from riskloom.plans import profile, scans
 from riskloom.rule_catalog import (ALL_RULES, CODE_POINTS, CODE_RULES, HTML_CHECKS, SECRET_DETECTORS, Rule)
 
 QUERIES, SQL = {}, {}
@@ -233,10 +236,95 @@ _STD = f"""with kept as (select * from v_code where not {q.any_contains('path',
     c as (select repo, title, count(*) as n, min(struct_pack(a := {q.report_rank('severity')}, b := path, c := start_line)) as first from s group by 1, 2)
     select repo, title, n, cast(row_number() over (partition by repo order by n desc, first.a, title, first) as int) as position from c""")
 def standard_titles(spark, sf):
-    return scans.run_standard(views.code_files(spark, sf))["titles"]
+    return scans.run_standard(views.code_files(spark, sf), by_profile=False)["titles"]
 
 
 @query("standard_metrics", f"""{_STD} select repo, count(distinct path) as files_analyzed, count(*) as total, round(cast(count(*) as double) / count(distinct path), 6) as density, """ + ", ".join(
     f"count(*) filter (where impact = '{s}') as {s.lower()}" for s in dims.REPORT_DISPLAY_ORDER) + " from m group by 1")
 def standard_metrics(spark, sf):
-    return scans.scan(views.code_files(spark, sf))["metrics"].withColumn("density", F.round("density", 6))
+    return scans.scan(views.code_files(spark, sf), by_profile=False)["metrics"].withColumn("density", F.round("density", 6))
+
+
+def _profiled():
+    from riskloom.checks.manifests import _PROFILE, _RULE_VALUES
+    head = (_PROFILE % ("", "joined")).replace("v_manifests", "vm")
+    return f"""with vm as (select *, doc_id as o_orderkey, regexp_extract(path, '([^/]*)$', 1) as base from v_code), {head[5:]},
+    u as (select distinct repo, r.rule_id from (select repo, unnest(rulesets) as ruleset from final) x join {_RULE_VALUES} r on r.ruleset = x.ruleset),
+    kept as (select * from v_code where not {q.any_contains('path', dims.SKIP_DIRECTORIES)} and {q.in_list(q.EXT, dims.ANALYSABLE_EXTENSIONS)} and size <= 1000000),
+    pm as (select m.* from {_matches('kept', ALL_RULES)} m where exists (select 1 from u where u.repo = m.repo and u.rule_id = m.check_id))"""
+
+
+@query("profiled_matches", _profiled() + " select * from pm")
+def profiled_matches(spark, sf):
+    code = views.code_files(spark, sf)
+    wanted = filters.limit_targets(filters.filter_analysable(code))
+    return scans.profiled(matching.match_rules(wanted), profile.build_profile(code))
+
+
+_RUN_SIZE = 300    # so that some of the files are too large
+
+
+@query("skipped_files", f"select repo, path, size, 'too large' as reason from v_code where size > {_RUN_SIZE}")
+def skipped_files(spark, sf):
+    return filters.skipped_files(views.code_files(spark, sf), _RUN_SIZE)
+
+
+def _secret_hits(view):
+    each = " union all ".join(
+        f"select repo, path, line, {q.quote(name)} as detector, unnest(regexp_extract_all(text, {q.quote(regex)}, 1)) as value from ln" for name, regex, _ in SECRET_DETECTORS)
+    return f"(with ln as materialized ({_lines(view)}) {each})"
+
+
+@query("standard_run", _profiled().replace("size <= 1000000", f"size <= {_RUN_SIZE}") + f""", fx as (select distinct repo, path, start_line, end_line, check_id from pm),
+    sx as (select distinct repo, path, line, detector, value from {_secret_hits('kept')}),
+    ex as (select repo from v_code where not {q.any_contains('path', dims.SKIP_DIRECTORIES)} and {q.in_list(q.EXT, dims.ANALYSABLE_EXTENSIONS)} and size > {_RUN_SIZE})
+    select 'run' as run_id, (select count(*) from fx) as findings, (select count(*) from sx) as secrets, cast(0 as bigint) as fixes, (select count(*) from ex) as errors,
+    (select count(distinct repo) from (select repo from fx union all select repo from sx union all select repo from ex)) as repos""")
+def standard_run(spark, sf):
+    return scans.run_standard(views.code_files(spark, sf), max_bytes=_RUN_SIZE)["run"]
+
+
+def rule_fixer():
+    """A stand-in for a model: the fix names the rule, its confidence is the length of the rule's name."""
+    def complete(prompts):
+        rules = [re.search(r"\nRule: (.*)\n", p)[1] for p in prompts]
+        return [json.dumps({"vulnerability": r, "severity": "s", "fix": f"safe({r})", "explanation": "e", "confidence": len(r) % 16 / 16}) for r in rules]
+    return complete
+
+
+@query("standard_fixes", _profiled() + f""", tried as (select distinct repo, path, start_line as line, 'safe(' || check_id || ')' as code, length(check_id) % 16 / 16 as c from pm),
+    best as (select * from (select *, row_number() over (partition by repo, path, line order by c desc, code) as rn from tried where c >= 0.8) where rn = 1),
+    al as (select repo, path, line, text from ({_lines('kept')})),
+    done as (select al.repo, al.path, al.line, coalesce(best.code, al.text) as text, best.code is not null as fixed from al left join best on best.repo = al.repo and best.path = al.path and best.line = al.line)
+    select repo, path, md5(string_agg(text, chr(10) order by line)) as content_md5, cast(count(*) filter (where fixed) as int) as n_fixes from done group by 1, 2 having bool_or(fixed)""")
+def standard_fixes(spark, sf):
+    changed = scans.run_standard(views.code_files(spark, sf), fixer=rule_fixer)["fixed_files"]
+    return changed.select("repo", "path", F.md5("content").alias("content_md5"), "n_fixes")
+
+
+def first_file_analyser():
+    """A stand-in for a model: reports the first file of its list; one analyser never answers in JSON."""
+    def complete(prompts):
+        out = []
+        for p in prompts:
+            agent, file = re.search(r"analysis by (.*)\n", p)[1], re.search(r"Files:\n- (.*)\n", p)[1]
+            found = {"type": "stub", "file": file, "line_start": 1, "line_end": 2, "severity": "HIGH", "confidence": 0.9, "description": agent}
+            out.append("no idea" if agent == "code-xss-analyser" else json.dumps({"agent_id": agent, "vulnerabilities": [found], "patterns": []}))
+        return out
+    return complete
+
+
+_FIRST_FILES = f"""with src as (select repo, path from v_code where {_SOURCE}), r as ({_routed(joins.agent_names())}),
+    nr as (select *, (row_number() over (partition by repo, agent order by path) - 1) // 200 as part from r), ff as (select repo, agent, part, min(path) as path from nr group by all)"""
+
+
+@query("orchestrated_agents", f"{_FIRST_FILES} select distinct repo, path, agent || '-stub' as check_id, cast(0.9 as double) as confidence, agent as message from ff where agent <> 'code-xss-analyser'")
+def orchestrated_agents(spark, sf):
+    found = scans.run_orchestrated(views.code_files(spark, sf), complete=first_file_analyser)["findings"]
+    return found.where(F.col("check_id").endswith("-stub")).select("repo", "path", "check_id", "confidence", "message")
+
+
+@query("orchestrated_errors", f"{_FIRST_FILES} select agent as agent_id, 'no JSON object' as error, count(*) as n from ff where agent = 'code-xss-analyser' group by 1")
+def orchestrated_errors(spark, sf):
+    errors = scans.run_orchestrated(views.code_files(spark, sf), complete=first_file_analyser)["errors"]
+    return errors.groupBy("agent_id", "error").agg(F.count("*").alias("n"))

@@ -103,6 +103,20 @@ def _agent_findings(spark, sf):
     return reports.parse_agent_replies(views.agent_replies(spark, sf), ("repo", "agent", "o_orderkey"))
 
 
+@query("reply_errors", """select repo, agent, o_orderkey, case when regexp_extract(doc, '(?s)(\\{.*\\})', 1) = '' then 'no JSON object' else 'broken JSON' end as reason
+    from v_agent_replies where not json_valid(regexp_extract(doc, '(?s)(\\{.*\\})', 1))""")
+def reply_errors(spark, sf):
+    return reports.reply_errors(views.agent_replies(spark, sf), ("repo", "agent", "o_orderkey"))
+
+
+_TORN = "case when event_id % 50 = 0 then left(raw, length(raw) - 1) else raw end"    # as of a report that was cut off
+
+
+@query("secret_errors", f"select repo, event_id, 'not JSON' as reason, raw as line from (select repo, event_id, {_TORN} as raw from v_secret_lines) where not json_valid(raw)")
+def secret_errors(spark, sf):
+    return reports.secret_errors(views.secret_lines(spark, sf).selectExpr("repo", "event_id", f"{_TORN} as raw"), "raw", ("repo", "event_id"))
+
+
 @query("agent_patterns", """select repo, agent, o_orderkey, 'no validation' as pattern, 'a:1,b:2' as instances, 'add it' as recommendation from v_agent_replies where json_valid(regexp_extract(doc, '(?s)(\\{.*\\})', 1))""")
 def agent_patterns(spark, sf):
     p = reports.agent_patterns(views.agent_replies(spark, sf), ("repo", "agent", "o_orderkey"))

@@ -25,8 +25,10 @@ def dedup_report(findings: DataFrame, order) -> DataFrame:
 
 
 def dedup_secrets(secrets: DataFrame, order=None) -> DataFrame:
-    keys = ["repo", "path", "line", "detector", "redacted"]
-    return keep_first(secrets, keys, order) if order else secrets.dropDuplicates(keys)
+    """One row per place, detector and value. Without an order, the other columns decide, so reruns keep the same row."""
+    keys = [c for c in ("repo", "path", "line", "detector", "redacted", "value_hash") if c in secrets.columns]
+    order = order or [c for c in secrets.columns if c not in keys]
+    return keep_first(secrets, keys, order) if len(keys) < len(secrets.columns) else secrets.distinct()
 
 
 def collect_agents(*frames: DataFrame, order, compat: bool = False) -> DataFrame:

@@ -142,6 +142,14 @@ def valid_fixes(fixes: DataFrame) -> DataFrame:
     return fixes.where(ff.is_valid_fix(F.col("original_code"), F.col("fixed_code")))
 
 
+def skipped_files(files: DataFrame, max_bytes: int = 1_000_000, excludes=()) -> DataFrame:
+    """(repo, path, size, reason) of the files that `limit_targets` leaves out."""
+    reason = F.when(F.col("size") > max_bytes, F.lit("too large"))
+    if excludes:
+        reason = reason.when(F.concat(F.lit("/"), F.col("path")).rlike(glob_pattern(excludes)), "excluded")
+    return files.select("repo", "path", "size", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def limit_targets(files: DataFrame, max_bytes: int = 1_000_000, excludes=()) -> DataFrame:
     """Files small enough to scan and outside the excluded globs."""
     keep = F.col("size") <= max_bytes

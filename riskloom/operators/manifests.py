@@ -97,12 +97,12 @@ def patterns_frame(spark: SparkSession, manifest: str) -> DataFrame:
 def match_deps(deps: DataFrame, patterns: DataFrame, fold_case: bool = False) -> DataFrame:
     """Dependencies times patterns where the name contains the pattern.
 
-    `patterns` is one of the constant tables above (at most a dozen rows), hence the broadcast.
+    The tables above have a dozen rows, which Spark sees and broadcasts by itself; a larger one is left to its size check.
     """
     name, pattern = F.col("name"), F.col("pattern")
     if fold_case:
         name, pattern = F.lower(name), F.lower(pattern)
-    return deps.join(F.broadcast(patterns), name.contains(pattern))
+    return deps.join(patterns, name.contains(pattern))
 
 
 def classify_deps(deps: DataFrame) -> DataFrame:
@@ -180,8 +180,18 @@ def _path_hits(base: Column) -> Column:
 
 
 def framework_hits(files: DataFrame) -> DataFrame:
-    """Every framework hit (repo, path, framework, category, manifest) in a single pass over the files."""
-    staged = (files.where(F.col("type") == "file")
+    """Every framework hit (repo, path, framework, category, manifest): by path for all files, by content for manifests.
+
+    Two branches, so that contents are only used of files whose name says manifest.
+    """
+    listed = files.where(F.col("type") == "file").select("repo", "path", _base().alias("_base"))
+    by_path = listed.select("repo", "path", F.explode(_path_hits(F.col("_base"))).alias("framework"), F.lit(False).alias("manifest"),
+                            F.lit("framework").alias("category"))
+    return by_path.unionByName(_manifest_hits(files)).select("repo", "path", "framework", "manifest", "category")
+
+
+def _manifest_hits(files: DataFrame) -> DataFrame:
+    staged = (files.where((F.col("type") == "file") & _base().isin(*dims.MANIFEST_PATTERNS))
               .select("repo", "path", "content", _base().alias("_base"))
               .withColumn("_npm", F.when(F.col("_base") == "package.json", _parsed_npm(F.col("content")))))
     content, base, parsed = F.col("content"), F.col("_base"), F.col("_npm")
@@ -197,18 +207,14 @@ def framework_hits(files: DataFrame) -> DataFrame:
         .when(base == "go.mod", _text_hits(content, "go.mod", True))
         .when(base == "Gemfile", _text_hits(content, "Gemfile", True))
         .when(base == "composer.json", _text_hits(content, "composer.json", True)))
-    none = F.array().cast("array<string>")
-    found = F.array(F.struct(F.lit(False).alias("manifest"), _path_hits(base).alias("names")),
-                    F.struct(F.lit(True).alias("manifest"), F.coalesce(by_manifest, none).alias("names")))
     fw = F.col("framework")
     category = (
-        F.when(F.col("manifest") & (base == "package.json") & fw.isin(*dims.BUILD_TOOL_NAMES), "build")
-        .when(F.col("manifest") & (base == "requirements.txt") & fw.isin(*dims.DATABASE_NAMES), "database")
-        .when(F.col("manifest") & (base == "pom.xml") & fw.isin(*dims.SECURITY_FRAMEWORK_NAMES), "security")
+        F.when((base == "package.json") & fw.isin(*dims.BUILD_TOOL_NAMES), "build")
+        .when((base == "requirements.txt") & fw.isin(*dims.DATABASE_NAMES), "database")
+        .when((base == "pom.xml") & fw.isin(*dims.SECURITY_FRAMEWORK_NAMES), "security")
         .otherwise("framework"))
-    return (staged.select("repo", "path", "_base", F.inline(found))
-            .select("repo", "path", "_base", "manifest", F.explode("names").alias("framework"))
-            .select("repo", "path", "framework", "manifest", category.alias("category")))
+    return (staged.select("repo", "path", "_base", F.explode(by_manifest).alias("framework"))
+            .select("repo", "path", "framework", F.lit(True).alias("manifest"), category.alias("category")))
 
 
 def detect_frameworks(files: DataFrame) -> DataFrame:

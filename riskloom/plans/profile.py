@@ -86,14 +86,14 @@ def _joined(languages: DataFrame, frameworks: DataFrame, source: str, confidence
 
 
 def build_profile(files: DataFrame, stats: DataFrame | None = None, threshold: float = 10.0,
-                  source: str | None = None) -> DataFrame:
+                  source: str | None = None, max_size: int | None = None) -> DataFrame:
     """Profile of every repository. Languages come from size statistics if given, else from the file list.
 
-    Only marker files are read whole; of all others just the path is used.
+    Of manifests, of any size, the content is used; of all others just the path. `max_size` leaves out larger manifests.
     """
     source = source or ("mixed" if stats is not None else "file-analysis")
     share = language_share(stats) if stats is not None else language_share_by_files(files)
-    hits = detect_frameworks(key_contents(files))
+    hits = detect_frameworks(files if max_size is None else key_contents(files, max_size))
     return with_rulesets(_joined(language_profile(share, threshold), framework_profile(hits), source,
                                  SOURCE_CONFIDENCE[source]))
 
@@ -123,9 +123,9 @@ def apply_overrides(profile: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def active_rules(profile: DataFrame, rules: DataFrame) -> DataFrame:
-    """(repo, ruleset, rule): the rules each repository runs. The rule table is a catalog of constant size."""
+    """(repo, ruleset, rule): the rules each repository runs."""
     return (profile.select("repo", F.explode(F.array_distinct("rulesets")).alias("ruleset"))
-            .join(F.broadcast(rules.select("ruleset", "rule_id", "agent", "impact")), "ruleset"))
+            .join(rules.select("ruleset", "rule_id", "agent", "impact"), "ruleset"))
 
 
 def preset_rulesets(name: Column) -> Column:

@@ -70,6 +70,13 @@ def parse_secret_lines(df: DataFrame, column: str, keep=("repo",)) -> DataFrame:
     return secrets_of(entries, keep)
 
 
+def secret_errors(df: DataFrame, column: str, keep=("repo",)) -> DataFrame:
+    """The lines of a secret report that hold no JSON, with the reason."""
+    line = F.col(column)
+    return df.where(line.isNotNull() & F.try_parse_json(line).isNull()).select(
+        *keep, F.lit("not JSON").alias("reason"), line.alias("line"))
+
+
 def secrets_of(entries: DataFrame, keep=()) -> DataFrame:
     """Log entries dropped; place from the file system part, else from the history part."""
     data = "SourceMetadata.Data"
@@ -100,6 +107,13 @@ def parse_agent_replies(df: DataFrame, keep=("agent_id",)) -> DataFrame:
     return (df.select(*keep, F.explode(doc.getField("vulnerabilities")).alias("v")).select(*keep, "v.*"))
 
 
+def reply_errors(df: DataFrame, keep=("agent_id",)) -> DataFrame:
+    """The replies that `parse_agent_replies` can't read, with the reason: an analyser that failed is not one that found nothing."""
+    inner = text.json_payload(text.unwrap_reply(F.col("reply")))
+    reason = F.when(inner.isNull(), "no JSON object").when(F.try_parse_json(inner).isNull(), "broken JSON")
+    return df.select(*keep, reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def agent_patterns(df: DataFrame, keep=("agent_id",)) -> DataFrame:
     """Systemic issues that analysers report themselves."""
     inner = text.json_payload(text.unwrap_reply(F.col("reply")))
