@@ -37,16 +37,26 @@ def stream_table(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def drain(df, spark, name, mode):
-    """Runs a stream over all data there is, and reads back what it wrote."""
+def drain(df, spark, name):
+    """Runs a stream in append mode over all data there is, and reads back what it wrote.
+
+    Every epoch has a folder of its own, so a replayed one replaces itself.
+    """
     out = work_folder(spark, name)
 
     def store(batch, epoch):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/data")
+        batch.write.mode("overwrite").parquet(f"{out}/data/epoch={epoch}")
 
-    (df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+    (df.writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
      .foreachBatch(store).start().awaitTermination())
-    return spark.read.parquet(f"{out}/data")
+    return spark.read.parquet(f"{out}/data").drop("epoch")
+
+
+def tracked(spark, name, start):
+    """The same for a stream that keeps a table of its own: `start(out, checkpoint)` gives its writer."""
+    out = work_folder(spark, name)
+    start(f"{out}/data", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/data").drop("epoch")
 
 
 _DAILY = "select date_trunc('day', ts)::timestamp as window_start, date_trunc('day', ts)::timestamp + interval 1 day as window_end, event_type as severity, count(*) as n from events group by 1, 2, 3"
@@ -68,9 +78,10 @@ def sliding_trend(spark, sf):
     return jobs.trend(_events(views.table(spark, sf, "events")), window="7 days", slide="1 day")
 
 
-@query("daily_trend_stream", _DAILY)
+@query("daily_trend_stream", f"with t as ({_DAILY}) select * from t where window_end <= (select max(ts)::timestamp - interval 2 day from events)")
 def daily_trend_stream(spark, sf):
-    return drain(jobs.trend(_events(stream_table(spark, sf, "events"))), spark, "trend", "complete")
+    """Windows come out, and leave the state, when the watermark has passed them."""
+    return drain(jobs.trend(_events(stream_table(spark, sf, "events"))), spark, "trend")
 
 
 _VERSION = "'u' || cast(user_id % 40 as varchar(20)) as repo, 'f' || cast(event_id % 60 as varchar(20)) as path, event_type as sha"
@@ -83,10 +94,10 @@ def changed_files(spark, sf):
     return jobs.changed_files(versions, events.where("ts < timestamp '2024-01-10'").selectExpr(*_VERSION.split(", ")))
 
 
-@query("changed_files_stream", f"select distinct {_VERSION} from events")
+@query("changed_files_stream", f"with v as (select {_VERSION}, ts from events), l as (select *, lag(sha) over (partition by repo, path order by ts, sha) as before from v) select repo, path, sha, ts from l where sha is distinct from before")
 def changed_files_stream(spark, sf):
     versions = stream_table(spark, sf, "events").selectExpr(*_VERSION.split(", "), "ts")
-    return drain(jobs.changed_files_stream(versions, watermark="60 days").drop("ts"), spark, "changed", "append")
+    return tracked(spark, "changed", lambda out, checkpoint: jobs.track_changes(versions, out, checkpoint))
 
 
 _COMMENT = "repo, issue, comment_id, body"
@@ -102,8 +113,8 @@ def unseen_comments(spark, sf):
 def unseen_comments_stream(spark, sf):
     rows = stream_table(spark, sf, "conversations").selectExpr(
         "'r' || cast(conv_id % 25 as varchar(20)) as repo", "conv_id as issue", "conv_id * 1000 + turn as comment_id", "text as body",
-        "explode(case when turn % 3 = 0 then array(1, 2) else array(1) end) as copy", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(turn as int)) as ts")
-    return drain(jobs.unseen_comments_stream(rows).select("repo", "issue", "comment_id", "body"), spark, "comments", "append")
+        "explode(case when turn % 3 = 0 then array(1, 2) else array(1) end) as copy").drop("copy")
+    return tracked(spark, "comments", lambda out, checkpoint: jobs.track_comments(rows, out, checkpoint))
 
 
 @query("agent_status", """with r as (select *, row_number() over (partition by agent order by ts desc, event_id desc) as rn, count(*) over (partition by agent) as updates from v_progress)
@@ -123,10 +134,10 @@ def agent_sessions(spark, sf):
     return jobs.agent_sessions(views.progress(spark, sf))
 
 
-@query("agent_sessions_stream", _SESSIONS)
+@query("agent_sessions_stream", f"with e as ({_SESSIONS}) select * from e where session_end <= (select max(ts)::timestamp - interval 1 hour from v_progress)")
 def agent_sessions_stream(spark, sf):
     progress = stream_table(spark, sf, "events").selectExpr("'agent_' || cast(user_id % 12 as varchar(20)) as agent", "ts")
-    return drain(jobs.agent_sessions_stream(progress), spark, "sessions", "complete")
+    return drain(jobs.agent_sessions_stream(progress), spark, "sessions")
 
 
 @query("stored_findings", f"select repo, path, start_line, check_id, l_orderkey, l_linenumber, l_partkey, {q.report_severity('impact')} as severity from v_findings")

@@ -5,6 +5,7 @@ The model is any function from a list of prompts to a list of replies, given by
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -21,7 +22,8 @@ from riskloom.operators.filters import apply_validation, mark_filtered
 from riskloom.operators.joins import with_context, with_validation
 from riskloom.operators.metrics import architecture
 from riskloom.operators.skew import chunked_lists
-from riskloom.session import ship_package
+from riskloom.operators.ranking import keep_first
+from riskloom.session import cut_lineage, ship_package
 
 FINDING_KEYS = ("repo", "path", "start_line", "end_line", "check_id")
 
@@ -137,12 +139,13 @@ def reply_prompts(comments: DataFrame, fixes: DataFrame, order, size: int = 50)
 
 
 def infer(prompts: DataFrame, make_complete: Callable[[], Callable[[list[str]], list]], batch: int = 16,
-          retries: int = 2, partitions: int | None = None) -> DataFrame:
+          retries: int = 2, partitions: int | None = None, wait: float = 1.0) -> DataFrame:
     """Calls a model on every prompt, in batches; the client is built once per partition.
 
     `make_complete()` returns the function from prompts to replies (texts or `Reply`).
     A batch that keeps failing is tried one prompt at a time; a prompt that keeps failing becomes
-    a row with `error`. `partitions` bounds the calls in flight. Write the result once, keyed by
+    a row with `error`, as do all prompts of a partition whose client can't be built. Between tries it waits `wait` seconds,
+    then twice as long each time. `partitions` bounds the calls in flight. Write the result once, keyed by
     `prompt_id`, before using it twice: a task that is repeated calls the model again.
     """
     def call(complete, texts: list[str]) -> list[Reply]:
@@ -155,10 +158,17 @@ def infer(prompts: DataFrame, make_complete: Callable[[], Callable[[list[str]],
             except Exception:
                 if attempt == retries:
                     raise
+                time.sleep(wait * 2 ** attempt)
         return []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        complete = make_complete()
+        try:
+            complete = make_complete()
+        except Exception as problem:
+            broken = str(problem)
+
+            def complete(texts):
+                raise RuntimeError(broken)
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at:at + batch]
@@ -241,16 +251,14 @@ def enhance(findings: DataFrame) -> DataFrame:
 
 
 def validate_stage(findings: DataFrame, files: DataFrame, context: DataFrame, make_complete, threshold: float = 0.7,
-                   keep_filtered: bool = False, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                   keep_filtered: bool = False, store: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Findings after review: prompts, model, replies, filter. A finding without a valid reply is kept.
 
     `store` writes the responses and reads them back, so that the model is called once per prompt.
     """
-    distinct = findings.dropDuplicates(list(FINDING_KEYS))
+    distinct = keep_first(findings, FINDING_KEYS, [c for c in findings.columns if c not in FINDING_KEYS])
     prompts = validation_prompts(distinct, files, context)
-    responses = infer(prompts, make_complete)
-    if store is not None:
-        responses = store(responses)
+    responses = store(infer(prompts, make_complete))
     marked = findings.withColumn("prompt_id", prompt_id("validate", *FINDING_KEYS))
     validated = mark_filtered(with_validation(marked, parse_validations(responses), ["prompt_id"]), threshold)
     return validated if keep_filtered else apply_validation(validated, threshold)

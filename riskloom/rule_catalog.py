@@ -131,9 +131,9 @@ DESERIAL_RULES = _group(
     ("java_xml", _JAVA, "HIGH", ("xmldecoder", "xstream"), r"XMLDecoder|XStream"),
     ("jackson_typing", _JAVA, "HIGH", ("enabledefaulttyping", "@jsontypeinfo"), r"enableDefaultTyping|@JsonTypeInfo"),
     ("php_unserialize", _PHP, "HIGH", ("unserialize(", "__wakeup", "__destruct"), r"unserialize\(|__wakeup|__destruct"),
-    ("php_phar", _PHP, "HIGH", ("phar://",), r"phar://"),
+    ("php_phar", _PHP, "HIGH", ("phar",), r"phar://|file_get_contents.*phar"),
     ("net_formatter", _CS, "CRITICAL", ("binaryformatter", "deserialize"), r"BinaryFormatter|Deserialize"),
-    ("net_contract", _CS, "MEDIUM", ("datacontractserializer",), r"(?:Net)?DataContractSerializer"),
+    ("net_contract", _CS, "MEDIUM", ("datacontractserializer",), r"DataContractSerializer"),
 )
 XXE_RULES = _group(
     "code-xxe-analyser", "CWE-611",
@@ -146,6 +146,9 @@ XXE_RULES = _group(
      r"XMLResolver.*null|DtdProcessing\.Prohibit"),
     ("php_parser", _PHP, "MEDIUM", ("simplexml_load", "domdocument", "xml_parse"), r"simplexml_load|DOMDocument|xml_parse"),
     ("js_parser", _JS, "MEDIUM", ("xml2js", "libxmljs", "fast-xml-parser"), r"xml2js|libxmljs|fast-xml-parser"),
+    ("py_parse_call", _PY, "LOW", ("fromstring", "parse"), r"fromstring|parse", r"defusedxml"),
+    ("java_xml_mapping", _JAVA, "LOW", ("@consumes", "@requestmapping"), r"@Consumes.*xml|@RequestMapping.*xml"),
+    ("parse_request", ("JavaScript", "TypeScript", "Python"), "MEDIUM", ("parsestring", "fromstring"), r"parseString|fromstring.*request"),
     ("xml_endpoint", (), "LOW", ("application/xml", "text/xml", "content-type"), r"application/xml|text/xml|Content-Type.*xml"),
 )
 RACE_RULES = _group(
@@ -153,14 +156,15 @@ RACE_RULES = _group(
     ("c_check_then_open", _C, "HIGH", ("stat", "access"), r"(?:l?stat|access).*open"),
     ("py_check_then_open", _PY, "HIGH", ("os.stat", "os.path.exists"), r"os\.stat.*open|os\.path\.exists.*open"),
     ("java_check_then_open", _JAVA, "HIGH", ("file.exists",), r"File\.exists.*new.*File"),
-    ("shared_increment", ("Java", "C++"), "LOW", ("++",), r"\.(?:count|value)\+\+", r"synchronized|Lock|Mutex|atomic"),
+    ("shared_increment", ("Java", "C++"), "LOW", ("++",), r"\.(?:count|value)\+\+|i\+\+", r"synchronized|Lock|Mutex|atomic"),
+    ("shared_state", ("C", "C++", "Java"), "LOW", ("static", "global", "shared"), r"(?:static|global|shared).*="),
     ("js_shared_push", _JS, "MEDIUM", ("promise.all", "callback", "async", "await"), r"Promise\.all.*push|callback.*global|(?:async|await).*global"),
     ("go_shared", _GO, "MEDIUM", ("go",), r"go.*func.*global|goroutine.*shared", r"Lock|Mutex|atomic"),
 )
 SECRET_RULES = _group(
     "secret-scanner", "CWE-798",
-    ("generic_assignment", (), "HIGH", ("secret", "token", "key"), r"(?i)(?:secret|token|key)\s*=\s*['\"][a-z0-9+/]{16,}['\"]"),
-    ("password_assignment", (), "HIGH", ("password",), r"(?i)password\s*=\s*['\"][^'\"]{8,}['\"]"),
+    ("generic_assignment", (), "HIGH", ("secret", "token", "key"), r"(?i)(?:secret|token|key)[^=]{0,80}=[^'\"]{0,80}['\"][a-z0-9+/]{16,}['\"]"),
+    ("password_assignment", (), "HIGH", ("password",), r"(?i)password[^=]{0,80}=[^'\"]{0,80}['\"][^'\"]{8,}['\"]"),
 )
 
 CODE_RULES: tuple[Rule, ...] = tuple(
@@ -207,10 +211,10 @@ CODE_POINTS = (
 # Secret detectors. (detector, pattern, needles); group 1 of the pattern is the secret.
 # --------------------------------------------------------------------------
 SECRET_DETECTORS = (
-    ("token", r"(?i)\btoken\s*=\s*['\"]([a-z0-9+/_\-]{16,})['\"]", ("token",)),
-    ("secret", r"(?i)\bsecret\s*=\s*['\"]([a-z0-9+/_\-]{16,})['\"]", ("secret",)),
-    ("key", r"(?i)key\s*=\s*['\"]([a-z0-9+/_\-]{16,})['\"]", ("key",)),
-    ("password", r"(?i)password\s*=\s*['\"]([^'\"]{8,})['\"]", ("password",)),
+    ("token", r"(?i)\btoken[^=\n]{0,80}=[^'\"\n]{0,80}['\"]([a-z0-9+/_\-]{16,})['\"]", ("token",)),
+    ("secret", r"(?i)\bsecret[^=\n]{0,80}=[^'\"\n]{0,80}['\"]([a-z0-9+/_\-]{16,})['\"]", ("secret",)),
+    ("key", r"(?i)key[^=\n]{0,80}=[^'\"\n]{0,80}['\"]([a-z0-9+/_\-]{16,})['\"]", ("key",)),
+    ("password", r"(?i)password[^=\n]{0,80}=[^'\"\n]{0,80}['\"]([^'\"]{8,})['\"]", ("password",)),
     ("awskey", r"\b(AKIA[0-9A-Z]{16})\b", ("akia",)),
     ("githubtoken", r"\b(gh[pousr]_[A-Za-z0-9]{36})\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     ("slacktoken", r"\b(xox[abprs]-[A-Za-z0-9\-]{10,})", ("xox",)),

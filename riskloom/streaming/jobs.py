@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from riskloom.operators.joins import unmatched
 
@@ -18,9 +19,31 @@ def changed_files(new: DataFrame, seen: DataFrame) -> DataFrame:
     return unmatched(new.dropDuplicates(["repo", "path", "sha"]), seen, ["repo", "path", "sha"])
 
 
-def changed_files_stream(files: DataFrame, time: str = "ts", watermark: str = "7 days") -> DataFrame:
-    """The same on a stream: versions repeated within the watermark are dropped."""
-    return as_event_time(files, time, watermark).dropDuplicatesWithinWatermark(["repo", "path", "sha"])
+def track_changes(files: DataFrame, out: str, checkpoint: str, time: str = "ts"):
+    """Stream of file versions to a table of changes: a version counts if it differs from the one before it, however old.
+
+    Batches must not reach behind earlier ones. Each epoch writes a folder of its own, and compares with the other
+    epochs' last versions, so a replayed batch replaces itself.
+    """
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark, keys = batch.sparkSession, ["repo", "path"]
+        rows = batch.withColumn("_new", F.lit(True))
+        if (earlier := epochs_before(spark, out, batch.schema, epoch)) is not None:
+            last = earlier.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), F.struct(time, "sha")).alias("l"))
+            rows = rows.unionByName(last.select(*keys, "l.*").withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        before = F.lag("sha").over(Window.partitionBy(*keys).orderBy("_new", time, "sha"))
+        changed = rows.withColumn("_before", before).where(F.col("_new") & ~F.col("sha").eqNullSafe(F.col("_before")))
+        changed.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+
+
+def epochs_before(spark, out: str, schema, epoch: int) -> DataFrame | None:
+    """What epochs before this one wrote to a table with a folder per epoch; None before the first."""
+    if epoch == 0:
+        return None
+    return spark.read.schema(StructType([*schema.fields, StructField("epoch", LongType())])).option("basePath", out).parquet(f"{out}/epoch=*") \
+        .where(F.col("epoch") < epoch).drop("epoch")
 
 
 def trend(findings: DataFrame, keys=("severity",), time: str = "ts", window: str = "1 day", slide: str | None = None,
@@ -38,9 +61,20 @@ def unseen_comments(comments: DataFrame, answered: DataFrame) -> DataFrame:
     return unmatched(comments.dropDuplicates(keys), answered, keys)
 
 
-def unseen_comments_stream(comments: DataFrame, time: str = "ts", watermark: str = "30 days") -> DataFrame:
-    """The same on a stream. The state is keyed by comment, so a busy issue is spread over all tasks."""
-    return as_event_time(comments, time, watermark).dropDuplicatesWithinWatermark(["repo", "issue", "comment_id"])
+def track_comments(comments: DataFrame, out: str, checkpoint: str):
+    """Stream of comments to a table of those to answer, each once however late its copies come.
+
+    The table itself is the memory: an epoch writes a folder of its own with the comments that no earlier epoch has.
+    """
+    keys = ["repo", "issue", "comment_id"]
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        new = batch.dropDuplicates(keys)
+        if (earlier := epochs_before(batch.sparkSession, out, batch.schema, epoch)) is not None:
+            new = new.join(earlier.select(*keys), keys, "left_anti")
+        new.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return comments.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
 
 
 def agent_status(progress: DataFrame, timeout: str = "1 hour", now: Column | None = None) -> DataFrame:

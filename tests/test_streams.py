@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.checks.streams import drain
+from riskloom.checks.streams import drain, tracked
 from riskloom.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -39,8 +39,11 @@ def counted(df):
     return Counter(map(tuple, df.collect()))
 
 
+LAST = [("r", "f0", "end", 60 * 24 * 400, "HIGH", "a0", 99)]      # moves every watermark past the rest
+
+
 def test_trend(spark, stream):
-    got = drain(jobs.trend(stream()), spark, "t", "complete")
+    got = drain(jobs.trend(stream([LAST])), spark, "t")
     assert counted(got) == counted(jobs.trend(everything(spark)))
 
 
@@ -49,10 +52,31 @@ def test_sliding_trend_counts_each_row_in_every_window(spark):
     assert sum(r.n for r in got.collect()) == 7 * 120
 
 
-def test_changed_files(spark, stream):
-    keys = ["repo", "path", "sha"]
-    got = drain(jobs.changed_files_stream(stream(), watermark="30 days").select(*keys), spark, "c", "append")
-    assert counted(got) == counted(everything(spark).select(*keys).distinct())
+def test_changes_are_told_however_old_the_version_before(spark, tmp_path):
+    """A version that comes again much later is no change; one that comes back after another is."""
+    later = [("r", "f0", s, 60 * 24 * d, "LOW", "a", 0) for d, s in ((100, "x"), (200, "x"), (300, "y"))]
+    back = [("r", "f0", s, 60 * 24 * d, "LOW", "a", 0) for d, s in ((350, "y"), (360, "x"))]
+    for rows in (ROWS[0], later, back):
+        batch(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frame = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = tracked(spark, "c", lambda out, checkpoint: jobs.track_changes(frame, out, checkpoint))
+    want, last = Counter(), {}
+    for _, p, s, m, *_ in sorted([*ROWS[0], *later, *back], key=lambda x: (x[3], x[2])):
+        if last.get(p) != s:
+            want[(p, s, T0 + timedelta(minutes=m))] += 1
+        last[p] = s
+    assert counted(got.select("path", "sha", "ts")) == want
+
+
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+    """The same epoch again, as after a failure, leaves the table as it was."""
+    out = str(tmp_path / "out")
+    for epoch, rows in ((0, ROWS[0]), (1, ROWS[1]), (1, ROWS[1])):
+        new = batch(spark, rows).dropDuplicates(["comment_id"])
+        if (earlier := jobs.epochs_before(spark, out, new.schema, epoch)) is not None:
+            new = new.join(earlier.select("comment_id"), "comment_id", "left_anti").select(*new.columns)
+        new.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    assert counted(spark.read.parquet(out).select("comment_id")) == counted(everything(spark).select("comment_id").distinct())
 
 
 def test_changed_files_batch(spark):
@@ -63,19 +87,21 @@ def test_changed_files_batch(spark):
 
 
 def test_comments_are_answered_once(spark, stream):
-    got = drain(jobs.unseen_comments_stream(stream()).select("comment_id"), spark, "m", "append")
-    assert counted(got) == counted(everything(spark).select("comment_id").distinct())
+    """Also one whose copy comes a year later."""
+    frame = stream([[("r", "f", "s", 60 * 24 * 400, "LOW", "a", 3)]])
+    got = tracked(spark, "m", lambda out, checkpoint: jobs.track_comments(frame.select("repo", "issue", "comment_id", "ts"), out, checkpoint))
+    assert counted(got.select("comment_id")) == counted(everything(spark).select("comment_id").distinct())
 
 
 def test_sessions(spark, stream):
-    got = drain(jobs.agent_sessions_stream(stream(), 3000), spark, "s", "complete")
+    got = drain(jobs.agent_sessions_stream(stream([LAST]), 3000), spark, "s")
     assert counted(got) == counted(jobs.agent_sessions(everything(spark), 3000))
 
 
 def test_a_late_row_is_dropped(spark, stream):
     """A row far behind the watermark comes in a batch of its own, after the watermark has moved."""
     frame = jobs.trend(stream([[("r", "f", "s", 60 * 24 * 30, "HIGH", "a", 1)], [("r", "late", "s", 1, "LOW", "a", 1)], [("r", "f", "s", 60 * 24 * 60, "HIGH", "a", 1)]]), watermark="1 hour")
-    got = drain(frame, spark, "l", "append")
+    got = drain(frame, spark, "l")
     first_day = {r.severity: r.n for r in got.where(F.col("window_start") == F.lit(T0).cast("timestamp")).collect()}
     in_time = Counter(r[4] for r in ROWS[0] + ROWS[1] if r[3] < 60 * 24)
     assert first_day == dict(in_time)
