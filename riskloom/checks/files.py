@@ -323,3 +323,15 @@ def profile_keys(spark, sf):
     language = paths.norm_language(F.concat(F.lit(" "), "p_type", F.lit(" ")))
     return views.table(spark, sf, "part").select(
         "p_name", paths.profile_key(language, fw).alias("profile_key")).distinct()
+
+
+@query("files_on_disk", """with d as (select source as repo, 'folder=d' || doc_id as folder, encode(text || chr(10)) as bytes from documents)
+    select repo, folder, 'file' as type, octet_length(bytes)::bigint as size, sha256(bytes) as sha from d union all select repo, folder, 'dir', 0::bigint, null from d""")
+def files_on_disk(spark, sf):
+    """The documents as one file each, found again by a scan of the folder they were written to."""
+    from riskloom.checks.streams import work_folder
+    out = work_folder(spark, "files")
+    docs = views.table(spark, sf, "documents").selectExpr("source as repo", "'d' || doc_id as folder", "text")
+    docs.write.partitionBy("repo", "folder").text(out)
+    found = sources.inventory(sources.scan_files(spark, out).where(F.col("path").endswith(".txt")))
+    return found.select(F.regexp_extract("repo", "^repo=(.*)$", 1).alias("repo"), F.regexp_extract("path", "^([^/]+)", 1).alias("folder"), "type", "size", "sha")

@@ -124,6 +124,16 @@ def agent_status(spark, sf):
     return s.withColumn("progress", F.round("progress", 6))
 
 
+@query("agent_status_stream", SQL["agent_status"])
+def agent_status_stream(spark, sf):
+    progress = stream_table(spark, sf, "events").selectExpr(
+        "'agent_' || cast(user_id % 12 as varchar(20)) as agent", "event_type as status", "ts", "value as progress", "event_id")
+    out = work_folder(spark, "status")
+    jobs.track_status(progress, f"{out}/data", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    s = jobs.tracked_status(spark.read.parquet(f"{out}/data"), "1 hour", F.lit("2024-01-31").cast("timestamp"))
+    return s.withColumn("progress", F.round("progress", 6))
+
+
 _SESSIONS = """with l as (select agent, ts, lag(ts) over (partition by agent order by ts) as prev from v_progress),
     s as (select *, sum(case when prev is null or epoch_us(ts) - epoch_us(prev) > 1800000000 then 1 else 0 end) over (partition by agent order by ts rows unbounded preceding) as k from l)
     select agent, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as updates from s group by agent, k"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +12,16 @@ from riskloom.operators.filters import is_key_file
 
 
 def scan_files(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
-    """Files below `root/<repo>/...` with path, hash and size. Unreadable files are skipped.
+    """Files below `root/<repo>/...` with path, hash and size; `unreadable_files` tells those that can't be read.
 
-    Without content only the listing is read; the bytes are not.
+    Without content only the listing is read; the bytes are not. Links are followed as the file system's listing does, so a
+    linked file is a file of its own under the link's name. `inventory` adds the folders.
     """
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
               .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root))
-    full = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/+", "/")
-    below = paths.relative_path(full, root.rstrip("/"))
+    scheme = r"^[a-z0-9]+:/+"
+    full = F.regexp_replace(F.col("path"), scheme, "/")
+    below = paths.relative_path(full, re.sub(scheme, "/", root).rstrip("/"))
     base = listed.select(
         F.regexp_extract(below, r"^([^/]*)/", 1).alias("repo"), F.regexp_replace(below, r"^[^/]*/", "").alias("path"),
         F.lit("file").alias("type"), F.col("length").alias("size"), "content")
@@ -27,6 +31,13 @@ def scan_files(spark: SparkSession, root: str, with_content: bool = True) -> Dat
                        F.col("content").cast("string").alias("content"))
 
 
+def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
+    """(repo, path, size, reason) of the files that are listed but can't be read."""
+    read = scan_files(spark, root).where(F.col("sha").isNotNull()).select("repo", "path")
+    return scan_files(spark, root, with_content=False).join(read, ["repo", "path"], "left_anti").select(
+        "repo", "path", "size", F.lit("unreadable").alias("reason"))
+
+
 def spread(files: DataFrame, keys=("repo", "path")) -> DataFrame:
     """Give every core a share of a scan that has fewer splits than the session has cores.
 

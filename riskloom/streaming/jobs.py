@@ -80,35 +80,47 @@ def track_comments(comments: DataFrame, out: str, checkpoint: str):
 def agent_status(progress: DataFrame, timeout: str = "1 hour", now: Column | None = None) -> DataFrame:
     """Latest status of each analyser; stalled when its last update is older than the timeout.
 
-    `order` of updates is time, then event id. In a stream this is a running aggregate.
+    Updates are in order of time, then event id.
     """
-    latest = progress.groupBy("agent").agg(
-        F.max_by(F.struct("status", "progress"), F.struct("ts", "event_id")).alias("_last"),
-        F.max("ts").alias("last_update"), F.count(F.lit(1)).alias("updates"))
+    return _judged(_latest(progress.withColumn("updates", F.lit(1).cast("bigint"))), timeout, now)
+
+
+def _latest(updates: DataFrame) -> DataFrame:
+    return updates.groupBy("agent").agg(
+        F.max_by(F.struct("status", "progress", "ts", "event_id"), F.struct("ts", "event_id")).alias("_last"),
+        F.sum("updates").alias("updates")).select("agent", "_last.*", "updates")
+
+
+def track_status(progress: DataFrame, out: str, checkpoint: str):
+    """Stream of progress to a table of the latest status: each epoch's folder holds one row per analyser."""
+    def step(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select("agent", "status", "progress", "ts", "event_id", F.lit(1).cast("bigint").alias("updates"))
+        if epoch:
+            rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(f"{out}/epoch={epoch - 1}"))
+        _latest(rows).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return progress.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+
+
+def tracked_status(table: DataFrame, timeout: str = "1 hour", now: Column | None = None) -> DataFrame:
+    """`agent_status` from the table of `track_status` (with its epochs): the timeout counts from now, without new updates too."""
+    last = table.groupBy("agent").agg(F.max_by(F.struct("status", "progress", "ts", "event_id", "updates"), "epoch").alias("l"))
+    return _judged(last.select("agent", "l.*"), timeout, now)
+
+
+def _judged(latest: DataFrame, timeout: str, now: Column | None) -> DataFrame:
     current = F.current_timestamp() if now is None else now
-    late = F.col("last_update").cast("timestamp") + F.expr(f"INTERVAL {timeout}") < current
-    done = F.col("_last.status").isin("completed", "failed", "terminated")
-    return latest.select("agent", "_last.status", "_last.progress", "last_update", "updates",
-                         (late & ~done).alias("stalled"))
+    late = F.col("ts").cast("timestamp") + F.expr(f"INTERVAL {timeout}") < current
+    done = F.col("status").isin("completed", "failed", "terminated")
+    return latest.select("agent", "status", "progress", F.col("ts").alias("last_update"), "updates", (late & ~done).alias("stalled"))
 
 
 def agent_sessions(progress: DataFrame, gap_seconds: int = 1800) -> DataFrame:
-    """Stretches of work of each analyser: updates with no break longer than the gap.
-
-    Updates are first combined into cells as wide as the gap: all updates of a cell belong
-    together, so the window below holds at most one row per cell of time, however many updates there are.
-    """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    cells = (progress.select("agent", micros.alias("us"))
-             .groupBy("agent", F.floor(F.col("us") / (gap_seconds * 1_000_000)).alias("_cell"))
-             .agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count(F.lit(1)).alias("n")))
-    ordered = Window.partitionBy("agent").orderBy("_cell")
-    opens = F.coalesce(F.col("lo") - F.lag("hi").over(ordered) > gap_seconds * 1_000_000, F.lit(True))
-    marked = (cells.withColumn("_opens", opens)
-              .withColumn("_start", F.max(F.when(F.col("_opens"), F.col("lo"))).over(ordered)))
-    return (marked.groupBy("agent", "_start").agg(F.max("hi").alias("_hi"), F.sum("n").alias("updates"))
-            .select("agent", F.timestamp_micros("_start").alias("session_start"),
-                    F.timestamp_micros(F.col("_hi") + gap_seconds * 1_000_000).alias("session_end"), "updates"))
+    """Stretches of work of each analyser: updates with no break longer than the gap."""
+    timed = progress.withColumn("ts", F.col("ts").cast("timestamp"))
+    return (timed.groupBy(F.session_window("ts", f"{gap_seconds} seconds").alias("w"), "agent")
+            .agg(F.count(F.lit(1)).alias("updates"))
+            .select("agent", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "updates"))
 
 
 def agent_sessions_stream(progress: DataFrame, gap_seconds: int = 1800, watermark: str = "1 hour") -> DataFrame:

@@ -112,3 +112,31 @@ def test_agent_status(spark):
     df = spark.createDataFrame([(a, s, p, T0 + timedelta(minutes=m), m) for a, s, p, m in rows], "agent string, status string, progress double, ts timestamp, event_id int")
     got = {r.agent: (r.status, r.stalled) for r in jobs.agent_status(df, "1 hour", F.lit(T0 + timedelta(minutes=210))).collect()}
     assert got == {"a": ("completed", False), "b": ("running", True), "c": ("running", False)}
+
+
+def test_status_of_a_stream(spark, tmp_path):
+    """Two batches, one late row, and a timeout that passes without new updates."""
+    rows = [[("a", "running", 0.1, 0), ("b", "running", 0.3, 10)], [("a", "completed", 1.0, 50), ("a", "running", 0.05, -5), ("c", "running", 0.5, 200)]]
+    schema = "agent string, status string, progress double, ts timestamp, event_id bigint"
+    for part in rows:
+        df = spark.createDataFrame([(a, s, p, T0 + timedelta(minutes=m), m) for a, s, p, m in part], schema)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    jobs.track_status(stream, out, str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    table = spark.read.parquet(out)
+    for minutes, stalled in ((205, {"b"}), (300, {"b", "c"})):
+        got = {r.agent: r for r in jobs.tracked_status(table, "1 hour", F.lit(T0 + timedelta(minutes=minutes))).collect()}
+        assert {a for a, r in got.items() if r.stalled} == stalled and got["a"].status == "completed" and got["a"].updates == 3
+
+
+def test_real_files(spark, tmp_path):
+    """Names with spaces, nested folders, links and a file that can't be read."""
+    from riskloom.sources import files
+    (tmp_path / "r" / "src dir").mkdir(parents=True)
+    (tmp_path / "r" / "src dir" / "a b.py").write_text("x")
+    (tmp_path / "r" / "go.mod").write_text("module m")
+    (tmp_path / "r" / "link.mod").symlink_to(tmp_path / "r" / "go.mod")
+    found = files.inventory(files.scan_files(spark, str(tmp_path))).collect()
+    assert {(r.repo, r.path, r.type) for r in found} == {("r", "src dir/a b.py", "file"), ("r", "go.mod", "file"), ("r", "link.mod", "file"), ("r", "src dir", "dir")}
+    assert files.unreadable_files(spark, str(tmp_path)).collect() == []
