@@ -154,9 +154,10 @@ SQL_VIEWS = {
     "v_dotted": f"""select l_suppkey as repo, 'src/p' || cast(l_partkey % 20 as varchar(20)) || '.py' as path,
  cast(l_orderkey % 40 + 1 as int) as start_line, cast(l_orderkey % 40 + 1 + l_linenumber as int) as end_line,
  {_DOTTED_ID} as check_id, {_IMPACT} as impact, l_quantity / 50 as confidence, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem""",
+    "v_places": "select repo, (case when doc_id % 50 = 49 then 'gone/' else '' end) || path as path, doc_id from v_files",
     "v_file_findings": f"""select f.repo, f.path, cast(l_linenumber as int) as start_line, cast(l_linenumber + l_orderkey % 3 as int) as end_line,
  {_CHECK_ID} as check_id, {_IMPACT} as impact, 'message ' || l_linestatus as message, l_quantity / 50 as confidence, l_orderkey, l_linenumber, l_partkey, l_suppkey
- from lineitem l join v_files f on l.l_partkey = f.doc_id""",
+ from lineitem l join v_places f on l.l_partkey % (select count(*) from documents) = f.doc_id""",
     "v_validations": """select f.repo, f.path, l.quality = 1 as is_legitimate, cast(0.5 as double) + cast(0.1 as double) * (f.doc_id % 6) as validation_confidence
  from labels l join v_files f on f.doc_id = l.doc_id""",
     "v_manifests": f"""select 'r' || cast(o_custkey as varchar(20)) as repo, {_MANIFEST_PATH} as path, 'file' as type, {_MANIFEST_TEXT} as content,
@@ -180,7 +181,7 @@ SQL_VIEWS = {
  union all select 'r' || cast(conv_id % 25 as varchar(20)), conv_id, conv_id * 1000 + turn, text, turn, role from conversations where turn % 3 = 0""",
     "v_fixes": f"""select f.repo, f.path, cast(l_linenumber as int) as start_line, cast(l_linenumber + l_orderkey % 3 as int) as end_line, {_CHECK_ID} as vulnerability,
  'fixed line ' || cast(l_orderkey as varchar(20)) || (case when l_orderkey % 4 = 0 then chr(10) || 'second' else '' end) as fixed_code, 'line ' || cast(l_orderkey as varchar(20)) as description,
- l_quantity / 50 as confidence, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem l join v_files f on l.l_partkey = f.doc_id""",
+ l_quantity / 50 as confidence, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem l join v_places f on l.l_partkey % (select count(*) from documents) = f.doc_id""",
 }
 
 
@@ -242,9 +243,16 @@ def dotted(spark, sf) -> DataFrame:
         *_FINDING_COLUMNS, f"{_DOTTED_ID} as check_id", f"{_IMPACT} as impact", "l_quantity / 50 as confidence", *_FINDING_ORDER)
 
 
+def _placed_lines(spark, sf) -> DataFrame:
+    """Every row of lineitem with a document's place; some places name files that don't exist."""
+    listed = files(spark, sf)
+    places = listed.selectExpr("repo", "(case when doc_id % 50 = 49 then 'gone/' else '' end) || path as path", "doc_id")
+    lines = table(spark, sf, "lineitem").crossJoin(listed.agg(F.count(F.lit(1)).alias("n_files")))
+    return lines.join(places, F.col("l_partkey") % F.col("n_files") == F.col("doc_id"))
+
+
 def file_findings(spark, sf) -> DataFrame:
-    places = files(spark, sf).select("repo", "path", "doc_id")
-    rows = table(spark, sf, "lineitem").join(places, F.col("l_partkey") == F.col("doc_id"))
+    rows = _placed_lines(spark, sf)
     return rows.selectExpr(
         "repo", "path", "cast(l_linenumber as int) as start_line", "cast(l_linenumber + l_orderkey % 3 as int) as end_line",
         f"{_CHECK_ID} as check_id", f"{_IMPACT} as impact", "'message ' || l_linestatus as message",
@@ -312,8 +320,7 @@ def comments(spark, sf) -> DataFrame:
 
 
 def fixes(spark, sf) -> DataFrame:
-    places = files(spark, sf).select("repo", "path", "doc_id")
-    rows = table(spark, sf, "lineitem").join(places, F.col("l_partkey") == F.col("doc_id"))
+    rows = _placed_lines(spark, sf)
     return rows.selectExpr(
         "repo", "path", "cast(l_linenumber as int) as start_line", "cast(l_linenumber + l_orderkey % 3 as int) as end_line",
         f"{_CHECK_ID} as vulnerability",
