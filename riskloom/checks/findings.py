@@ -363,10 +363,9 @@ def findings_without_file(spark, sf):
     return joins.unmatched(f, known, ["path"]).select("repo", "path", "start_line")
 
 
-@query("files_without_findings", "select repo, path from v_files f where not exists (select 1 from v_file_findings x where x.repo = f.repo and x.path = f.path and x.l_linenumber = 3 and x.impact = 'HIGH' and x.l_suppkey % 10 = 1)")
+@query("files_without_findings", "select repo, path from v_files f where not exists (select 1 from v_file_findings x where x.repo = f.repo and x.path = f.path)")
 def files_without_findings(spark, sf):
-    some = views.file_findings(spark, sf).where("l_linenumber = 3 and impact = 'HIGH' and l_suppkey % 10 = 1")
-    return joins.unmatched(views.files(spark, sf).select("repo", "path"), some, ["repo", "path"])
+    return joins.unmatched(views.files(spark, sf).select("repo", "path"), views.file_findings(spark, sf), ["repo", "path"])
 
 
 @query("files_with_findings", "select repo, path from v_files f where exists (select 1 from v_file_findings x where x.repo = f.repo and x.path = f.path)")
@@ -391,15 +390,6 @@ def agents_with_analysis(spark, sf):
     return joins.assign_analysis(agents, analyses)[0]
 
 
-@query("secrets_in_findings", """with s as (select distinct repo, path, start_line as line, l_linenumber as detector from v_findings where impact = 'INFO'),
-    r as (select distinct repo, path, start_line, end_line, check_id from v_findings)
-    select s.repo, s.path, s.line, s.detector, r.start_line, r.end_line, r.check_id from s join r on s.repo = r.repo and s.path = r.path and s.line between r.start_line and r.end_line""")
-def secrets_in_findings(spark, sf):
-    f = views.findings(spark, sf)
-    secrets = f.where("impact = 'INFO'").selectExpr("repo", "path", "start_line as line", "l_linenumber as detector").distinct()
-    return joins.secrets_in_findings(secrets, f)
-
-
 def _route_sql(agent):
     if agent not in dims.AGENT_RELEVANCE:
         return "true"

@@ -275,6 +275,14 @@ def _secret_hits(view):
     return f"(with ln as materialized ({_lines(view)}) {each})"
 
 
+@query("secrets_in_findings", f"""with s as (select repo, path, line, detector, value from {_secret_hits('v_code')}), r as (select distinct repo, path, start_line, end_line, check_id from {_matches('v_code', ALL_RULES)})
+    select s.repo, s.path, s.line, s.detector, sha256(value) as value_hash, r.start_line, r.end_line, r.check_id from s join r on s.repo = r.repo and s.path = r.path and s.line between r.start_line and r.end_line""")
+def secrets_in_findings(spark, sf):
+    code = views.code_files(spark, sf)
+    secrets = matching.detect_secrets(code).select("repo", "path", "line", "detector", "value_hash")
+    return joins.secrets_in_findings(secrets, matching.match_rules(code))
+
+
 @query("standard_run", _profiled().replace("size <= 1000000", f"size <= {_RUN_SIZE}") + f""", fx as (select distinct repo, path, start_line, end_line, check_id from pm),
     sx as (select distinct repo, path, line, detector, value from {_secret_hits('kept')}),
     ex as (select repo from v_code where not {q.any_contains('path', dims.SKIP_DIRECTORIES)} and {q.in_list(q.EXT, dims.ANALYSABLE_EXTENSIONS)} and size > {_RUN_SIZE})

@@ -14,7 +14,6 @@ from riskloom.checks.findings import _route_sql
 from riskloom.functions import text
 from riskloom.operators import filters, fixes, joins, metrics, ranking
 from riskloom.plans import review
-from riskloom.session import cut_lineage
 from riskloom.sources import reports
 
 QUERIES, SQL = {}, {}
@@ -309,13 +308,17 @@ def model_usage(spark, sf):
                          F.count_if(F.col("reply") == "I cannot tell.").alias("unparsed"))
 
 
-@query("validated_stage", f"""with {_FIRST}, {_STABLE}, p as (select {_KEYS}, {_HEX % ('(' + _VPROMPT + ')')} as d from rich)
-    select {', '.join('o.' + k for k in _KEYS.split(', '))}, case when p.d in (8, 9) or p.d is null then null else p.d >= 4 end as is_legitimate, case when p.d in (8, 9) or p.d is null then null when p.d between 4 and 7 then 0.5::double else 0.9::double end as validation_confidence
-    from o left join p using ({_KEYS}) where rn = 1 and (p.d is null or p.d >= 8)""")
+_REVIEWED = _FIRST.replace("order by l_orderkey, l_linenumber, l_partkey, l_suppkey, message, confidence", "order by impact, message, confidence, l_orderkey, l_linenumber, l_partkey, l_suppkey")
+
+
+@query("validated_stage", f"""with {_REVIEWED}, {_STABLE}, p as (select {_KEYS}, {_HEX % ('(' + _VPROMPT + ')')} as d from rich)
+    select {', '.join('o.' + k for k in _KEYS.split(', '))}, l_orderkey, l_linenumber, l_partkey, l_suppkey, case when p.d in (8, 9) or p.d is null then null else p.d >= 4 end as is_legitimate, case when p.d in (8, 9) or p.d is null then null when p.d between 4 and 7 then 0.5::double else 0.9::double end as validation_confidence
+    from o left join p using ({_KEYS}) where p.d is null or p.d >= 8""")
 def validated_stage(spark, sf):
+    """Findings that repeat a place and rule are asked about once and judged alike."""
     f = views.files(spark, sf)
-    kept = review.validate_stage(_one_per_key(spark, sf), f, review.repo_context(f), stub_validator, store=cut_lineage)
-    return kept.select(*review.FINDING_KEYS, "is_legitimate", "validation_confidence")
+    kept = review.validate_stage(views.file_findings(spark, sf), f, review.repo_context(f), stub_validator)
+    return kept.select(*review.FINDING_KEYS, *views.ORDER, "is_legitimate", "validation_confidence")
 
 
 @query("parsed_fixes", f"""with {_FIRST}, {_STABLE}, p as (select {_KEYS}, impact, {_HEX % ('(' + _FPROMPT + ')')} as d from rich)
