@@ -1 +1 @@
-"""Column expressions. All are built-in Spark functions, so they stay inside whole-stage codegen."""
+"""Column expressions, all of built-in Spark functions: no Python worker is needed for them."""
