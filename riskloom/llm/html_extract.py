@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import checked_broadcast
 from riskloom.session import cut_lineage, ship_package
 
+PATH_LEVELS = 60       # a deeper container shares the path of the one above it
 OUTER = 0.6            # what a container's text counts for the container around it
 MIN_VOTES = 2
 MIN_SHARE = 0.01
@@ -85,16 +86,64 @@ def _skipped(tag: str, attrs: dict[str, str], raw: str) -> bool:
     return False
 
 
+class _Stack:
+    """The open elements: tag, node of the nearest container, whether skipped. Counts tell if a tag is open at all."""
+
+    def __init__(self):
+        self.items, self.open = [("body", 0, False)], {"body": 1}
+
+    @property
+    def top(self) -> tuple[str, int, bool]:
+        return self.items[-1]
+
+    def push(self, tag: str, node: int, skip: bool) -> None:
+        self.items.append((tag, node, skip))
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def _cut(self, at: int) -> None:
+        for tag, _, _ in self.items[at:]:
+            self.open[tag] -= 1
+        del self.items[at:]
+
+    def close(self, tag: str) -> None:
+        if not self.open.get(tag):
+            return
+        for i in range(len(self.items) - 1, 0, -1):
+            here = self.items[i][0]
+            if here == tag:
+                return self._cut(i)
+            if tag not in BLOCKS and here in BLOCKS and here not in ("p", "li"):
+                return None        # an inline end doesn't close blocks
+            if tag in ("p", "li") and here in CONTAINERS:
+                return None
+
+    def imply(self, tag: str) -> None:
+        """Close what a start tag ends by itself: a paragraph before a block, a list item before the next."""
+        if tag in BLOCKS and self.open.get("p"):
+            self._end({"p"}, BLOCKS)
+        if tag in CLOSES:
+            ended, bounds = (set(x.split()) for x in CLOSES[tag])
+            if any(self.open.get(t) for t in ended):
+                self._end(ended, bounds)
+
+    def _end(self, ended: set[str], bounds: set[str] | frozenset[str]) -> None:
+        for i in range(len(self.items) - 1, 0, -1):
+            if self.items[i][0] in ended:
+                return self._cut(i)
+            if self.items[i][0] in bounds:
+                return None
+
+
 class Page:
     """The blocks of a page outside of what is skipped, and the containers they stand in."""
 
     def __init__(self, html: str):
-        self.parent, self.path = [-1], ["body"]       # of each node; 0 is the body, also where no tag says so
+        self.parent, self.path, self.depth = [-1], ["body"], [0]           # of each node; 0 is the body, also where no tag says so
         self.blocks: list[tuple[str, int, int]] = []                       # text, its container, characters of links
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("body", 0, False)]         # tag, node of the nearest container, skipped
+        stack = _Stack()
         text: list[str] = []
         links, depth_a, last = 0, 0, 0
 
@@ -102,12 +151,12 @@ class Page:
             nonlocal links
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                self.blocks.append((joined, stack[-1][1], min(links, len(joined))))
+                self.blocks.append((joined, stack.top[1], min(links, len(joined))))
             text.clear()
             links = 0
 
         for m in _TOKEN.finditer(html):
-            if not stack[-1][2] and m.start() > last:
+            if not stack.top[2] and m.start() > last:
                 text.append(html[last:m.start()])
                 if depth_a:
                     links += m.start() - last
@@ -126,69 +175,38 @@ class Page:
             if tag == "a":
                 depth_a = max(0, depth_a + (-1 if ends else 1))
             if ends:
-                self._close(stack, tag)
+                stack.close(tag)
                 continue
             if tag in ("html", "body"):
                 continue
-            self._imply(stack, tag)
+            stack.imply(tag)
             if tag in VOID:
                 continue
             raw = m["attrs"] or m["attrs2"] or ""
             attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(raw)} if raw else {}
-            _, node, skip = stack[-1]
+            _, node, skip = stack.top
             skip = skip or _skipped(tag, attrs, raw)
             if tag in CONTAINERS and not skip:
                 classes = "".join("." + _DIGITS.sub("0", c) for c in sorted(set(attrs.get("class", "").split())))
                 self.parent.append(node)
-                self.path.append(f"{self.path[node]}>{tag}{classes}")
+                self.depth.append(self.depth[node] + 1)
+                self.path.append(f"{self.path[node]}>{tag}{classes}" if self.depth[-1] <= PATH_LEVELS else self.path[node])
                 node = len(self.parent) - 1
             if not raw.endswith("/") or tag in BLOCKS:
-                stack.append((tag, node, skip))
-        if not stack[-1][2]:
+                stack.push(tag, node, skip)
+        if not stack.top[2]:
             text.append(html[last:])
         flush()
 
-    @staticmethod
-    def _close(stack: list, tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
-            if tag not in BLOCKS and stack[i][0] in BLOCKS and stack[i][0] not in ("p", "li"):
-                return        # an inline end doesn't close blocks
-            if tag in ("p", "li") and stack[i][0] in CONTAINERS:
-                return
-
-    @staticmethod
-    def _imply(stack: list, tag: str) -> None:
-        """Close what a start tag ends by itself: a paragraph before a block, a list item before the next."""
-        if tag in BLOCKS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        if tag in CLOSES:
-            ended, bounds = (set(x.split()) for x in CLOSES[tag])
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ended:
-                    del stack[i:]
-                    break
-                if stack[i][0] in bounds:
-                    break
-
     def best(self) -> int | None:
         """The container with the highest score; of equal ones the outermost, then the first."""
         scores = [0.0] * len(self.parent)
         for text, node, links in self.blocks:
-            value = max(0.0, len(text) - 2.0 * links)
-            while node >= 0 and value > 0:
-                scores[node] += value
-                value *= OUTER
-                node = self.parent[node]
+            scores[node] += max(0.0, len(text) - 2.0 * links)
+        for node in range(len(scores) - 1, 0, -1):       # parents come first
+            scores[self.parent[node]] += OUTER * scores[node]
         top = max(scores)
-        return min((i for i, s in enumerate(scores) if s == top), key=lambda i: (self.path[i].count(">"), i)) if top > 0 else None
+        return min((i for i, s in enumerate(scores) if s == top), key=lambda i: (self.depth[i], i)) if top > 0 else None
 
     def text(self, paths: list[str]) -> str:
         """The blocks of the best-voted path that has any, or of the page's own best container."""

@@ -4,8 +4,8 @@
    other signs as they are; hashed to SHAPES). Every unit has a fixed sparse index vector. A unit's word vector is the sum of
    the index vectors of the words before and after it, over the whole corpus, and of its own: whole numbers, so any order of
    tasks gives the same sums. The table has CORES + SHAPES rows whatever the corpus, so it may be broadcast.
-2. A document's features are the means of its units' vectors, the share of words that repeat their predecessor, and its length.
-3. A two-layer network in numpy learns from at most `max_rows` labelled documents (those with the smallest hash of their id);
+2. A document's features are the (shrunken) means of its units' vectors, the share of words that repeat their predecessor, and its length.
+3. A two-layer network in numpy learns from at most `max_rows` labelled documents (a fixed share of the hashes of their ids);
    a part of them sets the temperature that calibrates its probabilities.
 
 Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0; label, language, source and id are never inputs of a
@@ -33,6 +33,7 @@ DIMS = 32
 SIGNS = 2                  # non-zero entries of an index vector
 EXTRA = 3
 FEATURES = 2 * DIMS + EXTRA
+PRIOR = 3                  # words without any sign that a mean starts from, so that a text of a word or two isn't extreme
 HIDDEN = 32
 THRESHOLD = 0.3
 MAX_ROWS = 20_000
@@ -124,7 +125,7 @@ def features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
             return out
         n = np.bincount(owner, minlength=len(texts))
         present, first = np.flatnonzero(n), np.searchsorted(owner, np.flatnonzero(n))
-        count = n[present][:, None]
+        count = n[present][:, None] + PRIOR
         out[present, :DIMS] = np.add.reduceat(table[core], first, axis=0, dtype=np.float64) / count
         out[present, DIMS:2 * DIMS] = np.add.reduceat(table[shape], first, axis=0, dtype=np.float64) / count
         again = np.zeros(len(core))
@@ -198,8 +199,13 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     """Learn from at most max_rows labelled rows of (doc_id, features) that are not held out."""
     known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long"), F.col(label).cast("double").alias("label_")) \
         .groupBy("doc_id").agg(F.avg("label_").alias("label_"))
-    sample = rows.where(~held_out(F.col("doc_id"))).join(known, "doc_id") \
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("features")).limit(max_rows).select("features", "label_").collect()
+    labelled = cut_lineage(rows.where(~held_out(F.col("doc_id"))).join(known, "doc_id")
+                           .select("doc_id", "features", "label_", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("place")))
+    share = max_rows / max(1, labelled.count())
+    if share < 1:       # a share of the hash range, so that no task sends more than its part; a little less than allowed
+        labelled = labelled.where(F.col("place") < int((1 << 30) * share * 0.97))
+    sample = sorted(labelled.collect(), key=lambda r: (r.place, r.doc_id, r.features))[:max_rows]
+    sample = [(r.features, r.label_) for r in sample]
     y = np.array([float(r[1] >= 0.5) for r in sample])
     if not len(y) or y.min() == y.max():
         return Constant(y)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -38,6 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
 
 
@@ -51,6 +53,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     package = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="riskloom-package-")   # read by the driver only, which hands it out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.addPyFile(shutil.make_archive(os.path.join(folder, "riskloom"), "zip", os.path.dirname(package), "riskloom"))
     _shipped.add(sc.applicationId)
 
