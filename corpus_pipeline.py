@@ -15,13 +15,15 @@ from riskloom.llm.common import table
 from riskloom.llm.queries import SHARD_BYTES
 from riskloom.session import ensure_checkpoint_dir
 
+NEAR_PERCENT = 80
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bottomk.deduplicated(docs)
+    return bottomk.deduplicated(docs, NEAR_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

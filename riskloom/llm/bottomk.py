@@ -3,12 +3,12 @@
 1. A text's set is its distinct 5-word shingles, as hashes; the sketch is the SKETCH smallest. Texts with the same set form one
    class, so exact copies and texts that differ in nothing but repeats cost one row from here on.
 2. Inverted lists over the LISTED smallest values of a sketch generate overlaps. Two sets at the threshold share at least
-   NEED of those values (but for one pair in 10^8), so it is enough to list each class under its first LISTED - NEED + 1 values
-   in any common order. The order puts values with more than COLD classes last: such a list is reached only by classes that
+   least_shared(percent) of those values (but for one pair in 10^8), so it is enough to list each class under its first
+   LISTED - least_shared + 1 values in any common order. The order puts values with more than COLD classes last: such a list is reached only by classes that
    consist of common values. Short lists give all their pairs (at most COLD / 2 per row); long lists give none.
 3. Classes that reach a long list (members of large near groups, for the most part) are listed once more by their whole sets, the
-   rarest value first. There the bounds have no sampling slack: with sizes a and b a pair must share c = ceil(0.85 / 1.85 *
-   (a + b)) values, so one of the first a - c + 1 of the one and the first b - c + 1 of the other. What sets a near copy apart is
+   rarest value first. There the bounds have no sampling slack: with sizes a and b and the threshold t a pair must share
+   c = ceil(t / (1 + t) * (a + b)) values, so one of the first a - c + 1 of the one and the first b - c + 1 of the other. What sets a near copy apart is
    rare and comes first, so few classes still reach a long list. In these each member is compared with the list's most
    central one; then only lists whose members are not all linked are looked at again, and there only members outside the list's
    largest component with the others. All pairs within these bounds are compared or known to be connected.
@@ -23,7 +23,8 @@ texts. An empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,27 @@ from riskloom.llm.words import as_bytes, mix, shingle_sets
 from riskloom.session import cut_lineage, ship_package
 
 WORDS = 5
-PERCENT = 85
+PERCENT = 85     # the default threshold: a Jaccard similarity in hundredths, which every bound below follows
 SKETCH = 64
 LISTED = 24
-NEED = 8
 COLD = 24
-LOOSE = 0.25     # the estimate may fall this far short: five and a half standard errors of SKETCH values
+MISSED = 1e-8    # of pairs at the threshold, the share that the lists may not bring together
+ERRORS = 5.6     # the estimate may fall so many standard errors of SKETCH values short
+
+
+def least_shared(percent: int) -> int:
+    """So many of the LISTED smallest values two sets at the threshold share, but for MISSED of the pairs."""
+    t, missed = percent / 100, 0.0
+    for k in range(LISTED):
+        missed += math.comb(LISTED, k) * t ** k * (1 - t) ** (LISTED - k)
+        if missed > MISSED:
+            return max(1, k)
+    return LISTED
+
+
+def least_estimate(percent: int) -> float:
+    t = percent / 100
+    return t - ERRORS * math.sqrt(t * (1 - t) / SKETCH)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -73,20 +89,20 @@ def sketches(docs: DataFrame) -> DataFrame:
         .mapInArrow(run, "doc_id long, text_key string, n_shingles long, class_id long, sketch array<long>")
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """value, class_id, n, hot: the lists that a class must stand in by its sketch.
 
-    A class of fewer than LISTED - 6 shingles has whole lists on both sides of every link, so its own bound holds.
+    A class whose largest partner has at most LISTED shingles has whole lists on both sides of every link, so its own bound holds.
     """
     listed = classes.select("class_id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
-    needed = F.when(F.col("n") >= LISTED - 6, LISTED - NEED + 1) \
-        .otherwise(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    needed = F.when(100 * F.col("n") > percent * LISTED, LISTED - least_shared(percent) + 1) \
+        .otherwise(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     return _ranked(listed, F.least(F.col("n"), F.lit(LISTED)), F.when(F.col("rows") > COLD, 1).otherwise(0), needed)
 
 
-def exact_postings(sets: DataFrame) -> DataFrame:
+def exact_postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """As postings, by whole sets (class_id, n, shingles): rarest value first, as many as the smallest partner may ask for."""
-    needed = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     return _ranked(sets.select("class_id", "n", F.explode("shingles").alias("value")), F.col("n"), F.col("rows"), needed)
 
 
@@ -100,22 +116,22 @@ def _ranked(listed: DataFrame, length: Column, order: Column, needed: Column) ->
         .where(F.col("rank") <= needed).select("value", "class_id", "n", "rank", (F.col("rows") > COLD).alias("hot"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, exact: bool, *conditions: Column) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, exact: bool, percent: int, *conditions: Column) -> DataFrame:
     """Pairs (a < b) of classes under one value, of sizes and, for whole sets, ranks that the threshold allows."""
     x = left.select("value", F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("rank").alias("rx"),
                     *[F.col(c) for c in left.columns if c.startswith("l_")])
     y = right.select("value", F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("rank").alias("ry"),
                      *[F.col(c) for c in right.columns if c.startswith("r_")])
-    joined = x.join(y, "value").where((F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")))
+    joined = x.join(y, "value").where((F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
     if exact:
-        need = F.ceil((F.col("nx") + F.col("ny")) * PERCENT / (100 + PERCENT))
+        need = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
         joined = joined.where((F.col("rx") <= F.col("nx") - need + 1) & (F.col("ry") <= F.col("ny") - need + 1))
     for c in conditions:
         joined = joined.where(c)
     return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b, whole: the pairs that may reach the threshold by their union sketch; `whole` if that decides it."""
     side = classes.select("class_id", "n", "sketch")
     both = pairs.join(side.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a") \
@@ -124,17 +140,17 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     top = F.least(*[F.when(F.col(f"n{s}") > SKETCH, F.element_at(f"s{s}", -1)).otherwise(F.lit((1 << 63) - 1)) for s in "ab"])
     union = F.size(F.filter(F.array_union("sa", "sb"), lambda v: v <= top))
     whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
-    passed = F.when(whole, 100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)) \
-        .otherwise(shared >= (PERCENT / 100 - LOOSE) * union)
+    passed = F.when(whole, 100 * shared >= percent * (F.col("na") + F.col("nb") - shared)) \
+        .otherwise(shared >= least_estimate(percent) * union)
     return cut_lineage(both.where(passed).select("a", "b", whole.alias("whole")))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: the estimated pairs whose whole sets reach the threshold."""
     large = pairs.where(~F.col("whole")).select("a", "b") \
         .join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa")), "a") \
         .join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb")), "b") \
-        .mapInArrow(_confirmed, "a long, b long")
+        .mapInArrow(_confirmed(percent), "a long, b long")
     return cut_lineage(pairs.where("whole").select("a", "b").union(large))
 
 
@@ -162,29 +178,32 @@ def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return cut_lineage(texts.mapInArrow(run, "class_id long, shingles array<long>").withColumn("n", F.size("shingles").cast("long")))
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def arrays(column: pa.ListArray) -> list[np.ndarray]:
         flat, at = column.values.to_numpy(), column.offsets.to_numpy()
         return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
 
-    for batch in batches:
-        keep = []
-        for x, y in zip(arrays(batch.column("sa")), arrays(batch.column("sb"))):
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            shared = int((y[at] == x).sum())
-            keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-        keep = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(arrays(batch.column("sa")), arrays(batch.column("sb"))):
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                shared = int((y[at] == x).sum())
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
 
 
-def _common_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
+def _common_links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links between classes of common values, by their whole sets: enough of them to connect what is connected."""
-    lists = cut_lineage(exact_postings(sets))
+    lists = cut_lineage(exact_postings(sets, percent))
     cold, hot = lists.where(~F.col("hot")), lists.where("hot")
     centres = hot.groupBy("value").agg(F.min(F.struct("rank", -F.col("n"), "class_id", "n")).alias("h")) \
         .select("value", "h.class_id", "h.n", "h.rank")
-    pairs = cut_lineage(_pairs(cold, cold, True, F.col("x") < F.col("y")).union(_pairs(hot, centres, True)).distinct())
-    found = confirmed(estimated(pairs, classes), sets)
+    pairs = cut_lineage(_pairs(cold, cold, True, percent, F.col("x") < F.col("y")).union(_pairs(hot, centres, True, percent)).distinct())
+    found = confirmed(estimated(pairs, classes, percent), sets, percent)
     placed = hot.join(cut_lineage(components(found)).withColumnRenamed("id", "class_id"), "class_id", "left") \
         .withColumn("component", F.coalesce("component", "class_id"))
     split = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
@@ -194,24 +213,25 @@ def _common_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
     main = open_.groupBy("value", "component").agg(F.count("*").alias("rows")) \
         .groupBy("value").agg(F.max(F.struct("rows", "component")).alias("m")).select("value", F.col("m.component").alias("main"))
     rest = open_.join(main, "value").where(F.col("component") != F.col("main"))
-    more = _pairs(rest.withColumn("l_c", F.col("component")), open_.withColumn("r_c", F.col("component")), True, F.col("l_c") != F.col("r_c"))
+    more = _pairs(rest.withColumn("l_c", F.col("component")), open_.withColumn("r_c", F.col("component")), True, percent,
+                  F.col("l_c") != F.col("r_c"))
     more = cut_lineage(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-    return found.union(confirmed(estimated(more, classes), sets)) if more.limit(1).count() else found
+    return found.union(confirmed(estimated(more, classes, percent), sets, percent)) if more.limit(1).count() else found
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, text_key."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_key. Texts are linked from a Jaccard similarity of percent / 100 on."""
     docs = docs.select("doc_id", "text")
     rows = cut_lineage(sketches(docs))
     classes = cut_lineage(rows.where("n_shingles > 0").groupBy("class_id").agg(
         F.min("doc_id").alias("example"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    lists = cut_lineage(postings(classes))
+    lists = cut_lineage(postings(classes, percent))
     cold, common = lists.where(~F.col("hot")), cut_lineage(lists.where("hot").select("class_id").distinct())
-    likely = estimated(_pairs(cold, cold, False, F.col("x") < F.col("y")).distinct(), classes)
+    likely = estimated(_pairs(cold, cold, False, percent, F.col("x") < F.col("y")).distinct(), classes, percent)
     large = likely.where(~F.col("whole"))
     wanted = large.select(F.col("a").alias("class_id")).union(large.select("b")).union(common).distinct()
     sets = _sets(docs, classes.join(wanted, "class_id", "left_semi"))
-    found = confirmed(likely, sets).union(_common_links(sets.join(common, "class_id", "left_semi"), classes))
+    found = confirmed(likely, sets, percent).union(_common_links(sets.join(common, "class_id", "left_semi"), classes, percent))
     labels = cut_lineage(components(found))
     placed = rows.select("doc_id", "text_key", "n_shingles", "class_id") \
         .join(labels.withColumnRenamed("id", "class_id"), "class_id", "left") \
@@ -222,11 +242,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         (F.col("doc_id") == F.coalesce("smallest", "doc_id")).alias("kept"), "text_key")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near duplicates; of rows that repeat an id and text, one. Rows without an id stay."""
     docs, back = guarded(docs, "doc_id", "text")
     keyed = docs.withColumn("text_key", text_key(F.col("text")))
-    flags = cut_lineage(near_duplicates(docs).select(F.col("doc_id").alias("flag_id"), F.col("text_key").alias("flag_key"), "kept"))
+    flags = cut_lineage(near_duplicates(docs, percent).select(F.col("doc_id").alias("flag_id"), F.col("text_key").alias("flag_key"), "kept"))
     of_flag = F.col("doc_id").cast("long").eqNullSafe(F.col("flag_id")) & (F.col("text_key") == F.col("flag_key"))
     out = keyed.join(flags.where(~F.col("kept")).drop("kept").distinct(), of_flag, "left_anti")
     repeated = cut_lineage(flags.where("kept").groupBy("flag_id", "flag_key").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"))

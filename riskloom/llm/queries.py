@@ -10,6 +10,7 @@ from riskloom.llm.common import table
 from riskloom.llm.sql import LINE_SQL, MIX_SQL, NEAR_SQL, SHARD_SQL, VECTOR_SQL, WARC_SQL
 
 SHARD_BYTES = 1 << 20
+NEAR_PERCENT = 85
 
 
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,7 +24,7 @@ def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return bottomk.near_duplicates(table(spark, sf, "documents")).drop("text_key")
+    return bottomk.near_duplicates(table(spark, sf, "documents"), NEAR_PERCENT).drop("text_key")
 
 
 def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
