@@ -8,7 +8,8 @@
    has. A page without any of them, or without text there, falls back on its own best container.
 
 Left out wherever they stand: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments (by
-tag, role and words of class or id). Character references are decoded, white space inside a block becomes one space, blocks are
+tag, role and words of class or id). Names that tell a state (no-sidebar, nav-open) don't count, and an element that turns out
+to hold the page's article or most of its text is kept (`Page._kept`), but for hidden ones. Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by a line end; nothing else is dropped or cut.
 
 Nulls and odd input: a null or empty html gives an empty text; a null url has the host ''; broken markup is read as far as it
@@ -39,8 +40,7 @@ _TOKEN = re.compile(
     r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>", re.S | re.I)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _DIGITS = re.compile(r"\d+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -63,41 +63,69 @@ SKIPPED_WORDS = frozenset(
 ARTICLE_WORDS = frozenset("article post entry story content main body".split())
 NEVER_SKIPPED = frozenset("html body main article".split())
 OWN_ARTICLE = frozenset("comment comments ad advert related".split())
+STATE_FIRST = frozenset("no has with without is".split())
+STATE_LAST = frozenset("open opened closed fixed sticky collapsed expanded visible enabled disabled".split())
+
+# How firmly an element is left out: an outer layout may well bear the words of LAYOUT and WRAPPER; the rest names the thing itself.
+NOT, WRAPPER, LAYOUT, FIRM, GONE = range(5)
+WRAPPER_TAGS = frozenset("form fieldset label".split())
+GONE_TAGS = frozenset("head button select option input object audio video canvas datalist".split())
+WRAPPER_WORDS = frozenset("widget form search toolbar skip notice".split())
+LAYOUT_WORDS = frozenset("nav navbar menu masthead header topbar sidebar aside rail banner overlay modal popup social share sharing "
+                         "notification".split())
+MOST = 0.5             # of the unlinked text: a wrapper with more of it is kept
+NEARLY_ALL = 0.9       # the same for a layout
+LEAST_TEXT = 200       # characters without which an element isn't kept for its text alone
+OUTSIDE, LOST = -1, -2      # the drop of what no skipped element holds, and of what is left out without another look
+LINKED = 0.25          # a container around the best one adds main text if at most this share of it is links
 
 
 def _words(value: str) -> list[str]:
     return [w.lower() for w in _PARTS.findall(value)]
 
 
-def _skipped(tag: str, attrs: dict[str, str], raw: str) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    attrs: dict[str, str] = {}
+    for name, *values in _ATTR.findall(raw):
+        attrs.setdefault(name.lower(), values[0] or values[1] or values[2])
+    return attrs
+
+
+def _skipped(tag: str, attrs: dict[str, str]) -> int:
+    """NOT, or how firmly the element is left out."""
+    if "hidden" in attrs or tag in GONE_TAGS:
+        return GONE
+    firm = NOT
     if tag in SKIPPED_TAGS:
-        return True
-    if attrs.get("role", "").lower() in SKIPPED_ROLES or _HIDDEN.search(raw):
-        return True
-    names = (attrs.get("class", "") + " " + attrs.get("id", "")).split()
-    for name in names:
+        firm = WRAPPER if tag in WRAPPER_TAGS else FIRM
+    role = attrs.get("role", "").lower()
+    if role in SKIPPED_ROLES:
+        firm = max(firm, WRAPPER if role == "form" else FIRM)
+    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
         words = _words(name)
-        if any(w in SKIPPED_WORDS for w in words):
-            if tag in NEVER_SKIPPED and (tag in ("html", "body") or not OWN_ARTICLE & set(words)):
-                continue      # the state of the page ("article has-sidebar"), unless the element is itself such a thing
-            if "header" in words and ARTICLE_WORDS & set(words) and not (SKIPPED_WORDS - {"header"}) & set(words):
-                continue      # the heading of the article itself
-            return True
-    return False
+        found = SKIPPED_WORDS.intersection(words)
+        if not found or len(words) > 1 and (words[0] in STATE_FIRST or words[-1] in STATE_LAST):
+            continue
+        if tag in NEVER_SKIPPED and not OWN_ARTICLE & found:
+            continue      # the state of the page ("article sidebar-left"), unless the element is itself such a thing
+        if found == {"header"} and ARTICLE_WORDS.intersection(words):
+            continue      # the heading of the article itself
+        firm = max(firm, WRAPPER if found <= WRAPPER_WORDS else LAYOUT if found <= WRAPPER_WORDS | LAYOUT_WORDS else FIRM)
+    return firm
 
 
 class _Stack:
-    """The open elements: tag, node of the nearest container, whether skipped. Counts tell if a tag is open at all."""
+    """The open elements: tag, node of the nearest container, drop (see Page). Counts tell if a tag is open at all."""
 
     def __init__(self):
-        self.items, self.open = [("body", 0, False)], {"body": 1}
+        self.items, self.open = [("body", 0, OUTSIDE)], {"body": 1}
 
     @property
-    def top(self) -> tuple[str, int, bool]:
+    def top(self) -> tuple[str, int, int]:
         return self.items[-1]
 
-    def push(self, tag: str, node: int, skip: bool) -> None:
-        self.items.append((tag, node, skip))
+    def push(self, tag: str, node: int, drop: int) -> None:
+        self.items.append((tag, node, drop))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def _cut(self, at: int) -> None:
@@ -135,43 +163,59 @@ class _Stack:
 
 
 class Page:
-    """The blocks of a page outside of what is skipped, and the containers they stand in."""
+    """The blocks of a page outside of what is left out, and the containers they stand in.
+
+    An element that its tag, role or names tell to leave out is a drop. Its blocks are read too, as only the whole page shows
+    whether it holds the article.
+    """
 
     def __init__(self, html: str):
         self.parent, self.path, self.depth = [-1], ["body"], [0]           # of each node; 0 is the body, also where no tag says so
+        self.article = [False]                                             # whether the node is an article or main
         self.blocks: list[tuple[str, int, int]] = []                       # text, its container, characters of links
+        self._drops: list[tuple[int, int]] = []                            # the drop around each, and how firmly it is left out
+        self._articles: list[int] = []                                     # of each article or main: the drop it stands in
+        self._found: list[tuple[str, int, int, int]] = []                  # blocks, and the drop of each
         self._read(html)
+        kept = self._kept() if self._drops else {OUTSIDE}
+        self.blocks = [b[:3] for b in self._found if b[3] in kept]
 
     def _read(self, html: str) -> None:
         stack = _Stack()
-        text: list[str] = []
-        links, depth_a, last = 0, 0, 0
+        text: dict[int, list[str]] = {}      # by drop: a skipped inline element stands within a block
+        links: dict[int, int] = {}
+        depth_a, last = 0, 0
+
+        def add(part: str, linked: int = 0) -> None:
+            drop = stack.top[2]
+            if drop != LOST:
+                text.setdefault(drop, []).append(part)
+                if linked:
+                    links[drop] = links.get(drop, 0) + linked
 
         def flush() -> None:
-            nonlocal links
-            joined = " ".join(unescape("".join(text)).split())
-            if joined:
-                self.blocks.append((joined, stack.top[1], min(links, len(joined))))
+            for drop, parts in text.items():
+                joined = " ".join(unescape("".join(parts)).split())
+                if joined:
+                    self._found.append((joined, stack.top[1], min(links.get(drop, 0), len(joined)), drop))
             text.clear()
-            links = 0
+            links.clear()
 
         for m in _TOKEN.finditer(html):
-            if not stack.top[2] and m.start() > last:
-                text.append(html[last:m.start()])
-                if depth_a:
-                    links += m.start() - last
+            if m.start() > last:
+                add(html[last:m.start()], m.start() - last if depth_a else 0)
             last = m.end()
             tag = m["tag"] or m["tag2"]
             if not tag:
                 if m["raw"]:
-                    text.append(" ")
+                    add(" ")
                 continue
             tag = tag.lower()
             ends = bool(m["end"] or m["end2"])
             if tag in BLOCKS:
                 flush()
             elif tag in SPACES:
-                text.append(" ")
+                add(" ")
             if tag == "a":
                 depth_a = max(0, depth_a + (-1 if ends else 1))
             if ends:
@@ -183,21 +227,82 @@ class Page:
             if tag in VOID:
                 continue
             raw = m["attrs"] or m["attrs2"] or ""
-            attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(raw)} if raw else {}
-            _, node, skip = stack.top
-            skip = skip or _skipped(tag, attrs, raw)
-            if tag in CONTAINERS and not skip:
+            attrs = _attributes(raw) if raw else {}
+            _, node, drop = stack.top
+            firm = _skipped(tag, attrs) if drop != LOST else GONE
+            if firm == GONE:
+                drop = LOST
+            elif firm:
+                self._drops.append((drop, firm))
+                drop = len(self._drops) - 1
+            article = tag in ("article", "main") or attrs.get("role", "").lower() in ("article", "main")
+            if article and not firm:
+                self._articles.append(drop)
+            if tag in CONTAINERS and drop != LOST:
                 classes = "".join("." + _DIGITS.sub("0", c) for c in sorted(set(attrs.get("class", "").split())))
                 self.parent.append(node)
                 self.depth.append(self.depth[node] + 1)
                 self.path.append(f"{self.path[node]}>{tag}{classes}" if self.depth[-1] <= PATH_LEVELS else self.path[node])
+                self.article.append(article)
                 node = len(self.parent) - 1
             if not raw.endswith("/") or tag in BLOCKS:
-                stack.push(tag, node, skip)
-        if not stack.top[2]:
-            text.append(html[last:])
+                stack.push(tag, node, drop)
+        add(html[last:])
         flush()
 
+    def _kept(self) -> set[int]:
+        """OUTSIDE and the drops that hold the article, or the page's text: looked for from the outside in.
+
+        A wrapper (form, widget) is kept if it holds an article or main, or most of the text. As long as no article or main
+        stands outside of drops, so is a layout that holds one, or nearly all text, and any drop with both an article and
+        most text. Texts are counted without links, and the page's without that of firm drops.
+        """
+        sizes, firm_text = [0] * len(self._drops), 0
+        for text, _, linked, drop in self._found:
+            if drop != OUTSIDE:
+                sizes[drop] += len(text) - linked
+        total = sum(len(text) - linked for text, _, linked, _ in self._found)
+        holds = [0] * len(self._drops)
+        for drop in self._articles:
+            if drop != OUTSIDE:
+                holds[drop] += 1
+        for k in range(len(self._drops) - 1, -1, -1):     # what is around comes first
+            around, _ = self._drops[k]
+            if around != OUTSIDE:
+                sizes[around] += sizes[k]
+                holds[around] += holds[k]
+        firm_around, levels = [False] * len(self._drops), [0] * len(self._drops)
+        by_level: list[list[int]] = []
+        for k, (around, firm) in enumerate(self._drops):
+            within = around != OUTSIDE and firm_around[around]
+            firm_around[k] = within or firm == FIRM
+            if firm == FIRM and not within:
+                firm_text += sizes[k]
+            levels[k] = 0 if around == OUTSIDE else levels[around] + 1
+            if levels[k] == len(by_level):
+                by_level.append([])
+            by_level[levels[k]].append(k)
+        own, kept = set(self._articles), {OUTSIDE}
+        free = OUTSIDE in own
+        for level in by_level:
+            more = set()
+            for k in level:
+                around, firm = self._drops[k]
+                if around not in kept:
+                    continue
+                much = sizes[k] >= LEAST_TEXT
+                if firm == WRAPPER:
+                    keep = holds[k] or much and sizes[k] > MOST * (total - firm_text)
+                elif firm == LAYOUT:
+                    keep = not free and (holds[k] or much and sizes[k] > NEARLY_ALL * (total - firm_text))
+                else:
+                    keep = not free and holds[k] and sizes[k] > MOST * total
+                if keep:
+                    more.add(k)
+            kept |= more
+            free = free or not own.isdisjoint(more)
+        return kept
+
     def best(self) -> int | None:
         """The container with the highest score; of equal ones the outermost, then the first."""
         scores = [0.0] * len(self.parent)

@@ -1,7 +1,7 @@
 """Inputs on which an operator once did less than its whole job."""
 
 import corpus_pipeline
-from riskloom.llm import bottomk
+from riskloom.llm import bottomk, html_extract
 
 
 def shingles(text):
@@ -27,3 +27,34 @@ def test_near_dedup_stage_at_eighty(spark):
 def test_near_dedup_bounds_follow_the_threshold():
     assert [bottomk.least_shared(p) for p in (80, 85, 100)] == [6, 8, bottomk.LISTED]
     assert bottomk.least_estimate(80) < bottomk.least_estimate(85) < 0.61
+
+
+def page_text(html):
+    return html_extract.Page(html).text([])
+
+
+BODY = "<h1>The title</h1><p>" + "Some words of the article. " * 20 + "</p>"
+WHOLE = "The title\n" + ("Some words of the article. " * 20).strip()
+
+
+def test_layouts_around_the_article_are_kept():
+    article = f"<article>{BODY}</article>"
+    around = "<nav><a href=/>home</a></nav>{}<div class=ad>buy this now</div><footer>the footer of the page</footer>"
+    for tag in ("div class='layout no-sidebar'", "div class='content has-sidebar'", "div class=nav-open", "div id=hasSidebar", "form action=/x",
+                "div class=layout-sidebar", "div title='the hidden cost'", "div data-x=\"a hidden b\"", "div class=\"page comments-enabled\""):
+        for inner in (article, f"<main><div>{BODY}</div></main>"):
+            assert page_text(around.format(f"<{tag}>{inner}</{tag.split()[0]}>")) == WHOLE, tag
+    for tag in ("div class=elementor-widget-text-editor", "form", "div class='layout no-sidebar'", "div class=sidebar-left"):
+        assert page_text(around.format(f"<{tag}>{BODY}</{tag.split()[0]}>")) == WHOLE, tag
+    widget = "<main><h1>The title</h1><div class=elementor-widget-text-editor>" + BODY[len("<h1>The title</h1>"):] + "</div></main>"
+    assert html_extract.Page(around.format(widget)).blocks == [(t, i + 1, 0) for i, t in enumerate(WHOLE.split("\n"))]
+
+
+def test_what_is_left_out_stays_out():
+    long = "Words that are not of the article. " * 40
+    for drop in (f"<section class=comments><article class=comment><p>{long}</p></article></section>", f"<footer>{long}</footer>",
+                 f"<aside><article>{long}</article></aside>", f"<div hidden>{long}</div>", f"<div class='modal is-open'>{long}</div>",
+                 f"<div class=related><article>{long}</article></div>", "<form>Search <label>here</label></form>"):
+        assert page_text(f"<body><article>{BODY}</article>{drop}</body>") == WHOLE, drop
+    assert page_text(f"<p>{'x' * 300} <span class=ad>buy</span> y</p>") == "x" * 300 + " y"
+    assert page_text(f"<article></article><div class=ad>{long}</div><footer>{long}</footer><form>Search</form>") == ""
