@@ -1,11 +1,13 @@
 """Main text of web pages by consensus host paths.
 
 1. Every page's elements are read with the implied ends of HTML, and its containers scored: a block's text counts for the
-   container it stands in and, less by a factor per level, for those around it; link text counts against it.
-2. Each page votes for the generalised path (tags and classes from the body down, digits made alike) of its best container.
+   container it stands in and, less by a factor per level, for those around it; link text counts against it. From the best
+   one the page climbs to the article or main around it and on to those around that add text of few links (`Page._climbed`),
+   so that title, lead and sister parts belong to it.
+2. Each page votes for the generalised path (tags and classes from the body down, digits made alike) of that container.
    Spark counts the votes per host; paths with two votes and a hundredth of the host's pages win, so a host has at most 100.
 3. Each page is read again with its host's winning paths: the text of all containers on the best-voted path that the page
-   has. A page without any of them, or without text there, falls back on its own best container.
+   has. A page without any of them, or without text there, falls back on its own container.
 
 Left out wherever they stand: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments (by
 tag, role and words of class or id). Names that tell a state (no-sidebar, nav-open) don't count, and an element that turns out
@@ -77,7 +79,7 @@ MOST = 0.5             # of the unlinked text: a wrapper with more of it is kept
 NEARLY_ALL = 0.9       # the same for a layout
 LEAST_TEXT = 200       # characters without which an element isn't kept for its text alone
 OUTSIDE, LOST = -1, -2      # the drop of what no skipped element holds, and of what is left out without another look
-LINKED = 0.25          # a container around the best one adds main text if at most this share of it is links
+LINKED = 0.25          # what a container around the best one adds is main text if at most this share of it is links
 
 
 def _words(value: str) -> list[str]:
@@ -171,7 +173,7 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.path, self.depth = [-1], ["body"], [0]           # of each node; 0 is the body, also where no tag says so
-        self.article = [False]                                             # whether the node is an article or main
+        self.kind = [""]                                                   # article or main, by tag or role, or nothing
         self.blocks: list[tuple[str, int, int]] = []                       # text, its container, characters of links
         self._drops: list[tuple[int, int]] = []                            # the drop around each, and how firmly it is left out
         self._articles: list[int] = []                                     # of each article or main: the drop it stands in
@@ -235,15 +237,15 @@ class Page:
             elif firm:
                 self._drops.append((drop, firm))
                 drop = len(self._drops) - 1
-            article = tag in ("article", "main") or attrs.get("role", "").lower() in ("article", "main")
-            if article and not firm:
+            kind = next((x for x in (tag, attrs.get("role", "").lower()) if x in ("article", "main")), "")
+            if kind and not firm:
                 self._articles.append(drop)
             if tag in CONTAINERS and drop != LOST:
                 classes = "".join("." + _DIGITS.sub("0", c) for c in sorted(set(attrs.get("class", "").split())))
                 self.parent.append(node)
                 self.depth.append(self.depth[node] + 1)
                 self.path.append(f"{self.path[node]}>{tag}{classes}" if self.depth[-1] <= PATH_LEVELS else self.path[node])
-                self.article.append(article)
+                self.kind.append(kind)
                 node = len(self.parent) - 1
             if not raw.endswith("/") or tag in BLOCKS:
                 stack.push(tag, node, drop)
@@ -304,14 +306,45 @@ class Page:
         return kept
 
     def best(self) -> int | None:
-        """The container with the highest score; of equal ones the outermost, then the first."""
-        scores = [0.0] * len(self.parent)
-        for text, node, links in self.blocks:
-            scores[node] += max(0.0, len(text) - 2.0 * links)
-        for node in range(len(scores) - 1, 0, -1):       # parents come first
-            scores[self.parent[node]] += OUTER * scores[node]
+        """The container of the main text: the one with the highest score, or one around it. Of equal scores the outermost, then the first."""
+        n = len(self.parent)
+        scores = [0.0] * n
+        sizes, links, articles = [0] * n, [0] * n, [int(k == "article") for k in self.kind]     # with all below
+        for text, node, linked in self.blocks:
+            scores[node] += max(0.0, len(text) - 2.0 * linked)
+            sizes[node] += len(text)
+            links[node] += linked
+        for node in range(n - 1, 0, -1):       # parents come first
+            around = self.parent[node]
+            scores[around] += OUTER * scores[node]
+            sizes[around] += sizes[node]
+            links[around] += links[node]
+            if sizes[node]:
+                articles[around] += articles[node]
         top = max(scores)
-        return min((i for i, s in enumerate(scores) if s == top), key=lambda i: (self.depth[i], i)) if top > 0 else None
+        if top <= 0:
+            return None
+        return self._climbed(min((i for i, s in enumerate(scores) if s == top), key=lambda i: (self.depth[i], i)), sizes, links, articles)
+
+    def _climbed(self, node: int, sizes: list[int], links: list[int], articles: list[int]) -> int:
+        """From a container to the outermost article around it, or else the main, and on as long as what is added has few links.
+
+        A main is the end; from an article the way ends before the body and before other articles.
+        """
+        around = [node]
+        while self.parent[around[-1]] >= 0:
+            around.append(self.parent[around[-1]])
+        enclosing = [i for i in around if self.kind[i] == "article"] or [i for i in around if self.kind[i] == "main"]
+        at = enclosing[-1] if enclosing else node
+        for i in around[around.index(at) + 1:]:
+            added = sizes[i] - sizes[at]
+            if self.kind[at] == "main" or enclosing and (i == 0 or articles[i] > articles[at]):
+                break
+            if added and links[i] - links[at] > LINKED * added:
+                break
+            if added:
+                at = i
+        return at
 
     def text(self, paths: list[str]) -> str:
         """The blocks of the best-voted path that has any, or of the page's own best container."""

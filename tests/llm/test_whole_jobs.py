@@ -58,3 +58,19 @@ def test_what_is_left_out_stays_out():
         assert page_text(f"<body><article>{BODY}</article>{drop}</body>") == WHOLE, drop
     assert page_text(f"<p>{'x' * 300} <span class=ad>buy</span> y</p>") == "x" * 300 + " y"
     assert page_text(f"<article></article><div class=ad>{long}</div><footer>{long}</footer><form>Search</form>") == ""
+
+
+def test_parts_beside_the_inner_container(spark):
+    body, lead = "<div class=body><p>" + "Inner text of the page. " * 50 + "</p></div>", "A lead that stands above the rest of the article."
+    inner = ("Inner text of the page. " * 50).strip()
+    more = "<ul>" + "".join(f"<li><a href=/{i}>Another page of this site</a></li>" for i in range(9)) + "</ul>"
+    parts = f"<h1>Title</h1><p>{lead}</p><div class=intro>Short intro.</div>{body}<div class=end>The end.</div>"
+    whole = "\n".join(["Title", lead, "Short intro.", inner, "The end."])
+    frames = ["<article>{}</article>", "<main><section>{}</section></main>", "<main><h2></h2><article>{}</article></main>", "<div class=post>{}</div>",
+              "<div class=post>{}</div>" + f"<div class=more>{more}</div>", "<div><article>{}</article><article class=teaser>A teaser.</article></div>",
+              "<article>{}</article><div class=end2>Copyright.</div>", "{}"]
+    rows = [(10 * k + i, f"http://h{k}.example/{i}", "<nav><a href=/>home</a></nav>" + f.format(parts)) for k, f in enumerate(frames) for i in range(3)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {r[0]: whole for r in rows}
+    linked = f"<div class=all>{more}{body}</div>"
+    assert page_text(linked) == inner
