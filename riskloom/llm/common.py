@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.session import cut_lineage
@@ -42,6 +42,18 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows, stored, with `copy_`: 0, 1, .. within each key. Rows are counted by key and part, so no task holds a whole key."""
+    rows = cut_lineage(rows.withColumn("part_", F.spark_partition_id()))
+    before = Window.partitionBy("key_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(F.col(key).alias("key_"), F.col("part_").alias("at_")).agg(F.count("*").alias("rows_")) \
+        .withColumn("start_", F.coalesce(F.sum("rows_").over(before), F.lit(0))).drop("rows_")
+    here = F.row_number().over(Window.partitionBy(key, "part_").orderBy("part_")) - 1
+    return rows.withColumn("here_", here) \
+        .join(checked_broadcast(cut_lineage(starts)), (F.col(key) == F.col("key_")) & (F.col("part_") == F.col("at_"))) \
+        .withColumn("copy_", F.col("start_") + F.col("here_")).drop("part_", "at_", "key_", "start_", "here_")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable by undirected edges, for every id that has an edge.
 

@@ -5,8 +5,9 @@ splits on the next bit, the others stay. Ten bits are read per round: one sum pe
 the cells' prefixes give the depth at which each cell stops. The directory has a row per cell, with the bucket it points to.
 Rounds end when no bucket is open, so only parts that are still too large are looked at again.
 
-A bucket that holds a single key can't split: a text longer than the limit, or repeats of one row, make a shard above the
-limit, marked `oversize`. Nulls: a null text has 0 bytes, a null id or text hashes as empty. An empty table gives an empty
+A bucket that holds a single key can't split. If that is because a row repeats, its copies are numbered, get keys of their own
+by their numbers, and the directory is built anew; so only a single text longer than the limit makes a shard above it, marked
+`oversize`. (SHARD_SQL keeps repeats together; the two differ only where copies of one row exceed the limit.) Nulls: a null text has 0 bytes, a null id or text hashes as empty. An empty table gives an empty
 result. Extra columns stay; those named like the results are replaced.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import KEY_BITS, checked_broadcast, guarded, key60
+from riskloom.llm.common import KEY_BITS, checked_broadcast, guarded, key60, numbered
 from riskloom.session import cut_lineage
 
 ROUND_BITS = 10
@@ -56,11 +57,25 @@ def directory(keyed: DataFrame, limit: int) -> list[DataFrame]:
     return rounds
 
 
+def _split_copies(keyed: DataFrame, narrow: DataFrame, limit: int) -> DataFrame:
+    """keyed with a key for each copy of the rows whose copies together exceed the limit."""
+    hot = cut_lineage(narrow.groupBy(F.col("shard_key").alias("hot_key")).agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes"))
+                      .where((F.col("rows") > 1) & (F.col("bytes") > limit)).select("hot_key"))
+    is_hot = F.col("shard_key") == F.col("hot_key")
+    copies = numbered(keyed.join(checked_broadcast(hot), is_hot, "left_semi"), "shard_key")
+    own = copies.withColumn("shard_key", key60(F.col("shard_key"), F.col("copy_"))).drop("copy_")
+    return keyed.join(checked_broadcast(hot), is_hot, "left_anti").unionByName(own)
+
+
 def shard(docs: DataFrame, limit: int) -> DataFrame:
     """docs with n_bytes, shard_id (the bits of its bucket), depth, shard_bytes, shard_docs, oversize."""
     docs, back = guarded(docs.drop(*OUT), "doc_id", "text")
     keyed = with_keys(docs)
-    rounds = directory(cut_lineage(keyed.select("shard_key", "n_bytes")), limit)
+    narrow = cut_lineage(keyed.select("shard_key", "n_bytes"))
+    rounds = directory(narrow, limit)
+    if any(r.where("oversize and shard_docs > 1").limit(1).count() for r in rounds):
+        keyed = _split_copies(keyed, narrow, limit)
+        rounds = directory(cut_lineage(keyed.select("shard_key", "n_bytes")), limit)
     out = keyed
     for r, settled in enumerate(rounds):
         cell = F.shiftright("shard_key", KEY_BITS - ROUND_BITS * (r + 1))

@@ -1,7 +1,7 @@
 """Inputs on which an operator once did less than its whole job."""
 
 import corpus_pipeline
-from riskloom.llm import bottomk, html_extract
+from riskloom.llm import bottomk, html_extract, sharding
 
 
 def shingles(text):
@@ -74,3 +74,24 @@ def test_parts_beside_the_inner_container(spark):
     assert {r.page_id: r.text for r in got} == {r[0]: whole for r in rows}
     linked = f"<div class=all>{more}{body}</div>"
     assert page_text(linked) == inner
+
+
+def test_copies_of_a_row_are_spread_over_shards(spark):
+    rows = [(1, "x" * 300, str(i)) for i in range(40)] + [(i, "y" * 50, "") for i in range(2, 80)] + [(100, "z" * 1500, "")] * 2 + [(None, None, None)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(4)
+    got = sharding.shard(docs, 1000).collect()
+    assert sorted((r.doc_id or 0, r.note or "") for r in got) == sorted((r[0] or 0, r[2] or "") for r in rows)
+    sizes, counts = {}, {}
+    for r in got:
+        sizes[r.shard_id] = sizes.get(r.shard_id, 0) + r.n_bytes
+        counts[r.shard_id] = counts.get(r.shard_id, 0) + 1
+    assert all((r.shard_bytes, r.shard_docs) == (sizes[r.shard_id], counts[r.shard_id]) for r in got)
+    assert [r.doc_id for r in got if r.oversize] == [100, 100] and all(r.shard_bytes <= 1000 for r in got if r.doc_id != 100)
+    again = sharding.shard(docs.repartition(7), 1000).collect()
+    assert sorted((r.doc_id or 0, r.shard_id) for r in again) == sorted((r.doc_id or 0, r.shard_id) for r in got)
+
+
+def test_long_document_taken_twice(spark):
+    docs = spark.createDataFrame([(1, "a long text " * 60_000)] * 2 + [(2, "short")], "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["sharding"](spark, docs, "").collect()
+    assert len(got) == 3 and max(r.shard_bytes for r in got) <= corpus_pipeline.SHARD_BYTES and not any(r.oversize for r in got)
