@@ -6,10 +6,10 @@ one record at a time, however long the archive. Reading needs no path that Pytho
 
 A capture's records name each other by WARC-Concurrent-To, in either direction and over one record in between; they are joined
 by it into one nested row per capture. Of equal payloads of at least `least` bytes, the first page (smallest page_id, nulls
-last, then url) is written as response and the others as revisits that refer to it.
+last, then url) is written as response and the others as revisits that refer to it. Rows equal in page_id, url and html are
+captures of their own too: they are numbered, and the number stands in the ids of the second and later ones.
 
-Nulls and odd input: a null html is an empty payload; a null url an empty target; a null page_id stays null. Rows equal in
-page_id, url and html are one capture. A record that can't be parsed is kept as a row of type `broken` with the reason and
+Nulls and odd input: a null html is an empty payload; a null url an empty target; a null page_id stays null. A record that can't be parsed is kept as a row of type `broken` with the reason and
 ends the reading of its file's remainder only up to the next version line. Records without a capture make a row without
 response. Empty tables and folders without files give empty results. Extra columns are ignored.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import checked_broadcast
+from riskloom.llm.common import checked_broadcast, numbered
 from riskloom.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 LEAST_BYTES = 100
@@ -53,10 +53,17 @@ def captures(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
         .withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)) \
         .withColumn("n_bytes", F.octet_length("payload").cast("long"))
     identity = [F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("url"), F.col("digest")]
-    rows = rows.withColumn("response_id", _uuid(F.lit("response"), *identity))
+    rows = rows.withColumn("response_id", _uuid(F.lit("response"), *identity)).withColumn("copy_", F.lit(0).cast("long"))
+    repeats = cut_lineage(rows.groupBy(F.col("response_id").alias("again")).agg(F.count("*").alias("rows")).where("rows > 1").select("again"))
+    if repeats.limit(1).count():
+        is_repeat = F.col("response_id") == F.col("again")
+        copies = numbered(rows.drop("copy_").join(checked_broadcast(repeats), is_repeat, "left_semi"), "response_id")
+        own_id = _uuid(F.lit("response"), *identity, F.col("copy_").cast("string"))
+        copies = copies.withColumn("response_id", F.when(F.col("copy_") > 0, own_id).otherwise(F.col("response_id")))
+        rows = rows.join(checked_broadcast(repeats), is_repeat, "left_anti").unionByName(copies)
     # Only digests that several captures share matter; they are few, and the payloads needn't move for them.
     first = rows.where(F.col("n_bytes") >= least).groupBy("digest").agg(
-        F.min(F.struct(F.col("page_id").isNull(), "page_id", "url", "response_id")).alias("f"),
+        F.min(F.struct(F.col("page_id").isNull(), "page_id", "url", "copy_", "response_id")).alias("f"),
         F.max("response_id").alias("high"), F.min("response_id").alias("low")) \
         .where("high != low").select("digest", F.col("f.response_id").alias("first_id"))
     joined = rows.join(checked_broadcast(cut_lineage(first)), "digest", "left")

@@ -1,7 +1,10 @@
 """Inputs on which an operator once did less than its whole job."""
 
+import duckdb
+
 import corpus_pipeline
-from riskloom.llm import bottomk, html_extract, sharding
+from riskloom.llm import bottomk, html_extract, sharding, warc
+from riskloom.llm.queries import SQL
 
 
 def shingles(text):
@@ -95,3 +98,20 @@ def test_long_document_taken_twice(spark):
     docs = spark.createDataFrame([(1, "a long text " * 60_000)] * 2 + [(2, "short")], "doc_id long, text string")
     got = dict(corpus_pipeline.STAGES)["sharding"](spark, docs, "").collect()
     assert len(got) == 3 and max(r.shard_bytes for r in got) <= corpus_pipeline.SHARD_BYTES and not any(r.oversize for r in got)
+
+
+def test_repeated_pages_are_captures_of_their_own(spark, tmp_path):
+    rows = [(1, "u1", "y" * 200)] * 30 + [(2, "u2", "y" * 200)] + [(3, "u3", "short")] * 5 + [(None, "u4", "n" * 150)] * 4 + [(None, None, None)] * 3
+    rows += [(i, f"u{i}", f"page {i} " * 20) for i in range(10, 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    con.execute(SQL["op4_warc"])
+    names = [d[0] for d in con.description]
+    expected = sorted(repr(r) for r in con.fetchall())
+    got = warc.page_digests(pages).select(*names).collect()
+    assert len(got) == len(rows) and sorted(repr(tuple(r)) for r in got) == expected
+    warc.write_archives(pages, str(tmp_path / "w"))
+    ids = [r.record_id for r in warc.read_archives(spark, str(tmp_path / "w")).collect()]
+    assert len(ids) == len(set(ids)) == 3 * len(rows)
