@@ -39,7 +39,7 @@ def test_against_sql(spark, con, name):
 
 def test_registered(spark):
     assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 14))
     assert "pipeline" in entry_module.queries()
 
 
