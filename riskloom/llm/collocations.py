@@ -41,8 +41,8 @@ ROUNDS = ((1, 2), (3,), (4, 5))      # lengths that are summarised together; all
 COUNTERS = 1 << 20                   # counters of a hash partition, by which the number of partitions is chosen
 PARTITIONS = 32                      # hash partitions at least
 GATE_BITS = 27                       # 2^27 bits, 16 MB, at most
-CHUNK = 1 << 22
-FLUSH = 1 << 22                      # counters that a task holds before it hands them on
+CHUNK = 1 << 20
+FLUSH = 1 << 21                      # counters that a task holds before it hands them on
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 
 _INSIDE = np.ones(256, bool)
@@ -290,7 +290,7 @@ def _exact(gate):
                             counts[id_] = m
                             names[id_] = (lang, words.phrase(i, n), n)
                     at, keys = at[~same], keys[~same]
-            if len(names) > FLUSH // 8:
+            if len(names) > FLUSH // 16:
                 yield from portion()
                 names.clear()
                 counts.clear()

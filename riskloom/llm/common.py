@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, ensure_checkpoint_dir
 
 KEY_BITS = 60
 BROADCAST_ROWS = 200_000   # narrow rows (at most some 100 bytes each): 20 MB at most
@@ -42,6 +44,24 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df, written as Parquet and read again: as lasting as a checkpoint, but compressed."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing will read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """rows, stored, with `copy_`: 0, 1, .. within each key. Rows are counted by key and part, so no task holds a whole key."""
     rows = cut_lineage(rows.withColumn("part_", F.spark_partition_id()))

@@ -2,15 +2,15 @@
 
 The trie is a table of edges, made level by level: (node, letter, child, and how many words lie below the child). A node is the
 prefix it stands for. A state (word, pos, node, edits) says that the word's first `pos` letters can be turned into `node` with so
-many edits. At each level the states meet the edges of their node: a state without an edit takes its own letter's edge, or any edge
-with one edit (replaced letter, inserted letter), or drops a letter; a state with an edit takes its own letter's edge only. A state
+many edits. At each level the states meet the edges of their node: a state without an edit takes its own letter's edge, or another
+one as a replaced letter, or drops a letter; a state with an edit takes its own letter's edge only. A state
 that arrives at a word's end with one edit is a neighbour. A child with one word below it is a leaf with the rest of that word: the
 states that reach it are settled there by comparing the two words, so the walk is as deep as the longest prefix that two words share.
 
 Only edges whose child holds several words go on, so a level's tables shrink with what is shared. A state without an edit lies on its
-own word's path, so these states are the words from which the next level's edges are made. The join by node is left to Spark, which
-measures the edges: the upper levels, on whose few nodes all words stand, have at most 90 and 8,100 edges and are broadcast; below,
-nodes are many, and an adaptive join splits a hot one.
+own word's path, so these states are the words from which the next level's edges are made. A level's edges are stored, counted, and
+broadcast if few: the upper levels, on whose few nodes all words stand, have at most 91 and 8,281 edges. Below, nodes are many, and an
+adaptive join splits a hot one.
 
 Nulls and odd input: a null text has no words; a null doc_id counts as the empty text in the checksum. Repeated rows count as often
 as they stand. Ties between equally frequent neighbours go to the smallest word. Long words cost one level per letter only as far as
@@ -25,6 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import checked_broadcast, discard, stored, work_folder
 from riskloom.session import cut_lineage
 
 LEAST_LETTERS, LEAST_COUNT, RATIO, EVERY = 6, 5, 5, 199
@@ -49,41 +50,71 @@ def _letter(at: Column) -> Column:
 
 
 def _edges(states: DataFrame) -> DataFrame:
-    """The edges from the nodes of a level: node, letter, child, below (words under the child), only (that word, if it is one), ends.
-
-    The states without an edit are the words below nodes that several words share, each at its own node.
-    """
-    return states.where((F.col("edits") == 0) & (F.char_length("word") > F.col("pos"))).groupBy("node", _letter(F.col("pos")).alias("letter")) \
-        .agg(F.count("*").alias("below"), F.min("word").alias("only"), F.max(F.char_length("word") == F.col("pos") + 1).alias("ends")) \
+    """The edges from the nodes of a level: node, letter, child, below (words under the child), only (that word, if it is one), ends, and
+    the letters that follow the child. The states without an edit are the words below nodes that several words share, each at its node."""
+    pos = F.col("pos")
+    return states.where((F.col("edits") == 0) & (F.char_length("word") > pos)).groupBy("node", _letter(pos).alias("letter")) \
+        .agg(F.count("*").alias("below"), F.min("word").alias("only"), F.max(F.char_length("word") == pos + 1).alias("ends"),
+             F.array_join(F.collect_set(F.when(F.char_length("word") > pos + 1, _letter(pos + 1))), "").alias("follow")) \
         .withColumn("child", F.concat("node", "letter"))
 
 
+def _can_go_on(letter: Column) -> Column:
+    """Whether a state with an edit, whose word goes on with this letter (empty at its end), has a future behind the child."""
+    return F.when(letter != "", F.col("follow").contains(letter)).otherwise(F.col("ends"))
+
+
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, near): all pairs of words that differ by exactly one inserted, deleted or replaced letter, both ways."""
-    states = words.select("word", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"))
-    found = []
+    """(word, near): all pairs of words that differ by exactly one inserted, deleted or replaced letter, both ways; stored.
+
+    Every word is walked forwards with the edit in its second half, and backwards with the edit in its first half, so that nothing
+    branches near the root. Both are one trie: its first letter tells the direction. Being near goes both ways, so letters are dropped
+    but not inserted, and replaced by later ones only; the pairs are turned round at the end.
+    """
+    spark = words.sparkSession
+    folder = work_folder(spark, "variants")
+    both = words.select(F.concat(F.lit(">"), "word").alias("word")).union(words.select(F.concat(F.lit("<"), F.reverse("word")).alias("word")))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))    # words end up in few files where they are few
+    pos, half = F.col("pos"), F.expr("(char_length(word) - 1) div 2")
+    first = F.when(F.col("word").startswith(">"), half + 1).otherwise(F.char_length("word") - half)
+    both = stored(both.repartition(spread, "word"), f"{folder}/words")
+    start = both.agg(F.min(first)).first()[0] or 0    # above this level, each word has its own path only
+    states = both.select("word", F.lit(start).alias("pos"), F.substring("word", 1, start).alias("node"), F.lit(0).alias("edits"))
+    found, level = [], 0
     while True:
-        clean, left = F.col("edits") == 0, F.col("pos") < F.char_length("word")
-        dropped = states.where(clean & left).select("word", (F.col("pos") + 1).alias("pos"), "node", F.lit(1).alias("edits"))
-        met = states.union(dropped).join(_edges(states), "node") \
-            .withColumn("own", F.coalesce(left & (F.col("letter") == _letter(F.col("pos"))), F.lit(False))).where(clean | F.col("own"))
-        own, other = F.col("own"), ~F.col("own") & left
-        moves = F.array_compact(F.array(
-            F.when(own, F.struct((F.col("pos") + 1).alias("pos"), F.col("edits").alias("edits"))),
-            F.when(clean & other, F.struct((F.col("pos") + 1).alias("pos"), F.lit(1).alias("edits"))),
-            F.when(clean, F.struct(F.col("pos").alias("pos"), F.lit(1).alias("edits")))))
-        on = met.where("below > 1").select("word", F.explode(moves).alias("m"), F.col("child").alias("node"), "ends") \
-            .select("word", "m.pos", "node", "m.edits", "ends", F.lit(None).cast("string").alias("near"))
+        edges = checked_broadcast(stored(_edges(states), f"{folder}/{level}-edges").withColumnRenamed("node", "at_node"))
+        # The word's next two letters, empty behind its end.
+        ahead = lambda df: df.withColumn("own", _letter(pos)).withColumn("next", _letter(pos + 1))
+        own, next_, leaf = F.col("own"), F.col("next"), F.col("below") == 1
+        free = (F.col("edits") == 0) & (pos >= first)
+        dropped = states.where(free & (pos < F.char_length("word"))).select("word", (pos + 1).alias("pos"), "node", F.lit(1).alias("edits"))
+        at_node = F.col("node") == F.col("at_node")
+        # The own letter's edge: one row at most.
+        kept = ahead(states.union(dropped)).join(edges, at_node & (own == F.col("letter")) & (leaf | (F.col("edits") == 0) | _can_go_on(next_))) \
+            .select("word", (pos + 1).alias("pos"), "edits", "child", "below", "only", "ends")
+        # Where an edit is free, the edges of later letters replace the own one; at a leaf, lengths tell first.
+        same = F.char_length("word") == F.char_length("only")
+        edited = ahead(states.where(free)).where(own != "") \
+            .join(edges, at_node & (own < F.col("letter")) & F.when(leaf, same).otherwise(_can_go_on(next_))) \
+            .select("word", (pos + 1).alias("pos"), F.lit(1).alias("edits"), "child", "below", "only", "ends")
+        met = kept.union(edited)
+        on = met.where("below > 1").select("word", "pos", F.col("child").alias("node"), "edits", "ends", F.lit(None).cast("string").alias("near"))
         settled = met.where("below = 1 and word <> only").where(F.levenshtein("word", "only", 1) == 1) \
-            .select("word", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(1).alias("edits"), F.lit(False).alias("ends"), F.col("only").alias("near"))
-        arrived = cut_lineage(on.union(settled).distinct())
-        found.append(arrived.where("near is not null").select("word", "near"))
-        # The word's end with one edit, or its last letter still to be dropped, at a node that is a word.
-        rest = F.char_length("word") - F.col("pos")
-        found.append(arrived.where(F.col("near").isNull() & F.col("ends") & (F.col("edits") + rest == 1)).select("word", F.col("node").alias("near")))
+            .select("word", "pos", F.lit("").alias("node"), F.lit(1).alias("edits"), F.lit(False).alias("ends"), F.col("only").alias("near"))
+        arrived = stored(on.union(settled), f"{folder}/{level}")
+        level += 1
+        # At a node that is a word: the word's end with one edit, or its last letter still to be dropped.
+        rest = F.char_length("word") - pos
+        at_end = F.when(F.col("ends") & (F.col("edits") + rest == 1), F.col("node"))
+        found.append(arrived.select("word", F.coalesce("near", at_end).alias("near")).where("near is not null"))
         states = arrived.where("near is null").select(*STATE)
         if not states.limit(1).count():
-            return reduce(DataFrame.union, found).distinct()
+            break
+    plain = lambda name: F.when(F.col(name).startswith(">"), F.substring(name, 2, 1 << 30)).otherwise(F.reverse(F.substring(name, 2, 1 << 30))).alias(name)
+    pairs = reduce(DataFrame.union, found).select(plain("word"), plain("near"))
+    near = cut_lineage(pairs.union(pairs.select("near", "word")).distinct())
+    discard(spark, folder)
+    return near
 
 
 def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
