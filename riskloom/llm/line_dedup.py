@@ -53,7 +53,7 @@ def lines(docs: DataFrame) -> DataFrame:
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose keys stand in two rows or more, with `later`: not the first of them."""
     groups = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.min(_place()).alias("first")).where(F.col("rows") > 1)
-    return rows.join(groups.drop("rows"), keys).withColumn("later", F.col("first") < _place()).drop("first")
+    return rows.join(groups.drop("rows").hint("merge"), keys).withColumn("later", F.col("first") < _place()).drop("first")
 
 
 def intervals(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -80,15 +80,14 @@ def longest_runs(levels: list[DataFrame]) -> DataFrame:
     tail = named.select("doc", "text_key", F.col("pos").alias("tail_pos"), "level", F.col("name").alias("tail"))
     for bit in range(len(levels) - 2, -1, -1):
         offset = F.expr("length - shiftleft(1, level)")
-        wanted = runs.where(F.col("level") > bit).withColumn("length", F.col("length") + (1 << bit)) \
-            .withColumn("tail_pos", F.col("pos") + offset).join(tail, ["doc", "text_key", "tail_pos", "level"]).drop("tail_pos")
-        wanted = cut_lineage(wanted)
-        places = wanted.select("level", "name", "length").distinct().join(named.drop("later"), ["level", "name"]) \
-            .withColumn("tail_pos", F.col("pos") + offset).join(tail, ["doc", "text_key", "tail_pos", "level"])
+        longer = runs.where(F.col("level") > bit).withColumn("length", F.col("length") + (1 << bit))
+        wanted = longer.withColumn("tail_pos", F.col("pos") + offset).join(tail.hint("merge"), ["doc", "text_key", "tail_pos", "level"]).drop("tail_pos")
+        places = longer.select("level", "name", "length").distinct().join(named.drop("later").hint("merge"), ["level", "name"]) \
+            .withColumn("tail_pos", F.col("pos") + offset).join(tail.hint("merge"), ["doc", "text_key", "tail_pos", "level"])
         firsts = places.groupBy("level", "name", "length", "tail").agg(F.min(_place()).alias("first"))
-        grown = wanted.join(firsts, ["level", "name", "length", "tail"]).where(F.col("first") < _place()) \
+        grown = wanted.join(firsts.hint("merge"), ["level", "name", "length", "tail"]).where(F.col("first") < _place()) \
             .select(*PLACE, F.col("length").alias("grown"))
-        runs = cut_lineage(runs.join(grown, PLACE, "left").withColumn("length", F.coalesce("grown", "length")).drop("grown"))
+        runs = cut_lineage(runs.join(grown.hint("merge"), PLACE, "left").withColumn("length", F.coalesce("grown", "length")).drop("grown"))
     return runs.select(*PLACE, "length")
 
 
