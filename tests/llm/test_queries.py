@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import zlib
 
 import pytest
 
@@ -121,10 +122,14 @@ def test_pipeline_against_brute_force(spark):
         docs = spark.createDataFrame(kept[name], docs.schema)
     good = {r.doc_id: r.text for r in kept["quality classifier"]}
     labels = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
-    assert {d for d, q in labels.items() if q == 1} <= set(good) and not all(d in good for d, q in labels.items() if q == 0)
+    # The classifier is owed no single row: nearly all good rows stay, also those it hasn't learned from (at sf0.01: 282 of 282 and
+    # 59 of 59), and most of the bad ones go. Held-out bad rows are too few here to hold a share to.
+    rated = lambda q, held: [d for d, label in labels.items() if label == q and (zlib.crc32(str(d).encode()) % 5 == 0) == held]
+    assert all(sum(d in good for d in rated(1, held)) >= 0.95 * len(rated(1, held)) for held in (False, True))
+    assert sum(d in good for d in rated(0, False)) <= 0.1 * len(rated(0, False)) and not all(d in good for d, q in labels.items() if q == 0)
     sets = {d: shingles(t) for d, t in good.items()}
     unique = {r.doc_id for r in kept["minhash near-dedup"]}
-    near = {d: {e for e in sets if e != d and sets[d] and 100 * len(sets[d] & sets[e]) >= 85 * len(sets[d] | sets[e])} for d in sets}
+    near = {d: {e for e in sets if e != d and sets[d] and 100 * len(sets[d] & sets[e]) >= corpus_pipeline.NEAR_PERCENT * len(sets[d] | sets[e])} for d in sets}
     seen = set()
     for d in sorted(sets):
         if d in seen:
