@@ -8,7 +8,7 @@ from riskloom.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
 # Queries whose feature is a write, a stream, a scan that stores what its tables share, or a rule catalog read from a table.
-RUNS = ("_stream", "stored_findings", "standard_", "orchestrated_", "validated_stage", "custom_rule_matches")
+RUNS = ("_stream", "stored_findings", "standard_", "orchestrated_", "validated_stage", "custom_rule_matches", "files_on_disk")
 
 
 @pytest.fixture()
