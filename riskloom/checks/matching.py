@@ -11,7 +11,7 @@ from riskloom import dims
 from riskloom.checks import sqltext as q
 from riskloom.checks import views
 from riskloom.functions import findings as ff
-from riskloom.operators import dedup, filters, joins, matching, metrics, ranking
+from riskloom.operators import dedup, filters, flows, joins, matching, metrics, ranking
 from riskloom.plans import profile, scans
 from riskloom.rule_catalog import (ALL_RULES, CODE_POINTS, CODE_RULES, HTML_CHECKS, SECRET_DETECTORS, Rule)
 
@@ -145,6 +145,29 @@ def data_flows(spark, sf):
     return matching.taint_pairs(matching.code_points(views.code_files(spark, sf)), 20)
 
 
+_VARIABLE_FLOWS = f"""with recursive p as materialized (select * from {_points('v_flow_code', CODE_POINTS)}),
+    m as (select repo, path, line, bool_or(kind = 'source') as is_source, bool_or(kind = 'control') as is_control, list_sort(list(distinct type) filter (kind = 'sink')) as sinks from p group by 1, 2, 3),
+    t as (select repo, path, line, text, regexp_extract(text, {q.quote(flows.ASSIGNMENT)}, ['var', 'op', 'code']) as a from ({_lines('v_flow_code')})),
+    l as materialized (select repo, path, line, nullif(a.var, '') as var, coalesce(is_source, false) as is_source, coalesce(is_control, false) as is_control, sinks,
+      list_distinct(list_concat(regexp_extract_all(regexp_replace(case when a.var = '' then text else a.code end, {q.quote(flows.QUOTED)}, ' ', 'g'), {q.quote(flows.IDENTIFIER)}),
+        case when a.op in ('', '=', ':=') then [] else [a.var] end)) as uses from t left join m using (repo, path, line)),
+    u as (select repo, path, line, unnest(uses) as var from l where (var is not null or len(sinks) > 0) and not is_control),
+    e as materialized (select u.repo, u.path, u.line, max(d.line) as def_line from u join l d on d.repo = u.repo and d.path = u.path and d.var = u.var and d.line < u.line group by u.repo, u.path, u.line, u.var),
+    reach as (select repo, path, line, line as source_line, 0 as hops from l where var is not null and is_source and not is_control
+      union select e.repo, e.path, e.line, r.source_line, r.hops + 1 from reach r join e on e.repo = r.repo and e.path = r.path and e.def_line = r.line
+        join l on l.repo = e.repo and l.path = e.path and l.line = e.line where l.var is not null),
+    s as (select repo, path, line as sink_line, line as source_line, 0 as steps, sinks from l where len(sinks) > 0 and is_source and not is_control
+      union all select l.repo, l.path, l.line, r.source_line, r.hops + 1, l.sinks from l join e using (repo, path, line) join reach r on r.repo = e.repo and r.path = e.path and r.line = e.def_line where len(l.sinks) > 0),
+    b as (select repo, path, sink_line, sinks, min(row(steps, -source_line)) as b from s group by all)
+    select repo, path, -b[2] as source_line, sink_line, unnest(sinks) as sink_type, b[1] as steps from b"""
+
+
+@query("variable_flows", _VARIABLE_FLOWS)
+def variable_flows(spark, sf):
+    code = views.flow_code(spark, sf)
+    return flows.variable_flows(code, matching.code_points(code))
+
+
 @query("text_flows", _flows("v_files", TEXT_POINTS, 8))
 def text_flows(spark, sf):
     return matching.taint_pairs(matching.code_points(views.files(spark, sf), TEXT_POINTS), 8)

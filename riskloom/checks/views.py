@@ -144,10 +144,19 @@ def _code_text(sql: bool) -> str:
             " || chr(10) || (case when doc_id % 5 = 0 then 'value = validate(value)' else '' end) || chr(10) || 'db.query(value)'")
 
 
+# Code that hands input on over up to six assignments; some files clean it, overwrite it or read it again on the way.
+_FLOW_TEXT = """'a0 = request.args.get("q")' || chr(10) || (case when doc_id % 6 >= 1 then 'String a1 = wrap(a0, "a0")' else 'b1 = 1' end) || chr(10)
+   || (case when doc_id % 6 >= 2 then 'a2 := a1 + suffix' else 'a1 == a0' end) || chr(10) || (case when doc_id % 11 = 0 then 'a2 = "fixed a0"' else '# ' || left(text, 20) end) || chr(10)
+   || (case when doc_id % 6 >= 3 then 'const a3 = a2.trim()' else 'note(a0)' end) || chr(10) || (case when doc_id % 7 = 0 then 'a3 = sanitize(a3)' else 'c += a3' end) || chr(10)
+   || (case when doc_id % 6 >= 4 then 'a4 = f(a3, a1)' else 'd = c' end) || chr(10) || (case when doc_id % 6 >= 5 then 'a5 = a4' else '' end) || chr(10)
+   || (case when doc_id % 13 = 0 then 'a4 = sys.argv[1]' else 'e = d' end) || chr(10) || 'db.query(a' || cast(doc_id % 6 as varchar(20)) || ')' || chr(10)
+   || (case cast(doc_id % 4 as int) when 0 then 'os.system(e)' when 1 then 'open(escape(a0))' when 2 then 'eval(request.form["x"])' else 'eval(c)' end)"""
+
 # ---------------------------------------------------------------- SQL side
 SQL_VIEWS = {
     "v_files": f"select source as repo, doc_id, text as content, n_chars as size, 'file' as type, lang, {_FILE_PATH} as path from documents",
     "v_code": f"select *, length(content) as size from (select source as repo, doc_id, {_code_path(True)} as path, {_code_text(True)} as content, 'file' as type from documents)",
+    "v_flow_code": f"select source as repo, 'src/flow_' || cast(doc_id as varchar(20)) || '.py' as path, {_FLOW_TEXT} as content from documents",
     "v_findings": f"""select l_suppkey as repo, 'src/p' || cast(l_partkey % 20 as varchar(20)) || '.py' as path,
  cast(l_orderkey % 40 + 1 as int) as start_line, cast(l_orderkey % 40 + 1 + l_linenumber as int) as end_line,
  {_CHECK_ID} as check_id, {_IMPACT} as impact, l_quantity / 50 as confidence, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem""",
@@ -200,6 +209,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not head:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {head}, {body[5:]}"
     return f"with {head} {body}"
@@ -226,6 +237,10 @@ def code_files(spark, sf) -> DataFrame:
             .withColumn("size", F.length("content").cast("bigint")))
 
 
+def flow_code(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").selectExpr("source as repo", "'src/flow_' || cast(doc_id as varchar(20)) || '.py' as path", f"{_FLOW_TEXT} as content")
+
+
 _FINDING_COLUMNS = (
     "l_suppkey as repo", "'src/p' || cast(l_partkey % 20 as varchar(20)) || '.py' as path",
     "cast(l_orderkey % 40 + 1 as int) as start_line", "cast(l_orderkey % 40 + 1 + l_linenumber as int) as end_line")
