@@ -134,6 +134,15 @@ def agent_status_stream(spark, sf):
     return s.withColumn("progress", F.round("progress", 6))
 
 
+@query("stalled_agents_stream", """with n as (select *, lead(ts) over (partition by agent order by ts, event_id) as next from v_progress)
+    select agent, status, round(progress, 6) as progress, ts::timestamp as last_update, ts::timestamp + interval 6 hour as stalled_at from n
+    where status not in ('completed', 'failed', 'terminated') and coalesce(next, (select max(ts) - interval 1 day from v_progress)) > ts + interval 6 hour""")
+def stalled_agents_stream(spark, sf):
+    progress = stream_table(spark, sf, "events").selectExpr(
+        "'agent_' || cast(user_id % 12 as varchar(20)) as agent", "event_type as status", "ts", "value as progress", "event_id")
+    return drain(jobs.stalled_agents(progress, 6 * 3_600_000, "1 day"), spark, "stalled").withColumn("progress", F.round("progress", 6))
+
+
 _SESSIONS = """with l as (select agent, ts, lag(ts) over (partition by agent order by ts) as prev from v_progress),
     s as (select *, sum(case when prev is null or epoch_us(ts) - epoch_us(prev) > 1800000000 then 1 else 0 end) over (partition by agent order by ts rows unbounded preceding) as k from l)
     select agent, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as updates from s group by agent, k"""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from riskloom.operators.joins import unmatched
+from riskloom.streaming import state
 
 
 def as_event_time(df: DataFrame, column: str, watermark: str) -> DataFrame:
@@ -19,31 +19,24 @@ def changed_files(new: DataFrame, seen: DataFrame) -> DataFrame:
     return unmatched(new.dropDuplicates(["repo", "path", "sha"]), seen, ["repo", "path", "sha"])
 
 
-def track_changes(files: DataFrame, out: str, checkpoint: str, time: str = "ts"):
+def track_changes(files: DataFrame, out: str, checkpoint: str, time: str = "ts", ttl_ms: int | None = None):
     """Stream of file versions to a table of changes: a version counts if it differs from the one before it, however old.
 
-    Batches must not reach behind earlier ones. Each epoch writes a folder of its own, and compares with the other
-    epochs' last versions, so a replayed batch replaces itself.
+    The last version of each (repo, path) is kept in the state store, so a batch costs what it holds. Batches must not reach behind
+    earlier ones. Each epoch writes a folder of its own, which a replayed batch replaces. A file whose state is older than `ttl_ms`
+    counts as new.
     """
-    def step(batch: DataFrame, epoch: int) -> None:
-        spark, keys = batch.sparkSession, ["repo", "path"]
-        rows = batch.withColumn("_new", F.lit(True))
-        if (earlier := epochs_before(spark, out, batch.schema, epoch)) is not None:
-            last = earlier.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), F.struct(time, "sha")).alias("l"))
-            rows = rows.unionByName(last.select(*keys, "l.*").withColumn("_new", F.lit(False)), allowMissingColumns=True)
-        before = F.lag("sha").over(Window.partitionBy(*keys).orderBy("_new", time, "sha"))
-        changed = rows.withColumn("_before", before).where(F.col("_new") & ~F.col("sha").eqNullSafe(F.col("_before")))
-        changed.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    state.use_state_store(files.sparkSession)
+    changed = files.groupBy("repo", "path").transformWithState(
+        state.LastVersion(time, ttl_ms), files.schema, "append", "processingTime" if ttl_ms else "none")
+    return _by_epoch(changed, out, checkpoint)
 
-    return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
 
+def _by_epoch(rows: DataFrame, out: str, checkpoint: str):
+    def store(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-def epochs_before(spark, out: str, schema, epoch: int) -> DataFrame | None:
-    """What epochs before this one wrote to a table with a folder per epoch; None before the first."""
-    if epoch == 0:
-        return None
-    return spark.read.schema(StructType([*schema.fields, StructField("epoch", LongType())])).option("basePath", out).parquet(f"{out}/epoch=*") \
-        .where(F.col("epoch") < epoch).drop("epoch")
+    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(store)
 
 
 def trend(findings: DataFrame, keys=("severity",), time: str = "ts", window: str = "1 day", slide: str | None = None,
@@ -64,17 +57,23 @@ def unseen_comments(comments: DataFrame, answered: DataFrame) -> DataFrame:
 def track_comments(comments: DataFrame, out: str, checkpoint: str):
     """Stream of comments to a table of those to answer, each once however late its copies come.
 
-    The table itself is the memory: an epoch writes a folder of its own with the comments that no earlier epoch has.
+    The keys of all comments so far are in the state store; an epoch writes a folder of its own with the comments that are new.
     """
-    keys = ["repo", "issue", "comment_id"]
+    return _by_epoch(comments.dropDuplicates(["repo", "issue", "comment_id"]), out, checkpoint)
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        new = batch.dropDuplicates(keys)
-        if (earlier := epochs_before(batch.sparkSession, out, batch.schema, epoch)) is not None:
-            new = new.join(earlier.select(*keys), keys, "left_anti")
-        new.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    return comments.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+def stalled_agents(progress: DataFrame, timeout_ms: int = 3_600_000, watermark: str | None = None) -> DataFrame:
+    """Stream of progress to a row (agent, status, progress, last_update, stalled_at) whenever an analyser is silent for the timeout.
+
+    With a watermark, time is that of the updates; without, it is the clock, and a row comes though nothing else does.
+    """
+    state.use_state_store(progress.sparkSession)
+    rows = progress.select("agent", "status", F.col("progress").cast("double").alias("progress"), F.col("ts").cast("timestamp").alias("ts"),
+                           F.col("event_id").cast("long").alias("event_id")).where("ts is not null and event_id is not null")
+    rows = rows.withWatermark("ts", watermark) if watermark else rows
+    return rows.groupBy("agent").transformWithState(
+        state.Silence(timeout_ms, bool(watermark)), "agent string, status string, progress double, last_update timestamp, stalled_at timestamp",
+        "append", "eventTime" if watermark else "processingTime")
 
 
 def agent_status(progress: DataFrame, timeout: str = "1 hour", now: Column | None = None) -> DataFrame:

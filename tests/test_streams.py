@@ -1,5 +1,8 @@
 """Streaming forms against their batch twins, with late rows."""
 
+import glob
+import random
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -68,15 +71,63 @@ def test_changes_are_told_however_old_the_version_before(spark, tmp_path):
     assert counted(got.select("path", "sha", "ts")) == want
 
 
-def test_a_replayed_batch_replaces_itself(spark, tmp_path):
-    """The same epoch again, as after a failure, leaves the table as it was."""
+def test_changes_cost_what_a_batch_holds_and_survive_a_restart(spark, tmp_path):
+    """Many epochs, some after a restart: each reads its own rows only, and nothing is lost or told twice."""
+    rng = random.Random(4)
+    rows, folder = [], tmp_path / "in"
+    want, last = Counter(), {}
+    for part in range(4):
+        for epoch in range(4):
+            new = [("r", f"f{rng.randrange(40)}", rng.choice(["a", "b", None]), 1000 * len(rows) + i, "LOW", "a", 0) for i in range(60)]
+            rows.append(new)
+            batch(spark, new).coalesce(1).write.mode("append").parquet(str(folder))
+            for _, p, s, m, *_ in new:
+                if p not in last or last[p] != s:
+                    want[(p, s, T0 + timedelta(minutes=m))] += 1
+                last[p] = s
+        frame = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        query = jobs.track_changes(frame, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        epochs = [p for p in query.recentProgress if p.numInputRows]
+        assert len(epochs) == 4 and all(p.numInputRows == 60 for p in epochs)
+        assert all(p.stateOperators[0].numRowsTotal <= 40 for p in epochs)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert counted(got.select("path", "sha", "ts")) == want
+
+
+def test_a_replayed_batch_replaces_itself(spark, stream, tmp_path):
+    """The last epoch again, as after a failure before its commit, leaves the table as it was."""
+    frame, out, checkpoint = stream(), str(tmp_path / "out"), tmp_path / "c"
+    run = lambda: jobs.track_changes(frame, out, str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
+    run()
+    before = counted(spark.read.parquet(out))
+    commits = [int(p.name) for p in (checkpoint / "commits").iterdir() if p.name.isdigit()]
+    assert len(commits) >= 2
+    (checkpoint / "commits" / str(max(commits))).unlink()
+    (checkpoint / "commits" / f".{max(commits)}.crc").unlink(missing_ok=True)
+    run()
+    assert counted(spark.read.parquet(out)) == before and before
+
+
+def test_silence_alone_tells_a_stalled_agent(spark, tmp_path):
+    """One batch, then nothing: the row comes by the clock. An agent that is done isn't told."""
+    rows = [("a", "running", 0.3, 0), ("b", "completed", 1.0, 1), ("c", "running", 0.1, 2), ("c", "failed", 0.2, 3)]
+    schema = "agent string, status string, progress double, ts timestamp, event_id bigint"
+    spark.createDataFrame([(a, s, p, T0 + timedelta(minutes=m), m) for a, s, p, m in rows], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    for epoch, rows in ((0, ROWS[0]), (1, ROWS[1]), (1, ROWS[1])):
-        new = batch(spark, rows).dropDuplicates(["comment_id"])
-        if (earlier := jobs.epochs_before(spark, out, new.schema, epoch)) is not None:
-            new = new.join(earlier.select("comment_id"), "comment_id", "left_anti").select(*new.columns)
-        new.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-    assert counted(spark.read.parquet(out).select("comment_id")) == counted(everything(spark).select("comment_id").distinct())
+    query = jobs.stalled_agents(stream, 3000).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")) \
+        .trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            told = [(r.agent, r.status, r.last_update) for r in spark.read.schema("agent string, status string, last_update timestamp").parquet(out).collect()] \
+                if glob.glob(f"{out}/*.parquet") else []
+            if told:
+                break
+    finally:
+        query.stop()
+    assert told == [("a", "running", T0)]
 
 
 def test_changed_files_batch(spark):
