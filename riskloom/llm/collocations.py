@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import checked_broadcast
 from riskloom.llm.words import _BYTE, _LOWER, _power_tables, as_bytes, mix
 from riskloom.session import cut_lineage, ship_package
 
@@ -334,7 +335,7 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP) ->
     lefts, rights = part.withColumnRenamed("f", "l"), part.withColumnRenamed("f", "r")
     scored = cuts.join(lefts, (F.col("lang") == F.col("part_lang")) & (F.col("left") == F.col("part"))).drop("part_lang", "part") \
         .join(rights, (F.col("lang") == F.col("part_lang")) & (F.col("right") == F.col("part"))).drop("part_lang", "part") \
-        .join(n_words, "lang") \
+        .join(checked_broadcast(n_words), "lang") \
         .withColumn("score", F.expr("cast(a as decimal(18, 0)) * cast(n as decimal(19, 0)) * 1000 div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))"))
     best = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("b")).select("lang", "phrase", "b.*")
     inner = F.expr("""flatten(transform(sequence(2, words - 1), m -> transform(sequence(1, words - m + 1), i -> array_join(slice(w, i, m), ' '))))""")
