@@ -9,7 +9,7 @@ from riskloom.checks import sqltext as q
 from riskloom.checks import views
 from riskloom.functions import findings as ff
 from riskloom.functions import severity
-from riskloom.operators import content, dedup, filters, fixes, joins, metrics, ranking
+from riskloom.operators import content, dedup, filters, fixes, joins, metrics, ranking, related
 
 QUERIES, SQL = {}, {}
 
@@ -355,6 +355,32 @@ def cross_agent_merge(spark, sf):
     return merged.withColumn("agents", F.array_join("agents", ","))
 
 
+def _related_sql(by):
+    keys = ", ".join(("repo", "path", *by))
+    rank = "case impact " + " ".join(f"when '{k}' then {v}" for k, v in dims.AGENT_SCALE.items()) + " else 0 end"
+    return f"""with f as (select *, {_AGENT} as agent, {q.agent_type("check_id")} as type from v_findings),
+    s as (select {keys}, start_line, max(end_line) as reach from f group by all),
+    o as (select *, max(reach) over (partition by {keys} order by start_line rows between unbounded preceding and 1 preceding) as before from s),
+    g as (select {keys}, start_line, max(case when before is null or start_line > before then start_line end) over (partition by {keys} order by start_line) as first from o)
+    select {keys}, first as start_line, max(end_line) as end_line, string_agg(distinct agent, ',' order by agent) as agents, count(distinct type) as n_types,
+    max({{'rank': {rank}, 'impact': impact}}).impact as impact, count(*) as n, count(distinct agent) > 1 as corroborated from f join g using ({keys}, start_line) group by {keys}, first"""
+
+
+@query("related_findings", _related_sql(()))
+def related_findings(spark, sf):
+    found = related.related_findings(views.findings(spark, sf))
+    return found.withColumn("agents", F.array_join("agents", ",")).withColumn("n_types", F.size("types").cast("bigint")).drop("types")
+
+
+@query("related_by_impact", _related_sql(("impact",)).replace("'impact': impact}).impact as impact", "'impact': impact}).rank as worst"))
+def related_by_impact(spark, sf):
+    """Groups within an impact, in blocks so small that a file has several."""
+    found = related.related_findings(views.findings(spark, sf).withColumn("kind", F.col("impact")), by=("kind",), block=7)
+    worst = ranking.agent_rank(F.col("impact")).alias("worst")
+    return found.select("repo", "path", F.col("kind").alias("impact"), "start_line", "end_line", F.array_join("agents", ",").alias("agents"),
+                        F.size("types").cast("bigint").alias("n_types"), worst, "n", "corroborated")
+
+
 # ------------------------------------------------------------------ joins
 @query("findings_without_file", "select f.repo, f.path, f.start_line from v_findings f where f.path not in ('src/p1.py', 'src/p3.py')")
 def findings_without_file(spark, sf):

@@ -11,6 +11,7 @@ from riskloom import dims
 from riskloom.checks import sqltext as q
 from riskloom.checks import views
 from riskloom.checks.findings import _route_sql
+from riskloom.checks.streams import work_folder
 from riskloom.functions import text
 from riskloom.operators import filters, fixes, joins, metrics, ranking
 from riskloom.plans import review
@@ -308,6 +309,27 @@ def model_usage(spark, sf):
                          F.count_if(F.col("reply") == "I cannot tell.").alias("unparsed"))
 
 
+@query("kept_replies", f"""with {_FIRST}, {_STABLE}, p as (select {_VPROMPT} as prompt from rich)
+    select count(*) as prompts, cast(sum(length(prompt)) as bigint) as input_tokens, count(*) filter (where {_HEX % 'prompt'} in (8, 9)) as unparsed,
+    count(distinct prompt) as kept, 0::bigint as asked_again from p""")
+def kept_replies(spark, sf):
+    """All prompts by a store of replies, then once more: the second time the model isn't asked."""
+    f, folder = views.files(spark, sf), work_folder(spark, "replies")
+    prompts = review.validation_prompts(_one_per_key(spark, sf), f, review.repo_context(f))
+    first = review.infer_stored(prompts, stub_validator, folder)
+    again = review.infer_stored(prompts, no_client, folder)
+    zero = F.lit(0).cast("bigint")
+    rows = first.select(F.lit(1).alias("prompts"), "input_tokens", (F.col("reply") == "I cannot tell.").cast("int").alias("unparsed"),
+                        zero.alias("kept"), zero.alias("asked_again")) \
+        .union(review.stored_replies(spark, folder).select(zero, zero, zero, F.lit(1), zero)) \
+        .union(again.select(zero, zero, zero, zero, F.col("error").isNotNull().cast("int")))
+    return rows.agg(*[F.sum(c).alias(c) for c in rows.columns])
+
+
+def no_client():
+    raise RuntimeError("the store should have answered")
+
+
 _REVIEWED = _FIRST.replace("order by l_orderkey, l_linenumber, l_partkey, l_suppkey, message, confidence", "order by impact, message, confidence, l_orderkey, l_linenumber, l_partkey, l_suppkey")
 
 

@@ -10,7 +10,7 @@ from riskloom.checks import sqltext as q
 from riskloom.checks import views
 from riskloom.functions import severity
 from riskloom.session import ensure_checkpoint_dir
-from riskloom.sources import tables
+from riskloom.sources import runs, tables
 from riskloom.streaming import jobs
 
 QUERIES, SQL = {}, {}
@@ -166,3 +166,17 @@ def stored_findings(spark, sf):
                                              severity.report_severity(F.col("impact")).alias("severity"))
     tables.write_tables({"findings": found}, out, {"findings": ["severity"]})
     return tables.read_table(spark, out, "findings")
+
+
+@query("committed_tables", f"""with r as (select repo, {q.report_severity('impact')} as severity, count(*) as n from v_findings group by 1, 2)
+    select repo, severity, n, sum(n) over (partition by repo)::bigint as total from r""")
+def committed_tables(spark, sf):
+    """Two tables of a run, staged and shown together; the run is resumed, and an unfinished later one isn't seen."""
+    out = work_folder(spark, "runs")
+    found = views.findings(spark, sf).select("repo", severity.report_severity(F.col("impact")).alias("severity"))
+    counts = runs.stage(spark, out, "first", "counts", lambda: found.groupBy("repo", "severity").agg(F.count("*").alias("n")))
+    totals = lambda: runs.stage(spark, out, "first", "totals", lambda: counts.groupBy("repo").agg(F.sum("n").alias("total")))
+    totals()
+    runs.commit(spark, out, "first", ["counts", "totals"])
+    runs.stage(spark, out, "second", "counts", lambda: counts.limit(0))
+    return runs.read_committed(spark, out, "counts").join(runs.read_committed(spark, out, "totals"), "repo")

@@ -5,12 +5,18 @@ The model is any function from a list of prompts to a list of replies, given by
 
 from __future__ import annotations
 
+import hashlib
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import dims, schemas
@@ -138,16 +144,8 @@ def reply_prompts(comments: DataFrame, fixes: DataFrame, order, size: int = 50)
                          prompt.alias("prompt"))
 
 
-def infer(prompts: DataFrame, make_complete: Callable[[], Callable[[list[str]], list]], batch: int = 16,
-          retries: int = 2, partitions: int | None = None, wait: float = 1.0) -> DataFrame:
-    """Calls a model on every prompt, in batches; the client is built once per partition.
-
-    `make_complete()` returns the function from prompts to replies (texts or `Reply`).
-    A batch that keeps failing is tried one prompt at a time; a prompt that keeps failing becomes
-    a row with `error`, as do all prompts of a partition whose client can't be built. Between tries it waits `wait` seconds,
-    then twice as long each time. `partitions` bounds the calls in flight. Write the result once, keyed by
-    `prompt_id`, before using it twice: a task that is repeated calls the model again.
-    """
+def _asker(make_complete, batch: int, retries: int = 2, wait: float = 1.0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The function over a partition's prompts that `infer` describes."""
     def call(complete, texts: list[str]) -> list[Reply]:
         for attempt in range(retries + 1):
             try:
@@ -186,6 +184,20 @@ def infer(prompts: DataFrame, make_complete: Callable[[], Callable[[list[str]],
                                     "input_tokens": list(tokens_in), "output_tokens": list(tokens_out),
                                     "error": list(error)})
 
+    return run
+
+
+def infer(prompts: DataFrame, make_complete: Callable[[], Callable[[list[str]], list]], batch: int = 16,
+          retries: int = 2, partitions: int | None = None, wait: float = 1.0) -> DataFrame:
+    """Calls a model on every prompt, in batches; the client is built once per partition.
+
+    `make_complete()` returns the function from prompts to replies (texts or `Reply`).
+    A batch that keeps failing is tried one prompt at a time; a prompt that keeps failing becomes
+    a row with `error`, as do all prompts of a partition whose client can't be built. Between tries it waits `wait` seconds,
+    then twice as long each time. `partitions` bounds the calls in flight. Write the result once, keyed by
+    `prompt_id`, before using it twice: a task that is repeated calls the model again (`infer_stored` doesn't).
+    """
+    run = _asker(make_complete, batch, retries, wait)
     ship_package(prompts.sparkSession)
     slim = prompts.select("prompt_id", "prompt")
     if partitions:
@@ -194,6 +206,99 @@ def infer(prompts: DataFrame, make_complete: Callable[[], Callable[[list[str]],
         run, "prompt_id string, reply string, input_tokens bigint, output_tokens bigint, error string")
 
 
+def reply_key(model: str, prompt: str = "prompt") -> Column:
+    """What a reply is kept under: the model's name and the whole prompt."""
+    return F.sha2(F.concat_ws("\x1f", F.lit(model), F.col(prompt)), 256)
+
+
+_STORED = "reply_key string, reply string, input_tokens bigint, output_tokens bigint, error string"
+
+
+def stored_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """The replies in a store, one per key; calls that failed are left out. Empty if the store is."""
+    try:
+        rows = spark.read.schema(_STORED).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _STORED).drop("error")
+    one = F.min(F.struct("reply", "input_tokens", "output_tokens")).alias("r")
+    return rows.where("error is null").groupBy("reply_key").agg(one).select("reply_key", "r.*")
+
+
+def infer_stored(prompts: DataFrame, make_complete: Callable[[], Callable[[list[str]], list]], folder: str, model: str = "model",
+                 batch: int = 16, partitions: int | None = None, **options) -> DataFrame:
+    """As `infer`, with a store of replies in `folder`: a prompt is paid for once. Executors reach it by pyarrow's file systems.
+
+    Equal prompts are asked once, those that the store answers not at all. A partition's prompts are sorted by key and asked in
+    batches; each batch is put into the store as a file whose name follows from the keys in it, before the next one is asked. So a task
+    that is repeated after its executor was lost finds the batches that were answered, and loses one at most. Failed calls come back
+    with `error`, and are asked again by the next call of this function. A prompt that is null is not asked; its reply is null.
+    Rows that repeat a prompt id come back as often. The folder grows by a file per batch.
+    """
+    spark = prompts.sparkSession
+    asked = cut_lineage(prompts.select("prompt_id", reply_key(model).alias("reply_key"), "prompt"))
+    open_ = asked.where("prompt is not null").select("reply_key", "prompt").dropDuplicates(["reply_key"]) \
+        .join(stored_replies(spark, folder).select("reply_key"), "reply_key", "left_anti")
+    open_ = cut_lineage(open_.repartition(partitions or spark.sparkContext.defaultParallelism, "reply_key").sortWithinPartitions("reply_key"))
+    run_folder = f"{folder.rstrip('/')}/run-{uuid.uuid4().hex}"
+    answer = _asker(make_complete, batch, **options)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _sized_parts(frames, batch):
+            path = f"{run_folder}/{hashlib.sha256(''.join(part['reply_key']).encode()).hexdigest()}.parquet"
+            replies = _read_batch(path)
+            if replies is None:
+                told = pd.concat(list(answer(iter([part.rename(columns={"reply_key": "prompt_id"})]))), ignore_index=True)
+                replies = told.rename(columns={"prompt_id": "reply_key"})
+                _write_batch(path, replies)
+            yield replies
+
+    ship_package(spark)
+    new = cut_lineage(open_.mapInPandas(run, _STORED))
+    known = stored_replies(spark, folder).withColumn("error", F.lit(None).cast("string"))
+    replies = known.unionByName(new.where("error is not null"))
+    return asked.join(replies, "reply_key", "left").select(
+        "prompt_id", "reply", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("input_tokens", "output_tokens")], "error")
+
+
+def ask(prompts: DataFrame, make_complete, replies: str | None, model: str) -> DataFrame:
+    """`infer_stored` if there is a folder for replies, else `infer`."""
+    return infer(prompts, make_complete) if replies is None else infer_stored(prompts, make_complete, replies, model)
+
+
+def _sized_parts(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The rows of a partition in their order, `size` at a time, however they came in."""
+    rest = None
+    for frame in frames:
+        rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        while len(rest) >= size:
+            yield rest.iloc[:size]
+            rest = rest.iloc[size:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _read_batch(path: str) -> pd.DataFrame | None:
+    files, place = fs.FileSystem.from_uri(path)
+    if files.get_file_info(place).type != fs.FileType.File:
+        return None
+    with files.open_input_file(place) as stream:
+        return pq.read_table(stream).to_pandas()
+
+
+def _write_batch(path: str, rows: pd.DataFrame) -> None:
+    """The file is complete under its name or isn't there: it is written beside it and moved."""
+    files, place = fs.FileSystem.from_uri(path)
+    files.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    beside = f"{place}.{uuid.uuid4().hex}.part"
+    table = pa.Table.from_pandas(rows, preserve_index=False, schema=pa.schema(
+        [("reply_key", pa.string()), ("reply", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64()), ("error", pa.string())]))
+    with files.open_output_stream(beside) as stream:
+        pq.write_table(table, stream)
+    files.move(beside, place)
+
+
 def parse_validations(responses: DataFrame) -> DataFrame:
     """Validations out of replies; a reply without a readable JSON object gives no row."""
     doc = F.from_json(text.json_payload(F.col("reply")), schemas.VALIDATION_REPLY, schemas.CORRUPT)
@@ -251,14 +356,16 @@ def enhance(findings: DataFrame) -> DataFrame:
 
 
 def validate_stage(findings: DataFrame, files: DataFrame, context: DataFrame, make_complete, threshold: float = 0.7,
-                   keep_filtered: bool = False, store: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+                   keep_filtered: bool = False, store: Callable[[DataFrame], DataFrame] = cut_lineage,
+                   replies: str | None = None) -> DataFrame:
     """Findings after review: prompts, model, replies, filter. A finding without a valid reply is kept.
 
-    `store` writes the responses and reads them back, so that the model is called once per prompt.
+    `store` writes the responses and reads them back, so that the model is called once per prompt; `replies` names the folder of a
+    store of replies that outlives the run (see `infer_stored`).
     """
     distinct = keep_first(findings, FINDING_KEYS, [c for c in findings.columns if c not in FINDING_KEYS])
     prompts = validation_prompts(distinct, files, context)
-    responses = store(infer(prompts, make_complete))
+    responses = store(ask(prompts, make_complete, replies, "validate"))
     marked = findings.withColumn("prompt_id", prompt_id("validate", *FINDING_KEYS))
     validated = mark_filtered(with_validation(marked, parse_validations(responses), ["prompt_id"]), threshold)
     return validated if keep_filtered else apply_validation(validated, threshold)

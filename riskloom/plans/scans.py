@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import dims
 from riskloom.functions import paths
-from riskloom.operators import dedup, filters, fixes, matching, metrics, ranking
+from riskloom.operators import dedup, filters, fixes, matching, metrics, ranking, related
 from riskloom.operators.joins import agent_names, assign_analysis, route_files
 from riskloom.plans import review
 from riskloom.plans.profile import active_rules, build_profile
 from riskloom.rule_catalog import ALL_RULES, CODE_POINTS, CODE_RULES, SECRET_DETECTORS, rules_frame
 from riskloom.session import cut_lineage
-from riskloom.sources import reports, tables
+from riskloom.sources import reports, runs, tables
 
 _ORDER = ["repo", "path", "start_line", "end_line", "check_id"]
 Store = Callable[[DataFrame], DataFrame]
@@ -29,12 +29,18 @@ class Tables(Mapping):
     is called once per prompt.
     """
 
+    _pairs = ("_report",)   # parts that are two tables at once; they aren't staged, but the tables taken from them are
+
     def __init__(self, makers: dict[str, Callable[[Tables], DataFrame]]):
-        self._makers, self._made = makers, {}
+        self._makers, self._made, self._run = makers, {}, None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self._makers[name](self)
+            make = lambda: self._makers[name](self)
+            if self._run is None or name in self._pairs:
+                self._made[name] = make()
+            else:
+                self._made[name] = runs.stage(*self._run, name, make)
         return self._made[name]
 
     def __iter__(self) -> Iterator[str]:
@@ -47,6 +53,16 @@ class Tables(Mapping):
         """Write every result table to its folder."""
         tables.write_tables(dict(self.items()), out, **options)
 
+    def commit(self, spark: SparkSession, out: str, run_id: str) -> None:
+        """Stage every table of the run, shared parts too, then show them together (see `sources.runs`).
+
+        A scan that is started again under the same id makes only what isn't staged; so do the tables that depend on it.
+        """
+        self._run, self._made = (spark, out, run_id), {}
+        for name in self:
+            self[name]
+        runs.commit(spark, out, run_id, list(self))
+
 
 def _relevant(agents) -> Column:
     """Whether the analyser in `agent` looks at the file in `path` by its name."""
@@ -79,11 +95,12 @@ def profiled(matches: DataFrame, profiles: DataFrame, rules=ALL_RULES) -> DataFr
 def run_standard(files: DataFrame, rules=ALL_RULES, detectors=SECRET_DETECTORS, complete=None, fixer=None, threshold: float = 0.7,
                  min_severity: str = "INFO", min_confidence: float = 0.8, max_bytes: int = 1_000_000,
                  stats: DataFrame | None = None, by_profile: bool = True, agents: DataFrame | None = None,
-                 run_id: str = "run", store: Store = cut_lineage) -> Tables:
+                 run_id: str = "run", store: Store = cut_lineage, replies: str | None = None) -> Tables:
     """Profile, rule and secret findings, review and fixes (if models are given) and the report and run tables.
 
     The profile of a repository chooses its rules; `by_profile=False` runs the whole catalog everywhere. `complete` and
-    `fixer` make the functions that answer review and fix prompts (see `infer`).
+    `fixer` make the functions that answer review and fix prompts (see `infer`); `replies` names a folder that keeps their
+    replies for later runs.
     """
     listed = filters.filter_analysable(files)
     wanted = filters.limit_targets(listed, max_bytes)
@@ -98,12 +115,12 @@ def run_standard(files: DataFrame, rules=ALL_RULES, detectors=SECRET_DETECTORS,
     def kept(t: Tables) -> DataFrame:
         if complete is None:
             return t["_found"]
-        return review.validate_stage(t["_found"], wanted, review.repo_context(files), complete, threshold, store=store)
+        return review.validate_stage(t["_found"], wanted, review.repo_context(files), complete, threshold, store=store, replies=replies)
 
     def proposed(t: Tables) -> DataFrame:
         prompts = store(review.fix_prompts(t["findings"], wanted))
-        replies = store(review.infer(prompts, fixer))
-        parsed = review.parse_fixes(replies.join(prompts.drop("prompt"), "prompt_id"))
+        answers = store(review.ask(prompts, fixer, replies, "fix"))
+        parsed = review.parse_fixes(answers.join(prompts.drop("prompt"), "prompt_id"))
         return store(filters.gate_fixes(parsed, min_confidence))
 
     def accepted(t: Tables) -> DataFrame:
@@ -146,8 +163,11 @@ _AGENT_COLUMNS = ("repo", "path", "start_line", "end_line", "check_id", "impact"
 
 def run_orchestrated(files: DataFrame, agents=None, rules=CODE_RULES, points=CODE_POINTS, taint_lines: int = 20,
                      complete=None, analyses: DataFrame | None = None, prices: tuple[float, float] = (3.0, 15.0),
-                     store: Store = cut_lineage) -> Tables:
-    """Routing, one analyser pass, the model-driven analysers (if `complete` is given), data flow, synthesis and metrics."""
+                     store: Store = cut_lineage, kept_replies: str | None = None) -> Tables:
+    """Routing, one analyser pass, the model-driven analysers (if `complete` is given), data flow, synthesis and metrics.
+
+    `kept_replies` names a folder that keeps the model's replies for later runs.
+    """
     names = list(agents or agent_names())
     sources = filters.source_files(files.where(F.col("type") == "file"))
     spark = files.sparkSession
@@ -155,7 +175,7 @@ def run_orchestrated(files: DataFrame, agents=None, rules=CODE_RULES, points=COD
 
     def replies(t: Tables) -> DataFrame:
         prompts = store(review.agent_prompts(t["routes"], review.repo_context(files)))
-        return store(review.infer(prompts, complete).join(prompts.select("prompt_id", "repo", "agent", "part"), "prompt_id"))
+        return store(review.ask(prompts, complete, kept_replies, "analyse").join(prompts.select("prompt_id", "repo", "agent", "part"), "prompt_id"))
 
     def found(t: Tables) -> DataFrame:
         by_rule = fan_out(sources, names, rules).select(
@@ -182,6 +202,7 @@ def run_orchestrated(files: DataFrame, agents=None, rules=CODE_RULES, points=COD
         "code_points": lambda t: store(matching.code_points(sources, points)),
         "data_flows": lambda t: matching.taint_pairs(t["code_points"], taint_lines), "findings": found,
         "vulnerabilities": lambda t: review.enhance(ranking.number_findings(t["findings"], order)),
+        "related": lambda t: related.related_findings(t["findings"]),
         "patterns": lambda t: metrics.systemic_patterns(t["findings"]), "metrics": lambda t: metrics.code_metrics(t["findings"]),
         "top_files": lambda t: ranking.top_files(t["findings"]), "errors": errors,
         "secret_totals": lambda t: metrics.secret_totals(t["findings"], t["vulnerabilities"]),

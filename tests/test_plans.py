@@ -9,7 +9,8 @@ from riskloom.session import cut_lineage
 SF = "/root/testdata/sf0.001"
 # Queries whose feature is a write, a stream, a scan that stores what its tables share, a rule catalog read from a
 # table, or a fixpoint.
-RUNS = ("_stream", "stored_findings", "standard_", "orchestrated_", "validated_stage", "custom_rule_matches", "files_on_disk", "variable_flows")
+RUNS = ("_stream", "stored_findings", "standard_", "orchestrated_", "validated_stage", "custom_rule_matches", "files_on_disk", "variable_flows",
+        "kept_replies", "committed_tables")
 
 
 @pytest.fixture()
