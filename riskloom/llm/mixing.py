@@ -6,9 +6,10 @@ threshold are taken once more. The threshold comes from a histogram of sizes by
 the bucket that the budget ends in, and only that bucket is split by the next bits, until it holds one key. So thresholds
 of a smaller and a larger budget are nested, nothing is sorted, and a rerun takes the same documents.
 
-Nulls: a null or empty text has size 0 and is taken 0 times over; a null source is a source of its own, the last one; a null
-doc_id hashes as the empty text. Rows that repeat a doc_id hash alike, so they are taken together. An empty table gives an
-empty result. Extra columns stay; `mix` replaces those named like its results, `mixed_documents` changes none.
+Nulls: a null or empty text has size 0 and is taken 0 times over; a null source is a source of its own, the last one. The hash is
+of doc_id (null: the empty text) and text, so rows that share an id, or have none, are taken by their texts. Rows that repeat both
+share a hash; if a source's budget ends among them, they are numbered and as many of them are taken as come nearest to it. An
+empty table gives an empty result. Extra columns stay; `mix` replaces those named like its results, `mixed_documents` changes none.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import KEY_BITS, checked_broadcast, guarded, key60
+from riskloom.llm.common import KEY_BITS, checked_broadcast, guarded, key60, numbered
 from riskloom.session import cut_lineage
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -26,7 +27,7 @@ RESULT = ("size", "source_size", "target", "taken")
 
 def with_sizes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint")) \
-        .withColumn("mix_key", key60(F.col("doc_id")))
+        .withColumn("mix_key", key60(F.col("doc_id"), F.col("text")))
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -52,11 +53,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: the whole times it is taken, the key that the rest of its budget ends in, whether that key is taken too."""
+    """Per source: the whole times it is taken, the key that the rest of its budget ends in, and what of it is left for that key."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     state = cut_lineage(targets.withColumn("whole", whole).select(
         "source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"),
-        F.lit(0).cast("bigint").alias("prefix"), F.lit(False).alias("single"), F.lit(0).cast("bigint").alias("edge_size")))
+        F.lit(0).cast("bigint").alias("prefix"), F.lit(False).alias("single")))
     for shift in range(KEY_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         open_ = checked_broadcast(state.where(~F.col("single") & (F.col("source_size") > 0))
                                   .select(F.col("source").alias("s"), "prefix"))
@@ -74,12 +75,10 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
             "source", "source_size", "target", "whole",
             F.when(found, F.col("rest") - (F.col("e.upto") - F.col("e.bucket_size"))).otherwise(F.col("rest")).alias("rest"),
             F.when(found, F.when(F.col("e.one"), F.col("e.key")).otherwise(F.col("e.bucket"))).otherwise(F.col("prefix")).alias("prefix"),
-            F.when(found, F.col("e.one")).otherwise(F.col("single")).alias("single"),
-            F.when(found, F.col("e.bucket_size")).otherwise(F.col("edge_size")).alias("edge_size")))
+            F.when(found, F.col("e.one")).otherwise(F.col("single")).alias("single")))
         if not state.where(~F.col("single") & (F.col("source_size") > 0)).limit(1).count():
             break
-    return state.select("source", "source_size", "target", "whole", F.col("prefix").alias("edge"),
-                        (F.col("edge_size") < 2 * F.col("rest")).alias("with_edge"))
+    return state.select("source", "source_size", "target", "whole", F.col("prefix").alias("edge"), "rest")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -91,8 +90,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def _mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     narrow = cut_lineage(with_sizes(docs.select("doc_id", "source", "text")).select("source", "size", "mix_key"))
     limits = thresholds(narrow, source_targets(narrow, weights, share, most)).withColumnRenamed("source", "limit_source")
-    joined = with_sizes(docs).join(checked_broadcast(cut_lineage(limits)), F.col("source").eqNullSafe(F.col("limit_source")))
-    more = (F.col("mix_key") < F.col("edge")) | ((F.col("mix_key") == F.col("edge")) & F.col("with_edge"))
+    limits = checked_broadcast(cut_lineage(limits))
+    of_source, on_edge = F.col("source").eqNullSafe(F.col("limit_source")), F.col("mix_key") == F.col("edge")
+    joined = with_sizes(docs).join(limits, of_source)
+    repeated = narrow.where("size > 0").join(limits, of_source & on_edge).groupBy("source").agg(F.count("*").alias("rows")).where("rows > 1")
+    if repeated.limit(1).count():
+        at_edge = F.coalesce(on_edge & (F.col("size") > 0), F.lit(False))
+        edge_key = key60(F.col("source").isNull(), F.col("source"), F.col("mix_key"))
+        joined = joined.where(~at_edge).withColumn("copy_", F.lit(0).cast("bigint")).unionByName(
+            numbered(joined.where(at_edge).withColumn("edge_key", edge_key), "edge_key").drop("edge_key"))
+    else:
+        joined = joined.withColumn("copy_", F.lit(0).cast("bigint"))
+    more = (F.col("mix_key") < F.col("edge")) | (on_edge & ((2 * F.col("copy_") + 1) * F.col("size") < 2 * F.col("rest")))
     times = F.col("whole") + F.when(more & (F.col("source_size") > 0), 1).otherwise(0)
     return joined.withColumn("taken", F.col("size") * times)
 

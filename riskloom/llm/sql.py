@@ -17,7 +17,7 @@ select doc_id, n_bytes, right(lpad(bin(prefix), 60, '0'), depth) shard_id, depth
 
 MIX_SQL = rf"""
 with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
-                      {KEY.format("coalesce(doc_id::varchar, '')")} key from documents),
+                      {KEY.format("coalesce(doc_id::varchar, '') || chr(1) || coalesce(text, '')")} key from documents),
 per as (select source, sum(size)::bigint source_size,
                ([3, 1, 2])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::bigint weight from sized group by source),
 fill as (select *, 2 * source_size cap, (2 * source_size)::double / weight fill from per),
@@ -29,11 +29,11 @@ best as (select level from level where level <= fill order by fill, source nulls
 target as (select source, source_size, least(cap::double, coalesce((select level from best) * weight, cap::double)) target from level),
 whole as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end whole from target),
 docs as (select s.*, w.source_size, w.target, w.whole, w.target - w.whole * w.source_size rest,
-                sum(size) over (partition by s.source, key) own,
+                sum(size) over (partition by s.source, key) own, row_number() over (partition by s.source, key order by doc_id) - 1 copy,
                 sum(size) over (partition by s.source order by key range between unbounded preceding and current row) upto
          from sized s join whole w on s.source is not distinct from w.source)
 select doc_id, size, source_size, target,
-       (size * (whole + (upto <= rest or (upto - own <= rest and own < 2 * (rest - (upto - own))))::int))::bigint taken from docs
+       (size * (whole + (upto <= rest or (upto - own <= rest and (2 * copy + 1) * size < 2 * (rest - (upto - own))))::int))::bigint taken from docs
 """
 
 NEAR_SQL = r"""
