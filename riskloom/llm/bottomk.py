@@ -154,6 +154,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return cut_lineage(pairs.where("whole").select("a", "b").union(large))
 
 
+def _short(key: Column) -> Column:
+    """64 bits of a text key, for narrow rows that are told apart by their id first."""
+    return F.xxhash64(key)
+
+
 def _sets(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
     """class_id and its whole set, from the text of one document of each class: the example's, found by its id and text.
 
@@ -166,7 +171,7 @@ def _sets(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame
             keep, values = [], []
             classes = batch.column("class_id").to_pylist()
             for i, s in enumerate(shingle_sets(as_bytes(batch.column("text")), WORDS)):
-                if len(s):
+                if len(s) and set_key(s) == classes[i]:     # not another text of the same id and short key
                     keep.append(classes[i])
                     values.append(s)
             lengths = np.concatenate([[0], np.cumsum([len(v) for v in values])])
@@ -175,9 +180,9 @@ def _sets(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame
                 [pa.array(keep, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))],
                 names=["class_id", "shingles"])
 
-    one = classes.select(F.col("example.doc_id").alias("example_id"), F.col("example.text_key").alias("example_key"), "class_id")
-    texts = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), "text") \
-        .join(one, F.col("doc_id").eqNullSafe(F.col("example_id")) & (F.col("text_key") == F.col("example_key"))) \
+    one = classes.select(F.col("example.doc_id").alias("example_id"), F.col("example.key").alias("example_key"), "class_id")
+    texts = docs.select(F.col("doc_id").cast("long"), _short(text_key(F.col("text"))).alias("key"), "text") \
+        .join(one, F.col("doc_id").eqNullSafe(F.col("example_id")) & (F.col("key") == F.col("example_key"))) \
         .select("class_id", "text")
     if repeated.limit(1).count():       # rows that repeat an id and text: one of them is enough
         texts = texts.join(repeated, "class_id", "left_anti").union(
@@ -231,13 +236,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = cut_lineage(sketches(docs))
     classes = cut_lineage(rows.where("n_shingles > 0").groupBy("class_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("example"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _short(F.col("text_key")).alias("key"))).alias("example"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     lists = cut_lineage(postings(classes, percent))
     cold, common = lists.where(~F.col("hot")), cut_lineage(lists.where("hot").select("class_id").distinct())
     likely = estimated(_pairs(cold, cold, False, percent, F.col("x") < F.col("y")).distinct(), classes, percent)
     large = likely.where(~F.col("whole"))
     wanted = large.select(F.col("a").alias("class_id")).union(large.select("b")).union(common).distinct()
-    repeated = cut_lineage(rows.where("n_shingles > 0").groupBy("class_id", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    repeated = cut_lineage(rows.where("n_shingles > 0").groupBy("class_id", "doc_id", _short(F.col("text_key"))).agg(F.count("*").alias("rows"))
                            .where("rows > 1").select("class_id").distinct())
     sets = _sets(docs, classes.join(wanted, "class_id", "left_semi"), repeated)
     found = confirmed(likely, sets, percent).union(_common_links(sets.join(common, "class_id", "left_semi"), classes, percent))
