@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import components, guarded, text_key
-from riskloom.llm.words import as_bytes, mix, shingle_sets
+from riskloom.llm.words import mix, shingle_sets, text_chunks
 from riskloom.session import cut_lineage, ship_package
 
 WORDS = 5
@@ -67,17 +67,26 @@ def set_key(s: np.ndarray) -> int:
     return int(mix(parts[:1] * np.uint64(3) ^ parts[1:])[0] >> np.uint64(1))
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of the batches and their texts, about a megabyte each, so that no more sets are held at once."""
+    for batch in batches:
+        at = 0
+        for texts in text_chunks(batch.column("text")):
+            yield batch.slice(at, len(texts)), texts
+            at += len(texts)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_shingles, class_id (of equal sets; null for the empty set), sketch."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in _portions(batches):
             n, keys, values = [], [], []
-            for s in shingle_sets(as_bytes(batch.column("text")), WORDS):
+            for s in shingle_sets(texts, WORDS):
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
-                values.append(s[:SKETCH])
+                values.append(s[:SKETCH].copy())
             lengths = np.concatenate([[0], np.cumsum([len(v) for v in values])])
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -165,12 +174,10 @@ def _sets(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame
     `repeated` names the classes in which several rows have the same id, or none, and the same text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch, texts in _portions(batches):
             keep, values = [], []
             classes = batch.column("class_id").to_pylist()
-            for i, s in enumerate(shingle_sets(as_bytes(batch.column("text")), WORDS)):
+            for i, s in enumerate(shingle_sets(texts, WORDS)):
                 if len(s) and set_key(s) == classes[i]:     # not another text of the same id and short key
                     keep.append(classes[i])
                     values.append(s)

@@ -6,7 +6,7 @@
    tasks gives the same sums. The table has CORES + SHAPES rows whatever the corpus, so it may be broadcast.
 2. A document's features are the (shrunken) means of its units' vectors, the share of words that repeat their predecessor, and its length.
 3. A two-layer network in numpy learns from at most `max_rows` labelled documents (a fixed share of the hashes of their ids);
-   a part of them sets the temperature that calibrates its probabilities.
+   a part of them sets the temperature that calibrates its probabilities. Texts are scored where they are, without a join.
 
 Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0; label, language, source and id are never inputs of a
 score. Nulls and odd input: a null or empty text has zero features and still gets a score; null labels are ignored, repeated
@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import guarded, held_out, text_key
-from riskloom.llm.words import NOT_SPACE, as_bytes, chunks, mix, word_hashes
+from riskloom.llm.common import checked_broadcast, guarded, held_out
+from riskloom.llm.words import NOT_SPACE, mix, text_chunks, word_hashes
 from riskloom.session import cut_lineage, ship_package
 
 CORES, SHAPES = 8192, 1024
@@ -37,6 +38,7 @@ PRIOR = 3                  # words without any sign that a mean starts from, so
 HIDDEN = 32
 THRESHOLD = 0.3
 MAX_ROWS = 20_000
+PLACES = 1 << 30
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[0x41:0x5B] = ord("A")
@@ -79,9 +81,8 @@ def word_sums(docs: DataFrame) -> DataFrame:
         size = UNITS * DIMS
         sums, uses = np.zeros(size), np.zeros(UNITS, np.int64)
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for i, j in chunks(texts):
-                core, shape, owner = units(texts[i:j])
+            for texts in text_chunks(batch.column("text")):
+                core, shape, owner = units(texts)
                 uses += np.bincount(core, minlength=UNITS) + np.bincount(shape, minlength=UNITS)
                 near = np.flatnonzero(owner[1:] == owner[:-1])
                 for here, other, shift in ((near, near + 1, 0), (near + 1, near, DIMS // 2)):   # what follows, what precedes
@@ -112,41 +113,38 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (around / np.maximum(length, 1) + own / np.sqrt(SIGNS)).astype(np.float32)
 
 
-def features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """doc_id, text_key, features: the pooled vectors of every document."""
-    ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
-
-    def pooled(texts: list[bytes | None]) -> np.ndarray:
-        table = shared.value
-        out = np.zeros((len(texts), FEATURES), np.float32)
-        core, shape, owner = units(texts)
-        if not len(core):
-            return out
-        n = np.bincount(owner, minlength=len(texts))
-        present, first = np.flatnonzero(n), np.searchsorted(owner, np.flatnonzero(n))
-        count = n[present][:, None] + PRIOR
-        out[present, :DIMS] = np.add.reduceat(table[core], first, axis=0, dtype=np.float64) / count
-        out[present, DIMS:2 * DIMS] = np.add.reduceat(table[shape], first, axis=0, dtype=np.float64) / count
-        again = np.zeros(len(core))
-        again[1:] = (core[1:] == core[:-1]) & (owner[1:] == owner[:-1])
-        out[:, -3] = np.bincount(owner, weights=again, minlength=len(texts)) / np.maximum(n, 1)
-        kinds = np.unique(owner * CORES + core) // CORES
-        out[:, -2] = np.bincount(kinds, minlength=len(texts)) / np.maximum(n, 1)
-        out[:, -1] = np.log1p(n)
+def pooled(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
+    """The features of each text, by the table of word vectors."""
+    out = np.zeros((len(texts), FEATURES), np.float32)
+    core, shape, owner = units(texts)
+    if not len(core):
         return out
+    n = np.bincount(owner, minlength=len(texts))
+    present, first = np.flatnonzero(n), np.searchsorted(owner, np.flatnonzero(n))
+    count = n[present][:, None] + PRIOR
+    out[present, :DIMS] = np.add.reduceat(table[core], first, axis=0, dtype=np.float64) / count
+    out[present, DIMS:2 * DIMS] = np.add.reduceat(table[shape], first, axis=0, dtype=np.float64) / count
+    again = np.zeros(len(core))
+    again[1:] = (core[1:] == core[:-1]) & (owner[1:] == owner[:-1])
+    out[:, -3] = np.bincount(owner, weights=again, minlength=len(texts)) / np.maximum(n, 1)
+    kinds = np.unique(owner * CORES + core) // CORES
+    out[:, -2] = np.bincount(kinds, minlength=len(texts)) / np.maximum(n, 1)
+    out[:, -1] = np.log1p(n)
+    return out
+
+
+def features(docs: DataFrame, vectors: Broadcast) -> DataFrame:
+    """docs without text, with features: the pooled vectors of every document."""
+    ship_package(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            rows = np.concatenate([np.zeros((0, FEATURES), np.float32), *[pooled(texts[i:j]) for i, j in chunks(texts)]])
-            at = np.arange(0, len(texts) + 1, dtype=np.int32) * FEATURES
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.ListArray.from_arrays(pa.array(at), pa.array(rows.ravel()))],
-                names=["doc_id", "text_key", "features"])
+    @F.arrow_udf("array<float>")
+    def of_text(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            rows = np.concatenate([np.zeros((0, FEATURES), np.float32), *[pooled(t, vectors.value) for t in text_chunks(column)]])
+            at = np.arange(0, len(column) + 1, dtype=np.int32) * FEATURES
+            yield pa.ListArray.from_arrays(pa.array(at), pa.array(rows.ravel()))
 
-    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), "text") \
-        .mapInArrow(run, "doc_id long, text_key string, features array<float>")
+    return docs.withColumn("features", of_text("text")).drop("text")
 
 
 class Network:
@@ -195,43 +193,63 @@ class Constant:
         return np.full(len(x), self.share)
 
 
-def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Network | Constant:
-    """Learn from at most max_rows labelled rows of (doc_id, features) that are not held out."""
+def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, text, label_, place: about max_rows labelled documents that are not held out, by a fixed share of hashes.
+
+    Ids decide first, so that the narrow table of labels, at most some max_rows rows, meets the texts where they are.
+    """
     known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long"), F.col(label).cast("double").alias("label_")) \
-        .groupBy("doc_id").agg(F.avg("label_").alias("label_"))
-    labelled = cut_lineage(rows.where(~held_out(F.col("doc_id"))).join(known, "doc_id")
-                           .select("doc_id", "features", "label_", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("place")))
-    share = max_rows / max(1, labelled.count())
-    if share < 1:       # a share of the hash range, so that no task sends more than its part; a little less than allowed
-        labelled = labelled.where(F.col("place") < int((1 << 30) * share * 0.97))
-    sample = sorted(labelled.collect(), key=lambda r: (r.place, r.doc_id, r.features))[:max_rows]
-    sample = [(r.features, r.label_) for r in sample]
-    y = np.array([float(r[1] >= 0.5) for r in sample])
+        .groupBy("doc_id").agg(F.avg("label_").alias("label_")).where(~held_out(F.col("doc_id")))
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    known = cut_lineage(known.join(texts.groupBy("doc_id").agg(F.count("*").alias("rows_")), "doc_id")
+                        .withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))))
+    chosen = known.where(F.col("place") < _share(known.count(), max_rows))
+    rows = texts.join(checked_broadcast(chosen.drop("rows_"), 2 * max_rows), "doc_id")
+    if (chosen.agg(F.sum("rows_")).first()[0] or 0) <= max_rows:
+        return rows
+    text = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PLACES))      # ids that stand for several texts: a share of these
+    return rows.where(text < _share(rows.select("doc_id", text).distinct().count(), max_rows))
+
+
+def _share(rows: int, most: int) -> int:
+    """The bound of places below which at most so many of the rows lie; a little less than allowed."""
+    return PLACES if rows <= most else int(PLACES * most / rows * 0.97)
+
+
+def fit(rows: DataFrame, max_rows: int = MAX_ROWS) -> Network | Constant:
+    """Learn from a sample of (doc_id, features, label_, place); rows that repeat each other count once."""
+    found = sorted(rows.groupBy("place", "doc_id", "features").agg(F.min("label_").alias("label_")).limit(2 * max_rows).collect(),
+                   key=lambda r: (r.place, r.doc_id, r.features))[:max_rows]
+    y = np.array([float(r.label_ >= 0.5) for r in found])
     if not len(y) or y.min() == y.max():
         return Constant(y)
-    return Network(np.array([r[0] for r in sample], np.float64), y)
+    return Network(np.array([r.features for r in found], np.float64), y)
 
 
-def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted, and text_key: the score depends on the text alone."""
-    docs = docs.select("doc_id", "text")
-    rows = cut_lineage(features(docs, word_vectors(docs)))
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, max_rows=max_rows))
+def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """docs with score_, which depends on the text alone: no row leaves its place for it."""
+    spark = docs.sparkSession
+    vectors = spark.sparkContext.broadcast(word_vectors(docs))
+    learned = cut_lineage(features(sample(docs, labels, max_rows=max_rows), vectors))
+    model = spark.sparkContext.broadcast(fit(learned, max_rows))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("features")
-            x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.probability(x), pa.float64())],
-                                             names=["doc_id", "score"]).append_column("text_key", batch.column("text_key"))
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = [model.value.probability(pooled(t, vectors.value).astype(np.float64)) for t in text_chunks(column)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
+
+    return docs.withColumn("score_", score("text"))
 
-    return rows.mapInArrow(run, "doc_id long, score double, text_key string").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "text_key")
+
+def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    rows = scored(docs.select(F.col("doc_id").cast("long"), "text"), labels, max_rows)
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("score_").alias("score"),
+                       (F.col("score_") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier does not reject."""
     docs, back = guarded(docs, "doc_id", "text")
-    keyed = docs.withColumn("text_key", text_key(F.col("text")))
-    rejected = scores(docs, labels, **options).where("predicted = 0").select(F.col("text_key").alias("rejected")).distinct()
-    return keyed.join(rejected, F.col("text_key") == F.col("rejected"), "left_anti").select(*back)
+    return scored(docs, labels, **options).where(F.col("score_") >= THRESHOLD).select(*back)
