@@ -11,7 +11,7 @@ from riskloom import dims
 from riskloom.checks import sqltext as q
 from riskloom.checks import views
 from riskloom.functions import findings as ff
-from riskloom.operators import dedup, filters, flows, joins, matching, metrics, ranking
+from riskloom.operators import content, dedup, filters, flows, joins, matching, metrics, ranking, scopes
 from riskloom.plans import profile, scans
 from riskloom.rule_catalog import (ALL_RULES, CODE_POINTS, CODE_RULES, HTML_CHECKS, SECRET_DETECTORS, Rule)
 
@@ -162,6 +162,27 @@ _VARIABLE_FLOWS = f"""with recursive p as materialized (select * from {_points('
     select repo, path, -b[2] as source_line, sink_line, unnest(sinks) as sink_type, b[1] as steps from b"""
 
 
+_BARE = f"regexp_replace(regexp_replace(text, {q.quote(scopes.STRINGS)}, '', 'g'), {q.quote(scopes.COMMENT)}, '', 'g')"
+
+
+@query("enclosing_functions", f"""with t as (select repo, path, line, text, language = 'Python' as py, {_BARE} as bare, nullif(regexp_extract(text, {q.quote(scopes.HEAD)}, 1), '') as name from ({_lines('v_scope_code')})),
+    l as materialized (select *, length(regexp_extract(text, '^([ \t]*)', 1)) as indent, trim(bare) <> '' as code, contains(bare, '{{') as opens,
+      sum(length(replace(bare, '}}', '')) - length(replace(bare, '{{', ''))) over (partition by repo, path order by line) as depth from t),
+    h as (select a.*, coalesce((select max_by(b.depth, b.line) from l b where b.repo = a.repo and b.path = a.path and b.line < a.line), 0) as before,
+      (select min(b.line) from l b where b.repo = a.repo and b.path = a.path and b.line >= a.line and b.opens) as body,
+      (select min(b.line) from l b where b.repo = a.repo and b.path = a.path and b.line > a.line and b.name is not null) as next_head,
+      (select max(b.line) from l b where b.repo = a.repo and b.path = a.path) as last_line from l a where a.name is not null),
+    s as materialized (select repo, path, name, line as s, coalesce(case when py then (select min(b.line) - 1 from l b where b.repo = h.repo and b.path = h.path and b.line > h.line and b.code and b.indent <= h.indent)
+      else (select min(b.line) from l b where b.repo = h.repo and b.path = h.path and b.line >= h.body and b.depth <= h.before) end, last_line) as e
+      from h where py or (body is not null and (next_head is null or body < next_head)))
+    select l.repo, l.path, l.line as start_line, coalesce(max_by(s.name, s.s), 'unknown') as function, cast(max(s.s) as int) as function_start, cast(max_by(s.e, s.s) as int) as function_end
+    from l left join s on s.repo = l.repo and s.path = l.path and l.line between s.s and s.e where contains(l.text, 'eval(') group by l.repo, l.path, l.line""")
+def enclosing_functions(spark, sf):
+    code = views.scope_code(spark, sf)
+    found = content.lines(code).where(F.contains("text", F.lit("eval("))).select("repo", "path", F.col("line").alias("start_line"))
+    return scopes.enclosing_functions(found, code)
+
+
 @query("variable_flows", _VARIABLE_FLOWS)
 def variable_flows(spark, sf):
     code = views.flow_code(spark, sf)

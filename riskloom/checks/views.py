@@ -152,11 +152,22 @@ _FLOW_TEXT = """'a0 = request.args.get("q")' || chr(10) || (case when doc_id % 6
    || (case when doc_id % 13 = 0 then 'a4 = sys.argv[1]' else 'e = d' end) || chr(10) || 'db.query(a' || cast(doc_id % 6 as varchar(20)) || ')' || chr(10)
    || (case cast(doc_id % 4 as int) when 0 then 'os.system(e)' when 1 then 'open(escape(a0))' when 2 then 'eval(request.form["x"])' else 'eval(c)' end)"""
 
+# Functions in braces and by indentation: nested, on one line, in comments and strings, never closed.
+_SCOPE_TEXT = """(case when doc_id % 2 = 0 then 'function outer' || cast(doc_id as varchar(20)) || '() {' || chr(10) || '  eval(a)' || chr(10)
+   || (case cast(doc_id % 5 as int) when 0 then '  async function inner(x) { return eval(x) }' when 1 then '  function inner(x)' || chr(10) || '  {' || chr(10) || '    if (x) {' || chr(10) || '      eval(x)' || chr(10) || '    } else {' || chr(10) || '      eval("{")' || chr(10) || '    }' || chr(10) || '  }'
+     when 2 then '  // function gone() {' || chr(10) || '  s = "}"' when 3 then '  function open() {' else '  function none()' end)
+   || chr(10) || '  eval(b)' || chr(10) || '}' || chr(10) || 'eval(c)' || chr(10) || 'function last() {' || chr(10) || '  eval(d)' || chr(10) || '}' || chr(10) || 'eval(e)'
+  else 'def outer(a):' || chr(10) || '    eval(a)' || chr(10)
+   || (case cast(doc_id % 3 as int) when 0 then '    def inner' || cast(doc_id as varchar(20)) || '(b):' || chr(10) || '        eval(b)' || chr(10) || chr(10) || '# note' || chr(10) || '        eval(b)' when 1 then '    # def gone(d):' else '    def inner(b): return eval(b)' end)
+   || chr(10) || '    eval(c)' || chr(10) || 'eval(d)' || chr(10) || 'class K:' || chr(10) || '    async def method(self):' || chr(10) || '        eval(self)' end)"""
+_SCOPE_PATH = """'src/scope_' || cast(doc_id as varchar(20)) || (case when doc_id % 2 = 0 then '.js' else '.py' end)"""
+
 # ---------------------------------------------------------------- SQL side
 SQL_VIEWS = {
     "v_files": f"select source as repo, doc_id, text as content, n_chars as size, 'file' as type, lang, {_FILE_PATH} as path from documents",
     "v_code": f"select *, length(content) as size from (select source as repo, doc_id, {_code_path(True)} as path, {_code_text(True)} as content, 'file' as type from documents)",
     "v_flow_code": f"select source as repo, 'src/flow_' || cast(doc_id as varchar(20)) || '.py' as path, {_FLOW_TEXT} as content from documents",
+    "v_scope_code": f"select source as repo, {_SCOPE_PATH} as path, {_SCOPE_TEXT} as content from documents",
     "v_findings": f"""select l_suppkey as repo, 'src/p' || cast(l_partkey % 20 as varchar(20)) || '.py' as path,
  cast(l_orderkey % 40 + 1 as int) as start_line, cast(l_orderkey % 40 + 1 + l_linenumber as int) as end_line,
  {_CHECK_ID} as check_id, {_IMPACT} as impact, l_quantity / 50 as confidence, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem""",
@@ -241,6 +252,10 @@ def flow_code(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").selectExpr("source as repo", "'src/flow_' || cast(doc_id as varchar(20)) || '.py' as path", f"{_FLOW_TEXT} as content")
 
 
+def scope_code(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").selectExpr("source as repo", f"{_SCOPE_PATH} as path", f"{_SCOPE_TEXT} as content")
+
+
 _FINDING_COLUMNS = (
     "l_suppkey as repo", "'src/p' || cast(l_partkey % 20 as varchar(20)) || '.py' as path",
     "cast(l_orderkey % 40 + 1 as int) as start_line", "cast(l_orderkey % 40 + 1 + l_linenumber as int) as end_line")
