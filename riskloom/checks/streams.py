@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskloom.checks import sqltext as q
 from riskloom.checks import views
 from riskloom.functions import severity
+from riskloom.operators import rollups
 from riskloom.session import ensure_checkpoint_dir
 from riskloom.sources import runs, tables
 from riskloom.streaming import jobs
@@ -73,6 +74,21 @@ def daily_trend(spark, sf):
     return jobs.trend(_events(views.table(spark, sf, "events")))
 
 
+@query("merged_trend", """select cast(date_trunc('week', ts) as date) as week, count(*) as n_rows, count(distinct user_id) as users, count(distinct event_type) as types,
+    true as users_near, true as types_near from events group by 1""")
+def merged_trend(spark, sf):
+    """Days as stored sketches, added up to weeks; their estimates lie within four standard errors of the exact counts."""
+    events = views.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    days = rollups.sketched(events, ["day"], ["user_id", "event_type"])
+    week = lambda c: F.date_trunc("week", c).cast("date").alias("week")
+    weeks = rollups.estimates(rollups.merged(days.withColumn("week", week("day")), ["week"]))
+    exact = events.groupBy(week("ts")).agg(
+        F.count_distinct("user_id").alias("users"), F.count_distinct("event_type").alias("types"))
+    near = lambda found, true: F.abs(F.col(found) - F.col(true)) <= 4 * rollups.standard_error() * F.col(true)
+    return weeks.join(exact, "week").select("week", "n_rows", "users", "types", near("n_user_id", "users").alias("users_near"),
+                                              near("n_event_type", "types").alias("types_near"))
+
+
 @query("sliding_trend", _SLIDING)
 def sliding_trend(spark, sf):
     return jobs.trend(_events(views.table(spark, sf, "events")), window="7 days", slide="1 day")
