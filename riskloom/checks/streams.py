@@ -74,13 +74,13 @@ def daily_trend(spark, sf):
     return jobs.trend(_events(views.table(spark, sf, "events")))
 
 
-@query("merged_trend", """select cast(date_trunc('week', ts) as date) as week, count(*) as n_rows, count(distinct user_id) as users, count(distinct event_type) as types,
+@query("merged_trend", """select strftime(date_trunc('week', ts), '%Y-%m-%d') as week, count(*) as n_rows, count(distinct user_id) as users, count(distinct event_type) as types,
     true as users_near, true as types_near from events group by 1""")
 def merged_trend(spark, sf):
     """Days as stored sketches, added up to weeks; their estimates lie within four standard errors of the exact counts."""
     events = views.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
     days = rollups.sketched(events, ["day"], ["user_id", "event_type"])
-    week = lambda c: F.date_trunc("week", c).cast("date").alias("week")
+    week = lambda c: F.date_format(F.date_trunc("week", c), "yyyy-MM-dd").alias("week")
     weeks = rollups.estimates(rollups.merged(days.withColumn("week", week("day")), ["week"]))
     exact = events.groupBy(week("ts")).agg(
         F.count_distinct("user_id").alias("users"), F.count_distinct("event_type").alias("types"))
