@@ -59,6 +59,9 @@ class Silence(StatefulProcessor):
 
     With `event_time`, the clock is the watermark; else it is the cluster's, and silence alone brings the row. A stall that the same
     batch ends is told too, with `event_time`. Later updates start a new wait.
+
+    A silence longer than the timeout never lies inside a stretch of that length, so of each stretch of time only the first and the
+    last update are held: memory follows the time that a batch spans, not its rows.
     """
 
     def __init__(self, timeout_ms: int, event_time: bool):
@@ -72,11 +75,21 @@ class Silence(StatefulProcessor):
         status, progress, ts, _ = update
         return Row(agent=agent, status=status, progress=progress, last_update=ts, stalled_at=ts + timedelta(milliseconds=self.timeout_ms))
 
+    def _ends(self, rows) -> Iterator[tuple]:
+        """The first and the last update of every stretch, in order; of equal ones that which came first."""
+        ends: dict[int, tuple[tuple, tuple]] = {}
+        for r in rows:
+            update = (r["status"], r["progress"], r["ts"], r["event_id"])
+            stretch = millis(update[2]) // max(self.timeout_ms, 1)
+            first, last = ends.get(stretch, (update, update))
+            ends[stretch] = (update if update[2:] < first[2:] else first, update if update[2:] > last[2:] else last)
+        for stretch in sorted(ends):
+            yield from ends[stretch]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         last = tuple(self.last.get()) if self.last.exists() else None
         timers = list(self.handle.listTimers())
-        for r in sorted(rows, key=lambda r: (r["ts"], r["event_id"])):
-            update = (r["status"], r["progress"], r["ts"], r["event_id"])
+        for update in self._ends(rows):
             if last is not None and (update[2], update[3]) <= (last[2], last[3]):
                 continue        # an older one that comes late tells nothing new
             # A gap is told here if its timer has yet to fire, or never was set, as both rows came at once.
