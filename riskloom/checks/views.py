@@ -277,8 +277,9 @@ def _placed_lines(spark, sf) -> DataFrame:
     """Every row of lineitem with a document's place; some places name files that don't exist."""
     listed = files(spark, sf)
     places = listed.selectExpr("repo", "(case when doc_id % 50 = 49 then 'gone/' else '' end) || path as path", "doc_id")
-    lines = table(spark, sf, "lineitem").crossJoin(listed.agg(F.count(F.lit(1)).alias("n_files")))
-    return lines.join(places, F.col("l_partkey") % F.col("n_files") == F.col("doc_id"))
+    lines = table(spark, sf, "lineitem").crossJoin(listed.agg(F.count(F.lit(1)).alias("n_files"))) \
+        .withColumn("_place", F.col("l_partkey") % F.col("n_files"))     # a column, so that the three are joined in this order
+    return lines.join(places, F.col("_place") == F.col("doc_id"))
 
 
 def file_findings(spark, sf) -> DataFrame:

@@ -92,3 +92,29 @@ def test_silence_holds_the_ends_of_stretches_only(spark):
         assert tracemalloc.get_traced_memory()[1] < 2_000_000     # all rows at once take 20 MB
     finally:
         tracemalloc.stop()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prompts_meet_their_findings_without_a_nested_loop(spark):
+    """The only join without an equal key is the one with the single count of files."""
+    from riskloom.checks import review
+    joins = [line for line in _plan(review.parsed_fixes(spark, SF)).splitlines() if "Join " in line]
+    assert joins and not [line for line in joins if "sha2(" in line]
+
+
+def test_replies_come_in_frames_not_in_batches():
+    import pandas as pd
+
+    from riskloom.plans import review
+    calls = []
+
+    def make():
+        return lambda texts: calls.append(len(texts)) or [t.upper() for t in texts]
+
+    frame = pd.DataFrame({"prompt_id": [str(i) for i in range(100)], "prompt": [f"p{i}" for i in range(100)]})
+    got = list(review._asker(make, 16)(iter([frame, frame.iloc[:0]])))
+    assert [len(g) for g in got] == [100] and calls == [16] * 6 + [4]
+    assert got[0]["reply"].tolist() == [f"P{i}" for i in range(100)] and got[0]["prompt_id"].tolist() == [str(i) for i in range(100)]
