@@ -118,3 +118,17 @@ def test_replies_come_in_frames_not_in_batches():
     got = list(review._asker(make, 16)(iter([frame, frame.iloc[:0]])))
     assert [len(g) for g in got] == [100] and calls == [16] * 6 + [4]
     assert got[0]["reply"].tolist() == [f"P{i}" for i in range(100)] and got[0]["prompt_id"].tolist() == [str(i) for i in range(100)]
+
+
+def test_lines_are_numbered_per_file_and_not_per_finding(spark, files_of):
+    from riskloom.operators import content
+    files = files_of({"r": {"a.py": "\n".join(f"l{i}" for i in range(1, 41)), "b.py": "x"}})
+    rows = [("r", "a.py", s, s + d) for s in range(1, 41) for d in (0, 1, 5) if s + d <= 40] + [("r", "b.py", 1, 1), ("r", "b.py", 2, 2), ("r", "a.py", 3, 2)]
+    found = content.marked_context(spark.createDataFrame(rows, "repo string, path string, start_line int, end_line int"), files)
+    above = _plan(found).split("Join ")[0]
+    assert "transform(" not in above and "transform(" in _plan(found)
+    got = {(r.path, r.start_line, r.end_line): r.context for r in found.collect()}
+    text = {"a.py": [f"l{i}" for i in range(1, 41)], "b.py": ["x"]}
+    want = {(p, s, e): "\n".join((">>> " if s <= i <= e else "    ") + f"{i:4d}: {text[p][i - 1]}" for i in range(max(0, s - 10) + 1, min(len(text[p]), e + 10) + 1))
+            for _, p, s, e in rows if s <= e <= len(text[p])}
+    assert got == want
