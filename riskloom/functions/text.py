@@ -6,17 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)`, where `value` is worked out once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def json_payload(text: Column) -> Column:
     """From the first `{` to the last `}`; null when there is no such span."""
-    return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+    return once(F.regexp_extract(text, r"(?s)(\{.*\})", 1), lambda found: F.when(found != "", found))
 
 
 def unwrap_reply(raw: Column) -> Column:
     """Text inside a reply envelope: `result`, then `content`, then the first message, else the raw text."""
     envelope = F.from_json(raw, "result string, content string, messages array<struct<content: array<struct<text: string>>>>")
-    first = F.get(F.get(envelope.getField("messages"), F.lit(0)).getField("content"), F.lit(0)).getField("text")
-    filled = lambda c: F.nullif(c, F.lit(""))
-    return F.coalesce(filled(envelope.getField("result")), filled(envelope.getField("content")), filled(first), raw)
+    first = lambda e: F.get(F.get(e.getField("messages"), F.lit(0)).getField("content"), F.lit(0)).getField("text")
+    filled = lambda c: F.when(c != "", c)
+    return once(envelope, lambda e: F.coalesce(filled(e.getField("result")), filled(e.getField("content")), filled(first(e)), raw))
 
 
 def code_lines(content: Column) -> Column:

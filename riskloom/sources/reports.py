@@ -100,22 +100,29 @@ def scan_agent_results(spark: SparkSession, folder: str) -> DataFrame:
     return parse_agent_replies(docs)
 
 
+def _entries(df: DataFrame, keep, field: str) -> DataFrame:
+    """The entries of a list in analyser replies: envelope, then payload, then document. Broken replies give no rows.
+
+    Outer, with rows without an entry left out afterwards: an inner explode tests its list in a filter below it, which would read
+    every reply two times more.
+    """
+    doc = F.from_json(text.json_payload(text.unwrap_reply(F.col("reply"))), schemas.AGENT_REPLY, schemas.CORRUPT)
+    return (df.select(*keep, F.posexplode_outer(doc.getField(field)).alias("_at", "_entry"))
+            .where(F.col("_at").isNotNull()).select(*keep, "_entry.*"))
+
+
 def parse_agent_replies(df: DataFrame, keep=("agent_id",)) -> DataFrame:
-    """Findings in analyser replies: envelope, then payload, then document. Broken replies give no rows."""
-    inner = text.json_payload(text.unwrap_reply(F.col("reply")))
-    doc = F.from_json(inner, schemas.AGENT_REPLY, schemas.CORRUPT)
-    return (df.select(*keep, F.explode(doc.getField("vulnerabilities")).alias("v")).select(*keep, "v.*"))
+    """Findings in analyser replies."""
+    return _entries(df, keep, "vulnerabilities")
 
 
 def reply_errors(df: DataFrame, keep=("agent_id",)) -> DataFrame:
     """The replies that `parse_agent_replies` can't read, with the reason: an analyser that failed is not one that found nothing."""
     inner = text.json_payload(text.unwrap_reply(F.col("reply")))
-    reason = F.when(inner.isNull(), "no JSON object").when(F.try_parse_json(inner).isNull(), "broken JSON")
-    return df.select(*keep, reason.alias("reason")).where(F.col("reason").isNotNull())
+    reason = text.once(inner, lambda doc: F.when(doc.isNull(), "no JSON object").when(F.try_parse_json(doc).isNull(), "broken JSON"))
+    return df.select(*keep, F.explode_outer(F.array(reason)).alias("reason")).where(F.col("reason").isNotNull())
 
 
 def agent_patterns(df: DataFrame, keep=("agent_id",)) -> DataFrame:
     """Systemic issues that analysers report themselves."""
-    inner = text.json_payload(text.unwrap_reply(F.col("reply")))
-    doc = F.from_json(inner, schemas.AGENT_REPLY, schemas.CORRUPT)
-    return df.select(*keep, F.explode(doc.getField("patterns")).alias("p")).select(*keep, "p.*")
+    return _entries(df, keep, "patterns")

@@ -176,3 +176,12 @@ def test_whole_scans(spark, files_of, mode):
     else:
         assert [(r.source_line, r.sink_line, r.sink_type) for r in out["data_flows"]] == [(1, 2, "database_query")]
         assert out["vulnerabilities"][0].vuln_id.startswith("VULN-")
+
+
+def test_replies_are_read_once(spark):
+    replies = spark.createDataFrame([("a", '{"vulnerabilities": [null, {"type": "x"}], "patterns": []}'), ("b", "{]}"), ("c", "none"), ("d", None)], "agent_id string, reply string")
+    found, patterns, errors = reports.parse_agent_replies(replies), reports.agent_patterns(replies), reports.reply_errors(replies)
+    assert {(r.agent_id, r.type) for r in found.collect()} == {("a", None), ("a", "x")} and patterns.collect() == []
+    assert sorted((r.agent_id, r.reason) for r in errors.collect()) == [("b", "broken JSON"), ("c", "no JSON object"), ("d", "no JSON object")]
+    for df, n in ((found, 2), (patterns, 2), (errors, 1)):      # the envelope, and the document
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == n
