@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text
 from riskloom.operators.content import files_of
-from riskloom.operators.skew import chunked_lists, number_rows
+from riskloom.operators.skew import number_rows, numbered_lists
 
 _KEYS = ["repo", "path"]
 _RANGE = ["start_line", "end_line"]
@@ -93,9 +93,7 @@ def change_summary(fixes: DataFrame, order, size: int = 500) -> DataFrame:
     numbered = number_rows(fixes, ["repo"], order, "_n")
     item = F.format_string("%d. **%s** in `%s` (lines %d-%d)\n   - %s", "_n", "vulnerability", "path", "start_line",
                            "end_line", "description")
-    parts = (numbered.withColumn("part", (F.floor((F.col("_n") - 1) / size) + 1).cast("int"))
-             .groupBy("repo", "part")
-             .agg(F.sort_array(F.collect_list(F.struct("_n", item.alias("text")))).getField("text").alias("_items")))
+    parts = numbered_lists(numbered, ["repo"], "_n", item, "_items", size)
     totals = fixes.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
     return parts.join(totals, "repo").select(
         "repo", "part", "n", F.format_string("🔒 Security fixes (%d vulnerabilities)", "n").alias("title"),
@@ -106,6 +104,6 @@ def discussion_summary(fixes: DataFrame, order, size: int = 500) -> DataFrame:
     """Short numbered list of fixes per repository for a discussion, in parts."""
     numbered = number_rows(fixes, ["repo"], order, "_n")
     item = F.format_string("%d. **%s** in `%s`", "_n", "vulnerability", "path")
-    return (chunked_lists(numbered, ["repo"], ["_n"], item, "_items", size)
+    return (numbered_lists(numbered, ["repo"], "_n", item, "_items", size)
             .select("repo", "part", F.concat(F.lit("### Vulnerability Summary:\n\n"),
                                              F.array_join("_items", "\n")).alias("body")))

@@ -5,15 +5,12 @@ Joins on such keys need nothing here: plain equi-joins leave hot partitions to S
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 
-def _same(names) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names], F.lit(True))
+FEW = 100_000      # rows of a key that one window takes
 
 
 def row_salt(df: DataFrame, salts: int) -> Column:
@@ -22,33 +19,37 @@ def row_salt(df: DataFrame, salts: int) -> Column:
     return F.pmod(F.xxhash64(*hashable) + F.spark_partition_id(), F.lit(salts)).cast("int")
 
 
-def number_rows(df: DataFrame, keys, order, name: str = "rn", depth: int = 2) -> DataFrame:
-    """Exact `row_number` per key over `order`, without a window over the rows of a whole key.
+def number_rows(df: DataFrame, keys, order, name: str = "rn", depth: int = 2, few: int = FEW) -> DataFrame:
+    """Exact `row_number` per key over `order`, without a window over the rows of a key that has more than `few`.
 
-    `order` is total and ascending (negate numbers to turn it around). Rows are counted by the key and the first `depth`
+    `order` is total and ascending (negate numbers to turn it around). Rows of such keys are counted by the key and the first `depth`
     order columns; running sums over these counts say where each such group begins, and rows are numbered inside theirs. So
-    a window holds the distinct values of one order column, or the rows of one group. `df` is read twice.
+    a window holds at most `few` rows, or the distinct values of one order column, or the rows of one group. Groups are named by a
+    struct, in which nulls are equal, behind its hash: windows, counts and the join share one way of dealing out and one sort. `df` is
+    read three times; the keys with many rows are broadcast, which are fewer than its rows divided by `few`.
     """
     keys, order = list(keys), [F.col(o) if isinstance(o, str) else o for o in order]
     depth = min(depth, len(order) - 1)
+    group = F.struct(F.lit(0).alias("_all"), *keys)
+    many = df.groupBy(group.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > few).select("_key", F.lit(True).alias("_many"))
     levels = [f"_o{i}" for i in range(depth)]
-    placed = df.withColumns({n: o for n, o in zip(levels, order)})
-    inner = Window.partitionBy(*keys, *levels) if keys or levels else Window.partitionBy(F.lit(0))
-    counts = placed.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("_n"))
+    at = lambda i: F.struct(F.col("_key"), *levels[:i])     # a key and its first order columns
+    named = lambda rows, i: rows.withColumn("_group", at(i)).withColumn("_hash", F.xxhash64("_group"))
+    placed = df.withColumn("_key", group).join(F.broadcast(many), "_key", "left") \
+        .withColumns({n: F.when(F.col("_many"), o) for n, o in zip(levels, order)})
+    counts = placed.where("_many").groupBy("_key", *levels).agg(F.count(F.lit(1)).alias("_n"))
     starts = None
     for i in range(depth):     # from the first order column down: where each value begins inside its parent
-        upper, here = [*keys, *levels[:i]], [*keys, *levels[:i + 1]]
-        before = (Window.partitionBy(*upper) if upper else Window.partitionBy(F.lit(0))).orderBy(levels[i])
-        sums = counts.groupBy(*here).agg(F.sum("_n").alias("_n")) \
-            .select(*here, (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
-        starts = sums if starts is None else (
-            sums.alias("a").join(starts.alias("b"), _same(upper))
-            .select(*[F.col(f"a.{n}") for n in here], (F.col("a._before") + F.col("b._before")).alias("_before")))
-    numbered = placed.withColumn("_in", F.row_number().over(inner.orderBy(*order)))
-    if starts is None:
-        return numbered.withColumn(name, F.col("_in").cast("bigint")).drop("_in")
-    return (numbered.alias("a").join(starts.alias("b"), _same([*keys, *levels]))
-            .select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._in") + F.col("b._before")).alias(name)))
+        sums = named(counts.groupBy("_key", *levels[:i + 1]).agg(F.sum("_n").alias("_n")), i)
+        before = Window.partitionBy("_hash", "_group").orderBy(levels[i])
+        sums = sums.withColumn("_here", F.sum("_n").over(before) - F.col("_n"))
+        if starts is not None:
+            sums = sums.join(starts, ["_hash", "_group"]).withColumn("_here", F.col("_here") + F.col("_before"))
+        starts = named(sums, i + 1).select("_hash", "_group", F.col("_here").alias("_before"))
+    numbered = named(placed, depth).withColumn("_in", F.row_number().over(Window.partitionBy("_hash", "_group").orderBy(*order)).cast("bigint"))
+    if starts is not None:
+        numbered = numbered.join(starts, ["_hash", "_group"], "left").withColumn("_in", F.col("_in") + F.coalesce("_before", F.lit(0)))
+    return numbered.select(*[F.col(c) for c in df.columns], F.col("_in").alias(name))
 
 
 def chunked_lists(df: DataFrame, keys, order, value: Column, name: str, size: int = 1000) -> DataFrame:
@@ -56,9 +57,12 @@ def chunked_lists(df: DataFrame, keys, order, value: Column, name: str, size: in
 
     No group is ever collected whole; a key with more values gives more parts.
     """
-    keys = list(keys)
-    ranked = number_rows(df, keys, order, "_rn")
-    part = (F.floor((F.col("_rn") - 1) / size) + 1).cast("int")
+    return numbered_lists(number_rows(df, keys, order, "_rn"), keys, "_rn", value, name, size)
+
+
+def numbered_lists(numbered: DataFrame, keys, number: str, value: Column, name: str, size: int = 1000) -> DataFrame:
+    """`chunked_lists` of rows that are numbered from 1 in each key."""
+    part = (F.floor((F.col(number) - 1) / size) + 1).cast("int")
     pairs = F.sort_array(F.collect_list(F.struct(F.col("_rn"), F.col("_value"))))
-    return (ranked.select(*keys, part.alias("part"), "_rn", value.alias("_value"))
+    return (numbered.select(*keys, part.alias("part"), F.col(number).alias("_rn"), value.alias("_value"))
             .groupBy(*keys, "part").agg(pairs.getField("_value").alias(name)))

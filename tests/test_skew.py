@@ -34,6 +34,22 @@ def test_number_rows_equals_window(rows):
         assert counted(skew.number_rows(unique, ["repo"], order, depth=depth).select("repo", *order, "rn")) == want
 
 
+def test_number_rows_with_few_and_many(spark, rows):
+    gaps = rows.groupBy("repo", "path", "line", "v").count().withColumn("repo", F.expr("nullif(repo, 'k3')")).withColumn("line", F.expr("nullif(line, 4)"))
+    unique = gaps.select("repo", "path", "line", "v").distinct()
+    order = ["path", "line", "v"]
+    want = counted(unique.withColumn("rn", F.row_number().over(Window.partitionBy("repo").orderBy(*order)).cast("bigint")))
+    for few in (0, 15, 10_000):
+        for depth in (1, 2):
+            assert counted(skew.number_rows(unique, ["repo"], order, depth=depth, few=few)) == want
+
+
+def test_rows_of_small_keys_meet_no_counts(rows):
+    """Beside the keys with many rows, windows hold all rows of a key and deal them out once."""
+    plan = skew.number_rows(rows, ["repo"], ["path", "line", "v"])._jdf.queryExecution().executedPlan().toString()
+    assert "coalesce(repo" not in plan and "isnull(repo" not in plan      # as null-safe equality deals out anew for the join
+
+
 def test_number_rows_without_keys(rows):
     unique = rows.select("repo", "line").distinct()
     got = skew.number_rows(unique, [], ["repo", "line"]).orderBy("rn").collect()
