@@ -33,12 +33,19 @@ def _by_line(*more: str) -> Window:
     return Window.partitionBy(*FILE_KEYS, *more)
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files by their key in as many partitions as shuffles have, named so that none are put together by their bytes: contents that
+    shuffle small unfold into many lines, and the windows over a file's lines stay where its content is. The keys are turned around, as
+    Spark leaves out a repartition that equals the one of the join below, whose partitions are put together."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *reversed(FILE_KEYS))
+
+
 def _marked(files: DataFrame) -> DataFrame:
     """Lines with the name they are the head of, their indentation if they hold code, and the braces open before and after them."""
     bare = F.regexp_replace(F.regexp_replace("text", STRINGS, ""), COMMENT, "")
     step = F.regexp_count("bare", F.lit(r"\{")) - F.regexp_count("bare", F.lit(r"\}"))
     upto = _by_line().orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return lines(files.select(*FILE_KEYS, "content")).withColumn("bare", bare).select(
+    return lines(_dealt(files.select(*FILE_KEYS, "content"))).withColumn("bare", bare).select(
         *FILE_KEYS, "line", F.nullif(F.regexp_extract("text", HEAD, 1), F.lit("")).alias("name"),
         F.when(F.btrim("bare", F.lit(" \t\r")) != "", F.length(F.regexp_extract("text", r"^([ \t]*)", 1))).alias("indent"),
         F.coalesce(paths.lang_of(F.col("path")) == "Python", F.lit(False)).alias("indented"),

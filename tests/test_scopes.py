@@ -1,5 +1,7 @@
 """Functions around lines: nested ones, one-liners, strings and comments, indentation, unclosed ones, odd input."""
 
+from pyspark.sql import functions as F
+
 from riskloom.operators import scopes
 
 
@@ -55,3 +57,12 @@ def test_a_long_file_and_a_hot_one(spark, files_of):
     rows = scopes.enclosing_functions(found.union(found), files_of({"r": {"a.js": code}}))
     by_name = {r.function: r["count"] for r in rows.groupBy("function").count().collect()}
     assert len(by_name) == 3002 and by_name["f17"] == 6 and by_name["outer"] == 4 and by_name["unknown"] == 2
+
+
+def test_small_contents_with_many_lines_are_not_put_together(spark, files_of):
+    files = files_of({"r": {f"f{i}.js": "function a() {\n  x\n}\n" * 50 for i in range(200)}})
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = files.select("repo", "path", F.lit(2).alias("start_line"))
+    plan = scopes.enclosing_functions(found, files)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" in plan and "REPARTITION_BY_NUM" in plan
+    assert scopes._dealt(files).rdd.getNumPartitions() == n and scopes.scopes(files).count() == 200 * 50
