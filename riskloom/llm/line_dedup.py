@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import guarded, key60
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, setting
 
 MIN_LINES = 3
 MIN_WORDS = 50
@@ -93,8 +93,11 @@ def longest_runs(levels: list[DataFrame]) -> DataFrame:
 
 def copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, text_key, pos, length, words, first_line, last_line: the runs to delete."""
-    repeated, levels = intervals(docs)
-    runs = longest_runs(levels)
+    # Sizes are guessed too large over so many joins, so each would get a runtime filter: its smaller side is computed once more, and the
+    # filters are gathered in the driver, which they filled.
+    with setting(docs.sparkSession, "spark.sql.optimizer.runtime.bloomFilter.enabled", "false"):
+        repeated, levels = intervals(docs)
+        runs = longest_runs(levels)
     so_far = F.sum("words").over(Window.partitionBy("doc", "text_key").orderBy("pos"))
     at = cut_lineage(repeated.select(*PLACE, "line_no", "words", so_far.alias("so_far")))
     start = at.select(*PLACE, F.col("line_no").alias("first_line"), (F.col("so_far") - F.col("words")).alias("before"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskloom.llm import bottomk, decontam, html_extract, langid, line_dedup, mixing, projections, quality, sharding, warc
+from riskloom.session import cut_lineage
 
 LONG = " ".join(f"w{i}" for i in range(60_000))
 DOC_ROWS = [
@@ -110,6 +111,24 @@ def test_line_dedup_runs(spark):
     assert got[4].n_removed == 0 and got[5].text == "s"
 
 
+def test_line_dedup_plans_have_no_runtime_filters(spark, monkeypatch, tmp_path):
+    """The sizes of the joined rows are guessed so large that each join got a filter, gathered in the driver."""
+    plans = []
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(line_dedup, "cut_lineage", told)
+    rows = [(i, "\n".join(f"line {n}" for n in range(i % 3, 20))) for i in range(12)]
+    kept = spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.enabled")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")     # a table whose size is known
+    got = line_dedup.deduplicated(spark.read.parquet(f"{tmp_path}/docs"))
+    assert len(plans) > 8 and not [p for p in plans if "might_contain" in p]
+    assert sum(r.n_removed for r in got.collect()) == sum(20 - i % 3 for i in range(1, 12))
+    assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.enabled") == kept
+
+
 def test_near_dedup_cases(docs):
     rows = {(r.doc_id, r.n_shingles): r for r in bottomk.near_duplicates(docs).collect()}
     assert rows[(1, 10)].component_id == 1 and rows[(2, 10)].component_id == 1 and not rows[(2, 10)].kept
