@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.checks import all_queries
 from riskloom.functions import text
 from riskloom.operators import fixes
 from riskloom.plans import review, scans
@@ -148,6 +149,28 @@ def test_enhance(spark):
     assert found.first().check_id == "code-xss-analyser-stored" and found.first().end_col == 100
 
 
+def test_files_are_written_and_found_again(spark, tmp_path):
+    """A file is put where it is read, without a committer that renames a folder for each."""
+    rows = [("r", f"src/d{i}/f.py", f"text {i} é\n") for i in range(60)] + [("s", "a.py", "x")]
+    files = spark.createDataFrame(rows, "repo string, path string, content string")
+    assert sources.write_files(files.repartition(3), str(tmp_path / "out")) == 61
+    assert sources.write_files(files.where("repo = 's'"), str(tmp_path / "out")) == 1
+    found = sources.scan_files(spark, str(tmp_path / "out")).select("repo", "path", "content").collect()
+    assert sorted(map(tuple, found)) == sorted(rows)
+    for repo, path, content in [("r", "../out.py", "x"), ("..", "a", "x"), ("r/../..", "a", "x"), ("r", "a", None)]:
+        with pytest.raises(Exception, match="no file can be written"):
+            sources.write_files(spark.createDataFrame([(repo, path, content)], files.schema), str(tmp_path / "out"))
+    assert sources.write_files(files.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_files_on_disk_of_odd_sources(spark, tmp_path):
+    docs = [(1, "a/b", "x"), (2, "a=b c", "y\n"), (3, "é%2F", ""), (4, "plain", "z")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = all_queries()["files_on_disk"](spark, str(tmp_path)).collect()
+    size = {(source, f"folder=d{i}", "file"): len(text) + 1 for i, source, text in docs}
+    assert {(r.repo, r.folder, r.type): r.size for r in got} == size | {(*k[:2], "dir"): 0 for k in size}
+
+
 def test_scan_files_targets_and_tables(spark, tmp_path):
     (tmp_path / "src" / "one" / "lib").mkdir(parents=True)
     (tmp_path / "src" / "one" / "lib" / "a.py").write_text("x = 'é'\n")
