@@ -150,3 +150,25 @@ def test_a_store_of_replies_keeps_no_second_copy_of_the_prompts(spark, tmp_path,
         got = review.infer_stored(prompts, client, str(tmp_path / "store")).collect()
         assert {r.prompt_id: r.reply for r in got} == {str(i): str(i % 50)[0] for i in range(200)} and not [r for r in got if r.error]
     assert stored and not [c for c in stored if "prompt" in c]
+
+
+def test_prompts_read_findings_and_contexts_no_more_than_needed(spark):
+    """Files are named by all findings, not by a second grouping of them; a context's text is made per repository, in a shuffle of its own."""
+    from riskloom.checks import review
+    plan = _plan(review.model_usage(spark, SF))
+    assert len([line for line in plan.splitlines() if "Aggregate [" in line and "check_id#" in line.split("]")[0]]) == 1
+    told = [line for line in plan.splitlines() if "format_string(Language" in line]
+    assert len(told) == 1 and "prompt" not in told[0] and "RepartitionByExpression [xxhash64(repo#" in plan
+
+
+def test_keep_first_holds_each_value_once_and_tells_equal_rows_apart(spark):
+    from riskloom.operators.ranking import keep_first
+    rows = [("k", 1, None, "b"), ("k", 1, 5, "b"), ("k", 1, 5, "a"), ("k", 2, None, "a"), (None, None, 3, "c"), (None, 1, 1, "c")]
+    for order, want in ((["n"], {("k", 1, None, "b"), (None, None, 3, "c")}), ([-F.col("n")], {("k", 2, None, "a"), (None, None, 3, "c")}),
+                        (["t", "n"], {("k", 1, 5, "a"), (None, None, 3, "c")})):
+        for turned in (rows, rows[::-1]):
+            df = spark.createDataFrame(turned, "k string, n int, m int, t string").repartition(3)
+            assert {tuple(r) for r in keep_first(df, ["k"], order).collect()} == want
+    assert "min_by(" not in _plan(keep_first(df, ["k"], ["n", "m"]))
+    held = df.withColumn("more", F.create_map("t", "n")).where("k = 'k'")
+    assert [(r.n, r.more) for r in keep_first(held, ["k"], ["n", "t", "m"]).collect()] == [(1, {"a": 1})]
