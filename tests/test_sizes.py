@@ -172,3 +172,15 @@ def test_keep_first_holds_each_value_once_and_tells_equal_rows_apart(spark):
     assert "min_by(" not in _plan(keep_first(df, ["k"], ["n", "m"]))
     held = df.withColumn("more", F.create_map("t", "n")).where("k = 'k'")
     assert [(r.n, r.more) for r in keep_first(held, ["k"], ["n", "t", "m"]).collect()] == [(1, {"a": 1})]
+
+
+def test_a_reply_is_read_once_by_the_filters_on_its_document(spark):
+    from riskloom.plans import review
+    rows = [("a", 'So: {"is_legitimate": true, "confidence": 0.9}.'), ("b", "no"), ("c", None), ("d", '{"is_legitimate": tr}'), ("e", "{}")]
+    told = review.parse_validations(spark.createDataFrame(rows, "prompt_id string, reply string"))
+    assert _plan(told).count("from_json(") == 1
+    assert sorted((r.prompt_id, r.is_legitimate, r.confidence) for r in told.collect()) == [("a", True, 0.9), ("e", False, 0.0)]
+    rows = [("r", "i", '{"fix": "x", "confidence": 0.7}'), ("s", "i", '{"fix": "x", "confidence": 0.4}'), ("t", "i", "text"), ("u", "i", None)]
+    fixed = review.parse_fixes(spark.createDataFrame(rows, "check_id string, impact string, reply string"))
+    assert _plan(fixed).count("from_json(") == 1
+    assert sorted((r.check_id, r.fixed_code == "x", r.confidence, r.manual) for r in fixed.collect()) == [("r", True, 0.7, False), ("t", False, 0.6, True)]
