@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import content, dedup, fixes, joins, metrics, ranking, skew
+from riskloom.plans import review
+from riskloom.session import setting
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +118,17 @@ def test_two_repositories_are_the_union_of_each(rows):
     parts = [f.where("repo = 'hot'"), f.where("repo <> 'hot'")]
     for op in (ranking.merge_ranges, metrics.code_metrics, metrics.systemic_patterns, ranking.top_files):
         assert counted(op(f)) == counted(op(parts[0])) + counted(op(parts[1]))
+
+
+def test_prompts_of_one_repository_are_made_in_many_places(spark):
+    """2,100 parts meet five comments, and a repository without fixes, or without a name, meets none."""
+    done = spark.range(2100).selectExpr("if(id < 0, 'none', 'r') repo", "'a.py' path", "cast(id as int) start_line", "cast(id as int) end_line", "'xss' vulnerability", "'d' || id description", "id")
+    asked = [("r", i, f"why {i}") for i in range(5)] + [("other", 5, "and %s?"), (None, 6, "who?")]
+    with setting(spark, "spark.sql.adaptive.enabled", "false"), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        made = review.reply_prompts(spark.createDataFrame(asked, "repo string, comment_id int, body string"), done, ["id"], size=1)
+        got = made.withColumn("place", F.spark_partition_id()).collect()
+    assert len({r.place for r in got if r.repo == "r"}) > 1
+    prompt = "You help developers with automated security fixes.\n\n%s\n\nComment:\n%s\n\nAnswer the question briefly, with technical detail where it helps, and name the next step."
+    want = {(i, n): prompt % (f"Applied fixes:\n{n}. xss in a.py (lines {n - 1}-{n - 1}): d{n - 1}", f"why {i}") for i in range(5) for n in range(1, 2101)}
+    want |= {(5, 1): prompt % ("No fixes were applied.", "and %s?"), (6, 1): prompt % ("No fixes were applied.", "who?")}
+    assert {(r.comment_id, r.part): r.prompt for r in got} == want and len(got) == len(want)
