@@ -1,5 +1,6 @@
 """Hot keys: every skew path must give exactly what the plain path gives."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -52,6 +53,17 @@ def test_rows_of_small_keys_meet_no_counts(rows):
     assert "coalesce(repo" not in plan and "isnull(repo" not in plan      # as null-safe equality deals out anew for the join
 
 
+def test_rows_of_large_keys_are_counted_by_ranges(spark):
+    """Nothing is grouped by the order's columns, which may have as many values as there are rows."""
+    many = spark.range(6000).selectExpr("if(id % 3 > 0, 'hot', 'k' || id % 7) repo", "xxhash64(id) % 3000 a", "id % 5 b", "id c")
+    numbered = skew.number_rows(many, ["repo"], ["a", "b", "c"], few=100)
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    grouped = {name.split("#")[0] for keys in re.findall(r"Aggregate \[([^\]]*)\]", plan) for name in keys.split(", ")}
+    assert grouped == {"_key", "_range"}
+    window = Window.partitionBy("repo").orderBy("a", "b", "c")
+    assert counted(numbered) == counted(many.withColumn("rn", F.row_number().over(window).cast("bigint")))
+
+
 def test_number_rows_without_keys(rows):
     unique = rows.select("repo", "line").distinct()
     got = skew.number_rows(unique, [], ["repo", "line"]).orderBy("rn").collect()
