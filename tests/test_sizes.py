@@ -184,3 +184,23 @@ def test_a_reply_is_read_once_by_the_filters_on_its_document(spark):
     fixed = review.parse_fixes(spark.createDataFrame(rows, "check_id string, impact string, reply string"))
     assert _plan(fixed).count("from_json(") == 1
     assert sorted((r.check_id, r.fixed_code == "x", r.confidence, r.manual) for r in fixed.collect()) == [("r", True, 0.7, False), ("t", False, 0.6, True)]
+
+
+def test_a_validated_stage_groups_what_its_prompts_hold(spark, files_of):
+    """What no prompt holds isn't grouped; findings meet their replies by the id's bytes, and get the id back as text."""
+    from riskloom.plans import review
+    files = files_of({"r": {"a.py": "\n".join(f"l{i}" for i in range(1, 201)), "package.json": "{}"}})
+    found = spark.range(4000).selectExpr("if(id < 0, 'x', 'r') repo", "'a.py' path", "cast(id % 200 + 1 as int) start_line", "cast(id % 200 + 1 as int) end_line",
+                                         "'c' || id div 400 check_id", "if(id % 400 < 200, 'b', 'a') impact", "if(id % 3 = 0, 'm', 'n') message", "sha2(string(id), 256) code")
+    groups = []
+    real = review.keep_first
+    review.keep_first = lambda df, keys, order: groups.append(df.columns) or real(df, keys, order)
+    try:
+        kept = review.validate_stage(found, files, review.repo_context(files), lambda: lambda ps: ['{"is_legitimate": %s, "confidence": 0.9}' % ("Impact: a" in p and "true" or "false") for p in ps])
+    finally:
+        review.keep_first = real
+    assert groups == [["repo", "path", "start_line", "end_line", "check_id", "impact", "message"]]
+    rows = kept.collect()
+    assert len(rows) == 4000 and {r.is_legitimate for r in rows} == {True} and len({r.prompt_id for r in rows}) == 2000 and {len(r.prompt_id) for r in rows} == {64}
+    first = kept.columns
+    assert first[0] == "prompt_id" and first[1:9] == found.columns
