@@ -163,6 +163,16 @@ def test_files_are_written_and_found_again(spark, tmp_path):
     assert sources.write_files(files.limit(0), str(tmp_path / "none")) == 0
 
 
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    """1,800 files of some bytes each, where Spark takes 32 to a task beside the cores; what is read is the same."""
+    rows = [(f"r{i % 3}", f"a/b{i}/c.txt" if i % 2 else f"c{i}.txt", f"text {i}") for i in range(1800)]
+    files = spark.createDataFrame(rows, "repo string, path string, content string").repartition(4)
+    assert sources.write_files(files, str(tmp_path / "out")) == 1800
+    found = sources.scan_files(spark, str(tmp_path / "out"))
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.repo, r.path, r.content) for r in found.collect()) == sorted(rows)
+
+
 def test_files_on_disk_of_odd_sources(spark, tmp_path):
     docs = [(1, "a/b", "x"), (2, "a=b c", "y\n"), (3, "é%2F", ""), (4, "plain", "z")]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
